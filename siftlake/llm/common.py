@@ -11,8 +11,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +64,27 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that they can import its kernels."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="siftlake-ship-"), f"siftlake-{uuid.uuid4().hex[:8]}.zip")
+    atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 class Scratch:
     """Tables of one operator call in the shared folder.
 
@@ -70,6 +94,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{scratch_root(spark)}/siftlake-{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, str] = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_fold, slices, text_bytes
+from .common import LOWER, crc_fold, ship, slices, text_bytes
 from .linear import Rows, sigmoid, slope, svm
 
 BINS = 1 << 14
@@ -172,6 +172,7 @@ def _feature_kernel(batches):
 
 def fit(docs: DataFrame, train, *, text="text", doc_id="doc_id", lang="lang", per_language: int = 500, most_languages: int = 100) -> Model | None:
     """A model from the rows for which ``train`` holds; None if there is none."""
+    ship(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(train("doc_id")).filter("lang is not null and text is not null and doc_id is not null")
     sizes = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -204,6 +205,7 @@ def _score_kernel(model, extra):
 
 def predict(docs: DataFrame, model: Model | None, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry`` with __lang and __score for every row."""
+    ship(docs.sparkSession)
     base = docs.select(*carry, F.col(text).alias("__text"))
     schema = ", ".join([f"`{c}` {dict(base.dtypes)[c]}" for c in carry] + ["__lang string", "__score double"])
     return base.mapInArrow(_score_kernel(model, list(carry)), schema)

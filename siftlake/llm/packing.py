@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, slices, span_hash, text_bytes
+from .common import prefix_hash, ship, slices, span_hash, text_bytes
 
 #: Characters of a byte-level vocabulary that stand for themselves.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -52,22 +52,12 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     return {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
 
 
-class Encoder:
-    """Texts -> ids, a slice of documents at a time.
-
-    The distinct parts of a slice are found by their fingerprints; those not
-    yet in the cache are encoded in one call and cut apart by token lengths.
-    """
-
-    def __init__(self, path: str):
-        import tiktoken
+class PartCache:
+    """Ids of the distinct parts of texts, by fingerprint; subclasses encode those not yet known."""
 
-        ranks = byte_ranks(path)
-        self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.width[i] = len(token)
-        self.clear()
+    def room(self) -> None:
+        if self.parts > CACHE:
+            self.clear()
 
     def clear(self) -> None:
         self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]  # sorted fingerprints, place in ids
@@ -104,6 +94,39 @@ class Encoder:
         self.levels = [self.levels[0], merged] if small else [merged, (keys[:0], places[:0])]
         return place
 
+    def gather(self, h, start, end, data, offsets, **more) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows back to back, their offsets); h: the fingerprints of the parts start..end."""
+        h, where, back = np.unique(h, return_index=True, return_inverse=True)
+        place = self.find(h)
+        new = place < 0
+        if new.any():
+            some = where[new]
+            ids, counts = self.encode(data, start[some], end[some], **{k: v[some] for k, v in more.items()})
+            place[new] = self.learn(h[new], ids, counts)
+        place = place[back]
+        counts = self.count[place]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.first[place] - upto[:-1], counts)]
+        return ids, upto[np.searchsorted(start, offsets)]
+
+
+class Encoder(PartCache):
+    """Texts -> ids, a slice of documents at a time.
+
+    The distinct parts of a slice are found by their fingerprints; those not
+    yet in the cache are encoded in one call and cut apart by token lengths.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        ranks = byte_ranks(path)
+        self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.width[i] = len(token)
+        self.clear()
+
     def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the parts of data, back to back, and how many each has."""
         raw = data.tobytes()
@@ -123,8 +146,7 @@ class Encoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows back to back, their offsets)."""
-        if self.parts > CACHE:
-            self.clear()
+        self.room()
         following = np.zeros(len(data), bool)
         following[:-1] = SOLID[data[1:]]
         cut = (data == 32) & following
@@ -136,17 +158,7 @@ class Encoder:
         if not len(start):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
-        h, where, back = np.unique(span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
-        place = self.find(h)
-        new = place < 0
-        if new.any():
-            ids, counts = self.encode(data, start[where[new]], end[where[new]])
-            place[new] = self.learn(h[new], ids, counts)
-        place = place[back]
-        counts = self.count[place]
-        upto = np.concatenate(([0], np.cumsum(counts)))
-        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.first[place] - upto[:-1], counts)]
-        return ids, upto[np.searchsorted(start, offsets)]
+        return self.gather(span_hash(prefix_hash(data), start, end), start, end, data, offsets)
 
 
 class Windows:
@@ -254,4 +266,5 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, open_windows: int
     sequence_id is the partition's number shifted, plus the window's; the
     tokenizer's file must exist on every worker.
     """
+    ship(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_kernel(tokenizer, size, open_windows, end_id), PIECE_SCHEMA)

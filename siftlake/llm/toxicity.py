@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, crc_fold, mix, prefix_hash, slices, span_hash, text_bytes
+from .common import U64, crc_fold, mix, prefix_hash, ship, slices, span_hash, text_bytes
 from .language_id import LETTER, folded
 from .linear import Rows, logistic, sigmoid
 
@@ -229,6 +229,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, train, *, text="text", doc_id="doc_id", toxic="toxic", per_class: int = 4000) -> Model | None:
     """A model from labelled rows for which ``train`` (of the id) holds; None without rows of both classes."""
+    ship(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(train("doc_id"))
     marks = marks.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -265,6 +266,7 @@ def _score_kernel(model, names):
 
 def predict(docs: DataFrame, model: Model | None, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry`` with __score (0 to 1) for every row."""
+    ship(docs.sparkSession)
     base = docs.select(*carry, F.col(text).alias("__text"))
     schema = ", ".join([f"`{c}` {dict(base.dtypes)[c]}" for c in carry] + ["__score double"])
     return base.mapInArrow(_score_kernel(model, list(carry)), schema)
