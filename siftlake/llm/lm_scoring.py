@@ -49,9 +49,19 @@ END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 # ---------------------------------------------------------------- blocks
 
 
-def tokens(column) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints of all rows' tokens back to back, offsets); each row ends with END."""
+def tokens(column, unit: str = "word") -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints of all rows' tokens back to back, offsets); each row ends with END.
+
+    Words are lower-cased (A-Z); characters are taken as they are.
+    """
     data, offsets = text_bytes(column)
+    if unit == "character":
+        first = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+        n = np.diff(first[offsets])
+        out = np.full(len(code) + len(n), END)
+        out[np.arange(len(code)) + np.repeat(np.arange(len(n)), n)] = mix(code.astype(U64) + U64(1))
+        return out, np.concatenate(([0], np.cumsum(n + 1)))
     parts, counts = [], []
     for lo, hi in slices(offsets):
         part, at = LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
@@ -196,33 +206,46 @@ def _answers(table: pa.Table, levels) -> dict[int, dict[str, np.ndarray]]:
     return out
 
 
-def _first_kernel(level, order, shards):
+def _marked(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The documents of a block, and which of them to learn from; rows without a document name trusted ids."""
+    real, train = (np.array(table.column(c).to_pylist(), bool) for c in ("real", "train"))
+    if not real.all():
+        ids = np.array([x if x is not None else -1 for x in table.column("doc_id").to_pylist()], np.int64)
+        train = train & np.isin(ids, ids[~real])
+        table = table.filter(pa.array(real))
+    return table, train[real]
+
+
+def _first_kernel(level, order, shards, unit):
     make = _request(level, order, shards)
 
     def run(table: pa.Table) -> pa.Table:
-        token, offsets = tokens(table.column("text"))
-        rows = make(table.column("block")[0].as_py(), token, offsets, np.array(table.column("train").to_pylist(), bool), {})
+        docs, train = _marked(table)
+        if not docs.num_rows:
+            return _table([], REQUEST)
+        token, offsets = tokens(docs.column("text"), unit)
+        rows = make(docs.column("block")[0].as_py(), token, offsets, train, {})
         return _table(rows, REQUEST)
 
     return run
 
 
-def _next_kernel(level, order, shards):
+def _next_kernel(level, order, shards, unit):
     make = _request(level, order, shards)
 
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
+        docs, train = _marked(docs)
         if not docs.num_rows:
             return _table([], REQUEST)
-        token, offsets = tokens(docs.column("text"))
-        answers = _answers(got, [level + 1])
-        rows = make(docs.column("block")[0].as_py(), token, offsets, np.array(docs.column("train").to_pylist(), bool), answers)
+        token, offsets = tokens(docs.column("text"), unit)
+        rows = make(docs.column("block")[0].as_py(), token, offsets, train, _answers(got, [level + 1]))
         return _table(rows, REQUEST)
 
     return run
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
     fields = [x.split() for x in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
@@ -300,15 +323,16 @@ def discounts(t: list[int]) -> list[float]:
     return out
 
 
-def _score_kernel(order, sums):
+def _score_kernel(order, sums, unit):
     d = {level: discounts(s[:4]) for level, s in sums.items()}
     one = sums[1]
     total, kinds = one[6], one[7]
 
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
+        docs, train = _marked(docs)
         if not docs.num_rows:
             return _table([], SCORED)
-        token, offsets = tokens(docs.column("text"))
+        token, offsets = tokens(docs.column("text"), unit)
         answers = _answers(got, range(1, order + 1))
         grams = ngrams(token, offsets, order)
         p = np.full(len(token), 1.0 / (kinds + 1))
@@ -335,35 +359,42 @@ def _score_kernel(order, sums):
         base = np.log10((raw + 0.1) / (total + 0.1 * (kinds + 1)))
         first = offsets[:-1]
         sum_of = lambda x: np.add.reduceat(x, first)  # noqa: E731  every row has its end token
-        columns = [docs.column("doc_id"), docs.column("train"), pa.array(np.diff(offsets)), pa.array(sum_of((raw > 0).astype(np.int64))), pa.array(np.full(len(first), total, np.int64)), pa.array(sum_of(base)), pa.array(sum_of(np.log10(p)))]
+        columns = [docs.column("doc_id"), docs.column("tag"), pa.array(train), pa.array(np.diff(offsets)), pa.array(sum_of((raw > 0).astype(np.int64))), pa.array(np.full(len(first), total, np.int64)), pa.array(sum_of(base)), pa.array(sum_of(np.log10(p)))]
         return pa.table(columns, [x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
 
-SCORED = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = "doc_id long, tag string, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame, train, *, order: int = 2, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of every row.
+def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None, order: int = 2, unit: str = "word", tag=None, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES, shard_bytes: int | None = None) -> DataFrame:
+    """doc_id, tag, train, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    train: a Column that is true for the rows to learn from.  Scores are log10
-    probabilities of whole texts; base_score is the unigram baseline with 0.1
-    added to each count.
+    train: a Column that is true for the rows to learn from (null: true);
+    trusted: a DataFrame whose first column holds the ids to learn from; both
+    together: rows in both.  Scores are log10 probabilities of whole texts;
+    base_score is the unigram baseline with 0.1 added to each count.  tag: a
+    Column to carry along as a string.
     """
     scratch = Scratch(docs.sparkSession, "lm-scoring")
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    yes, none = F.lit(True), F.lit(None).cast("string")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (none if tag is None else tag.cast("string")).alias("tag"), (yes if train is None else F.coalesce(train, yes)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"), yes.alias("real"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = shards = max(1, math.ceil(size / block_bytes))
-    base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    blocks, shards = (max(1, math.ceil(size / n)) for n in (block_bytes, shard_bytes or block_bytes))
+    key = ["doc_id", "text"] if trusted is None else ["doc_id"]  # rows of one id can be apart unless ids are looked up
+    if trusted is not None:
+        ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+        base = base.union(ids.select("doc_id", none, F.lit(True), F.lit(""), F.lit(False)))
+    base = base.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int"))
     answers: DataFrame | None = None
     sums: dict[int, list[int]] = {}
     for level in range(order, 0, -1):
         if answers is None:
-            asked = base.groupBy("block").applyInArrow(_first_kernel(level, order, shards), REQUEST)
+            asked = base.groupBy("block").applyInArrow(_first_kernel(level, order, shards, unit), REQUEST)
         else:
             above = answers.filter(F.col("level") == level + 1)
-            asked = base.groupBy("block").cogroup(above.groupBy("block")).applyInArrow(_next_kernel(level, order, shards), REQUEST)
+            asked = base.groupBy("block").cogroup(above.groupBy("block")).applyInArrow(_next_kernel(level, order, shards, unit), REQUEST)
         asked = scratch.keep(asked)
         got = scratch.keep(asked.groupBy("shard").applyInArrow(_shard_kernel(level, order), ANSWER))
         scratch.drop(asked)
@@ -371,7 +402,7 @@ def lm_scores(docs: DataFrame, train, *, order: int = 2, text: str = "text", doc
         sums[level] = [{r.pos: r.n for r in parts}.get(k, 0) for k in range(8)]
         got = got.drop("totals").withColumn("level", F.lit(level))
         answers = got if answers is None else answers.union(got)
-    return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_kernel(order, sums), SCORED)
+    return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_kernel(order, sums, unit), SCORED)
 
 
 def score_documents(docs: DataFrame, *, folds: int = 10, held: int = 0, order: int = 2, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -52,25 +52,31 @@ class DoubleArray:
         size = 1 << 12
         self.base, self.check, self.value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         self.check[0] = 0
-        first_free, high, queue = 1, 1, [(0, root)]
+        first, high, queue, free = 1, 1, [(0, root)], self.check < 0
         while queue:
             state, node = queue.pop()
             self.value[state] = node.get(-1, -1)
             codes = np.array(sorted(b for b in node if b >= 0), np.int64) + 1
             if not len(codes):
                 continue
-            while self.check[first_free] >= 0:
-                first_free += 1
-            base = max(0, (first_free if len(codes) == 1 else max(first_free, high - 256)) - int(codes[0]))
-            while True:
-                while base + 258 > len(self.check):
+            base = max(0, first - int(codes[0]))
+            while True:  # the first base at which all codes are free
+                while base + 258 + 1024 > len(self.check):
                     self._grow()
-                if (self.check[base + codes] < 0).all():
+                    free = self.check < 0
+                fits = np.ones(1024, bool)
+                for c in codes.tolist():
+                    fits &= free[base + c : base + c + 1024]
+                if fits.any():
+                    base += int(fits.argmax())
                     break
-                base += 1
+                base += 1024
             self.base[state] = base
             self.check[base + codes] = state
+            free[base + codes] = False
             high = max(high, base + int(codes[-1]))
+            if len(codes) > 1:
+                first = max(1, high - 4096)
             queue += [(base + c, node[c - 1]) for c in codes.tolist()]
         while int(self.base.max()) + 258 > len(self.check):
             self._grow()
