@@ -53,7 +53,7 @@ c AS (SELECT doc_id AS corpus_idx, 'ECCN-' || (doc_id % 10) || substr('ABCDE', C
   CASE doc_id % 3 WHEN 0 THEN 'ecfr_part774' WHEN 1 THEN 'india_scomet_2024' ELSE 'wassenaar_2025' END AS source, source AS control_system, lang AS official_route, lang FROM documents)"""
 BM25 = f"""
 d AS (SELECT doc_id, {tok('text')} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
-tf AS (SELECT doc_id, tok, len(any_value(t)) AS dl, count(*) AS f FROM (SELECT doc_id, t, unnest(t) AS tok FROM d) GROUP BY 1, 2),
+tf AS (SELECT doc_id, tok, any_value(dl) AS dl, count(*) AS f FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS tok FROM d) GROUP BY 1, 2),
 idf AS (SELECT tok, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf, s GROUP BY 1),
 q AS (SELECT item_id AS query_id, tok, count(*) AS m FROM (SELECT item_id, unnest({tok('text')}) AS tok FROM benchmark) GROUP BY 1, 2),
 sc AS (SELECT query_id, doc_id AS corpus_idx, round(sum(m * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN idf USING (tok) JOIN tf USING (tok), s GROUP BY 1, 2),
@@ -201,7 +201,7 @@ def r12_dense_topk(spark, d):
 
 HYBRID = f"""{DENSE}, qd AS (SELECT doc_id AS query_id, {first('text')} AS text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)),
 d AS (SELECT doc_id, {tok('text')} AS t FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
-tf AS (SELECT doc_id, tok, len(any_value(t)) AS dl, count(*) AS f FROM (SELECT doc_id, t, unnest(t) AS tok FROM d) GROUP BY 1, 2),
+tf AS (SELECT doc_id, tok, any_value(dl) AS dl, count(*) AS f FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS tok FROM d) GROUP BY 1, 2),
 idf AS (SELECT tok, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf, s GROUP BY 1),
 q AS (SELECT query_id, tok, count(*) AS m FROM (SELECT query_id, unnest({tok('text')}) AS tok FROM qd) GROUP BY 1, 2),
 sc AS (SELECT query_id, doc_id AS corpus_idx, round(sum(m * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN idf USING (tok) JOIN tf USING (tok), s GROUP BY 1, 2),
@@ -295,7 +295,7 @@ CELLS = f"""m AS (SELECT unnest(['full_text', 'minimal_text', 'minimal_no_code']
 cell AS (SELECT mode AS return_mode, rank AS depth, round(avg(chars), 4) AS exposure FROM rk JOIN e USING (corpus_idx) WHERE rank <= 10 GROUP BY 1, 2)"""
 
 
-@query(f"WITH {BM25.replace('d AS', 'd AS', 1)}, {CORPUS}, {CELLS} SELECT return_mode, CAST(depth AS INTEGER) AS depth, exposure FROM cell")
+@query(f"WITH {BM25}, {CORPUS}, {CELLS} SELECT return_mode, CAST(depth AS INTEGER) AS depth, exposure FROM cell")
 def a17_exposure_cells(spark, d):
     return _cells(spark, d)
 
