@@ -33,6 +33,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from .common import LOWER, U64, Scratch, crc_fold, mix, prefix_hash, slices, spa
 
 #: Bytes of text in a block; tokens with a meaning of their own.
 BLOCK_BYTES = 16 << 20
+#: Bytes of text that are packed at once on their way to the blocks.
+PACK_BYTES = 16 << 20
 END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 
 
@@ -206,8 +209,41 @@ def _answers(table: pa.Table, levels) -> dict[int, dict[str, np.ndarray]]:
     return out
 
 
+PACKED = "block int, ids array<long>, tags array<string>, train binary, real binary, sizes array<int>, raw_bytes long, texts binary"
+
+
+def _pack_kernel(batches):
+    """Rows -> one compressed row for each block in a slice, so that little of the text is moved."""
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    for b in batches:
+        data, offsets = text_bytes(b.column("text"))
+        block = b.column("block").to_numpy()
+        train, real = (np.array(b.column(c).to_pylist(), np.uint8) for c in ("train", "real"))
+        for lo, hi in slices(offsets, PACK_BYTES):
+            out = []
+            for k in np.unique(block[lo:hi]).tolist():
+                at = lo + np.flatnonzero(block[lo:hi] == k)
+                text = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in at.tolist())
+                take = pa.array(at)
+                out.append((k, b.column("doc_id").take(take).to_pylist(), b.column("tag").take(take).to_pylist(), train[at].tobytes(), real[at].tobytes(), np.diff(offsets)[at].tolist(), len(text), pa.compress(text, "zstd", asbytes=True) if text else b""))
+            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def _unpack(table: pa.Table) -> pa.Table:
+    """A block's rows, ordered so that a repeated task sees them alike."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["raw_bytes"], zlib.crc32(r["texts"]), str(r["ids"])))
+    sizes = np.concatenate([r["sizes"] for r in rows] or [[]]).astype(np.int64)
+    text = b"".join(pa.decompress(r["texts"], r["raw_bytes"], "zstd", asbytes=True) if r["texts"] else b"" for r in rows)
+    texts = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes)))), pa.py_buffer(text)])
+    flags = {c: np.frombuffer(b"".join(r[c] for r in rows), np.uint8).astype(bool) for c in ("train", "real")}
+    block = np.full(len(sizes), rows[0]["block"] if rows else 0, np.int32)
+    return pa.table({"block": block, "doc_id": pa.array([x for r in rows for x in r["ids"]], pa.int64()), "tag": pa.array([x for r in rows for x in r["tags"]], pa.string()), "train": pa.array(flags["train"]), "real": pa.array(flags["real"]), "text": texts})
+
+
 def _marked(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     """The documents of a block, and which of them to learn from; rows without a document name trusted ids."""
+    table = _unpack(table)
     real, train = (np.array(table.column(c).to_pylist(), bool) for c in ("real", "train"))
     if not real.all():
         ids = np.array([x if x is not None else -1 for x in table.column("doc_id").to_pylist()], np.int64)
@@ -387,6 +423,7 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
         ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
         base = base.union(ids.select("doc_id", none, F.lit(True), F.lit(""), F.lit(False)))
     base = base.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int"))
+    base = base.select("block", "doc_id", "tag", "train", "real", "text").mapInArrow(_pack_kernel, PACKED)
     answers: DataFrame | None = None
     sums: dict[int, list[int]] = {}
     for level in range(order, 0, -1):
