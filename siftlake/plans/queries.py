@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators import corpus as C
+from siftlake.operators import integrity as I
 from siftlake.operators import metrics as M
 from siftlake.operators import retrieval as R
+from siftlake.operators import spans as P
 from siftlake.operators import stats as S
 from siftlake.sources.tables import corpus, table
 
@@ -475,3 +477,93 @@ def g13_claims(spark, d):
     expected = F.when(F.col("source") < "src15", 50.0).when(F.col("source") < "src3", F.lit(None)).otherwise(49.0)
     status = F.when(F.col("expected").isNull(), "SKIP").when(F.abs(F.col("actual") - F.col("expected")) <= 0.5, "OK").otherwise("MISMATCH")
     return c.withColumn("expected", expected).withColumn("status", status)
+
+
+# ---------------------------------------------------------------- audits and integrity
+
+
+@query(f"""WITH {HYBRID}, h AS (SELECT 'm' || CAST(alpha AS VARCHAR) AS model, alpha, query_id, CASE WHEN query_id % 300 = 0 AND alpha = 0.5 THEN 2 ELSE hit END AS hit FROM hits WHERE NOT (alpha = 0.3 AND query_id % 200 = 0)),
+n AS (SELECT count(DISTINCT query_id) AS n FROM hits)
+SELECT 'domain' AS rule, model AS key, count(*) AS n FROM h WHERE hit NOT IN (0, 1) GROUP BY 2
+UNION ALL SELECT 'missing', model, 1 FROM h, n GROUP BY model, alpha HAVING count(DISTINCT query_id) < max(n.n)""")
+def g8_shard_checks(spark, d):
+    hits = _hits(spark, d)
+    q = hits.select("query_id").distinct()
+    bad = F.when((F.col("query_id") % 300 == 0) & (F.col("alpha") == 0.5), 2).otherwise(F.col("hit"))
+    shards = hits.filter("not (alpha = 0.3 and query_id % 200 = 0)").select(F.concat(F.lit("m"), F.col("alpha").cast("string")).alias("model"), "alpha", "query_id", bad.alias("hit"))
+    return I.shard_violations(shards, q)
+
+
+@query(f"""WITH {HYBRID}, p AS (SELECT a.query_id, a.hit - b.hit AS d FROM hits a JOIN hits b USING (query_id) WHERE a.alpha = 1.0 AND b.alpha = 0.0),
+o AS (SELECT abs(avg(d)) AS m FROM p), f AS (SELECT it, abs(avg(CASE WHEN CAST('0x' || substr(md5('123:' || it || ':' || query_id), 1, 8) AS BIGINT) % 2 = 0 THEN d ELSE -d END)) AS m FROM p, range(300) r(it) GROUP BY 1)
+SELECT round(any_value(o.m), 6) AS observed, count(*) AS draws, round((count(*) FILTER (WHERE f.m >= o.m - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM f, o""")
+def u8_permutation(spark, d):
+    h = _hits(spark, d)
+    pairs = h.filter("alpha = 1.0").join(h.filter("alpha = 0").select("query_id", F.col("hit").alias("b")), "query_id").select("query_id", (F.col("hit") - F.col("b")).alias("d"))
+    return S.sign_flip(pairs, 300)
+
+
+@query(f"""WITH {BM25}, {GOLD}, one AS (SELECT query_id, min(corpus_idx) AS corpus_idx FROM gold GROUP BY 1), same AS (SELECT o.query_id, d.doc_id AS corpus_idx FROM one o JOIN documents a ON a.doc_id = o.corpus_idx JOIN documents d ON d.source = a.source),
+g AS (SELECT 'any' AS view, * FROM gold UNION ALL SELECT 'first', * FROM one UNION ALL SELECT 'source', * FROM same),
+h AS (SELECT view, query_id, max(CASE WHEN rk.rank <= 10 THEN 1 ELSE 0 END) AS hit FROM g LEFT JOIN rk USING (query_id, corpus_idx) GROUP BY 1, 2)
+SELECT view, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 6) AS recall FROM h GROUP BY 1""")
+def u16_recall_by_label_view(spark, d):
+    docs, _, _, scores = _bm25(spark, d)
+    top = R.top_k(scores, docs, 10)
+    gold = _gold(spark, d)
+    one = gold.groupBy("query_id").agg(F.min("corpus_idx").alias("corpus_idx"))
+    src = table(spark, d, "documents").select("doc_id", "source")
+    same = one.join(src.withColumnRenamed("doc_id", "corpus_idx"), "corpus_idx").select("query_id", "source").join(src, "source").select("query_id", F.col("doc_id").alias("corpus_idx"))
+    views = gold.withColumn("view", F.lit("any")).unionByName(one.withColumn("view", F.lit("first"))).unionByName(same.withColumn("view", F.lit("source")))
+    hit = views.join(top.select("query_id", "corpus_idx", F.lit(1).alias("in_top")), ["query_id", "corpus_idx"], "left").groupBy("view", "query_id").agg(F.max(F.coalesce("in_top", F.lit(0))).alias("hit"))
+    return hit.groupBy("view").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("hits"), F.round(F.avg("hit"), 6).alias("recall"))
+
+
+@query(f"""WITH {HYBRID}, r AS (SELECT alpha, avg(hit) AS recall, row_number() OVER (ORDER BY alpha DESC) AS level FROM hits GROUP BY 1),
+t AS (SELECT *, lag(recall) OVER (ORDER BY level) AS before, max(recall) OVER () AS best FROM r)
+SELECT alpha, CAST(level AS INTEGER) AS level, round(recall, 6) AS recall, CASE WHEN level = 1 THEN 'D' WHEN before IS NOT NULL AND recall < before THEN 'C' WHEN recall >= best - 0.05 THEN 'A' ELSE 'B' END AS tier,
+CAST(min(CASE WHEN before IS NOT NULL AND recall < before THEN 0 ELSE 1 END) OVER (ORDER BY level) AS INTEGER) AS open FROM t""")
+def u14_w5_w6_evidence_tiers(spark, d):
+    r = _hits(spark, d).groupBy("alpha").agg(F.avg("hit").alias("recall"))
+    w = Window.orderBy(F.desc("alpha"))  # one row per level of a stated ladder
+    t = r.withColumns({"level": F.row_number().over(w), "before": F.lag("recall").over(w), "best": F.max("recall").over(Window.partitionBy())})
+    loss = F.coalesce(F.col("recall") < F.col("before"), F.lit(False))
+    tier = I.evidence_tier(F.col("level") == 1, loss, F.col("recall") >= F.col("best") - 0.05)
+    open_ = F.min(F.when(loss, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return t.select("alpha", F.col("level").cast("int").alias("level"), F.round("recall", 6).alias("recall"), tier.alias("tier"), open_.cast("int").alias("open"))
+
+
+@query("""WITH g AS (SELECT doc_id, md5(text) AS code FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY code) AS first FROM g) SELECT doc_id, code FROM f WHERE first < doc_id""")
+def w9_first_use(spark, d):
+    return I.first_use(table(spark, d, "documents").select("doc_id", F.md5("text").alias("code")), "code", "doc_id")
+
+
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (WHERE NOT regexp_matches(trim(text), '[.;:!?)]$')) AS unterminated, round(avg(CASE WHEN regexp_matches(trim(text), '[.;:!?)]$') THEN 0.0 ELSE 1.0 END), 6) AS ratio,
+count(*) FILTER (WHERE length(text) < 150 OR regexp_matches(text, '(?i)\\b(?:reserved|not used)\\b')) AS stubs FROM documents GROUP BY 1""")
+def p24_p36_stub_and_unterminated(spark, d):
+    end = F.trim("text").rlike("[.;:!?)]$")
+    stub = (F.length("text") < 150) | F.col("text").rlike(r"(?i)\b(?:reserved|not used)\b")
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~end).alias("unterminated"), F.round(F.avg(F.when(end, 0.0).otherwise(1.0)), 6).alias("ratio"), F.count_if(stub).alias("stubs"))
+
+
+@query(f"""WITH {CORPUS}, n AS (SELECT corpus_idx, {first('text')} AS body FROM c WHERE source = 'ecfr_part774' AND corpus_idx % 2 = 0)
+SELECT c.corpus_idx, md5(coalesce(n.body, c.text)) AS body_md5, n.body IS NOT NULL AS replaced FROM c LEFT JOIN n USING (corpus_idx)""")
+def j14_conditional_overwrite(spark, d):
+    c = corpus(spark, d)
+    new = c.filter("source = 'ecfr_part774' and corpus_idx % 2 = 0").select("corpus_idx", T.first_sentence("text").alias("body"))
+    return c.join(new, "corpus_idx", "left").select("corpus_idx", F.md5(F.coalesce("body", "text")).alias("body_md5"), F.col("body").isNotNull().alias("replaced"))
+
+
+@query("""WITH e AS (SELECT l.doc_id AS a, d.doc_id AS b, CASE WHEN l.quality = 1 THEN 'equivalent' ELSE 'broader' END AS relation FROM labels l JOIN documents x USING (doc_id) JOIN documents d ON d.source = x.source AND d.lang = x.lang AND d.doc_id <> x.doc_id)
+SELECT a, count(*) AS n, array_to_string(list_sort(list(DISTINCT b)), ',') AS labels FROM (SELECT a, b FROM e WHERE relation = 'equivalent' UNION SELECT a, a FROM e) GROUP BY 1""")
+def j9_t5_equivalence_expansion(spark, d):
+    docs, lab = table(spark, d, "documents").select("doc_id", "source", "lang"), table(spark, d, "labels")
+    x = lab.join(docs, "doc_id").select(F.col("doc_id").alias("a"), "source", "lang", F.when(F.col("quality") == 1, "equivalent").otherwise("broader").alias("relation"))
+    e = x.join(docs, ["source", "lang"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"), "relation")
+    all_ = e.filter("relation = 'equivalent'").select("a", "b").union(e.select("a", F.col("a").alias("b"))).distinct()
+    return all_.groupBy("a").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("b")).cast("array<string>"), ",").alias("labels"))
+
+
+@query(None)
+def d2_d3_spans(spark, d):
+    return P.measure(table(spark, d, "documents"), "doc_id", "text", {"licence": ["rights reserved", "license"], "contact": ["token", "phone"]})
