@@ -10,11 +10,14 @@ fingerprints of its fragments for its own class and the class below.
 
 * Documents that share a fragment are paired with the fragment's smallest
   member only (the hub), so that a group of copies gives as many rows as it has
-  members.  Pairs are verified by counting the overlap of each fragment
-  separately and summing the counts per pair.
-* Fragments whose members do not all meet in one component through their hub
-  are resolved by comparing all members of different components.  Large ones
-  are cut into tiles of a bounded number of members.
+  members.  The overlap of a pair is counted fragment by fragment and summed;
+  what the two do not share (the difference) is kept.
+* Two documents of one fragment both have its hub.  If both link to the hub they
+  are connected; all other pairs of a hub's group are settled from the
+  differences alone: |x - y| = |dx| + |dy| - 2 * |dx and dy|, with the shared
+  differences counted through an inverted list inside the group.  Large groups
+  are cut into tiles of a bounded number of members; only links are returned,
+  as a spanning star of each tile.
 
 Equal sets are one node throughout.  The result is exact up to collisions of
 64-bit fingerprints; no posting list, candidate or partner is capped.
@@ -37,8 +40,8 @@ from .common import LOWER, U64, Scratch, components, i64, mix, prefix_hash, slic
 
 #: Fragment schemes; the second and third serve documents with an empty fragment.
 SCHEMES = 3
-#: Members of an unresolved fragment that one tile compares with as many others.
-TILE = 512
+#: Members of a hub's group that one tile compares with as many others.
+TILE = 2048
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,45 +215,72 @@ def overlap(a: np.ndarray, b: np.ndarray, parts: int = 16) -> int:
     return total
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if small == 0 or 100 * small < percent * large:
-        return False
-    shared = overlap(a, b, 16 if small > 4096 else 1)
-    return 100 * shared >= percent * (small + large - shared)
+def _difference_kernel(percent):
+    """Pairs (node, hub) with their sets -> sizes, whether they link, and the n-grams that only one of them has."""
 
-
-def _verify_kernel(percent):
     def run(batches):
         for b in batches:
-            keep = [linked(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(b.column(2), b.column(3), strict=True) for x, y in [(x.as_buffer(), y.as_buffer())]]
-            t = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
-            yield t.filter(pa.array(keep, pa.bool_()))
+            size, ok, diff = [], [], []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                g, h = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                shared = overlap(g, h, 16 if min(len(g), len(h)) > 4096 else 1)
+                size.append(len(g))
+                ok.append(100 * shared >= percent * (len(g) + len(h) - shared))
+                diff.append(np.setxor1d(g, h, assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(ok, pa.bool_()), pa.array(diff, pa.binary())], ["node", "hub", "size", "linked", "diff"])
 
     return run
 
 
-def _tile_kernel(percent):
-    """All members of one tile against those of another; gives the links."""
+def group_links(x, y, percent):
+    """Links (i, j) between two lists of (size, linked to the hub, difference), not both linked to it."""
+    if not x or not y:
+        return []
+    dy = [d for _, _, d in y]
+    grams, where = np.unique(np.concatenate(dy), return_inverse=True)
+    owner = np.repeat(np.arange(len(y)), [len(d) for d in dy])
+    order = np.argsort(where, kind="stable")
+    owner, first = owner[order], np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(grams)))))
+    sy, by, ky = (np.array(v) for v in ([v[0] for v in y], [len(d) for d in dy], [v[1] for v in y]))
+    out = []
+    for i, (sx, kx, dx) in enumerate(x):
+        if len(dx) and len(grams):
+            at = np.minimum(np.searchsorted(grams, dx), len(grams) - 1)
+            at = at[grams[at] == dx]
+        else:
+            at = np.zeros(0, np.int64)
+        n = first[at + 1] - first[at]
+        seen = owner[np.arange(n.sum()) + np.repeat(first[at] - np.cumsum(n) + n, n)] if len(at) else owner[:0]
+        both = np.bincount(seen, minlength=len(y))
+        shared = (sx + sy - (len(dx) + by - 2 * both)) // 2
+        ok = 100 * shared >= percent * (sx + sy - shared)
+        if kx:
+            ok &= ~ky
+        out += [(i, j) for j in np.flatnonzero(ok).tolist()]
+    return out
+
 
-    def run(key, left, right):
-        a = [(c, x, np.frombuffer(g, U64)) for c, x, g in zip(left["component"], left["node"], left["grams"], strict=True)]
-        b = [(c, x, np.frombuffer(g, U64)) for c, x, g in zip(right["component"], right["node"], right["grams"], strict=True)]
-        import pandas as pd
+def _group_kernel(percent):
+    """Two tiles of a hub's group -> a spanning forest of their links."""
+    import pandas as pd
 
-        out, joined = [], {}
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = lambda f: [(int(s), bool(k), np.frombuffer(d, U64)) for s, k, d in zip(f["size"], f["linked"], f["diff"], strict=True)]
+        a, b = left["node"].tolist(), right["node_"].tolist()
+        right = right.rename(columns=lambda c: c.rstrip("_"))
+        root: dict[int, int] = {}
 
         def top(c):
-            while (up := joined.get(c, c)) != c:
+            while (up := root.get(c, c)) != c:
                 c = up
             return c
 
-        for ca, x, g in a:
-            for cb, y, h in b:
-                u, v = top(ca), top(cb)
-                if u != v and linked(g, h, percent):
-                    out.append((x, y))
-                    joined[max(u, v)] = min(u, v)
+        out = []
+        for i, j in group_links(rows(left), rows(right), percent):
+            u, v = top(a[i]), top(b[j])
+            if u != v:
+                out.append((a[i], b[j]))
+                root[max(u, v)] = min(u, v)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -272,31 +302,14 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "t
     live = scratch.keep(sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub <> most").select("sig", "hub"))
     members = scratch.keep(sigs.join(live, "sig").select("sig", "node", "hub"))
     scratch.drop(live)
-    pairs = scratch.keep(members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared")))
+    pairs = scratch.keep(members.filter("node <> hub").select("node", "hub").distinct())
+    scratch.drop(members)
     grams = _gram_table(scratch, docs, rows, pairs.select("node").union(pairs.select("hub")), n)
-
-    def verify(p):
-        a, b = (grams.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-        return p.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(_verify_kernel(percent), "a long, b long")
-
-    best = pairs.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
-    edges = scratch.keep(verify(best))
+    a, b = grams.select("node", F.col("grams").alias("own")), grams.select(F.col("node").alias("hub"), F.col("grams").alias("hubs"))
+    met = pairs.join(a, "node").join(b, "hub").select("node", "hub", "own", "hubs")
+    met = scratch.keep(met.mapInArrow(_difference_kernel(percent), "node long, hub long, size long, linked boolean, diff binary"))
+    edges = met.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(_settle(scratch, met, percent))
     comp = components(scratch, edges)
-    # The other hubs of documents that are still apart.
-    apart = _apart(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")), comp).select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = scratch.keep(verify(apart))
-    if not more.isEmpty():
-        edges = edges.union(more)
-        comp = components(scratch, edges)
-    # Fragments whose members have not all met their hub: all members of different components.
-    open_sigs = _apart(members.select(F.col("node").alias("a"), F.col("hub").alias("b"), "sig"), comp).select("sig").distinct()
-    left = members.join(open_sigs, "sig").select("sig", "node").join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    left = scratch.keep(left)
-    if not left.isEmpty():
-        rest = _residual(scratch, left, grams, pairs, percent, verify)
-        if not rest.isEmpty():
-            edges = edges.union(rest)
-            comp = components(scratch, edges)
     least = rows.filter("node is not null").join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("doc_id").alias("component_id"))
     node_to = rows.select("node").filter("node is not null").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     node_to = node_to.join(least, "component").select("node", "component_id")
@@ -314,12 +327,6 @@ def _same_ids(scratch: Scratch, found: DataFrame) -> DataFrame:
     return found.join(comp, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
 
 
-def _apart(p: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose components differ."""
-    ca, cb = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return p.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-
-
 def _gram_table(scratch: Scratch, docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, grams) of the documents that have a candidate; one document stands for equal sets."""
     need = scratch.keep(rows.join(nodes.distinct(), "node", "left_semi").filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
@@ -327,22 +334,13 @@ def _gram_table(scratch: Scratch, docs: DataFrame, rows: DataFrame, nodes: DataF
     return scratch.keep(text.mapInArrow(_arrays_kernel(n), "node long, grams binary").dropDuplicates(["node"]))
 
 
-def _residual(scratch, left, grams, pairs, percent, verify):
-    """Links between members of one fragment that are in different components."""
-    sizes = left.groupBy("sig").agg(F.count("*").alias("size"))
-    left = scratch.keep(left.join(sizes, "sig"))
-    small = left.filter(F.col("size") <= TILE)
-    x, y = (small.select("sig", F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
-    near = x.join(y, "sig").filter("a < b and ca <> cb").select("a", "b").distinct()
-    known = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    out = scratch.keep(verify(near.join(known, ["a", "b"], "left_anti")))
-    big = left.filter(F.col("size") > TILE).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
-    if big.isEmpty():
-        return out
-    big = big.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    with_grams = big.join(grams, "node")
+def _settle(scratch: Scratch, met: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one hub's group of which one at least does not link to the hub."""
+    groups = met.groupBy("hub").agg(F.count("*").alias("n"), F.bool_and("linked").alias("done")).filter("n > 1 and not done").select("hub", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    open_ = met.join(groups, "hub").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    a = with_grams.select("sig", F.col("tile").alias("i"), other.alias("j"), "node", "component", "grams").filter("i <= j")
-    b = with_grams.select("sig", other.alias("i"), F.col("tile").alias("j"), "node", "component", "grams").filter("i <= j")
-    found = a.groupBy("sig", "i", "j").cogroup(b.groupBy("sig", "i", "j")).applyInPandas(_tile_kernel(percent), "a long, b long")
-    return out.union(scratch.keep(found))
+    columns = ["hub", "i", "j", "node", "size", "linked", "diff"]
+    left = open_.select("hub", F.col("tile").alias("i"), other.alias("j"), *columns[3:]).filter("i <= j")
+    right = open_.select("hub", other.alias("i"), F.col("tile").alias("j"), *columns[3:]).filter("i <= j").toDF(*[f"{c}_" for c in columns])
+    found = left.groupBy("hub", "i", "j").cogroup(right.groupBy("hub_", "i_", "j_")).applyInPandas(_group_kernel(percent), "a long, b long")
+    return scratch.keep(found.filter("a <> b"))
