@@ -198,9 +198,12 @@ def repeated_windows(texts: DataFrame, *, span: int = 200) -> DataFrame:
     left = left.groupBy("t").agg(F.collect_list(F.struct("s0", "s1", "once")).alias("spans"))
     one_text = texts.select("t", "text").join(left, "t").dropDuplicates(["t"]).select("t", "text", "spans")
     suffixes = scratch.keep(one_text.mapInArrow(_suffix_kernel(span), "suffix long, t long, s int, once boolean"))
-    equal = suffixes.groupBy("suffix").agg(F.count("*").alias("n")).filter("n >= 2").select("suffix")
-    parts = suffixes.filter("once").join(scratch.keep(equal), "suffix", "left_semi").select("t", F.col("s").alias("s0"), F.col("s").alias("s1"))
-    return scratch.keep(whole.union(parts).groupBy("t").agg(F.collect_set(F.struct("s0", "s1")).alias("spans")))
+    equal = scratch.keep(suffixes.groupBy("suffix").agg(F.count("*").alias("n")).filter("n >= 2").select("suffix"))
+    parts = suffixes.filter("once").join(equal, "suffix", "left_semi").select("t", F.col("s").alias("s0"), F.col("s").alias("s1"))
+    found = scratch.keep(whole.union(parts).groupBy("t").agg(F.collect_set(F.struct("s0", "s1")).alias("spans")))
+    for done in (parse, dictionary, suffixes, equal):
+        scratch.drop(done)
+    return found
 
 
 def _with_hash(docs: DataFrame, text: str, *carry) -> DataFrame:
