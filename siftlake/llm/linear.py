@@ -85,13 +85,14 @@ def svm(x: Rows, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return minimize(loss, np.zeros(x.width + 1))
 
 
-def logistic(x: Rows, q: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
-    """Weights (bias last) of a logistic regression on soft labels q."""
+def logistic(x: Rows, q: np.ndarray, ridge: float = 1e-4, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights (bias last) of a logistic regression on soft labels q; rows count by ``weight``."""
+    part = np.full(len(q), 1 / max(1, len(q))) if weight is None else weight / weight.sum()
 
     def loss(w):
         z = x.dot(w[:-1]) + w[-1]
-        r = (sigmoid(z) - q) / len(q)
-        return np.mean(np.logaddexp(0, z) - q * z) + ridge / 2 * (w[:-1] @ w[:-1]), np.append(x.back(r) + ridge * w[:-1], r.sum())
+        r = (sigmoid(z) - q) * part
+        return part @ (np.logaddexp(0, z) - q * z) + ridge / 2 * (w[:-1] @ w[:-1]), np.append(x.back(r) + ridge * w[:-1], r.sum())
 
     return minimize(loss, np.zeros(x.width + 1))
 

@@ -13,7 +13,10 @@ their weight.  Its posterior labels train a linear (logistic) classifier,
 which alone gives the score.
 
 Fitting takes place on the driver from at most ``per_class`` labelled rows of
-each class (in the order of a hash of the id); all rows are scored map-only.
+each class (in the order of a hash of the id).  Where that cuts a class, its
+rows weigh as many as they stand for in the label model, the prior and the
+classifier, so that the prior is the toxic share of all labelled rows at every
+size.  All rows are scored map-only.
 Labels, language, source and id are never inputs of a score.
 
 Defined results: null or empty text is scored by its features (all 0);
@@ -171,8 +174,9 @@ class Voters:
 class LabelModel:
     """Hidden class and voters: expectation maximisation, then a discount for correlated voters."""
 
-    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 60):
-        kinds, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 60, weight: np.ndarray | None = None):
+        kinds, back = np.unique(votes, axis=0, return_inverse=True)
+        counts = np.bincount(back.ravel(), weight, len(kinds))
         m = votes.shape[1]
         score = (kinds > 0).sum(1) - 0.5 * (kinds < 0).sum(1)
         q = sigmoid(2.0 * score)
@@ -246,10 +250,13 @@ def fit(docs: DataFrame, labels: DataFrame, train, *, text="text", doc_id="doc_i
         return None
     seen = sorted((bytes(r.votes), tuple(r.columns), tuple(r.counts), r.toxic) for r in seen)
     votes = np.stack([np.frombuffer(r[0], np.int8) for r in seen])
-    prior = float(np.clip(np.mean([r[3] for r in seen]), 0.01, 0.5))
-    model = LabelModel(votes, prior)
+    toxic_row = np.array([r[3] for r in seen], bool)
+    weight = np.where(toxic_row, *(totals[c] / min(per_class, totals[c]) for c in (1, 0)))
+    prior = float(np.clip(np.average(toxic_row, weights=weight), 1e-6, 1 - 1e-6))
+    weight /= weight.mean()
+    model = LabelModel(votes, prior, weight=weight)
     x = Rows.of([(np.array(r[1], np.int64), np.array(r[2])) for r in seen], voters.width)
-    return Model(voters, model, logistic(x, model.posterior(votes), 1e-3))
+    return Model(voters, model, logistic(x, model.posterior(votes), 1e-3, weight))
 
 
 def _score_kernel(model, names):

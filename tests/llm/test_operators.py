@@ -278,6 +278,31 @@ def test_toxicity(spark):
     assert all(r.score == 0 for r in toxicity(table(spark, rows[:5]), lab.limit(0)).collect())
 
 
+def test_toxicity_keeps_the_share_of_toxic_rows(spark):
+    """The prior and the scores are those of all labelled rows, also where the sample cuts the classes."""
+    from pyspark.sql import functions as F
+
+    from siftlake.llm import toxicity as T
+
+    rnd = random.Random(9)
+    bad, plain = [f"vileword{c}" for c in "abcdef"], [f"plain{c}" for c in "abcdefghijklmnopqrst"]
+    rows, labels = [], []
+    for k in range(2000):
+        toxic = k % 20 == 0
+        weak = int(rnd.random() < (0.5 if toxic else 0.12))
+        w = [rnd.choice(plain) for _ in range(40)] + [rnd.choice(bad) for _ in range(weak + 2 * (toxic and rnd.random() < 0.8))]
+        rnd.shuffle(w)
+        rows.append((k, " ".join(w), "en"))
+        labels.append((k, int(toxic)))
+    docs, lab = table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {}
+    for cap in (4000, 80):
+        model = T.fit(docs, lab, lambda c: F.lit(True), per_class=cap)
+        assert abs(model.label_model.prior - 0.05) < 1e-9
+        found[cap] = sum(r[1] for r in T.predict(docs, model).collect()) / len(rows)
+    assert abs(found[80] - found[4000]) < 0.05
+
+
 def test_language_id(spark):
     from siftlake.llm.language_id import identify
 
