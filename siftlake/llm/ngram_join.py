@@ -24,8 +24,8 @@ Equal sets are one node throughout.  The result is exact up to collisions of
 
 Defined results: null text counts as empty; an empty set has n_shingles 0 and
 its own id as component; rows that repeat a doc_id are one document (each row
-returns, in one component); a null doc_id takes no part and returns null as
-its component, unless an equal or linked text has an id; extra columns are
+returns, in one component); a null doc_id takes no part, as a hub neither, and
+returns null as its component, unless an equal text has an id; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -197,7 +197,9 @@ def _arrays_kernel(n):
             for lo, hi in slices(offsets):
                 s, o = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
                 raw = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(o * 8), pa.py_buffer(s)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), raw], ["node", "grams"])
+                node = b.column(0).slice(lo, hi - lo)
+                out = pa.RecordBatch.from_arrays([node, raw], ["node", "grams"])
+                yield out.filter(pa.array(node.to_numpy() == i64(set_hash(s, o))))  # a repeated id has other texts too
 
     return run
 
@@ -298,7 +300,7 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "t
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = scratch.keep(docs.mapInArrow(_rows_kernel(n), "doc_id long, n_shingles long, node long"))
-    sigs = docs.select("text").mapInArrow(_signature_kernel(n, percent), "sig long, node long")
+    sigs = docs.filter("doc_id is not null").select("text").mapInArrow(_signature_kernel(n, percent), "sig long, node long")
     live = scratch.keep(sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub <> most").select("sig", "hub"))
     members = scratch.keep(sigs.join(live, "sig").select("sig", "node", "hub"))
     scratch.drop(live)

@@ -68,6 +68,34 @@ def test_ngram_join(spark, n, percent):
     assert ngram_join(table(spark, []), n=n, percent=percent).count() == 0
 
 
+def test_ngram_join_through_texts_without_id(spark):
+    """Two near copies of a text that only stands without an id link, and no row without an id links others."""
+    from siftlake.llm.ngram_join import ngram_join
+
+    rnd = random.Random(4)
+    rows = []
+    for k in range(24):
+        base = [f"v{rnd.randrange(5000)}" for _ in range(100)]
+        one, other, far = list(base), list(base), list(base)
+        one[0] = other[99] = "changed"
+        far[10] = far[30] = far[50] = far[70] = "changed"
+        rows += [(None, " ".join(base), "en"), (10 * k, " ".join(one), "en"), (10 * k + 1, " ".join(other), "en"), (10 * k + 2, " ".join(far), "en")]
+    got = {r.doc_id: r.component_id for r in ngram_join(table(spark, rows), n=3, percent=90).filter("doc_id is not null").collect()}
+    assert got == {10 * k + j: 10 * k + (2 if j == 2 else 0) for k in range(24) for j in range(3)}
+
+
+def test_ngram_join_of_an_id_with_two_texts(spark):
+    from siftlake.llm.ngram_join import ngram_join
+
+    rnd = random.Random(6)
+    rows, want = [], {}
+    for k in range(24):
+        a, b = ([f"v{rnd.randrange(5000)}" for _ in range(100)] for _ in range(2))
+        rows += [(10 * k, " ".join(a), "en"), (10 * k, " ".join(b), "en"), (10 * k + 1, " ".join(["changed", *a[1:]]), "en"), (10 * k + 2, " ".join([*b[:-1], "changed"]), "en")]
+        want |= {10 * k + j: 10 * k for j in range(3)}
+    assert {r.doc_id: r.component_id for r in ngram_join(table(spark, rows), n=3, percent=90).collect()} == want
+
+
 def test_suffix_dedup(spark):
     from siftlake.llm.suffix_dedup import remove_repeats, suffix_dedup
 
