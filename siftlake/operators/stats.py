@@ -30,8 +30,35 @@ def mcnemar(pairs: DataFrame, *keys: str, a: str = "a", b: str = "b") -> DataFra
     return c.withColumns({"discordant": disc, "p_two_sided": F.when(disc == 0, 1.0).otherwise(two), "p_one_sided": F.when(disc == 0, 1.0).otherwise(one)})
 
 
+def ln_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1: Stirling's series at x + 8."""
+    y, below = x + 8, F.lit(1.0)
+    for i in range(8):
+        below = below * (x + i)
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * y * y * y * y * y * y * y)
+    return (y - 0.5) * F.log(y) - y + F.lit(0.9189385332046727) + series - F.log(below)
+
+
+def upper_tail(k: Column, n: Column, p: Column) -> Column:
+    """P(X >= k) for X ~ Binomial(n, p), 1 <= k <= n and 0 < p < 1: the incomplete beta function by its continued
+    fraction, whose terms grow with the root of n only."""
+    a, b = k.cast("double"), (n - k + 1).cast("double")
+    far = p >= (a + 1) / (a + b + 2)
+    x, u, v = F.when(far, 1 - p).otherwise(p), F.when(far, b).otherwise(a), F.when(far, a).otherwise(b)
+
+    def term(t, j):
+        m = F.floor(j / 2).cast("double")
+        odd = -(u + m) * (u + v + m) * x / ((u + 2 * m) * (u + 2 * m + 1))
+        return F.when(j % 2 == 1, odd).otherwise(m * (v - m) * x / ((u + 2 * m - 1) * (u + 2 * m))) / (1 + t)
+
+    terms = F.sequence((F.lit(200) + 8 * F.ceil(F.sqrt(n.cast("double")))).cast("int"), F.lit(1), F.lit(-1))
+    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.log(p) + b * F.log(1 - p)) / u
+    part = front / (1 + F.aggregate(terms, F.lit(0.0), term))
+    return F.when(far, 1 - part).otherwise(part)
+
+
 def clopper_pearson(k: Column, n: Column, conf: float = 0.95, steps: int = 50) -> Column:
-    """Struct (lo, hi): exact interval by bisection on the binomial tail."""
+    """Struct (lo, hi): exact interval by bisection on the binomial tail, for counts of any size."""
     tail = (1 - conf) / 2
 
     def bisect(go_up):
@@ -45,8 +72,8 @@ def clopper_pearson(k: Column, n: Column, conf: float = 0.95, steps: int = 50) -
         end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)
         return (end["lo"] + end["hi"]) / 2
 
-    lo = F.when(k == 0, 0.0).otherwise(bisect(lambda p: binomial_tail(k, n, p) < tail))
-    hi = F.when(k == n, 1.0).otherwise(bisect(lambda p: 1 - binomial_tail(k + 1, n, p) > tail))
+    lo = F.when(k == 0, 0.0).otherwise(bisect(lambda p: upper_tail(k, n, p) < tail))
+    hi = F.when(k == n, 1.0).otherwise(bisect(lambda p: 1 - upper_tail(k + 1, n, p) > tail))
     return F.struct(F.when(n == 0, 0.0).otherwise(lo).alias("lo"), F.when(n == 0, 0.0).otherwise(hi).alias("hi"))
 
 

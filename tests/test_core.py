@@ -68,6 +68,39 @@ def test_clopper_pearson(spark):
         assert abs(got.lo - lo) < 2e-4 and abs(got.hi - hi) < 2e-4
 
 
+def plain_interval(k, n):
+    def tail(k, p):
+        ln = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p) for i in range(k, n + 1)]
+        return math.fsum(math.exp(x) for x in ln)
+
+    def root(above):
+        lo, hi = 0.0, 1.0
+        for _ in range(45):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if above(mid) else (mid, hi)
+        return lo
+
+    return (root(lambda p: tail(k, p) >= 0.025) if k else 0.0), (root(lambda p: 1 - tail(k + 1, p) <= 0.025) if k < n else 1.0)
+
+
+def test_clopper_pearson_of_large_counts(spark):
+    for k, n in ((0, 1), (1, 1), (5, 9), (449, 3980), (1990, 3980), (3979, 3980), (1, 20000), (11000, 20000)):
+        got = one(spark, S.clopper_pearson(F.col("k"), F.col("n")), k=k, n=n)
+        assert max(abs(x - y) for x, y in zip((got.lo, got.hi), plain_interval(k, n), strict=True)) < 1e-8
+
+
+def test_clopper_pearson_query_has_the_counts_of_the_table(spark, tmp_path):
+    from siftlake.plans.queries import QUERIES
+
+    rows = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.quality: r for r in QUERIES["u2_u4_clopper_pearson"](spark, str(tmp_path)).collect()}
+    for q in (0, 1):
+        k, n = sum(t for _, y, t in rows if y == q), sum(y == q for _, y, _ in rows)
+        lo, hi = plain_interval(k, n)
+        assert (got[q].k, got[q].n, got[q].lo, got[q].hi) == (k, n, round(lo, 4), round(hi, 4))
+
+
 def test_equivalence(spark):
     d = spark.createDataFrame([("a", x) for x in [1.0] * 3 + [-1.0] * 5 + [0.0] * 63] + [("b", 0.0)] * 71 + [("c", 1.0)], "key string, d double")
     got = {(r.key, r.delta): r for r in S.tost(d, [0.03, 0.15], "key").collect()}
