@@ -36,9 +36,9 @@ def reject_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their word 3-grams (Jaccard 0.9 or more) the one with the smallest id stays; so do rows without an id."""
+    """Of documents linked by their word 5-grams (Jaccard 0.8 or more) the one with the smallest id stays; so do rows without an id."""
     with stage_scratch(spark):
-        kept = ngram_join(docs, n=3, percent=90).filter("doc_id = component_id").select("doc_id").distinct()
+        kept = ngram_join(docs, n=5, percent=80).filter("doc_id = component_id").select("doc_id").distinct()
         named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         return named.union(docs.filter("doc_id is null")).select(*docs.columns)
 

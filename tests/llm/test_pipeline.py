@@ -40,3 +40,14 @@ def test_stages(spark, tmp_path):
     assert text[9].text == rows[9][1]
     assert ids[4] == ids[3] == ids[2]
     assert P.run(spark, f"{tmp_path}/sf").count() == seen[4].count()
+
+
+def test_near_copies_by_five_words(spark, tmp_path):
+    """Two words of 100 replaced: 5-gram Jaccard 86 / 106, 3-gram Jaccard 92 / 104."""
+    base = [f"w{k}" for k in range(100)]
+    near, far = list(base), list(base)
+    near[30] = near[60] = "changed"
+    for k in (20, 40, 60, 80):
+        far[k] = "changed"
+    docs = spark.createDataFrame([(k, " ".join(w), "en", "s", 0) for k, w in enumerate((base, near, far))], SCHEMA)
+    assert sorted(r.doc_id for r in P.one_of_each_group(spark, docs, str(tmp_path)).collect()) == [0, 2]
