@@ -10,8 +10,9 @@ fingerprints of its fragments for its own class and the class below.
 
 * Documents that share a fragment are paired with the fragment's smallest
   member only (the hub), so that a group of copies gives as many rows as it has
-  members.  The overlap of a pair is counted fragment by fragment and summed;
-  what the two do not share (the difference) is kept.
+  members.  The overlap of a pair is one intersection of its two whole sets, not
+  counted by the fragments of the plan; what the two do not share (the
+  difference) is kept.
 * Two documents of one fragment both have its hub.  If both link to the hub they
   are connected; all other pairs of a hub's group are settled from the
   differences alone: |x - y| = |dx| + |dy| - 2 * |dx and dy|, with the shared
@@ -205,7 +206,7 @@ def _arrays_kernel(n):
 
 
 def overlap(a: np.ndarray, b: np.ndarray, parts: int = 16) -> int:
-    """Shared n-grams of two sorted sets, counted fragment by fragment and summed."""
+    """Shared n-grams of two whole sorted sets; parts = 16 looks them up in 16 ranges, for large sets."""
     total = 0
     cut = (np.arange(1, parts, dtype=np.uint64) << U64(60)) if parts == 16 else np.zeros(0, U64)
     ca, cb = np.concatenate(([0], np.searchsorted(a, cut), [len(a)])), np.concatenate(([0], np.searchsorted(b, cut), [len(b)]))
