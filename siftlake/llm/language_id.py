@@ -7,9 +7,10 @@ hashed byte 2- and 3-grams of the whole text, lower-cased, with everything but
 letters folded into single spaces, as shares of the text's n-grams.
 
 The machines are fitted on the driver from at most ``per_language`` rows of
-each of at most ``most_languages`` values of ``lang``, taken in the order of a
-hash of the id.  All rows are scored, map-only, with the weights shipped in
-the tasks (their size is fixed by ``BINS`` and ``most_languages``).
+each value of ``lang``, fewer where there are so many values that this would
+pass ``most_rows`` in all (one row each at least), taken in the order of a hash
+of the id.  All rows are scored, map-only, with the weights shipped in the
+tasks (``BINS`` numbers for each language, and for each pair in a family).
 
 Defined results: null text, or text without a letter, is ``und`` with score 0,
 as is everything when there is no training row; repeated rows are scored one
@@ -170,13 +171,13 @@ def _feature_kernel(batches):
             yield pa.RecordBatch.from_arrays([labels.slice(lo, hi - lo), pa.array([c.tobytes() for c, _ in out], pa.binary()), pa.array([v.tobytes() for _, v in out], pa.binary())], ["lang", "columns", "counts"])
 
 
-def fit(docs: DataFrame, train, *, text="text", doc_id="doc_id", lang="lang", per_language: int = 500, most_languages: int = 100) -> Model | None:
+def fit(docs: DataFrame, train, *, text="text", doc_id="doc_id", lang="lang", per_language: int = 500, most_rows: int = 50_000) -> Model | None:
     """A model from the rows for which ``train`` holds; None if there is none."""
     ship(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(train("doc_id")).filter("lang is not null and text is not null and doc_id is not null")
-    sizes = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
+    per_language = min(per_language, max(1, most_rows // max(1, base.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = base.select("doc_id", "lang").join(F.broadcast(sizes), "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("doc_id", "lang").distinct()
+    picked = base.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("doc_id", "lang").distinct()
     rows = base.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text").mapInArrow(_feature_kernel, "lang string, columns binary, counts binary").collect()
     if not rows:
         return None

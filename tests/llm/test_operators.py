@@ -346,6 +346,22 @@ def test_language_id(spark):
     assert {r.lang_pred for r in identify(table(spark, [(1, "x", None)])).collect()} == {"und"}
 
 
+def test_language_id_learns_every_language(spark):
+    from pyspark.sql import functions as F
+
+    from siftlake.llm import language_id as L
+
+    rnd = random.Random(12)
+    names = [f"x{k:03}" for k in range(120)]
+    words = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3)] for x in names}
+    rows = [(k, " ".join(rnd.choice(words[x]) for _ in range(12)), x) for k, x in enumerate(names * 4)]
+    docs = table(spark, rows)
+    model = L.fit(docs, lambda c: F.lit(True), most_rows=240)
+    assert model.names == names
+    got = {r.doc_id: r["__lang"] for r in L.predict(docs, model).collect()}
+    assert sum(got[i] == x for i, _, x in rows) >= 0.95 * len(rows)
+
+
 def test_components(spark):
     from siftlake.llm.common import Scratch, components
 
