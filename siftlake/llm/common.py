@@ -235,6 +235,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted unsigned numbers as steps of as few bytes as the longest step takes."""
+    if not len(x):
+        return b""
+    steps = np.diff(x).astype("<u8")
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + x[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_sorted(raw) -> np.ndarray:
+    if not len(raw):
+        return np.zeros(0, U64)
+    raw = np.frombuffer(raw, np.uint8)
+    width = int(raw[0])
+    n = (len(raw) - 9) // width
+    steps = np.zeros((n + 1, 8), np.uint8)
+    steps[0] = raw[1:9]
+    steps[1:, :width] = raw[9:].reshape(n, width)
+    return np.cumsum(steps.view(U64).ravel(), dtype=U64)
+
+
 def i64(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

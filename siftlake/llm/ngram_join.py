@@ -1,28 +1,38 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Every document is the set of its distinct word n-grams.  The global n-gram
-order (the order of their 64-bit fingerprints) is cut into F fragments.  Two
-sets of sizes a <= b with 100 * intersection >= t * union differ in at most
-d = (a + b) * (100 - t) / (100 + t) n-grams, and each of these touches one
-fragment; so with F = d + 1 fragments at least one fragment is equal in both.
-Sizes are put in classes so that linked documents share F: a document emits the
-fingerprints of its fragments for its own class and the class below.
-
-* Documents that share a fragment are paired with the fragment's smallest
-  member only (the hub), so that a group of copies gives as many rows as it has
-  members.  The overlap of a pair is one intersection of its two whole sets, not
-  counted by the fragments of the plan; what the two do not share (the
-  difference) is kept.
-* Two documents of one fragment both have its hub.  If both link to the hub they
-  are connected; all other pairs of a hub's group are settled from the
-  differences alone: |x - y| = |dx| + |dy| - 2 * |dx and dy|, with the shared
-  differences counted through an inverted list inside the group.  Large groups
-  are cut into tiles of a bounded number of members; only links are returned,
-  as a spanning star of each tile.
+order (the order of their 64-bit fingerprints) is cut into vertical fragments.
+
+1. Partial overlaps.  Blocks of documents send each fragment their n-grams in
+   it, packed, n-grams that a block holds more than once only once.  A fragment
+   counts for every document how many of its n-grams another document has too;
+   the partial counts are summed per document.  They bound the overlap with any
+   partner from above, so a document whose sum is below the threshold of its own
+   size links with nothing.  (Fragments see fingerprints cut to a few bits more
+   than tell the corpus' n-grams apart: a sum can only come out too high.)
+2. Candidates, among what is left.  Two sets of sizes a <= b with
+   100 * intersection >= t * union differ in at most
+   d = (a + b) * (100 - t) / (100 + t) n-grams, and each of these touches one
+   fragment of a finer cut; so with F = d + 1 fragments one at least is equal in
+   both.  Sizes are put in classes so that linked documents share F: a document
+   emits the fingerprints of its fragments for its own class and the class below.
+   Documents that share one are paired with its smallest member only (the hub),
+   so that a group of copies gives as many rows as it has members.
+3. Pairs.  The overlaps of a pair are counted range by range of the order and
+   summed; what the two do not share (the difference) is kept.
+4. Two documents of one fragment both have its hub.  If both link to the hub they
+   are connected; all other pairs of a hub's group are settled from the
+   differences alone: |x - y| = |dx| + |dy| - 2 * |dx and dy|, with the shared
+   differences counted through an inverted list inside the group.  Large groups
+   are cut into tiles of a bounded number of members; only links are returned,
+   as a spanning forest of each pair of tiles.
 
 Equal sets are one node throughout.  The result is exact up to collisions of
 64-bit fingerprints; no posting list, candidate or partner is capped.
 
+The documents are read twice and must come in the same order both times that a
+task reads them, as the rows of a table do.
+
 Defined results: null text counts as empty; an empty set has n_shingles 0 and
 its own id as component; rows that repeat a doc_id are one document (each row
 returns, in one component); a null doc_id takes no part, as a hub neither, and
@@ -37,12 +47,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Scratch, components, i64, mix, prefix_hash, slices, span_hash, text_bytes, words
+from .common import LOWER, U64, Scratch, components, i64, mix, pack_sorted, prefix_hash, slices, span_hash, text_bytes, unpack_sorted, words
 
 #: Fragment schemes; the second and third serve documents with an empty fragment.
 SCHEMES = 3
 #: Members of a hub's group that one tile compares with as many others.
 TILE = 2048
+#: Bytes and rows of text in a block of requests; bytes of text whose n-grams a vertical fragment of the order holds.
+BLOCK_BYTES, BLOCK_ROWS, FRAGMENT_BYTES = 8 << 20, 60_000, 12 << 20
+#: Stands for a document where a block has an n-gram more than once.
+SEVERAL = 0xFFFF
+REQUEST = "fragment int, block long, keys binary, docs binary, ids array<long>, sizes binary, nodes binary, own binary"
+REPLY = "block long, counts binary, ids array<long>, sizes binary, nodes binary, own binary"
+ROWS = "doc_id long, n_shingles long, node long, alive boolean"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,41 +173,118 @@ def signatures(s: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.nda
     return np.concatenate(rows_out), np.concatenate(keys_out)
 
 
-def _rows_kernel(n):
+# ---------------------------------------------------------------- partial overlaps
+
+
+def _table(columns: list, schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _request(block: int, ids: list, s: np.ndarray, offsets: np.ndarray, fragments: int, bits: int) -> pa.Table:
+    """A block's n-grams for each fragment; one of its rows names the block's documents as well."""
+    size, node = np.diff(offsets), set_hash(s, offsets)
+    named = np.array([x is not None for x in ids], bool) & (size > 0)
+    asks = np.zeros(len(size), bool)
+    asks[np.flatnonzero(named)[np.unique(node[named], return_index=True)[1]]] = True  # one document of equal sets
+    doc = np.repeat(np.arange(len(size)), size)
+    some = asks[doc]
+    key, doc = s[some] >> U64(64 - bits), doc[some]
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool))
+    several = np.diff(np.append(at, len(key))) > 1
+    own = np.bincount(doc[np.repeat(several, np.diff(np.append(at, len(key))))], minlength=len(size))
+    key, doc = key[at], np.where(several, SEVERAL, doc[at]).astype("<u2")
+    cut = np.concatenate(([0], np.searchsorted(key, np.array([-(-(f << bits) // fragments) for f in range(1, fragments)], U64)), [len(key)]))
+    out = []
+    for f, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        names = (ids, size.astype("<i4").tobytes(), node.tobytes(), own.astype("<i4").tobytes()) if f == block % fragments else (None,) * 4
+        if i < j or names[0] is not None:
+            out.append((f, block, pack_sorted(key[i:j]), doc[i:j].tobytes(), *names))
+    return _table(list(zip(*out, strict=True)), REQUEST)
+
+
+def _request_kernel(n, fragments, bits):
     def run(batches):
+        from pyspark import TaskContext
+
+        block, held, size, rows = TaskContext.get().partitionId() << 32, [], 0, 0
         for b in batches:
             data, offsets = text_bytes(b.column(1))
+            ids = b.column(0).to_pylist()
             for lo, hi in slices(offsets):
-                s, o = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
-                size = np.diff(o)
-                node = pa.array(i64(set_hash(s, o)), pa.int64(), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), node], ["doc_id", "n_shingles", "node"])
+                for at in range(lo, hi, BLOCK_ROWS):
+                    to = min(hi, at + BLOCK_ROWS)
+                    if held and rows + to - at > BLOCK_ROWS or size >= BLOCK_BYTES:
+                        yield from _blocked(block, held, fragments, bits)
+                        block, held, size, rows = block + 1, [], 0, 0
+                    held.append((ids[at:to], *shingle_sets(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], n)))
+                    size, rows = size + int(offsets[to] - offsets[at]), rows + to - at
+        if held:
+            yield from _blocked(block, held, fragments, bits)
+
+    return run
+
+
+def _blocked(block, held, fragments, bits):
+    size = np.concatenate([np.diff(o) for _, _, o in held])
+    table = _request(block, [x for ids, _, _ in held for x in ids], np.concatenate([s for _, s, _ in held]), np.concatenate(([0], np.cumsum(size))), fragments, bits)
+    yield from table.to_batches()
+
+
+def _fragment_kernel(table: pa.Table) -> pa.Table:
+    """Per block how many n-grams of each document are held by others too, in one fragment."""
+    table = table.combine_chunks()
+    keys = [unpack_sorted(x.as_buffer()) for x in table.column("keys")]
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    run = every[order]
+    twice = run[1:] == run[:-1]
+    held = np.zeros(len(every), bool)
+    held[order[1:][twice]] = held[order[:-1][twice]] = True
+    counts, at = [], 0
+    for k, x in zip(keys, table.column("docs"), strict=True):
+        doc = np.frombuffer(x.as_buffer(), "<u2")
+        counts.append(np.bincount(doc[held[at : at + len(k)] & (doc != SEVERAL)]).astype("<i4").tobytes())
+        at += len(k)
+    return pa.table([table.column("block"), pa.array(counts, pa.binary()), *(table.column(c) for c in ("ids", "sizes", "nodes", "own"))], [x.split()[0] for x in REPLY.split(", ")])
+
+
+def _sum_kernel(percent):
+    def run(table: pa.Table) -> pa.Table:
+        """The partial counts of a block's documents summed: who can have a partner."""
+        named = table.filter(table.column("nodes").is_valid()).slice(0, 1).to_pylist()[0]
+        size, total = np.frombuffer(named["sizes"], "<i4").astype(np.int64), np.frombuffer(named["own"], "<i4").astype(np.int64)
+        for x in table.column("counts"):
+            part = np.frombuffer(x.as_buffer(), "<i4")
+            total[: len(part)] += part
+        node = np.frombuffer(named["nodes"], U64)
+        _, which = np.unique(node, return_inverse=True)
+        alive = np.zeros(int(which.max()) + 1, bool)
+        alive[which[(size > 0) & (100 * total >= percent * size)]] = True
+        return _table([named["ids"], size, pa.array(i64(node), mask=size == 0), alive[which] & (size > 0)], ROWS)
 
     return run
 
 
-def _signature_kernel(n, percent):
+def _signature_kernel(percent):
     def run(batches):
-        seen: set[int] = set()
         for b in batches:
-            data, offsets = text_bytes(b.column(0))
+            data, offsets = text_bytes(b.column(1))
+            nodes = b.column(0).to_numpy()
             for lo, hi in slices(offsets):
-                s, o = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
-                h = set_hash(s, o)
-                fresh = np.zeros(len(h), bool)
-                for k, x in enumerate(h.tolist()):
-                    if x not in seen:
-                        seen.add(x)
-                        fresh[k] = True
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                size = np.where(fresh, np.diff(o), 0)
-                row, key = signatures(s[np.repeat(fresh, np.diff(o))], np.concatenate(([0], np.cumsum(size))), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(i64(key)), pa.array(i64(h[row]))], ["sig", "node"])
+                s = np.frombuffer(data[offsets[lo] : offsets[hi]].tobytes(), U64)
+                row, key = signatures(s, (offsets[lo : hi + 1] - offsets[lo]) // 8, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(i64(key)), pa.array(nodes[lo:hi][row])], ["sig", "node"])
 
     return run
 
 
+# ---------------------------------------------------------------- pairs
+
+
 def _arrays_kernel(n):
     def run(batches):
         for b in batches:
@@ -206,16 +300,15 @@ def _arrays_kernel(n):
 
 
 def overlap(a: np.ndarray, b: np.ndarray, parts: int = 16) -> int:
-    """Shared n-grams of two whole sorted sets; parts = 16 looks them up in 16 ranges, for large sets."""
-    total = 0
-    cut = (np.arange(1, parts, dtype=np.uint64) << U64(60)) if parts == 16 else np.zeros(0, U64)
-    ca, cb = np.concatenate(([0], np.searchsorted(a, cut), [len(a)])), np.concatenate(([0], np.searchsorted(b, cut), [len(b)]))
-    for k in range(len(ca) - 1):
-        x, y = a[ca[k] : ca[k + 1]], b[cb[k] : cb[k + 1]]
-        if len(x) and len(y):
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            total += int(np.count_nonzero(y[at] == x))
-    return total
+    """Shared n-grams of two sorted sets: partial overlaps in equal ranges of the order, summed."""
+    cut = np.array([k * (1 << 64) // parts for k in range(1, parts)], U64)
+    ca, cb = (np.concatenate(([0], np.searchsorted(x, cut), [len(x)])).tolist() for x in (a, b))
+    return sum(_partial(a[ca[k] : ca[k + 1]], b[cb[k] : cb[k + 1]]) for k in range(parts) if ca[k] < ca[k + 1] and cb[k] < cb[k + 1])
+
+
+def _partial(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.count_nonzero(y[at] == x))
 
 
 def _difference_kernel(percent):
@@ -226,7 +319,7 @@ def _difference_kernel(percent):
             size, ok, diff = [], [], []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 g, h = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                shared = overlap(g, h, 16 if min(len(g), len(h)) > 4096 else 1)
+                shared = overlap(g, h, max(2, min(len(g), len(h)) // 1024))
                 size.append(len(g))
                 ok.append(100 * shared >= percent * (len(g) + len(h) - shared))
                 diff.append(np.setxor1d(g, h, assume_unique=True).tobytes())
@@ -236,16 +329,15 @@ def _difference_kernel(percent):
 
 
 def group_links(x, y, percent):
-    """Links (i, j) between two lists of (size, linked to the hub, difference), not both linked to it."""
+    """Links (i, the js) between two lists of (size, linked to the hub, difference), not both linked to it."""
     if not x or not y:
-        return []
+        return
     dy = [d for _, _, d in y]
     grams, where = np.unique(np.concatenate(dy), return_inverse=True)
     owner = np.repeat(np.arange(len(y)), [len(d) for d in dy])
     order = np.argsort(where, kind="stable")
     owner, first = owner[order], np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(grams)))))
     sy, by, ky = (np.array(v) for v in ([v[0] for v in y], [len(d) for d in dy], [v[1] for v in y]))
-    out = []
     for i, (sx, kx, dx) in enumerate(x):
         if len(dx) and len(grams):
             at = np.minimum(np.searchsorted(grams, dx), len(grams) - 1)
@@ -259,8 +351,7 @@ def group_links(x, y, percent):
         ok = 100 * shared >= percent * (sx + sy - shared)
         if kx:
             ok &= ~ky
-        out += [(i, j) for j in np.flatnonzero(ok).tolist()]
-    return out
+        yield i, np.flatnonzero(ok).tolist()
 
 
 def _group_kernel(percent):
@@ -279,11 +370,12 @@ def _group_kernel(percent):
             return c
 
         out = []
-        for i, j in group_links(rows(left), rows(right), percent):
-            u, v = top(a[i]), top(b[j])
-            if u != v:
-                out.append((a[i], b[j]))
-                root[max(u, v)] = min(u, v)
+        for i, js in group_links(rows(left), rows(right), percent):
+            for j in js:
+                u, v = top(a[i]), top(b[j])
+                if u != v:
+                    out.append((a[i], b[j]))
+                    root[max(u, v)] = min(u, v)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -300,14 +392,16 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "t
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = scratch.keep(docs.mapInArrow(_rows_kernel(n), "doc_id long, n_shingles long, node long"))
-    sigs = docs.filter("doc_id is not null").select("text").mapInArrow(_signature_kernel(n, percent), "sig long, node long")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments, bits = max(1, -(-size // FRAGMENT_BYTES)), min(60, size.bit_length() + 7)
+    asked = docs.mapInArrow(_request_kernel(n, fragments, bits), REQUEST)
+    counted = asked.groupBy("fragment").applyInArrow(_fragment_kernel, REPLY)
+    rows = scratch.keep(counted.groupBy("block").applyInArrow(_sum_kernel(percent), ROWS))
+    grams = _gram_table(scratch, docs, rows, n)
+    sigs = grams.mapInArrow(_signature_kernel(percent), "sig long, node long")
     live = scratch.keep(sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub <> most").select("sig", "hub"))
-    members = scratch.keep(sigs.join(live, "sig").select("sig", "node", "hub"))
+    pairs = scratch.keep(sigs.join(live, "sig").filter("node <> hub").select("node", "hub").distinct())
     scratch.drop(live)
-    pairs = scratch.keep(members.filter("node <> hub").select("node", "hub").distinct())
-    scratch.drop(members)
-    grams = _gram_table(scratch, docs, rows, pairs.select("node").union(pairs.select("hub")), n)
     a, b = grams.select("node", F.col("grams").alias("own")), grams.select(F.col("node").alias("hub"), F.col("grams").alias("hubs"))
     met = pairs.join(a, "node").join(b, "hub").select("node", "hub", "own", "hubs")
     met = scratch.keep(met.mapInArrow(_difference_kernel(percent), "node long, hub long, size long, linked boolean, diff binary"))
@@ -330,9 +424,9 @@ def _same_ids(scratch: Scratch, found: DataFrame) -> DataFrame:
     return found.join(comp, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
 
 
-def _gram_table(scratch: Scratch, docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, grams) of the documents that have a candidate; one document stands for equal sets."""
-    need = scratch.keep(rows.join(nodes.distinct(), "node", "left_semi").filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+def _gram_table(scratch: Scratch, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(node, grams) of the documents that can have a partner; one document stands for equal sets."""
+    need = scratch.keep(rows.filter("alive and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     text = docs.join(need, "doc_id").select("node", "text")
     return scratch.keep(text.mapInArrow(_arrays_kernel(n), "node long, grams binary").dropDuplicates(["node"]))
 
