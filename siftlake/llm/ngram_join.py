@@ -9,7 +9,9 @@ order (the order of their 64-bit fingerprints) is cut into vertical fragments.
    the partial counts are summed per document.  They bound the overlap with any
    partner from above, so a document whose sum is below the threshold of its own
    size links with nothing.  (Fragments see fingerprints cut to a few bits more
-   than tell the corpus' n-grams apart: a sum can only come out too high.)
+   than tell the corpus' n-grams apart: a sum can only come out too high.)  A
+   block's texts travel with its requests, compressed, so that they are read once
+   and meet their sums again.
 2. Candidates, among what is left.  Two sets of sizes a <= b with
    100 * intersection >= t * union differ in at most
    d = (a + b) * (100 - t) / (100 + t) n-grams, and each of these touches one
@@ -30,9 +32,6 @@ order (the order of their 64-bit fingerprints) is cut into vertical fragments.
 Equal sets are one node throughout.  The result is exact up to collisions of
 64-bit fingerprints; no posting list, candidate or partner is capped.
 
-The documents are read twice and must come in the same order both times that a
-task reads them, as the rows of a table do.
-
 Defined results: null text counts as empty; an empty set has n_shingles 0 and
 its own id as component; rows that repeat a doc_id are one document (each row
 returns, in one component); a null doc_id takes no part, as a hub neither, and
@@ -57,9 +56,9 @@ TILE = 2048
 BLOCK_BYTES, BLOCK_ROWS, FRAGMENT_BYTES = 8 << 20, 60_000, 12 << 20
 #: Stands for a document where a block has an n-gram more than once.
 SEVERAL = 0xFFFF
-REQUEST = "fragment int, block long, keys binary, docs binary, ids array<long>, sizes binary, nodes binary, own binary"
-REPLY = "block long, counts binary, ids array<long>, sizes binary, nodes binary, own binary"
-ROWS = "doc_id long, n_shingles long, node long, alive boolean"
+REQUEST = "fragment int, block long, keys binary, docs binary, ids array<long>, sizes binary, nodes binary, own binary, lengths binary, texts binary"
+REPLY = "block long, counts binary, ids array<long>, sizes binary, nodes binary, own binary, lengths binary, texts binary"
+ROWS = "doc_id long, n_shingles long, node long, grams binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +181,11 @@ def _table(columns: list, schema: str) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _request(block: int, ids: list, s: np.ndarray, offsets: np.ndarray, fragments: int, bits: int) -> pa.Table:
-    """A block's n-grams for each fragment; one of its rows names the block's documents as well."""
+def _request(block: int, held: list, fragments: int, bits: int) -> pa.Table:
+    """A block's n-grams for each fragment; one of its rows has the block's documents as well."""
+    ids = [x for part in held for x in part[0]]
+    s, text, length = (np.concatenate([part[k] for part in held]) for k in (1, 3, 4))
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(part[2]) for part in held]))))
     size, node = np.diff(offsets), set_hash(s, offsets)
     named = np.array([x is not None for x in ids], bool) & (size > 0)
     asks = np.zeros(len(size), bool)
@@ -200,7 +202,7 @@ def _request(block: int, ids: list, s: np.ndarray, offsets: np.ndarray, fragment
     cut = np.concatenate(([0], np.searchsorted(key, np.array([-(-(f << bits) // fragments) for f in range(1, fragments)], U64)), [len(key)]))
     out = []
     for f, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-        names = (ids, size.astype("<i4").tobytes(), node.tobytes(), own.astype("<i4").tobytes()) if f == block % fragments else (None,) * 4
+        names = (ids, size.astype("<i4").tobytes(), node.tobytes(), own.astype("<i4").tobytes(), length.astype("<i4").tobytes(), pa.compress(text.tobytes(), "zstd", asbytes=True) if len(text) else b"") if f == block % fragments else (None,) * 6
         if i < j or names[0] is not None:
             out.append((f, block, pack_sorted(key[i:j]), doc[i:j].tobytes(), *names))
     return _table(list(zip(*out, strict=True)), REQUEST)
@@ -218,22 +220,17 @@ def _request_kernel(n, fragments, bits):
                 for at in range(lo, hi, BLOCK_ROWS):
                     to = min(hi, at + BLOCK_ROWS)
                     if held and rows + to - at > BLOCK_ROWS or size >= BLOCK_BYTES:
-                        yield from _blocked(block, held, fragments, bits)
+                        yield from _request(block, held, fragments, bits).to_batches()
                         block, held, size, rows = block + 1, [], 0, 0
-                    held.append((ids[at:to], *shingle_sets(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], n)))
+                    text, own = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+                    held.append((ids[at:to], *shingle_sets(text, own, n), text, np.diff(own)))
                     size, rows = size + int(offsets[to] - offsets[at]), rows + to - at
         if held:
-            yield from _blocked(block, held, fragments, bits)
+            yield from _request(block, held, fragments, bits).to_batches()
 
     return run
 
 
-def _blocked(block, held, fragments, bits):
-    size = np.concatenate([np.diff(o) for _, _, o in held])
-    table = _request(block, [x for ids, _, _ in held for x in ids], np.concatenate([s for _, s, _ in held]), np.concatenate(([0], np.cumsum(size))), fragments, bits)
-    yield from table.to_batches()
-
-
 def _fragment_kernel(table: pa.Table) -> pa.Table:
     """Per block how many n-grams of each document are held by others too, in one fragment."""
     table = table.combine_chunks()
@@ -249,22 +246,30 @@ def _fragment_kernel(table: pa.Table) -> pa.Table:
         doc = np.frombuffer(x.as_buffer(), "<u2")
         counts.append(np.bincount(doc[held[at : at + len(k)] & (doc != SEVERAL)]).astype("<i4").tobytes())
         at += len(k)
-    return pa.table([table.column("block"), pa.array(counts, pa.binary()), *(table.column(c) for c in ("ids", "sizes", "nodes", "own"))], [x.split()[0] for x in REPLY.split(", ")])
+    return pa.table([table.column("block"), pa.array(counts, pa.binary()), *(table.column(c) for c in ("ids", "sizes", "nodes", "own", "lengths", "texts"))], [x.split()[0] for x in REPLY.split(", ")])
 
 
-def _sum_kernel(percent):
+def _sum_kernel(n, percent):
     def run(table: pa.Table) -> pa.Table:
-        """The partial counts of a block's documents summed: who can have a partner."""
+        """The partial counts of a block's documents summed; the sets of those that can have a partner, one of equal ones."""
         named = table.filter(table.column("nodes").is_valid()).slice(0, 1).to_pylist()[0]
         size, total = np.frombuffer(named["sizes"], "<i4").astype(np.int64), np.frombuffer(named["own"], "<i4").astype(np.int64)
         for x in table.column("counts"):
             part = np.frombuffer(x.as_buffer(), "<i4")
             total[: len(part)] += part
-        node = np.frombuffer(named["nodes"], U64)
-        _, which = np.unique(node, return_inverse=True)
-        alive = np.zeros(int(which.max()) + 1, bool)
-        alive[which[(size > 0) & (100 * total >= percent * size)]] = True
-        return _table([named["ids"], size, pa.array(i64(node), mask=size == 0), alive[which] & (size > 0)], ROWS)
+        node, length = np.frombuffer(named["nodes"], U64), np.frombuffer(named["lengths"], "<i4").astype(np.int64)
+        alive = (size > 0) & (100 * total >= percent * size)
+        alive[np.setdiff1d(np.flatnonzero(alive), np.flatnonzero(alive)[np.unique(node[alive], return_index=True)[1]])] = False
+        data = np.frombuffer(pa.decompress(named["texts"], int(length.sum()), "zstd", asbytes=True), np.uint8) if length.sum() else np.zeros(0, np.uint8)
+        at, keep = np.concatenate(([0], np.cumsum(length))), np.flatnonzero(alive)
+        grams: list = [None] * len(size)
+        cut = np.concatenate(([0], np.cumsum(length[keep])))
+        for lo, hi in slices(cut):
+            some = np.concatenate([data[at[k] : at[k + 1]] for k in keep[lo:hi].tolist()])
+            s, o = shingle_sets(some, cut[lo : hi + 1] - cut[lo], n)
+            for k, i, j in zip(keep[lo:hi].tolist(), o[:-1].tolist(), o[1:].tolist(), strict=True):
+                grams[k] = s[i:j].tobytes()
+        return _table([named["ids"], size, pa.array(i64(node), mask=size == 0), grams], ROWS)
 
     return run
 
@@ -285,20 +290,6 @@ def _signature_kernel(percent):
 # ---------------------------------------------------------------- pairs
 
 
-def _arrays_kernel(n):
-    def run(batches):
-        for b in batches:
-            data, offsets = text_bytes(b.column(1))
-            for lo, hi in slices(offsets):
-                s, o = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
-                raw = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(o * 8), pa.py_buffer(s)]).cast(pa.binary())
-                node = b.column(0).slice(lo, hi - lo)
-                out = pa.RecordBatch.from_arrays([node, raw], ["node", "grams"])
-                yield out.filter(pa.array(node.to_numpy() == i64(set_hash(s, o))))  # a repeated id has other texts too
-
-    return run
-
-
 def overlap(a: np.ndarray, b: np.ndarray, parts: int = 16) -> int:
     """Shared n-grams of two sorted sets: partial overlaps in equal ranges of the order, summed."""
     cut = np.array([k * (1 << 64) // parts for k in range(1, parts)], U64)
@@ -396,14 +387,15 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "t
     fragments, bits = max(1, -(-size // FRAGMENT_BYTES)), min(60, size.bit_length() + 7)
     asked = docs.mapInArrow(_request_kernel(n, fragments, bits), REQUEST)
     counted = asked.groupBy("fragment").applyInArrow(_fragment_kernel, REPLY)
-    rows = scratch.keep(counted.groupBy("block").applyInArrow(_sum_kernel(percent), ROWS))
-    grams = _gram_table(scratch, docs, rows, n)
+    told = scratch.keep(counted.groupBy("block").applyInArrow(_sum_kernel(n, percent), ROWS))
+    rows = told.select("doc_id", "n_shingles", "node")
+    grams = scratch.keep(told.filter("grams is not null").select("node", "grams").dropDuplicates(["node"]))
     sigs = grams.mapInArrow(_signature_kernel(percent), "sig long, node long")
     live = scratch.keep(sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub <> most").select("sig", "hub"))
-    pairs = scratch.keep(sigs.join(live, "sig").filter("node <> hub").select("node", "hub").distinct())
+    pairs = scratch.keep(sigs.join(live.hint("merge"), "sig").filter("node <> hub").select("node", "hub").distinct())
     scratch.drop(live)
     a, b = grams.select("node", F.col("grams").alias("own")), grams.select(F.col("node").alias("hub"), F.col("grams").alias("hubs"))
-    met = pairs.join(a, "node").join(b, "hub").select("node", "hub", "own", "hubs")
+    met = a.join(pairs.hint("merge"), "node").join(b.hint("merge"), "hub").select("node", "hub", "own", "hubs")
     met = scratch.keep(met.mapInArrow(_difference_kernel(percent), "node long, hub long, size long, linked boolean, diff binary"))
     edges = met.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(_settle(scratch, met, percent))
     comp = components(scratch, edges)
@@ -424,13 +416,6 @@ def _same_ids(scratch: Scratch, found: DataFrame) -> DataFrame:
     return found.join(comp, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
 
 
-def _gram_table(scratch: Scratch, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(node, grams) of the documents that can have a partner; one document stands for equal sets."""
-    need = scratch.keep(rows.filter("alive and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    text = docs.join(need, "doc_id").select("node", "text")
-    return scratch.keep(text.mapInArrow(_arrays_kernel(n), "node long, grams binary").dropDuplicates(["node"]))
-
-
 def _settle(scratch: Scratch, met: DataFrame, percent: int) -> DataFrame:
     """Links between members of one hub's group of which one at least does not link to the hub."""
     groups = met.groupBy("hub").agg(F.count("*").alias("n"), F.bool_and("linked").alias("done")).filter("n > 1 and not done").select("hub", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
