@@ -36,16 +36,18 @@ import tempfile
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Scratch, crc_fold, mix, prefix_hash, slices, span_hash, text_bytes, words
+from .common import LOWER, U64, Scratch, crc_fold, mix, pack_sorted, prefix_hash, slices, span_hash, text_bytes, unpack_sorted, words
 
-#: Bytes of text in a block; tokens with a meaning of their own.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text in a block.
+BLOCK_BYTES = 6 << 20
 #: Bytes of text that are packed at once on their way to the blocks.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
+#: Tokens with a meaning of their own.
 END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 
 
@@ -105,35 +107,32 @@ def _longer(h: np.ndarray, token: np.ndarray, level: int) -> np.ndarray:
         return mix(h * U64(0xD1342543DE82EF95) + token + U64(level))
 
 
-def distinct(grams: np.ndarray, level: int, order: int) -> np.ndarray:
-    """Sorted distinct keys of a block at a level; below the highest with the start history."""
-    return np.unique(grams if level == order else np.append(grams, padded(level)))
+class Coded:
+    """A block's n-grams of a level: its sorted distinct keys, and the place of each token's n-gram and history among them.
 
+    Below the highest level the start history is one of the keys.
+    """
 
-# ---------------------------------------------------------------- coding
+    def __init__(self, grams: np.ndarray, offsets: np.ndarray, level: int, order: int):
+        code, found = pd.factorize(grams if level == order else np.append(grams, padded(level)))
+        by = np.argsort(found)
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        self.keys, at = found[by], place[code]
+        self.at = at[: len(grams)]
+        if level < order:
+            self.before = np.empty_like(self.at)
+            self.before[1:] = self.at[:-1]
+            self.before[offsets[:-1]] = at[-1]
+
+    def first(self) -> np.ndarray:
+        """Where each key stands first in the text (for the start history: past its end)."""
+        out = np.full(len(self.keys), len(self.at))
+        out[self.at[::-1]] = np.arange(len(self.at))[::-1]
+        return out
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted fingerprints as 6-byte steps (8-byte ones if a step is longer)."""
-    if not len(keys):
-        return b""
-    steps = np.diff(keys, prepend=U64(0))
-    if len(keys) > 1 and steps[1:].max() >= U64(1 << 48):
-        return b"\x08" + keys.tobytes()
-    return b"\x06" + keys[:1].tobytes() + np.ascontiguousarray(steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpack_keys(raw: bytes) -> np.ndarray:
-    if not raw:
-        return np.zeros(0, U64)
-    if raw[0] == 8:
-        return np.frombuffer(raw[1:], U64)
-    n = (len(raw) - 9) // 6
-    steps = np.zeros((n + 1, 8), np.uint8)
-    steps[0] = np.frombuffer(raw, np.uint8, 8, 1)
-    steps[1:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 9).reshape(n, 6)
-    with np.errstate(over="ignore"):
-        return np.cumsum(steps.view(U64).ravel(), dtype=U64)
+# ---------------------------------------------------------------- coding
 
 
 def pack_counts(c: np.ndarray) -> bytes:
@@ -146,10 +145,16 @@ def pack_counts(c: np.ndarray) -> bytes:
     raise OverflowError
 
 
-def unpack_counts(raw: bytes, n: int) -> np.ndarray:
-    if not raw:
+def unpack_counts(raw, n: int) -> np.ndarray:
+    if raw is None or not len(raw):
         return np.zeros(n, np.int64)
-    return np.frombuffer(raw[1:], f"<u{raw[0]}").astype(np.int64)
+    raw = np.frombuffer(raw, np.uint8)
+    return raw[1:].view(f"<u{raw[0]}").astype(np.int64)
+
+
+def buffers(column) -> list:
+    """The bytes of a binary column's values, not copied."""
+    return [x.as_buffer() for x in column]
 
 
 def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -167,27 +172,27 @@ def _request(level, order, shards):
     """Block -> rows for the shards of a level."""
 
     def rows(block, token, offsets, train, answers):
-        grams = ngrams(token, offsets, order)
         learn = np.repeat(train, np.diff(offsets))
-        keys = distinct(grams[level - 1], level, order)
+        grams = ngrams(token, offsets, min(level + 1, order))
+        own = Coded(grams[level - 1], offsets, level, order)
+        keys = own.keys
         got = {f: np.zeros(len(keys), np.int64) for f in FIELDS}
         if level == 1:
-            got["raw"] = np.bincount(np.searchsorted(keys, token[learn]), minlength=len(keys))
+            got["raw"] = np.bincount(own.at[learn], minlength=len(keys))
         if level == order:
-            got["n"] = np.bincount(np.searchsorted(keys, grams[level - 1][learn]), minlength=len(keys))
+            got["n"] = np.bincount(own.at[learn], minlength=len(keys))
         else:
-            where = np.unique(grams[level] if level + 1 == order else np.append(grams[level], padded(level + 1)), return_index=True)[1]
             a = answers[level + 1]
-            own = a["own"]
-            count, where = a["n"][own], where[own]
-            suffix = np.searchsorted(keys, grams[level - 1][where])
-            context = np.searchsorted(keys, history(grams[level - 1], offsets[:-1], level)[where])
-            got["n"] = np.bincount(suffix, minlength=len(keys))
+            where = Coded(grams[level], offsets, level + 1, order).first()
+            some = a["own"] & (where < len(token))
+            count, where = a["n"][some], where[some]
+            got["n"] = np.bincount(own.at[where], minlength=len(keys))
+            context = own.before[where]
             for f, some in (("x1", count == 1), ("x2", count == 2), ("x3", count >= 3)):
                 got[f] = np.bincount(context[some], minlength=len(keys))
             got["xs"] = np.bincount(context, count, len(keys)).astype(np.int64)
         cut = _shards(keys, shards)
-        return [(block, k, pack_keys(keys[a:b]), *(pack_counts(got[f][a:b]) for f in FIELDS)) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+        return [(block, k, pack_sorted(keys[a:b]), *(pack_counts(got[f][a:b]) for f in FIELDS)) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
 
     return rows
 
@@ -198,14 +203,14 @@ ANSWER = "block int, shard int, size int, own binary, " + ", ".join(f"{f} binary
 
 def _answers(table: pa.Table, levels) -> dict[int, dict[str, np.ndarray]]:
     """The shards' answers of a block, put together in the order of its keys."""
-    by: dict[int, list] = {}
-    for r in table.select(["level", "shard", "size", "own", *FIELDS]).to_pylist():
-        by.setdefault(r["level"], []).append(r)
+    level, shard = (table.column(c).to_numpy() for c in ("level", "shard"))
+    size = table.column("size").to_pylist()
+    held = {f: buffers(table.column(f)) for f in ("own", *FIELDS)}
     out = {}
-    for level in levels:
-        rs = sorted(by.get(level, []), key=lambda r: r["shard"])
-        out[level] = {f: np.concatenate([unpack_counts(r[f], r["size"]) for r in rs] or [np.zeros(0, np.int64)]) for f in FIELDS}
-        out[level]["own"] = np.concatenate([np.unpackbits(np.frombuffer(r["own"], np.uint8), count=r["size"]).astype(bool) for r in rs] or [np.zeros(0, bool)])
+    for x in levels:
+        rows = [int(k) for k in np.argsort(shard, kind="stable") if level[k] == x]
+        out[x] = {f: np.concatenate([unpack_counts(held[f][k], size[k]) for k in rows] or [np.zeros(0, np.int64)]) for f in FIELDS}
+        out[x]["own"] = np.concatenate([np.unpackbits(np.frombuffer(held["own"][k], np.uint8), count=size[k]).astype(bool) for k in rows] or [np.zeros(0, bool)])
     return out
 
 
@@ -241,22 +246,22 @@ def _unpack(table: pa.Table) -> pa.Table:
     return pa.table({"block": block, "doc_id": pa.array([x for r in rows for x in r["ids"]], pa.int64()), "tag": pa.array([x for r in rows for x in r["tags"]], pa.string()), "train": pa.array(flags["train"]), "real": pa.array(flags["real"]), "text": texts})
 
 
-def _marked(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """The documents of a block, and which of them to learn from; rows without a document name trusted ids."""
+def _marked(table: pa.Table, trusted: bool) -> tuple[pa.Table, np.ndarray]:
+    """The documents of a block, and which of them to learn from; if only some are trusted, rows without a document name their ids."""
     table = _unpack(table)
     real, train = (np.array(table.column(c).to_pylist(), bool) for c in ("real", "train"))
-    if not real.all():
+    if trusted:
         ids = np.array([x if x is not None else -1 for x in table.column("doc_id").to_pylist()], np.int64)
         train = train & np.isin(ids, ids[~real])
         table = table.filter(pa.array(real))
     return table, train[real]
 
 
-def _first_kernel(level, order, shards, unit):
+def _first_kernel(level, order, shards, unit, trusted):
     make = _request(level, order, shards)
 
     def run(table: pa.Table) -> pa.Table:
-        docs, train = _marked(table)
+        docs, train = _marked(table, trusted)
         if not docs.num_rows:
             return _table([], REQUEST)
         token, offsets = tokens(docs.column("text"), unit)
@@ -266,11 +271,11 @@ def _first_kernel(level, order, shards, unit):
     return run
 
 
-def _next_kernel(level, order, shards, unit):
+def _next_kernel(level, order, shards, unit, trusted):
     make = _request(level, order, shards)
 
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
-        docs, train = _marked(docs)
+        docs, train = _marked(docs, trusted)
         if not docs.num_rows:
             return _table([], REQUEST)
         token, offsets = tokens(docs.column("text"), unit)
@@ -310,8 +315,8 @@ class HashArrays:
 
 def _shard_kernel(level, order):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        keys = [unpack_keys(r["keys"]) for r in rows]
+        table = table.combine_chunks().sort_by("block")
+        keys = [unpack_sorted(x) for x in buffers(table.column("keys"))]
         every = np.concatenate(keys)
         order_of = np.argsort(every, kind="stable")
         new = np.ones(len(every), bool)
@@ -320,7 +325,7 @@ def _shard_kernel(level, order):
         used = ("n", "raw") if level == order == 1 else ("n",) if level == order else FIELDS if level == 1 else FIELDS[:-1]
         totals, owner = {}, np.zeros(len(every), bool)
         for f in used:
-            c = np.concatenate([unpack_counts(r[f], len(k)) for r, k in zip(rows, keys, strict=True)])
+            c = np.concatenate([unpack_counts(x, len(k)) for x, k in zip(buffers(table.column(f)), keys, strict=True)])
             totals[f] = np.add.reduceat(c[order_of], first)
             if f == "n":  # the first block with a contribution answers for the key
                 place = np.where(c[order_of] > 0, np.arange(len(every)), len(every))
@@ -332,12 +337,12 @@ def _shard_kernel(level, order):
         raw = totals.get("raw", np.zeros(1, np.int64))
         sums += [int(raw.sum()), int((raw > 0).sum())]
         out, at = [], 0
-        for i, (r, k) in enumerate(zip(rows, keys, strict=True)):
+        for i, (block, shard, k) in enumerate(zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), keys, strict=True)):
             where = np.searchsorted(table_of.keys, k)
             answer = {f: pack_counts(np.asarray(table_of.totals[f][where])) if f in used else b"" for f in FIELDS}
             own = np.packbits(owner[at : at + len(k)]).tobytes()
             at += len(k)
-            out.append((r["block"], r["shard"], len(k), own, *(answer[f] for f in FIELDS), sums if i == 0 else None))
+            out.append((block, shard, len(k), own, *(answer[f] for f in FIELDS), sums if i == 0 else None))
         table_of.close()
         return _table(out, ANSWER)
 
@@ -359,13 +364,13 @@ def discounts(t: list[int]) -> list[float]:
     return out
 
 
-def _score_kernel(order, sums, unit):
+def _score_kernel(order, sums, unit, trusted):
     d = {level: discounts(s[:4]) for level, s in sums.items()}
     one = sums[1]
     total, kinds = one[6], one[7]
 
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
-        docs, train = _marked(docs)
+        docs, train = _marked(docs, trusted)
         if not docs.num_rows:
             return _table([], SCORED)
         token, offsets = tokens(docs.column("text"), unit)
@@ -375,9 +380,8 @@ def _score_kernel(order, sums, unit):
         raw = np.zeros(len(token), np.int64)
         context = None
         for level in range(1, order + 1):
-            keys = distinct(grams[level - 1], level, order)
-            at = np.searchsorted(keys, grams[level - 1])
-            a, cut = answers[level], np.array(d[level])
+            own = Coded(grams[level - 1], offsets, level, order)
+            at, a, cut = own.at, answers[level], np.array(d[level])
             n = a["n"][at]
             if level == 1:
                 raw = a["raw"][at]
@@ -390,8 +394,7 @@ def _score_kernel(order, sums, unit):
             safe = np.where(some, den, 1.0)
             p = np.where(some, (np.maximum(n - cut[np.minimum(n, 3)], 0) + rest * p) / safe, p)
             if level < order:
-                before = np.searchsorted(keys, history(grams[level - 1], offsets[:-1], level))
-                context = {f: a[f][before] for f in ("x1", "x2", "x3", "xs")}
+                context = {f: a[f][own.before] for f in ("x1", "x2", "x3", "xs")}
         base = np.log10((raw + 0.1) / (total + 0.1 * (kinds + 1)))
         first = offsets[:-1]
         sum_of = lambda x: np.add.reduceat(x, first)  # noqa: E731  every row has its end token
@@ -418,7 +421,7 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (none if tag is None else tag.cast("string")).alias("tag"), (yes if train is None else F.coalesce(train, yes)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"), yes.alias("real"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, shards = (max(1, math.ceil(size / n)) for n in (block_bytes, shard_bytes or block_bytes))
-    key = ["doc_id", "text"] if trusted is None else ["doc_id"]  # rows of one id can be apart unless ids are looked up
+    key = ["doc_id", F.when(F.col("doc_id").isNull(), F.col("text")) if trusted is not None else "text"]  # rows of one id stay together where ids are looked up
     if trusted is not None:
         ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
         base = base.union(ids.select("doc_id", none, F.lit(True), F.lit(""), F.lit(False)))
@@ -428,10 +431,10 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
     sums: dict[int, list[int]] = {}
     for level in range(order, 0, -1):
         if answers is None:
-            asked = base.groupBy("block").applyInArrow(_first_kernel(level, order, shards, unit), REQUEST)
+            asked = base.groupBy("block").applyInArrow(_first_kernel(level, order, shards, unit, trusted is not None), REQUEST)
         else:
             above = answers.filter(F.col("level") == level + 1)
-            asked = base.groupBy("block").cogroup(above.groupBy("block")).applyInArrow(_next_kernel(level, order, shards, unit), REQUEST)
+            asked = base.groupBy("block").cogroup(above.groupBy("block")).applyInArrow(_next_kernel(level, order, shards, unit, trusted is not None), REQUEST)
         asked = scratch.keep(asked)
         got = scratch.keep(asked.groupBy("shard").applyInArrow(_shard_kernel(level, order), ANSWER))
         scratch.drop(asked)
@@ -439,7 +442,7 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
         sums[level] = [{r.pos: r.n for r in parts}.get(k, 0) for k in range(8)]
         got = got.drop("totals").withColumn("level", F.lit(level))
         answers = got if answers is None else answers.union(got)
-    return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_kernel(order, sums, unit), SCORED)
+    return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_kernel(order, sums, unit, trusted is not None), SCORED)
 
 
 def score_documents(docs: DataFrame, *, folds: int = 10, held: int = 0, order: int = 2, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
