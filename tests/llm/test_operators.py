@@ -225,45 +225,55 @@ def test_embedding_dedup(spark, monkeypatch):
     assert got == sorted((i, count.get(i, 0), low[i], low[i] == i) for i, _, _ in rows)
 
 
+def plain_kneser_ney(seqs, learn, order):
+    """Log10 probabilities of the token lists seqs, learnt from those that learn marks; the training counts."""
+    from siftlake.llm.lm_scoring import discounts
+
+    c = [collections.Counter() for _ in range(order + 1)]
+    for t, train in zip(seqs, learn, strict=True):
+        if train:
+            h = ["<s>"] * (order - 1) + t
+            c[order].update(tuple(h[k : k + order]) for k in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        for g in c[k + 1]:
+            c[k][g[1:]] += 1
+    raw = collections.Counter(w for t, train in zip(seqs, learn, strict=True) if train for w in t)
+    cuts, context = [None], [None]
+    for k in range(1, order + 1):
+        m = collections.Counter(c[k].values())
+        cuts.append(discounts([m[1], m[2], m[3], m[4]]))
+        x = collections.defaultdict(lambda: [0, 0, 0, 0])
+        for g, v in c[k].items():
+            x[g[:-1]][min(v, 3) - 1] += 1
+            x[g[:-1]][3] += v
+        context.append(x)
+    out = []
+    for t in seqs:
+        h, score = ["<s>"] * (order - 1) + t, 0.0
+        for k in range(len(t)):
+            p = 1 / (len(raw) + 1)
+            for level in range(1, order + 1):
+                g = tuple(h[k + order - level : k + order])
+                if x := context[level].get(g[:-1]):
+                    v, d = c[level][g], cuts[level]
+                    p = (max(v - d[min(v, 3)], 0) + (d[1] * x[0] + d[2] * x[1] + d[3] * x[2]) * p) / x[3]
+            score += math.log10(p)
+        out.append(score)
+    return out, raw
+
+
 def test_language_model(spark):
-    from siftlake.llm.lm_scoring import discounts, score_documents
+    from siftlake.llm.lm_scoring import score_documents
 
     rnd = random.Random(6)
     rows = [(k, " ".join(rnd.choice("the a Of to in x y z u v w q".split()) for _ in range(rnd.randrange(0, 60))), "en") for k in range(80)] + [(900, None, None), (901, "", None), (902, "unseen", None), (3, "the the", "en")]
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in rows}
-    seqs = [(i, (t or "").lower().split() + ["</s>"]) for i, t, _ in rows]
+    seqs = [(t or "").lower().split() + ["</s>"] for _, t, _ in rows]
     for order in (1, 2, 3):
-        c = [collections.Counter() for _ in range(order + 1)]
-        for i, t in seqs:
-            if not held[i]:
-                h = ["<s>"] * (order - 1) + t
-                c[order].update(tuple(h[k : k + order]) for k in range(len(t)))
-        for k in range(order - 1, 0, -1):
-            for g in c[k + 1]:
-                c[k][g[1:]] += 1
-        raw = collections.Counter(w for i, t in seqs if not held[i] for w in t)
-        total, kinds = sum(raw.values()), len(raw)
-        cuts, context = [None], [None]
-        for k in range(1, order + 1):
-            m = collections.Counter(c[k].values())
-            cuts.append(discounts([m[1], m[2], m[3], m[4]]))
-            x = collections.defaultdict(lambda: [0, 0, 0, 0])
-            for g, v in c[k].items():
-                x[g[:-1]][min(v, 3) - 1] += 1
-                x[g[:-1]][3] += v
-            context.append(x)
-        want = collections.Counter()
-        for i, t in seqs:
-            h, score = ["<s>"] * (order - 1) + t, 0.0
-            for k in range(len(t)):
-                p = 1 / (kinds + 1)
-                for level in range(1, order + 1):
-                    g = tuple(h[k + order - level : k + order])
-                    if x := context[level].get(g[:-1]):
-                        v, d = c[level][g], cuts[level]
-                        p = (max(v - d[min(v, 3)], 0) + (d[1] * x[0] + d[2] * x[1] + d[3] * x[2]) * p) / x[3]
-                score += math.log10(p)
-            base = sum(math.log10((raw[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t)
+        scores, raw = plain_kneser_ney(seqs, [not held[i] for i, _, _ in rows], order)
+        total, want = sum(raw.values()), collections.Counter()
+        for (i, _, _), t, score in zip(rows, seqs, scores, strict=True):
+            base = sum(math.log10((raw[w] + 0.1) / (total + 0.1 * (len(raw) + 1))) for w in t)
             want[(i, held[i], len(t), sum(raw[w] > 0 for w in t), total, round(base, 6), round(score, 6))] += 1
         got = score_documents(table(spark, rows), order=order, block_bytes=2000).collect()
         assert collections.Counter((*list(r)[:5], round(r.base_score, 6), round(r.score, 6)) for r in got) == want
@@ -276,11 +286,24 @@ def test_quality(spark):
     rnd = random.Random(7)
     rows = [(k, " ".join(rnd.choice("some plain words of good text here".split()) for _ in range(30)) if k % 5 else "".join(rnd.choice("#$%@!?*~") for _ in range(90)), "en") for k in range(60)] + [(99, None, None), (None, "plain", "en")]
     trusted = spark.createDataFrame([(k,) for k in range(60) if k % 5 and k % 2], "doc_id long")
-    got = quality(table(spark, rows), trusted).collect()
-    assert len(got) == len(rows)
-    by = {r.doc_id: r for r in got}
-    assert not any(by[k].kept for k in range(0, 60, 5)) and sum(by[k].kept for k in range(60) if k % 5) > 30
-    assert all(r.trusted == (r.doc_id is not None and r.doc_id < 60 and r.doc_id % 5 > 0 and r.doc_id % 2 == 1) for r in got)
+    rows = [(i, t, "en" if k % 3 else "fr") for k, (i, t, _) in enumerate(rows)] + [(7, "one more text of id seven", "en"), (70, "ohne Freunde", None), (71, "ohne", None)]
+    got = quality(table(spark, rows), trusted, order=4, block_bytes=500).collect()
+    good = {k for k in range(60) if k % 5 and k % 2}
+    learn = [i in good and zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows]
+    scores, _ = plain_kneser_ney([[*(t or ""), "</s>"] for _, t, _ in rows], learn, 4)
+    seen = [(i, lang, i in good, len(t or ""), round(10 ** (-s / (len(t or "") + 1)), 3), not train) for (i, t, lang), s, train in zip(rows, scores, learn, strict=True)]
+    limit = {}
+    for lang in ("en", "fr", None):
+        own = [r for r in seen if r[1] == lang]
+        of = [r[4] for r in own if r[2] and r[5]] or [r[4] for r in own if r[2]] or [r[4] for r in own]
+        limit[lang] = sorted(of)[math.ceil(0.95 * len(of)) - 1]
+    want = collections.Counter((*r[:4], r[4], limit[r[1]], r[4] <= limit[r[1]]) for r in seen)
+    have = collections.Counter(tuple(r) for r in got)
+    assert not (have - want or want - have), (list(have - want)[:3], list(want - have)[:3])
+    assert not any(r.kept for r in got if r.doc_id in range(0, 60, 5)) and sum(r.kept for r in got if r.doc_id in good) > 15
+    none = spark.createDataFrame([], "doc_id long")
+    assert all(r.perplexity == 1 and r.kept for r in quality(table(spark, rows), none).collect())
+    assert quality(table(spark, []), trusted).count() == 0
 
 
 def test_toxicity(spark):
