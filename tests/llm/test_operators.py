@@ -96,7 +96,8 @@ def test_ngram_join_of_an_id_with_two_texts(spark):
     assert {r.doc_id: r.component_id for r in ngram_join(table(spark, rows), n=3, percent=90).collect()} == want
 
 
-def test_suffix_dedup(spark):
+def test_suffix_dedup(spark, monkeypatch):
+    from siftlake.llm import suffix_dedup as module
     from siftlake.llm.suffix_dedup import remove_repeats, suffix_dedup
 
     rnd = random.Random(2)
@@ -120,6 +121,35 @@ def test_suffix_dedup(spark):
     cut = remove_repeats(table(spark, rows), span=span)
     assert cut.columns == [c.split()[0] for c in DOCS.split(", ")] and cut.count() == len(rows)
     assert suffix_dedup(table(spark, []), span=span).count() == 0
+    monkeypatch.setattr(module, "BUCKET", 1)  # by fingerprints
+    assert collections.Counter(tuple(r) for r in suffix_dedup(table(spark, rows), span=span).collect()) == want
+
+
+def test_remove_repeats_keeps_columns_of_any_name(spark):
+    from siftlake.llm.suffix_dedup import remove_repeats
+
+    rnd = random.Random(3)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(90))
+    rows = [(k, k + 5, f"only {k} " * 3 + passage, [k, None], f"p{k}") for k in range(3)] + [(7, None, None, None, None), (8, 1, "", [], "")]
+    docs = spark.createDataFrame(rows, "t long, spans int, text string, trigger array<long>, block string")
+    out = remove_repeats(docs, span=60)
+    assert out.schema == docs.schema
+    assert sorted(((r.t, r.spans, r.trigger, r.block) for r in out.collect()), key=str) == sorted(((a, b, d, e) for a, b, _, d, e in rows), key=str)
+    text = {r.t: r.text for r in out.collect()}
+    assert all(text[k] is not None and passage not in text[k] and text[k].startswith(f"only {k} ") for k in range(3)) and text[7] is None and text[8] == ""
+    assert remove_repeats(docs.filter("t > 100"), span=60).count() == 0
+
+
+def test_a_long_text_is_parsed_in_parts(monkeypatch):
+    from siftlake.llm import suffix_dedup as module
+
+    data = np.random.default_rng(5).integers(97, 123, 30_000).astype(np.uint8)
+    at = np.array([0, len(data)])
+    whole = module.parse(data, at, 40)
+    monkeypatch.setattr(module, "SLICE_BYTES", 1000)
+    parts = module.parse(data, at, 40)
+    windows = lambda x: sorted((s, int(t), int(k)) for s0, s1, t, k in zip(*x[1:5], strict=True) for s in range(s0, s1 + 1))
+    assert windows(whole) == windows(parts) and len(windows(parts)) == len(data) - 39
 
 
 def test_packing(spark):
