@@ -9,10 +9,11 @@ merged into full ones; fewer than ``size`` tokens are left, cut at powers of
 two, which need no padding.  No shuffle is needed: a lost task repeats from
 its input and gives the same windows again.
 
-Token ids are those of the tokenizer file (byte-level BPE).  Texts are cut
-before each space that precedes a solid character, where no token can cross,
-and the ids of the distinct parts are cached; parts that are not in the cache
-are encoded with the same vocabulary and merge ranks.
+Token ids are those of the tokenizer file (byte-level BPE); its special tokens,
+where a text spells one out, are that one id, as the library has it.  Texts are
+cut before each space that precedes a solid character, where no token can
+cross, and the ids of the distinct parts are cached; parts that are not in the
+cache are encoded with the same vocabulary and merge ranks.
 
 Defined results: null or empty text is the end id alone; rows that repeat a
 doc_id are packed one by one; a null doc_id is kept; extra columns are ignored.
@@ -21,6 +22,7 @@ doc_id are packed one by one; a null doc_id is kept; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -42,14 +44,15 @@ SOLID[[0xE1, 0xE2, 0xE3]] = False
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to id, from a byte-level BPE file in JSON; ids are merge ranks there."""
+def byte_ranks(path: str) -> tuple[dict[bytes, int], dict[bytes, int]]:
+    """Token bytes to id, from a byte-level BPE file in JSON (ids are merge ranks there), and the special tokens."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
     odd = [b for b in range(256) if b not in set(_PLAIN)]
     of = {chr(b): b for b in _PLAIN} | {chr(256 + k): b for k, b in enumerate(odd)}
-    special = {x for x in model["vocab"] if not all(c in of for c in x) or x == "<|endoftext|>"}
-    return {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    special = {x["content"]: x["id"] for x in whole.get("added_tokens", []) if x["special"]}
+    vocabulary = whole["model"]["vocab"]
+    return {bytes(of[c] for c in t): i for t, i in vocabulary.items() if t not in special and all(c in of for c in t)}, {t.encode(): i for t, i in special.items()}
 
 
 class PartCache:
@@ -120,18 +123,19 @@ class Encoder(PartCache):
     def __init__(self, path: str):
         import tiktoken
 
-        ranks = byte_ranks(path)
+        ranks, self.special = byte_ranks(path)
+        self.find_special = re.compile(b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) or b"(?!)")
         self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.width[i] = len(token)
         self.clear()
 
-    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the parts of data, back to back, and how many each has."""
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts of data, back to back, and how many each has; parts that stand apart are encoded alone."""
         raw = data.tobytes()
         parts = [raw[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
-        inner = np.array([x[:1] == b" " for x in parts], bool)
+        inner = np.array([x[:1] == b" " for x in parts], bool) & ~apart
         ids = [None] * len(parts)
         joined = b"".join(x for x, k in zip(parts, inner, strict=True) if k)
         if joined:
@@ -141,7 +145,7 @@ class Encoder(PartCache):
             for k, i, j in zip(np.flatnonzero(inner).tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 ids[k] = got[i:j]
         for k in np.flatnonzero(~inner).tolist():
-            ids[k] = np.array(self.plain.encode_ordinary(parts[k].decode()), "<u4")
+            ids[k] = np.array([self.special[parts[k]]] if parts[k] in self.special else self.plain.encode_ordinary(parts[k].decode()), "<u4")
         return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,11 +158,25 @@ class Encoder(PartCache):
         cut[inside] = True
         last = offsets[1:][np.diff(offsets) > 0] - 1  # the next byte is another row's
         cut[last[~np.isin(last, inside)]] = False
+        apart = np.zeros(len(data), bool)
+        for row, spans in self.specials(data, offsets):  # such a row is cut there and nowhere else
+            lo, hi = int(offsets[row]), int(offsets[row + 1])
+            cut[lo:hi], apart[lo:hi] = False, True
+            cut[[lo, *(x for i, j in spans for x in (i, j) if x < hi)]] = True
         start = np.flatnonzero(cut)
         if not len(start):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
-        return self.gather(span_hash(prefix_hash(data), start, end), start, end, data, offsets)
+        return self.gather(span_hash(prefix_hash(data), start, end), start, end, data, offsets, apart=apart[start])
+
+    def specials(self, data: np.ndarray, offsets: np.ndarray):
+        """(row, spans) of the rows that spell a special token out."""
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for m in self.find_special.finditer(data.tobytes()):
+            row = int(np.searchsorted(offsets, m.start(), "right")) - 1
+            if m.end() <= offsets[row + 1]:
+                spans.setdefault(row, []).append(m.span())
+        return spans.items()
 
 
 class Windows:
