@@ -1,12 +1,18 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-The vocabulary file gives pieces with log scores.  Text gets a leading
-whitespace marker, spaces become markers; the best segmentation is the one of
+A unigram vocabulary file gives pieces with log scores, which are taken as they
+are.  A BPE file gives pieces in the order of their merges and no scores (its
+"scores" are negated ranks); as merges are made in falling order of frequency, a
+piece of rank r gets the log of Zipf's law, -log(r + 1) - log(sum of 1 / (r + 1)),
+so that sums of scores are log-likelihoods of segmentations.  Nothing is trained.
+
+Text gets a leading whitespace marker, spaces become markers; the best segmentation is the one of
 the highest sum of scores, found by Viterbi over the pieces that the trie
 matches at each character.  A character that no piece covers costs the least
 score less 10 and is written as byte pieces (or as the unknown piece if the
 vocabulary has none).  Ties go to the segmentation whose last piece starts
-first, as in the published implementation.
+first, as in the published implementation; that one adds scores up in single
+precision from the start of the whole text, which may decide a tie otherwise.
 
 A marker begins a part of the text unless another marker stands before it; if
 no piece holds a marker after another character, no piece crosses a part, so
@@ -91,18 +97,33 @@ class DoubleArray:
         return np.where(self.check[to] == state, to, -1)
 
 
+def zipf(score: np.ndarray) -> np.ndarray:
+    """Log probabilities by Zipf's law of pieces with negated merge ranks; ranks past 10**8 mark pieces that merges never make."""
+    rank = -score.astype(np.float64)
+    made = rank < 1e8
+    out = -np.log(np.where(made, rank, rank[made].max(initial=0) * 1e6) + 1)
+    return (out - np.log(np.exp(out[made]).sum())).astype(np.float32)
+
+
 class Pieces:
-    """A vocabulary: pieces, scores, byte pieces and the trie."""
+    """A vocabulary: pieces, log scores, byte pieces and the trie."""
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
+        with open(path, "rb") as f:
+            kind = sentencepiece_model_pb2.ModelProto.FromString(f.read()).trainer_spec.model_type
+        if kind not in (1, 2):
+            raise ValueError("the vocabulary must be a unigram or a BPE one")
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         text = [sp.id_to_piece(i) for i in range(n)]
         self.unknown = sp.unk_id()
-        self.score = np.array([sp.get_score(i) for i in range(n)])
+        self.score = np.array([sp.get_score(i) for i in range(n)], np.float32)
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        if kind == 2:
+            self.score[plain] = zipf(self.score[plain])
         self.bytes_of = [b""] * n
         for i in plain:
             self.bytes_of[i] = text[i].encode()
@@ -113,6 +134,7 @@ class Pieces:
                 self.byte_id[b] = i
                 self.bytes_of[i] = bytes([b])
         self.fallback = bool((self.byte_id >= 0).all())
+        self.score = self.score.astype(np.float64)
         self.least = float(self.score[plain].min()) - 10 if plain else -10.0
         self.trie = DoubleArray({self.bytes_of[i]: i for i in plain})
         self.longest = max((len(self.bytes_of[i]) for i in plain), default=1)

@@ -160,11 +160,10 @@ def test_packing(spark):
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     rnd = random.Random(3)
-    odd = ["", None, " ", "  a  b ", "\n a\n\n b", "it's <|endoftext|> x  y　z \x1c a", "a" * 3000, "x " * 5000, "é ñ « 日本"]
+    odd = ["", None, " ", "  a  b ", "\n a\n\n b", "it's <|endoftext|> x  y　z \x1c a", "<|endoftext|><|endoftext|>  <|endoftext|>  a  <|endoftext|> ", "  <|endoftext", "a <|endoftext|>", "a" * 3000, "x " * 5000, "é ñ « 日本"]
     rows = [(k, " ".join(rnd.choice(["alpha", "beta,", "Gamma", "12", "!!"]) for _ in range(rnd.randrange(1, 900))), "en") for k in range(60)] + [(100 + k, t, None) for k, t in enumerate(odd)]
     got = pack(table(spark, rows).repartition(3), path).collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x, _ in rows}
     sequences = collections.defaultdict(list)
     for i, pieces in collections.defaultdict(list, {i: sorted((r for r in got if r.doc_id == i), key=lambda r: r.start) for i in ids}).items():
@@ -184,8 +183,10 @@ def test_packing(spark):
     assert pack(table(spark, []), path).count() == 0
 
 
-def test_sentence_pieces(spark):
+def test_sentence_pieces(spark, tmp_path):
     import public_tokenizers
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
     from siftlake.llm.sentence_pieces import Pieces, decode_ids, encode_documents, encode_ids
 
@@ -209,6 +210,21 @@ def test_sentence_pieces(spark):
     got = {r.doc_id: r.ids for r in encode_ids(table(spark, rows), path).collect()}
     for k, t in enumerate(texts):
         assert got[k] == best(t or "")[1]
+    assert [p.bytes_of[i].decode() for i in got[0]][:2] == ["▁Hello", "▁world"]
+    # the library with the same pieces and scores as a unigram model
+    proto = sentencepiece_model_pb2.ModelProto.FromString(open(path, "rb").read())
+    proto.trainer_spec.model_type = 1
+    for i, piece in enumerate(proto.pieces):
+        if piece.type == 1:
+            piece.score = float(p.score[i])
+    (tmp_path / "unigram.model").write_bytes(proto.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    more = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = [(k, t, "en") for k, t in enumerate(texts + more)]
+    own, same = ({r.doc_id: r.ids for r in encode_ids(table(spark, rows), x).collect()} for x in (path, str(tmp_path / "unigram.model")))
+    assert own == same
+    odd = [(own[k], other) for k, t, _ in rows if own[k] != (other := library.encode(t or ""))]
+    assert len(odd) < len(rows) / 10 and all(math.isclose(p.score[a].sum(), p.score[b].sum(), rel_tol=1e-12) for a, b in odd)  # ties
     assert {r.doc_id: r.text for r in decode_ids(encode_ids(table(spark, rows), path), path).collect()} == {i: t or "" for i, t, _ in rows}
     out = encode_documents(table(spark, rows), path).collect()
     assert len(out) == len(rows) and all(r.restored for r in out)
