@@ -36,15 +36,20 @@ def reject_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their word 5-grams (Jaccard 0.8 or more) the one with the smallest id stays; so do rows without an id."""
+    """Of documents linked by their word 5-grams (Jaccard 0.8 or more) the one with the smallest id stays.
+
+    Rows without an id stay; of rows that repeat an id, which are one document,
+    the least by all columns does.
+    """
     with stage_scratch(spark):
-        kept = ngram_join(docs, n=5, percent=80).filter("doc_id = component_id").select("doc_id").distinct()
-        named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return named.union(docs.filter("doc_id is null")).select(*docs.columns)
+        kept = ngram_join(docs, n=5, percent=80).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
+        named = docs.join(kept, F.col("doc_id") == F.col("__id"))
+        several = named.filter("__rows > 1").groupBy("__id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+        return named.filter("__rows = 1").select(*docs.columns).union(several).union(docs.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every 200-byte string that occurs more than once is cut out wherever it stands; n_chars follows."""
+    """Every 200-byte string that occurs more than once is cut out wherever it stands; n_chars follows (null text stays null)."""
     with stage_scratch(spark):
         out = remove_repeats(docs, span=200)
         return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
