@@ -51,3 +51,13 @@ def test_near_copies_by_five_words(spark, tmp_path):
         far[k] = "changed"
     docs = spark.createDataFrame([(k, " ".join(w), "en", "s", 0) for k, w in enumerate((base, near, far))], SCHEMA)
     assert sorted(r.doc_id for r in P.one_of_each_group(spark, docs, str(tmp_path)).collect()) == [0, 2]
+
+
+def test_rows_of_one_id_and_empty_tables(spark, tmp_path):
+    rows = [(5, "b one text", "en", "s", 1), (5, "a another one", "en", "s", 2), (None, "a another one", "en", "s", 3), (7, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, P.one_of_each_group(spark, docs, str(tmp_path)).collect()), key=str) == sorted(rows[1:], key=str)
+    none = docs.limit(0)
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
