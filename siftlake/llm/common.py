@@ -236,24 +236,39 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
-    """Sorted unsigned numbers as steps of as few bytes as the longest step takes."""
+    """Sorted unsigned numbers as steps of few bytes; the few steps that are longer are listed apart."""
     if not len(x):
         return b""
     steps = np.diff(x).astype("<u8")
-    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + x[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    cost = [len(steps) * w + 12 * int(np.count_nonzero(steps >> U64(8 * w))) if w < 8 else len(steps) * 8 for w in range(1, 9)]
+    width = 1 + int(np.argmin(cost))
+    long = np.flatnonzero(steps >> U64(8 * width)) if width < 8 else np.zeros(0, np.int64)
+    low = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width]) + len(long).to_bytes(4, "little") + x[:1].astype("<u8").tobytes() + long.astype("<u4").tobytes() + steps[long].tobytes() + low
 
 
 def unpack_sorted(raw) -> np.ndarray:
     if not len(raw):
         return np.zeros(0, U64)
     raw = np.frombuffer(raw, np.uint8)
-    width = int(raw[0])
-    n = (len(raw) - 9) // width
-    steps = np.zeros((n + 1, 8), np.uint8)
-    steps[0] = raw[1:9]
-    steps[1:, :width] = raw[9:].reshape(n, width)
-    return np.cumsum(steps.view(U64).ravel(), dtype=U64)
+    width, some = int(raw[0]), int(raw[1:5].view("<u4")[0])
+    at = 13 + 12 * some
+    steps = np.zeros(((len(raw) - at) // width + 1, 8), np.uint8)
+    steps[1:, :width] = raw[at:].reshape(-1, width)
+    steps = steps.view(U64).ravel()
+    steps[0] = raw[5:13].copy().view(U64)[0]
+    steps[raw[13 : 13 + 4 * some].copy().view("<u4").astype(np.int64) + 1] = raw[13 + 4 * some : at].copy().view(U64)
+    return np.cumsum(steps, dtype=U64)
+
+
+def squeeze(data: bytes, level: int = 3) -> bytes:
+    """zstd; nothing for nothing."""
+    return pa.Codec("zstd", compression_level=level).compress(data, asbytes=True) if len(data) else b""
+
+
+def scattered(number: int, n: int) -> int:
+    """One of 0..n-1, evenly for numbers of any pattern."""
+    return int(mix(np.array([number], U64))[0]) % n
 
 
 def i64(x: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Scratch, crc_fold, mix, pack_sorted, prefix_hash, slices, span_hash, text_bytes, unpack_sorted, words
+from .common import LOWER, U64, Scratch, crc_fold, mix, pack_sorted, prefix_hash, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 6 << 20
@@ -230,7 +230,7 @@ def _pack_kernel(batches):
                 at = lo + np.flatnonzero(block[lo:hi] == k)
                 text = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in at.tolist())
                 take = pa.array(at)
-                out.append((k, b.column("doc_id").take(take).to_pylist(), b.column("tag").take(take).to_pylist(), train[at].tobytes(), real[at].tobytes(), np.diff(offsets)[at].tolist(), len(text), pa.compress(text, "zstd", asbytes=True) if text else b""))
+                out.append((k, b.column("doc_id").take(take).to_pylist(), b.column("tag").take(take).to_pylist(), train[at].tobytes(), real[at].tobytes(), np.diff(offsets)[at].tolist(), len(text), squeeze(text, 6)))
             kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -435,9 +435,7 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
         else:
             above = answers.filter(F.col("level") == level + 1)
             asked = base.groupBy("block").cogroup(above.groupBy("block")).applyInArrow(_next_kernel(level, order, shards, unit, trusted is not None), REQUEST)
-        asked = scratch.keep(asked)
         got = scratch.keep(asked.groupBy("shard").applyInArrow(_shard_kernel(level, order), ANSWER))
-        scratch.drop(asked)
         parts = got.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
         sums[level] = [{r.pos: r.n for r in parts}.get(k, 0) for k in range(8)]
         got = got.drop("totals").withColumn("level", F.lit(level))

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Scratch, components, i64, mix, pack_sorted, prefix_hash, slices, span_hash, text_bytes, unpack_sorted, words
+from .common import LOWER, U64, Scratch, components, i64, mix, pack_sorted, prefix_hash, scattered, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
 
 #: Fragment schemes; the second and third serve documents with an empty fragment.
 SCHEMES = 3
@@ -200,9 +200,9 @@ def _request(block: int, held: list, fragments: int, bits: int) -> pa.Table:
     own = np.bincount(doc[np.repeat(several, np.diff(np.append(at, len(key))))], minlength=len(size))
     key, doc = key[at], np.where(several, SEVERAL, doc[at]).astype("<u2")
     cut = np.concatenate(([0], np.searchsorted(key, np.array([-(-(f << bits) // fragments) for f in range(1, fragments)], U64)), [len(key)]))
-    out = []
+    out, names_in = [], scattered(block, fragments)
     for f, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-        names = (ids, size.astype("<i4").tobytes(), node.tobytes(), own.astype("<i4").tobytes(), length.astype("<i4").tobytes(), pa.compress(text.tobytes(), "zstd", asbytes=True) if len(text) else b"") if f == block % fragments else (None,) * 6
+        names = (ids, size.astype("<i4").tobytes(), node.tobytes(), own.astype("<i4").tobytes(), length.astype("<i4").tobytes(), squeeze(text.tobytes())) if f == names_in else (None,) * 6
         if i < j or names[0] is not None:
             out.append((f, block, pack_sorted(key[i:j]), doc[i:j].tobytes(), *names))
     return _table(list(zip(*out, strict=True)), REQUEST)

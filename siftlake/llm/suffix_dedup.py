@@ -42,11 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, Scratch, i64, mix, pack_sorted, prefix_hash, slices, span_hash, text_bytes, unpack_sorted
+from .common import SLICE_BYTES, U64, Scratch, i64, mix, pack_sorted, prefix_hash, scattered, slices, span_hash, squeeze, text_bytes, unpack_sorted
 
 _PLACE = U64((1 << 28) - 1)
 #: Bytes and rows of text in a block; bytes of text whose triggers a fragment of their order holds.
-BLOCK_BYTES, BLOCK_ROWS, FRAGMENT_BYTES = 8 << 20, 100_000, 64 << 20
+BLOCK_BYTES, BLOCK_ROWS, FRAGMENT_BYTES = 8 << 20, 100_000, 24 << 20
 #: Phrases of a trigger gram that one suffix array holds; suffixes sorted at once, about.
 BUCKET, SORTED = 1024, 100_000
 REQUEST = "fragment int, block long, keys binary, several binary, carry binary, lengths binary, texts binary"
@@ -162,9 +162,10 @@ def _request_kernel(span, fragments, bits):
             keys, count = np.unique(parse(data, offsets, span)[4] >> U64(64 - bits), return_counts=True)
             cut = np.concatenate(([0], np.searchsorted(keys, np.array([-(-(f << bits) // fragments) for f in range(1, fragments)], U64)), [len(keys)])).tolist()
             out = []
+            names_in = scattered(block, fragments)
             for f in range(fragments):
                 i, j = cut[f], cut[f + 1]
-                own = (_ipc(rows.drop_columns(rows.column_names[0])), length.astype("<i4").tobytes(), pa.compress(data.tobytes(), "zstd", asbytes=True) if len(data) else b"") if f == block % fragments else (None,) * 3
+                own = (_ipc(rows.drop_columns(rows.column_names[0])), length.astype("<i4").tobytes(), squeeze(data.tobytes())) if f == names_in else (None,) * 3
                 if i < j or own[0] is not None:
                     out.append((f, block, pack_sorted(keys[i:j]), np.packbits(count[i:j] > 1).tobytes(), *own))
             yield from _table(zip(*out, strict=True), REQUEST).to_batches()

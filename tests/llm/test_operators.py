@@ -442,6 +442,15 @@ def test_components(spark):
     assert {k: got.get(k, k) for k in low} == low
 
 
+def test_sorted_numbers_survive_packing():
+    from siftlake.llm.common import pack_sorted, unpack_sorted
+
+    rnd = np.random.default_rng(3)
+    for x in ([], [7], [5, 5, 6], [0, 1 << 63, (1 << 64) - 1], np.sort(rnd.integers(0, 1 << 40, 5000)), np.append(np.arange(3000), [1 << 30, 1 << 60])):
+        x = np.array(x, np.uint64)
+        assert (unpack_sorted(pack_sorted(x)) == x).all()
+
+
 def test_kernels_agree_on_slices():
     from siftlake.llm.common import text_bytes
     from siftlake.llm.ngram_join import shingle_sets
