@@ -42,7 +42,7 @@ def op5_toxicity(spark, sf_dir):
 
 
 def op6_lm_scoring(spark, sf_dir):
-    return score_documents(read_table(spark, sf_dir, "documents"), order=2)
+    return score_documents(read_table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_ngram_join(spark, sf_dir):
