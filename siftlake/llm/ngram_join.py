@@ -4,30 +4,30 @@ Every document is the set of its distinct word n-grams.  The global n-gram
 order (the order of their 64-bit fingerprints) is cut into vertical fragments.
 
 1. Partial overlaps.  Blocks of documents send each fragment their n-grams in
-   it, packed, n-grams that a block holds more than once only once.  A fragment
-   counts for every document how many of its n-grams another document has too;
-   the partial counts are summed per document.  They bound the overlap with any
-   partner from above, so a document whose sum is below the threshold of its own
-   size links with nothing.  (Fragments see fingerprints cut to a few bits more
-   than tell the corpus' n-grams apart: a sum can only come out too high.)  A
-   block's texts travel with its requests, compressed, so that they are read once
-   and meet their sums again.
-2. Candidates, among what is left.  Two sets of sizes a <= b with
-   100 * intersection >= t * union differ in at most
-   d = (a + b) * (100 - t) / (100 + t) n-grams, and each of these touches one
-   fragment of a finer cut; so with F = d + 1 fragments one at least is equal in
-   both.  Sizes are put in classes so that linked documents share F: a document
-   emits the fingerprints of its fragments for its own class and the class below.
-   Documents that share one are paired with its smallest member only (the hub),
-   so that a group of copies gives as many rows as it has members.
+   it, packed, each n-gram once.  A fragment counts how many documents hold each;
+   a block sums up over the fragments how many n-grams of a document another
+   document holds too.  That sum bounds the overlap with any partner from above,
+   so a document whose sum is below the threshold of its own size links with
+   nothing.  (Fragments see fingerprints cut to a few bits more than tell the
+   corpus' n-grams apart: a sum can only come out too high.)  A block's texts
+   travel with its requests, compressed, so that they are read once and meet
+   their sums again.
+2. Candidates, among what is left.  With |x and y| >= t * max(|x|, |y|), two
+   linked sets share one of the |x| - ceil(t * |x|) + 1 n-grams of each that come
+   first in any global order; the order is from rare to common, so most of these
+   are held by one document only and need not be looked up.  Documents that share
+   one are paired with its smallest member only (the hub), so that a group of
+   copies gives as many rows as it has members.
 3. Pairs.  The overlaps of a pair are counted range by range of the order and
    summed; what the two do not share (the difference) is kept.
-4. Two documents of one fragment both have its hub.  If both link to the hub they
+4. Two documents of one n-gram both have its hub.  If both link to the hub they
    are connected; all other pairs of a hub's group are settled from the
    differences alone: |x - y| = |dx| + |dy| - 2 * |dx and dy|, with the shared
-   differences counted through an inverted list inside the group.  Large groups
-   are cut into tiles of a bounded number of members; only links are returned,
-   as a spanning forest of each pair of tiles.
+   differences counted through an inverted list inside the group.  (A member too
+   far from the hub to link with any that does link to it, by the triangle
+   inequality, meets the other such members only.)  Large groups are cut into
+   tiles of a bounded number of members; only links are returned, as a spanning
+   forest of each pair of tiles.
 
 Equal sets are one node throughout.  The result is exact up to collisions of
 64-bit fingerprints; no posting list, candidate or partner is capped.
@@ -48,17 +48,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, Scratch, components, i64, mix, pack_sorted, prefix_hash, scattered, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
 
-#: Fragment schemes; the second and third serve documents with an empty fragment.
-SCHEMES = 3
 #: Members of a hub's group that one tile compares with as many others.
 TILE = 2048
 #: Bytes and rows of text in a block of requests; bytes of text whose n-grams a vertical fragment of the order holds.
 BLOCK_BYTES, BLOCK_ROWS, FRAGMENT_BYTES = 8 << 20, 60_000, 12 << 20
-#: Stands for a document where a block has an n-gram more than once.
-SEVERAL = 0xFFFF
-REQUEST = "fragment int, block long, keys binary, docs binary, ids array<long>, sizes binary, nodes binary, own binary, lengths binary, texts binary"
-REPLY = "block long, counts binary, ids array<long>, sizes binary, nodes binary, own binary, lengths binary, texts binary"
-ROWS = "doc_id long, n_shingles long, node long, grams binary"
+REQUEST = "fragment int, block long, keys binary, counts binary, ids array<long>, lengths binary, texts binary"
+REPLY = "fragment int, block long, n int, ranks binary, ids array<long>, lengths binary, texts binary"
+ROWS = "doc_id long, n_shingles long, node long, grams binary, first binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,68 +106,6 @@ def set_hash(s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return mix(_segments(mix(s), offsets) + np.diff(offsets).astype(U64) * U64(0xA0761D6478BD642F))
 
 
-def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lower bounds of the size classes, fragments F of each class)."""
-    low, parts = [1], []
-    while True:
-        up = low[-1] * 100 // percent
-        parts.append((up + up * 100 // percent) * (100 - percent) // (100 + percent) + 1)
-        if up >= most:
-            return np.array(low), np.array(parts)
-        low.append(up + 1)
-
-
-def _fragments(s, offsets, parts, cls, scheme):
-    """(row, fingerprint) of the fragments of rows, and the rows with an empty one."""
-    n = np.diff(offsets)
-    f = ((s >> U64(32)) * np.repeat(parts, n).astype(U64)) >> U64(32)
-    row = np.repeat(np.arange(len(n)), n)
-    new = np.ones(len(s), bool)
-    new[1:] = (f[1:] != f[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(new)
-    with np.errstate(over="ignore"):
-        total = np.add.reduceat(mix(s ^ U64(0xE7037ED1A0B428DB)), at) if len(at) else np.zeros(0, U64)
-        label = mix(cls[row[at]].astype(U64) * U64(1 << 40) + f[at] + U64(scheme << 60))
-        key = mix(total + label)
-    filled = np.bincount(row[at], minlength=len(n))
-    return row[at], key, np.flatnonzero(filled < parts), f[at]
-
-
-def signatures(s: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, fragment fingerprint) for each row's own size class and the class below."""
-    n = np.diff(offsets)
-    low, parts = size_classes(int(n.max(initial=1)), percent)
-    own = np.searchsorted(low, n, "right") - 1
-    rows_out, keys_out = [], []
-    for cls in (own, own - 1):
-        rows = np.flatnonzero((n > 0) & (cls >= 0))
-        rows = rows[parts[cls[rows]] > 1]
-        for scheme in range(1, SCHEMES + 1):
-            if not len(rows):
-                break
-            take = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in rows]) if len(rows) < len(n) else np.arange(len(s))
-            if len(rows) == len(n):
-                take = slice(None)
-            vals, offs = s[take], np.concatenate(([0], np.cumsum(n[rows])))
-            if scheme > 1:
-                vals = mix(vals + U64(scheme))
-                for k in range(len(rows)):
-                    vals[offs[k] : offs[k + 1]].sort()
-            row, key, empty, f = _fragments(vals, offs, parts[cls[rows]], cls[rows], scheme)
-            rows_out.append(rows[row])
-            keys_out.append(key)
-            if scheme == SCHEMES:
-                for k in empty:
-                    gone = np.setdiff1d(np.arange(parts[cls[rows[k]]]), f[row == k].astype(np.int64))
-                    with np.errstate(over="ignore"):
-                        keys_out.append(mix(mix(np.full(len(gone), int(cls[rows[k]]), U64) * U64(1 << 40) + gone.astype(U64)) + U64(77)))
-                    rows_out.append(np.full(len(gone), rows[k]))
-            rows = rows[empty]
-    if not rows_out:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    return np.concatenate(rows_out), np.concatenate(keys_out)
-
-
 # ---------------------------------------------------------------- partial overlaps
 
 
@@ -181,30 +115,35 @@ def _table(columns: list, schema: str) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+class Block:
+    """The sets of a block's documents and the distinct keys, cut to ``bits``, of those that ask.
+
+    One document of equal sets asks; rows without an id and empty sets do not.
+    """
+
+    def __init__(self, ids: list, s: np.ndarray, offsets: np.ndarray, bits: int):
+        self.s, self.offsets = s, offsets
+        self.size, self.node = np.diff(offsets), set_hash(s, offsets)
+        named = np.array([x is not None for x in ids], bool) & (self.size > 0)
+        self.asks = np.zeros(len(ids), bool)
+        self.asks[np.flatnonzero(named)[np.unique(self.node[named], return_index=True)[1]]] = True
+        self.some = np.repeat(self.asks, self.size)
+        self.short = s[self.some] >> U64(64 - bits)
+        self.keys, self.counts = np.unique(self.short, return_counts=True)
+
+
 def _request(block: int, held: list, fragments: int, bits: int) -> pa.Table:
     """A block's n-grams for each fragment; one of its rows has the block's documents as well."""
     ids = [x for part in held for x in part[0]]
     s, text, length = (np.concatenate([part[k] for part in held]) for k in (1, 3, 4))
-    offsets = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(part[2]) for part in held]))))
-    size, node = np.diff(offsets), set_hash(s, offsets)
-    named = np.array([x is not None for x in ids], bool) & (size > 0)
-    asks = np.zeros(len(size), bool)
-    asks[np.flatnonzero(named)[np.unique(node[named], return_index=True)[1]]] = True  # one document of equal sets
-    doc = np.repeat(np.arange(len(size)), size)
-    some = asks[doc]
-    key, doc = s[some] >> U64(64 - bits), doc[some]
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool))
-    several = np.diff(np.append(at, len(key))) > 1
-    own = np.bincount(doc[np.repeat(several, np.diff(np.append(at, len(key))))], minlength=len(size))
-    key, doc = key[at], np.where(several, SEVERAL, doc[at]).astype("<u2")
+    own = Block(ids, s, np.concatenate(([0], np.cumsum(np.concatenate([np.diff(part[2]) for part in held])))), bits)
+    key, count = own.keys, np.minimum(own.counts, 255).astype(np.uint8)
     cut = np.concatenate(([0], np.searchsorted(key, np.array([-(-(f << bits) // fragments) for f in range(1, fragments)], U64)), [len(key)]))
     out, names_in = [], scattered(block, fragments)
     for f, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-        names = (ids, size.astype("<i4").tobytes(), node.tobytes(), own.astype("<i4").tobytes(), length.astype("<i4").tobytes(), squeeze(text.tobytes())) if f == names_in else (None,) * 6
+        names = (ids, length.astype("<i4").tobytes(), squeeze(text.tobytes())) if f == names_in else (None,) * 3
         if i < j or names[0] is not None:
-            out.append((f, block, pack_sorted(key[i:j]), doc[i:j].tobytes(), *names))
+            out.append((f, block, pack_sorted(key[i:j]), squeeze(count[i:j].tobytes(), 1), *names))
     return _table(list(zip(*out, strict=True)), REQUEST)
 
 
@@ -232,59 +171,57 @@ def _request_kernel(n, fragments, bits):
 
 
 def _fragment_kernel(table: pa.Table) -> pa.Table:
-    """Per block how many n-grams of each document are held by others too, in one fragment."""
+    """How common each block's n-grams in a fragment are: 0 for one document, then by quarters of powers of two."""
     table = table.combine_chunks()
     keys = [unpack_sorted(x.as_buffer()) for x in table.column("keys")]
     every = np.concatenate(keys)
+    counts = np.concatenate([np.frombuffer(pa.decompress(x.as_buffer(), len(k), "zstd", asbytes=True) if len(k) else b"", np.uint8) for x, k in zip(table.column("counts"), keys, strict=True)])
     order = np.argsort(every, kind="stable")
     run = every[order]
-    twice = run[1:] == run[:-1]
-    held = np.zeros(len(every), bool)
-    held[order[1:][twice]] = held[order[:-1][twice]] = True
-    counts, at = [], 0
-    for k, x in zip(keys, table.column("docs"), strict=True):
-        doc = np.frombuffer(x.as_buffer(), "<u2")
-        counts.append(np.bincount(doc[held[at : at + len(k)] & (doc != SEVERAL)]).astype("<i4").tobytes())
-        at += len(k)
-    return pa.table([table.column("block"), pa.array(counts, pa.binary()), *(table.column(c) for c in ("ids", "sizes", "nodes", "own", "lengths", "texts"))], [x.split()[0] for x in REPLY.split(", ")])
-
-
-def _sum_kernel(n, percent):
+    new = np.concatenate(([True], run[1:] != run[:-1])) if len(run) else np.zeros(0, bool)
+    total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new)) if len(run) else np.zeros(0, np.int64)
+    rank = np.minimum(4 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)
+    ranks = np.empty(len(every), np.uint8)
+    ranks[order] = rank[np.cumsum(new) - 1]
+    at = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).tolist()
+    packed = [squeeze(ranks[i:j].tobytes(), 1) for i, j in zip(at, at[1:], strict=False)]
+    return pa.table([table.column("fragment"), table.column("block"), pa.array([len(k) for k in keys], pa.int32()), pa.array(packed, pa.binary()), *(table.column(c) for c in ("ids", "lengths", "texts"))], [x.split()[0] for x in REPLY.split(", ")])
+
+
+def _sum_kernel(n, percent, bits):
     def run(table: pa.Table) -> pa.Table:
-        """The partial counts of a block's documents summed; the sets of those that can have a partner, one of equal ones."""
-        named = table.filter(table.column("nodes").is_valid()).slice(0, 1).to_pylist()[0]
-        size, total = np.frombuffer(named["sizes"], "<i4").astype(np.int64), np.frombuffer(named["own"], "<i4").astype(np.int64)
-        for x in table.column("counts"):
-            part = np.frombuffer(x.as_buffer(), "<i4")
-            total[: len(part)] += part
-        node, length = np.frombuffer(named["nodes"], U64), np.frombuffer(named["lengths"], "<i4").astype(np.int64)
-        alive = (size > 0) & (100 * total >= percent * size)
-        alive[np.setdiff1d(np.flatnonzero(alive), np.flatnonzero(alive)[np.unique(node[alive], return_index=True)[1]])] = False
-        data = np.frombuffer(pa.decompress(named["texts"], int(length.sum()), "zstd", asbytes=True), np.uint8) if length.sum() else np.zeros(0, np.uint8)
-        at, keep = np.concatenate(([0], np.cumsum(length))), np.flatnonzero(alive)
-        grams: list = [None] * len(size)
-        cut = np.concatenate(([0], np.cumsum(length[keep])))
-        for lo, hi in slices(cut):
-            some = np.concatenate([data[at[k] : at[k + 1]] for k in keep[lo:hi].tolist()])
-            s, o = shingle_sets(some, cut[lo : hi + 1] - cut[lo], n)
-            for k, i, j in zip(keep[lo:hi].tolist(), o[:-1].tolist(), o[1:].tolist(), strict=True):
-                grams[k] = s[i:j].tobytes()
-        return _table([named["ids"], size, pa.array(i64(node), mask=size == 0), grams], ROWS)
+        """The partial counts of a block's documents summed; the sets of those that can have a partner, and their first n-grams."""
+        table = table.combine_chunks().sort_by("fragment")
+        named = table.filter(table.column("lengths").is_valid()).slice(0, 1).to_pylist()[0]
+        length = np.frombuffer(named["lengths"], "<i4").astype(np.int64)
+        at = np.concatenate(([0], np.cumsum(length)))
+        data = np.frombuffer(pa.decompress(named["texts"], int(at[-1]), "zstd", asbytes=True), np.uint8) if at[-1] else np.zeros(0, np.uint8)
+        parts = [shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], n) for lo, hi in slices(at)]
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))))
+        own = Block(named["ids"], np.concatenate([s for s, _ in parts]), offsets, bits)
+        ranks = np.frombuffer(b"".join(pa.decompress(x.as_buffer(), size, "zstd", asbytes=True) for x, size in zip(table.column("ranks"), table.column("n").to_pylist(), strict=True) if size), np.uint8)
+        rank = np.zeros(len(own.s), np.uint8)
+        rank[own.some] = ranks[np.searchsorted(own.keys, own.short)] if len(own.short) else 0
+        shared = np.diff(np.concatenate(([0], np.cumsum(rank > 0)))[offsets])
+        alive = own.asks & (100 * shared >= percent * own.size)
+        grams, first = ([None] * len(length) for _ in range(2))
+        for k in np.flatnonzero(alive).tolist():
+            s, r = own.s[offsets[k] : offsets[k + 1]], rank[offsets[k] : offsets[k + 1]]
+            grams[k] = s.tobytes()
+            prefix = len(s) + (-percent * len(s)) // 100 + 1
+            s, r = s[r > 0], r[r > 0]
+            first[k] = s[np.lexsort((s, r))[: max(0, prefix - (int(own.size[k]) - len(s)))]].tobytes()
+        return _table([named["ids"], own.size, pa.array(i64(own.node), mask=own.size == 0), grams, first], ROWS)
 
     return run
 
 
-def _signature_kernel(percent):
-    def run(batches):
-        for b in batches:
-            data, offsets = text_bytes(b.column(1))
-            nodes = b.column(0).to_numpy()
-            for lo, hi in slices(offsets):
-                s = np.frombuffer(data[offsets[lo] : offsets[hi]].tobytes(), U64)
-                row, key = signatures(s, (offsets[lo : hi + 1] - offsets[lo]) // 8, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(i64(key)), pa.array(nodes[lo:hi][row])], ["sig", "node"])
-
-    return run
+def _first_kernel(batches):
+    """(sig, node): one row for each n-gram to look up."""
+    for b in batches:
+        data, offsets = text_bytes(b.column(1))
+        sig = np.frombuffer(data.tobytes(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(b.column(0).to_numpy(), np.diff(offsets) // 8))], ["sig", "node"])
 
 
 # ---------------------------------------------------------------- pairs
@@ -307,14 +244,15 @@ def _difference_kernel(percent):
 
     def run(batches):
         for b in batches:
-            size, ok, diff = [], [], []
+            size, ok, diff, far = [], [], [], []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 g, h = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 shared = overlap(g, h, max(2, min(len(g), len(h)) // 1024))
                 size.append(len(g))
                 ok.append(100 * shared >= percent * (len(g) + len(h) - shared))
                 diff.append(np.setxor1d(g, h, assume_unique=True).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(ok, pa.bool_()), pa.array(diff, pa.binary())], ["node", "hub", "size", "linked", "diff"])
+                far.append(len(g) + len(h) - 2 * shared)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(ok, pa.bool_()), pa.array(far, pa.int64()), pa.array(diff, pa.binary())], ["node", "hub", "size", "linked", "far", "diff"])
 
     return run
 
@@ -387,16 +325,16 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "t
     fragments, bits = max(1, -(-size // FRAGMENT_BYTES)), min(60, size.bit_length() + 7)
     asked = docs.mapInArrow(_request_kernel(n, fragments, bits), REQUEST)
     counted = asked.groupBy("fragment").applyInArrow(_fragment_kernel, REPLY)
-    told = scratch.keep(counted.groupBy("block").applyInArrow(_sum_kernel(n, percent), ROWS))
+    told = scratch.keep(counted.groupBy("block").applyInArrow(_sum_kernel(n, percent, bits), ROWS))
     rows = told.select("doc_id", "n_shingles", "node")
     grams = scratch.keep(told.filter("grams is not null").select("node", "grams").dropDuplicates(["node"]))
-    sigs = grams.mapInArrow(_signature_kernel(percent), "sig long, node long")
+    sigs = told.filter("first is not null").select("node", "first").mapInArrow(_first_kernel, "sig long, node long")
     live = scratch.keep(sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub <> most").select("sig", "hub"))
     pairs = scratch.keep(sigs.join(live.hint("merge"), "sig").filter("node <> hub").select("node", "hub").distinct())
     scratch.drop(live)
     a, b = grams.select("node", F.col("grams").alias("own")), grams.select(F.col("node").alias("hub"), F.col("grams").alias("hubs"))
     met = a.join(pairs.hint("merge"), "node").join(b.hint("merge"), "hub").select("node", "hub", "own", "hubs")
-    met = scratch.keep(met.mapInArrow(_difference_kernel(percent), "node long, hub long, size long, linked boolean, diff binary"))
+    met = scratch.keep(met.mapInArrow(_difference_kernel(percent), "node long, hub long, size long, linked boolean, far long, diff binary"))
     edges = met.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(_settle(scratch, met, percent))
     comp = components(scratch, edges)
     least = rows.filter("node is not null").join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("doc_id").alias("component_id"))
@@ -417,9 +355,20 @@ def _same_ids(scratch: Scratch, found: DataFrame) -> DataFrame:
 
 
 def _settle(scratch: Scratch, met: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one hub's group of which one at least does not link to the hub."""
-    groups = met.groupBy("hub").agg(F.count("*").alias("n"), F.bool_and("linked").alias("done")).filter("n > 1 and not done").select("hub", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    open_ = met.join(groups, "hub").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    """Links between members of one hub's group of which one at least does not link to the hub.
+
+    Linked sets of sizes a and b differ in at most r * (a + b) n-grams, with
+    r = (100 - t) / (100 + t).  An unlinked member y can link with a linked x only
+    if far(y) - r * |y| <= far(x) + r * |x|, where far is the distance to the hub.
+    """
+    r = F.lit((100 - percent) / (100 + percent))
+    reach, near = F.col("far") + r * F.col("size"), F.col("far") - r * F.col("size")
+    groups = met.groupBy("hub").agg(F.count_if("linked").alias("n_linked"), F.count_if(~F.col("linked")).alias("n_open"), F.max(F.when(F.col("linked"), reach)).alias("reach"), F.min(F.when(~F.col("linked"), near)).alias("near"))
+    groups = groups.withColumn("meet", F.coalesce(F.col("near") <= F.col("reach") + 1e-6, F.lit(False))).filter("n_open > 1 or n_open = 1 and meet")
+    n = F.col("n_open") + F.when(F.col("meet"), F.col("n_linked")).otherwise(0)
+    groups = groups.select("hub", "meet", F.ceil(n / TILE).cast("int").alias("tiles"))
+    met = met.join(groups.hint("merge"), "hub").filter("meet or not linked").drop("meet")
+    open_ = met.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     columns = ["hub", "i", "j", "node", "size", "linked", "diff"]
     left = open_.select("hub", F.col("tile").alias("i"), other.alias("j"), *columns[3:]).filter("i <= j")
