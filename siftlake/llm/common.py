@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import os
 import shutil
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that a kernel works on at once (whole documents).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
 _POW = np.ones(1, U64)
@@ -151,6 +152,54 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- workers
+
+
+def _trim() -> None:
+    """Give the memory that a kernel has freed back to the system: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def over_batches(run):
+    """For mapInArrow: run, tidied up after."""
+
+    def kernel(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return kernel
+
+
+def over_group(run):
+    """For applyInArrow on groups."""
+
+    def kernel(table):
+        try:
+            return run(table)
+        finally:
+            _trim()
+
+    return kernel
+
+
+def over_cogroup(run):
+    """For applyInArrow on cogroups."""
+
+    def kernel(left, right):
+        try:
+            return run(left, right)
+        finally:
+            _trim()
+
+    return kernel
+
+
 # ---------------------------------------------------------------- bytes
 
 

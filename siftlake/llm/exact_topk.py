@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, over_cogroup, over_group
 
 #: Vectors and queries in a block; rows of a block that a product takes at once.
 BLOCK, QUERY_BLOCK, STRIP = 8192, 2048, 256
@@ -154,13 +154,13 @@ def exact_topk(vectors: DataFrame, is_query, *, k: int = 20, scale: float = 64.0
     blocks, query_blocks = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(asked.count() / QUERY_BLOCK))
     packed = "block int, width int, ids binary, rows binary, cut binary"
     deal = lambda d, m, salt: d.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int"))
-    corpus = scratch.keep(deal(base, blocks, 1).groupBy("block").applyInArrow(_pack_kernel(scale, False), packed))
+    corpus = scratch.keep(deal(base, blocks, 1).groupBy("block").applyInArrow(over_group(_pack_kernel(scale, False)), packed))
     corpus = corpus.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def meet(queries, kernel, schema, with_cut):
-        q = deal(queries, query_blocks, 2).groupBy("block").applyInArrow(_pack_kernel(scale, with_cut), packed)
+        q = deal(queries, query_blocks, 2).groupBy("block").applyInArrow(over_group(_pack_kernel(scale, with_cut)), packed)
         q = q.withColumnRenamed("block", "q").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return corpus.groupBy("q", "block").cogroup(q.groupBy("q", "block")).applyInArrow(kernel, schema)
+        return corpus.groupBy("q", "block").cogroup(q.groupBy("q", "block")).applyInArrow(over_cogroup(kernel), schema)
 
     lists = meet(asked, _gather_kernel(k), "query_id long, top array<long>", False)
     best = F.sort_array(F.flatten(F.collect_list("top")), asc=False)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_fold, ship, slices, text_bytes
+from .common import LOWER, crc_fold, over_batches, ship, slices, text_bytes
 from .linear import Rows, sigmoid, slope, svm
 
 BINS = 1 << 14
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, train, *, text="text", doc_id="doc_id", lang="lang", pe
     per_language = min(per_language, max(1, most_rows // max(1, base.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = base.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("doc_id", "lang").distinct()
-    rows = base.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text").mapInArrow(_feature_kernel, "lang string, columns binary, counts binary").collect()
+    rows = base.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text").mapInArrow(over_batches(_feature_kernel), "lang string, columns binary, counts binary").collect()
     if not rows:
         return None
     rows = sorted((r.lang, bytes(r.columns), bytes(r.counts)) for r in rows)
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", carry:
     ship(docs.sparkSession)
     base = docs.select(*carry, F.col(text).alias("__text"))
     schema = ", ".join([f"`{c}` {dict(base.dtypes)[c]}" for c in carry] + ["__lang string", "__score double"])
-    return base.mapInArrow(_score_kernel(model, list(carry)), schema)
+    return base.mapInArrow(over_batches(_score_kernel(model, list(carry))), schema)
 
 
 def identify(docs: DataFrame, *, folds: int = 4, held: int = 2, text="text", doc_id="doc_id", lang="lang", per_language: int = 500) -> DataFrame:

@@ -1,20 +1,23 @@
 """Interpolated modified Kneser-Ney n-gram scoring.
 
 Documents are dealt into blocks of bounded size by a hash; n-gram fingerprints
-into shards by their value.  For each order, from the highest down:
-
-* every block sends each shard its distinct n-grams, sorted, with its own
-  contribution to their counts (training tokens at the highest order, below it
-  the distinct longer n-grams that the block answers for);
-* a shard adds the contributions up in sorted hash arrays, which the worker
-  keeps in a file and memory-maps, and looks every block's n-grams up in them:
-  the block gets the adjusted counts back, in its own order, with the totals of
-  each n-gram as a context, and is told for which n-grams it answers.
-
-A last pass reads each block with its answers and scores its documents token by
-token, so that no task ever holds the model and nothing of it passes through
-the driver but the counts of counts.  What is exchanged grows with the
-distinct n-grams of the blocks.
+into shards by their value.
+
+1. Counting, for each order from the highest down.  Every block of training
+   documents sends each shard its distinct n-grams, sorted, with its own
+   contribution to their counts (tokens at the highest order, below it the
+   distinct longer n-grams that the block answers for).  A shard adds them up
+   into sorted hash arrays - the keys, their adjusted counts, their totals as a
+   context - which it stores as a file in the shared folder: the model; a block
+   is told the counts of its n-grams and which of them it answers for.
+2. Looking up.  Every block of all documents sends each shard its distinct
+   n-grams of all orders; a worker maps the shard's file into memory (reads it,
+   where the shared folder is not mounted) and searches the keys there.
+3. Scoring.  Every block meets its answers and scores its documents token by
+   token, so that no task ever holds the model and nothing of it passes through
+   the driver but the counts of counts.
+
+What is exchanged grows with the distinct n-grams of the blocks.
 
 Text is lower-cased (A-Z); tokens are words (runs without ASCII space) and one
 end token; histories are padded with start marks.  Discounts follow Chen and
@@ -31,17 +34,17 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-import os
-import tempfile
+import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Scratch, crc_fold, mix, pack_sorted, prefix_hash, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
+from .common import LOWER, U64, Scratch, crc_fold, mix, over_batches, over_cogroup, over_group, pack_sorted, prefix_hash, release_shuffles, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 6 << 20
@@ -85,13 +88,13 @@ def padded(level: int) -> np.uint64:
     return mix(np.array([START + U64(level)], U64))[0]
 
 
-def ngrams(token: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each level from 1 to order the fingerprint of the n-gram that ends at each token."""
-    out = [token]
-    first = offsets[:-1]
+def ngrams(token: np.ndarray, offsets: np.ndarray, order: int):
+    """For each level from 1 to order the fingerprint of the n-gram that ends at each token, one level after the other."""
+    out = token
+    yield out
     for level in range(2, order + 1):
-        out.append(_longer(history(out[-1], first, level - 1), token, level))
-    return out
+        out = _longer(history(out, offsets[:-1], level - 1), token, level)
+        yield out
 
 
 def history(grams: np.ndarray, first: np.ndarray, level: int) -> np.ndarray:
@@ -169,23 +172,23 @@ FIELDS = ("n", "x1", "x2", "x3", "xs", "raw")
 
 
 def _request(level, order, shards):
-    """Block -> rows for the shards of a level."""
+    """Block -> rows for the shards of a level, from the block's training documents."""
 
-    def rows(block, token, offsets, train, answers):
-        learn = np.repeat(train, np.diff(offsets))
-        grams = ngrams(token, offsets, min(level + 1, order))
-        own = Coded(grams[level - 1], offsets, level, order)
+    def rows(block, token, offsets, answer):
+        grams = longer = None
+        for k, g in enumerate(ngrams(token, offsets, min(level + 1, order)), 1):
+            grams, longer = (g, longer) if k == level else (grams, g if k > level else None)
+        own = Coded(grams, offsets, level, order)
         keys = own.keys
         got = {f: np.zeros(len(keys), np.int64) for f in FIELDS}
         if level == 1:
-            got["raw"] = np.bincount(own.at[learn], minlength=len(keys))
+            got["raw"] = np.bincount(own.at, minlength=len(keys))
         if level == order:
-            got["n"] = np.bincount(own.at[learn], minlength=len(keys))
+            got["n"] = np.bincount(own.at, minlength=len(keys))
         else:
-            a = answers[level + 1]
-            where = Coded(grams[level], offsets, level + 1, order).first()
-            some = a["own"] & (where < len(token))
-            count, where = a["n"][some], where[some]
+            where = Coded(longer, offsets, level + 1, order).first()
+            some = answer["own"] & (where < len(token))
+            count, where = answer["n"][some], where[some]
             got["n"] = np.bincount(own.at[where], minlength=len(keys))
             context = own.before[where]
             for f, some in (("x1", count == 1), ("x2", count == 2), ("x3", count >= 3)):
@@ -197,20 +200,21 @@ def _request(level, order, shards):
     return rows
 
 
-REQUEST = "block int, shard int, keys binary, " + ", ".join(f"{f} binary" for f in FIELDS)
-ANSWER = "block int, shard int, size int, own binary, " + ", ".join(f"{f} binary" for f in FIELDS) + ", totals array<long>"
+COUNTS = ", ".join(f"{f} binary" for f in FIELDS)
+REQUEST = f"block int, shard int, keys binary, {COUNTS}"
+#: What a shard stored (block -1: size and totals) and its answers to the training blocks (counts and ownership).
+COUNTED = f"block int, shard int, size int, own binary, {COUNTS}, totals array<long>"
+ASK = "block int, level int, shard int, keys binary"
+FOUND = f"block int, level int, shard int, size int, {COUNTS}"
 
 
-def _answers(table: pa.Table, levels) -> dict[int, dict[str, np.ndarray]]:
-    """The shards' answers of a block, put together in the order of its keys."""
-    level, shard = (table.column(c).to_numpy() for c in ("level", "shard"))
-    size = table.column("size").to_pylist()
-    held = {f: buffers(table.column(f)) for f in ("own", *FIELDS)}
-    out = {}
-    for x in levels:
-        rows = [int(k) for k in np.argsort(shard, kind="stable") if level[k] == x]
-        out[x] = {f: np.concatenate([unpack_counts(held[f][k], size[k]) for k in rows] or [np.zeros(0, np.int64)]) for f in FIELDS}
-        out[x]["own"] = np.concatenate([np.unpackbits(np.frombuffer(held["own"][k], np.uint8), count=size[k]).astype(bool) for k in rows] or [np.zeros(0, bool)])
+def _joined(table: pa.Table, fields, own: bool = False) -> dict[str, np.ndarray]:
+    """The shards' answers to a block, put together in the order of its keys."""
+    size, held = table.column("size").to_pylist(), {f: buffers(table.column(f)) for f in (*fields, *(["own"] if own else []))}
+    rows = np.argsort(table.column("shard").to_numpy(), kind="stable").tolist()
+    out = {f: np.concatenate([unpack_counts(held[f][k], size[k]) for k in rows] or [np.zeros(0, np.int64)]) for f in fields}
+    if own:
+        out["own"] = np.concatenate([np.unpackbits(np.frombuffer(held["own"][k], np.uint8), count=size[k]).astype(bool) for k in rows] or [np.zeros(0, bool)])
     return out
 
 
@@ -230,7 +234,7 @@ def _pack_kernel(batches):
                 at = lo + np.flatnonzero(block[lo:hi] == k)
                 text = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in at.tolist())
                 take = pa.array(at)
-                out.append((k, b.column("doc_id").take(take).to_pylist(), b.column("tag").take(take).to_pylist(), train[at].tobytes(), real[at].tobytes(), np.diff(offsets)[at].tolist(), len(text), squeeze(text, 6)))
+                out.append((k, b.column("doc_id").take(take).to_pylist(), b.column("tag").take(take).to_pylist(), train[at].tobytes(), real[at].tobytes(), np.diff(offsets)[at].tolist(), len(text), squeeze(text)))
             kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -257,36 +261,46 @@ def _marked(table: pa.Table, trusted: bool) -> tuple[pa.Table, np.ndarray]:
     return table, train[real]
 
 
-def _first_kernel(level, order, shards, unit, trusted):
+def _trusted_kernel(table: pa.Table) -> pa.Table:
+    """The training documents of a block, packed again."""
+    docs, train = _marked(table, True)
+    batches = docs.filter(pa.array(train)).combine_chunks().to_batches()
+    packed = [b for x in batches for b in _pack_kernel([x])]
+    return pa.Table.from_batches(packed) if packed else _table([], PACKED)
+
+
+def _count_kernel(level, order, shards, unit):
     make = _request(level, order, shards)
 
-    def run(table: pa.Table) -> pa.Table:
-        docs, train = _marked(table, trusted)
+    def run(docs: pa.Table, got: pa.Table | None = None) -> pa.Table:
         if not docs.num_rows:
             return _table([], REQUEST)
+        docs, _ = _marked(docs, False)
         token, offsets = tokens(docs.column("text"), unit)
-        rows = make(docs.column("block")[0].as_py(), token, offsets, train, {})
-        return _table(rows, REQUEST)
+        return _table(make(docs.column("block")[0].as_py(), token, offsets, None if got is None else _joined(got, ["n"], True)), REQUEST)
 
     return run
 
 
-def _next_kernel(level, order, shards, unit, trusted):
-    make = _request(level, order, shards)
-
-    def run(docs: pa.Table, got: pa.Table) -> pa.Table:
-        docs, train = _marked(docs, trusted)
+def _ask_kernel(order, shards, unit, trusted):
+    def run(docs: pa.Table) -> pa.Table:
+        docs, _ = _marked(docs, trusted)
         if not docs.num_rows:
-            return _table([], REQUEST)
+            return _table([], ASK)
+        block = docs.column("block")[0].as_py()
         token, offsets = tokens(docs.column("text"), unit)
-        rows = make(docs.column("block")[0].as_py(), token, offsets, train, _answers(got, [level + 1]))
-        return _table(rows, REQUEST)
+        rows = []
+        for level, grams in enumerate(ngrams(token, offsets, order), 1):
+            keys = Coded(grams, offsets, level, order).keys
+            cut = _shards(keys, shards)
+            rows += [(block, level, k, pack_sorted(keys[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+        return _table(rows, ASK)
 
     return run
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
     fields = [x.split() for x in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
@@ -295,25 +309,31 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
 # ---------------------------------------------------------------- shards
 
 
-class HashArrays:
-    """Sorted fingerprints with their totals, in a file of the worker that is memory-mapped and goes when closed."""
+def narrow(c: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest unsigned type that holds them."""
+    return c.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(c) or c.max() <= np.iinfo(k).max))
+
 
-    def __init__(self, keys: np.ndarray, totals: dict[str, np.ndarray]):
-        self.folder = tempfile.TemporaryDirectory(prefix="ngrams-")
-        self.keys = self._store("keys", keys)
-        self.totals = {f: self._store(f, v) for f, v in totals.items()}
+def store(folder: str, name: str, keys: np.ndarray, totals: dict[str, np.ndarray]) -> None:
+    """Sorted hash arrays as an Arrow file in the shared folder; a repeated task writes the same file again."""
+    files, root = pafs.FileSystem.from_uri(folder)
+    files.create_dir(root, recursive=True)
+    table = pa.table({"keys": keys, **{f: narrow(v) for f, v in totals.items()}})
+    part = f"{root}/{name}.{uuid.uuid4().hex[:8]}.part"
+    with files.open_output_stream(part) as out, pa.ipc.new_file(out, table.schema) as writer:
+        writer.write_table(table)
+    files.move(part, f"{root}/{name}")
 
-    def _store(self, name: str, x: np.ndarray):
-        path = os.path.join(self.folder.name, name)
-        x.tofile(path)
-        return np.memmap(path, x.dtype, "r", shape=x.shape) if len(x) else x
 
-    def close(self) -> None:
-        self.keys, self.totals = None, None
-        self.folder.cleanup()
+def stored(folder: str, name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The arrays of a stored file: mapped into memory where the folder is mounted, read where it is not."""
+    files, root = pafs.FileSystem.from_uri(folder)
+    source = pa.memory_map(f"{root}/{name}") if isinstance(files, pafs.LocalFileSystem) else files.open_input_file(f"{root}/{name}")
+    table = pa.ipc.open_file(source).read_all()
+    return table.column("keys").to_numpy(), {f: table.column(f).to_numpy() for f in table.column_names[1:]}
 
 
-def _shard_kernel(level, order):
+def _shard_kernel(level, order, folder):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("block")
         keys = [unpack_sorted(x) for x in buffers(table.column("keys"))]
@@ -331,20 +351,41 @@ def _shard_kernel(level, order):
                 place = np.where(c[order_of] > 0, np.arange(len(every)), len(every))
                 at = np.minimum.reduceat(place, first)
                 owner[order_of[at[at < len(every)]]] = True
-        table_of = HashArrays(every[order_of[first]], totals)
         n = totals["n"]
         sums = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n >= 3).sum()), int(n.sum())]
         raw = totals.get("raw", np.zeros(1, np.int64))
         sums += [int(raw.sum()), int((raw > 0).sum())]
-        out, at = [], 0
-        for i, (block, shard, k) in enumerate(zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), keys, strict=True)):
-            where = np.searchsorted(table_of.keys, k)
-            answer = {f: pack_counts(np.asarray(table_of.totals[f][where])) if f in used else b"" for f in FIELDS}
-            own = np.packbits(owner[at : at + len(k)]).tobytes()
-            at += len(k)
-            out.append((block, shard, len(k), own, *(answer[f] for f in FIELDS), sums if i == 0 else None))
-        table_of.close()
-        return _table(out, ANSWER)
+        shard = table.column("shard")[0].as_py()
+        store(folder, f"{level}-{shard}", every[order_of[first]], totals)
+        out: list[tuple] = [(-1, shard, len(first), None, *(b"" for _ in FIELDS), sums)]
+        if level > 1:
+            place, at = np.empty(len(every), np.int64), 0
+            place[order_of] = np.cumsum(new) - 1
+            for block, k in zip(table.column("block").to_pylist(), keys, strict=True):
+                out.append((block, shard, len(k), np.packbits(owner[at : at + len(k)]).tobytes(), pack_counts(n[place[at : at + len(k)]]), *(b"" for _ in FIELDS[1:]), None))
+                at += len(k)
+        return _table(out, COUNTED)
+
+    return run
+
+
+def _look_kernel(folder):
+    def run(asked: pa.Table, model: pa.Table) -> pa.Table:
+        """The totals of the asking blocks' n-grams; 0 for those the model has not seen."""
+        if not asked.num_rows:
+            return _table([], FOUND)
+        level, shard = asked.column("level")[0].as_py(), asked.column("shard")[0].as_py()
+        held, totals = stored(folder, f"{level}-{shard}") if model.num_rows else (np.zeros(0, U64), {})
+        out = []
+        for block, raw in zip(asked.column("block").to_pylist(), buffers(asked.column("keys")), strict=True):
+            keys = unpack_sorted(raw)
+            got = dict.fromkeys(FIELDS, b"")
+            if len(held):
+                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                known = held[at] == keys
+                got |= {f: pack_counts(np.where(known, v[at], 0)) for f, v in totals.items()}
+            out.append((block, level, shard, len(keys), *got.values()))
+        return _table(out, FOUND)
 
     return run
 
@@ -374,14 +415,13 @@ def _score_kernel(order, sums, unit, trusted):
         if not docs.num_rows:
             return _table([], SCORED)
         token, offsets = tokens(docs.column("text"), unit)
-        answers = _answers(got, range(1, order + 1))
-        grams = ngrams(token, offsets, order)
+        at_level = got.column("level").to_numpy()
         p = np.full(len(token), 1.0 / (kinds + 1))
         raw = np.zeros(len(token), np.int64)
         context = None
-        for level in range(1, order + 1):
-            own = Coded(grams[level - 1], offsets, level, order)
-            at, a, cut = own.at, answers[level], np.array(d[level])
+        for level, grams in enumerate(ngrams(token, offsets, order), 1):
+            own, a, cut = Coded(grams, offsets, level, order), _joined(got.filter(pa.array(at_level == level)), FIELDS), np.array(d[level])
+            at = own.at
             n = a["n"][at]
             if level == 1:
                 raw = a["raw"][at]
@@ -416,31 +456,44 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
     base_score is the unigram baseline with 0.1 added to each count.  tag: a
     Column to carry along as a string.
     """
-    scratch = Scratch(docs.sparkSession, "lm-scoring")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm-scoring")
+    folder = f"{scratch.path}/model"
     yes, none = F.lit(True), F.lit(None).cast("string")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (none if tag is None else tag.cast("string")).alias("tag"), (yes if train is None else F.coalesce(train, yes)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"), yes.alias("real"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, shards = (max(1, math.ceil(size / n)) for n in (block_bytes, shard_bytes or block_bytes))
-    key = ["doc_id", F.when(F.col("doc_id").isNull(), F.col("text")) if trusted is not None else "text"]  # rows of one id stay together where ids are looked up
-    if trusted is not None:
+    looked = trusted is not None
+    key = ["doc_id", F.when(F.col("doc_id").isNull(), F.col("text")) if looked else "text"]  # rows of one id stay together where ids are looked up
+    if looked:
         ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
         base = base.union(ids.select("doc_id", none, F.lit(True), F.lit(""), F.lit(False)))
-    base = base.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int"))
-    base = base.select("block", "doc_id", "tag", "train", "real", "text").mapInArrow(_pack_kernel, PACKED)
+    base = base.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int")).select("block", "doc_id", "tag", "train", "real", "text")
+    learn = base.filter("train").mapInArrow(over_batches(_pack_kernel), PACKED)
+    base = base.mapInArrow(over_batches(_pack_kernel), PACKED)
+    if looked:
+        learn = scratch.keep(learn.groupBy("block").applyInArrow(over_group(_trusted_kernel), PACKED))
+        release_shuffles(spark)
+    model: DataFrame | None = None
     answers: DataFrame | None = None
     sums: dict[int, list[int]] = {}
     for level in range(order, 0, -1):
+        count = _count_kernel(level, order, shards, unit)
         if answers is None:
-            asked = base.groupBy("block").applyInArrow(_first_kernel(level, order, shards, unit, trusted is not None), REQUEST)
+            asked = learn.groupBy("block").applyInArrow(over_group(count), REQUEST)
         else:
-            above = answers.filter(F.col("level") == level + 1)
-            asked = base.groupBy("block").cogroup(above.groupBy("block")).applyInArrow(_next_kernel(level, order, shards, unit, trusted is not None), REQUEST)
-        got = scratch.keep(asked.groupBy("shard").applyInArrow(_shard_kernel(level, order), ANSWER))
-        parts = got.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+            asked = learn.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(over_cogroup(count), REQUEST)
+        got = scratch.keep(asked.groupBy("shard").applyInArrow(over_group(_shard_kernel(level, order, folder)), COUNTED))
+        asked = None
+        release_shuffles(spark)
+        arrays, answers = got.filter("block < 0"), got.filter("block >= 0").select("block", "shard", "size", "own", "n")
+        parts = arrays.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
         sums[level] = [{r.pos: r.n for r in parts}.get(k, 0) for k in range(8)]
-        got = got.drop("totals").withColumn("level", F.lit(level))
-        answers = got if answers is None else answers.union(got)
-    return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_kernel(order, sums, unit, trusted is not None), SCORED)
+        arrays = arrays.select(F.lit(level).alias("level"), "shard")
+        model = arrays if model is None else model.union(arrays)
+    asks = base.groupBy("block").applyInArrow(over_group(_ask_kernel(order, shards, unit, looked)), ASK)
+    found = asks.groupBy("level", "shard").cogroup(model.groupBy("level", "shard")).applyInArrow(over_cogroup(_look_kernel(folder)), FOUND)
+    return base.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(over_cogroup(_score_kernel(order, sums, unit, looked)), SCORED)
 
 
 def score_documents(docs: DataFrame, *, folds: int = 10, held: int = 0, order: int = 2, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:

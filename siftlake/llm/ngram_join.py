@@ -46,12 +46,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Scratch, components, i64, mix, pack_sorted, prefix_hash, scattered, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
+from .common import LOWER, U64, Scratch, components, i64, mix, over_batches, over_group, pack_sorted, prefix_hash, release_shuffles, scattered, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
 
 #: Members of a hub's group that one tile compares with as many others.
 TILE = 2048
 #: Bytes and rows of text in a block of requests; bytes of text whose n-grams a vertical fragment of the order holds.
-BLOCK_BYTES, BLOCK_ROWS, FRAGMENT_BYTES = 8 << 20, 60_000, 12 << 20
+BLOCK_BYTES, BLOCK_ROWS, FRAGMENT_BYTES = 6 << 20, 60_000, 12 << 20
 REQUEST = "fragment int, block long, keys binary, counts binary, ids array<long>, lengths binary, texts binary"
 REPLY = "fragment int, block long, n int, ranks binary, ids array<long>, lengths binary, texts binary"
 ROWS = "doc_id long, n_shingles long, node long, grams binary, first binary"
@@ -323,18 +323,20 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "t
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments, bits = max(1, -(-size // FRAGMENT_BYTES)), min(60, size.bit_length() + 7)
-    asked = docs.mapInArrow(_request_kernel(n, fragments, bits), REQUEST)
-    counted = asked.groupBy("fragment").applyInArrow(_fragment_kernel, REPLY)
-    told = scratch.keep(counted.groupBy("block").applyInArrow(_sum_kernel(n, percent, bits), ROWS))
+    asked = docs.mapInArrow(over_batches(_request_kernel(n, fragments, bits)), REQUEST)
+    counted = asked.groupBy("fragment").applyInArrow(over_group(_fragment_kernel), REPLY)
+    told = scratch.keep(counted.groupBy("block").applyInArrow(over_group(_sum_kernel(n, percent, bits)), ROWS))
+    asked = counted = None  # their shuffles are read
+    release_shuffles(spark)
     rows = told.select("doc_id", "n_shingles", "node")
     grams = scratch.keep(told.filter("grams is not null").select("node", "grams").dropDuplicates(["node"]))
-    sigs = told.filter("first is not null").select("node", "first").mapInArrow(_first_kernel, "sig long, node long")
+    sigs = told.filter("first is not null").select("node", "first").mapInArrow(over_batches(_first_kernel), "sig long, node long")
     live = scratch.keep(sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub <> most").select("sig", "hub"))
     pairs = scratch.keep(sigs.join(live.hint("merge"), "sig").filter("node <> hub").select("node", "hub").distinct())
     scratch.drop(live)
     a, b = grams.select("node", F.col("grams").alias("own")), grams.select(F.col("node").alias("hub"), F.col("grams").alias("hubs"))
     met = a.join(pairs.hint("merge"), "node").join(b.hint("merge"), "hub").select("node", "hub", "own", "hubs")
-    met = scratch.keep(met.mapInArrow(_difference_kernel(percent), "node long, hub long, size long, linked boolean, far long, diff binary"))
+    met = scratch.keep(met.mapInArrow(over_batches(_difference_kernel(percent)), "node long, hub long, size long, linked boolean, far long, diff binary"))
     edges = met.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(_settle(scratch, met, percent))
     comp = components(scratch, edges)
     least = rows.filter("node is not null").join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("doc_id").alias("component_id"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, ship, slices, span_hash, text_bytes
+from .common import over_batches, prefix_hash, ship, slices, span_hash, text_bytes
 
 #: Characters of a byte-level vocabulary that stand for themselves.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -285,4 +285,4 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, open_windows: int
     tokenizer's file must exist on every worker.
     """
     ship(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_kernel(tokenizer, size, open_windows, end_id), PIECE_SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(over_batches(_kernel(tokenizer, size, open_windows, end_id)), PIECE_SCHEMA)

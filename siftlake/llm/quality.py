@@ -26,10 +26,10 @@ from .common import Scratch, crc_fold
 from .lm_scoring import lm_scores
 
 #: Blocks hold this many bytes of text (a token is a character), shards as much as this many bytes name.
-BLOCK_BYTES, SHARD_BYTES = 6 << 20, 48 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 48 << 20
 
 
-def quality(docs: DataFrame, trusted: DataFrame, *, order: int = 5, quantile: float = 0.95, folds: int = 5, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, *, order: int = 4, quantile: float = 0.95, folds: int = 5, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, lang, trusted, n_characters, perplexity, threshold, kept of every row."""
     scratch = Scratch(docs.sparkSession, "quality")
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("of")).filter("of is not null").distinct()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, prefix_hash, ship, slices, span_hash, text_bytes
+from .common import U64, mix, over_batches, prefix_hash, ship, slices, span_hash, text_bytes
 from .packing import PartCache
 
 MARK = "▁".encode()
@@ -276,7 +276,7 @@ def encode_documents(docs: DataFrame, model: str, *, text: str = "text", doc_id:
     """doc_id, n_pieces, n_byte_pieces, ids_crc32 and whether decoding restores the text, of every row."""
     ship(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return base.mapInArrow(_kernel(model), "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, restored boolean")
+    return base.mapInArrow(over_batches(_kernel(model)), "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, restored boolean")
 
 
 def _ids_kernel(path):
@@ -295,7 +295,7 @@ def _ids_kernel(path):
 def encode_ids(docs: DataFrame, model: str, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and the list of piece ids of every row."""
     ship(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_ids_kernel(model), "doc_id long, ids array<int>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(over_batches(_ids_kernel(model)), "doc_id long, ids array<int>")
 
 
 def _decode_kernel(path):
@@ -311,4 +311,4 @@ def _decode_kernel(path):
 def decode_ids(rows: DataFrame, model: str) -> DataFrame:
     """doc_id and text of rows with doc_id and ids; null ids give null."""
     ship(rows.sparkSession)
-    return rows.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode_kernel(model), "doc_id long, text string")
+    return rows.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(over_batches(_decode_kernel(model)), "doc_id long, text string")

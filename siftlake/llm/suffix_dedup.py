@@ -42,11 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, Scratch, i64, mix, pack_sorted, prefix_hash, scattered, slices, span_hash, squeeze, text_bytes, unpack_sorted
+from .common import SLICE_BYTES, U64, Scratch, i64, mix, over_batches, over_cogroup, over_group, pack_sorted, prefix_hash, release_shuffles, scattered, slices, span_hash, squeeze, text_bytes, unpack_sorted
 
 _PLACE = U64((1 << 28) - 1)
 #: Bytes and rows of text in a block; bytes of text whose triggers a fragment of their order holds.
-BLOCK_BYTES, BLOCK_ROWS, FRAGMENT_BYTES = 8 << 20, 100_000, 24 << 20
+BLOCK_BYTES, BLOCK_ROWS, FRAGMENT_BYTES = 5 << 20, 100_000, 24 << 20
 #: Phrases of a trigger gram that one suffix array holds; suffixes sorted at once, about.
 BUCKET, SORTED = 1024, 100_000
 REQUEST = "fragment int, block long, keys binary, several binary, carry binary, lengths binary, texts binary"
@@ -349,17 +349,20 @@ def repeated_windows(scratch: Scratch, docs: DataFrame, span: int) -> tuple[Data
         raise ValueError("span must be at least 4 bytes")
     size = docs.agg(F.sum(F.octet_length(docs.columns[0]))).first()[0] or 0
     fragments, bits = max(1, -(-size // FRAGMENT_BYTES)), min(60, size.bit_length() + 5)
-    asked = docs.mapInArrow(_request_kernel(span, fragments, bits), REQUEST)
-    told = asked.groupBy("fragment").applyInArrow(_fragment_kernel, REPLY)
-    blocks = scratch.keep(told.groupBy("block").applyInArrow(_live_kernel(span, bits), BLOCK))
+    asked = docs.mapInArrow(over_batches(_request_kernel(span, fragments, bits)), REQUEST)
+    told = asked.groupBy("fragment").applyInArrow(over_group(_fragment_kernel), REPLY)
+    blocks = scratch.keep(told.groupBy("block").applyInArrow(over_group(_live_kernel(span, bits)), BLOCK))
+    asked = told = None  # their shuffles are read
+    release_shuffles(docs.sparkSession)
     live = blocks.select("block", F.explode("phrases").alias("p")).select("block", "p.*")
     dictionary = scratch.keep(live.groupBy("phrase").agg(F.count("*").alias("n"), F.min("trigger").alias("trigger"), F.min(F.struct("block", "row", "s0", "s1", "t")).alias("one")))
     whole = live.join(dictionary.filter("n >= 2").select("phrase").hint("merge"), "phrase", "left_semi").select("block", "row", "s0", "s1")
     shared = dictionary.groupBy("trigger").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m >= 2 and least = 1").select("trigger", (F.col("m") > BUCKET).alias("hot"))
     left = dictionary.join(shared.hint("merge"), "trigger").select("trigger", "hot", "one.*", (F.col("n") == 1).alias("once"))
-    border = left.groupBy("block").cogroup(blocks.select("block", "lengths", "texts").groupBy("block")).applyInArrow(_border_kernel(span), BORDER)
-    border = scratch.keep(border)
-    sorted_ = border.filter("bytes is not null").select("trigger", "bytes", "at", "block", "row", "s0", "once").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_suffix_array_kernel(span), RUNS)
+    border = left.groupBy("block").cogroup(blocks.select("block", "lengths", "texts").groupBy("block")).applyInArrow(over_cogroup(_border_kernel(span)), BORDER)
+    border, left = scratch.keep(border), None
+    release_shuffles(docs.sparkSession)
+    sorted_ = border.filter("bytes is not null").select("trigger", "bytes", "at", "block", "row", "s0", "once").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(over_batches(_suffix_array_kernel(span)), RUNS)
     suffixes = border.filter("bytes is null")
     equal = suffixes.groupBy("suffix").agg(F.count("*").alias("n")).filter("n >= 2").select("suffix")
     dealt = suffixes.filter("once").join(equal, "suffix", "left_semi").select("block", "row", "s0", "s1")
@@ -373,7 +376,7 @@ def suffix_dedup(docs: DataFrame, *, span: int = 200, text: str = "text", doc_id
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     blocks, found = repeated_windows(scratch, docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id")), span)
-    return found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_digest_kernel(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(over_cogroup(_digest_kernel(span)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, span: int = 200, text: str = "text") -> DataFrame:
@@ -383,5 +386,5 @@ def remove_repeats(docs: DataFrame, *, span: int = 200, text: str = "text") -> D
     named = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     order = [f"c{at}"] + [f"c{k}" for k in range(len(docs.columns)) if k != at]
     blocks, found = repeated_windows(scratch, named.select(*order, F.lit(True).alias("row")), span)
-    out = found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_cut_kernel(span, at, named.columns), named.schema)
+    out = found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(over_cogroup(_cut_kernel(span, at, named.columns)), named.schema)
     return out.toDF(*docs.columns)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, crc_fold, mix, prefix_hash, ship, slices, span_hash, text_bytes
+from .common import U64, crc_fold, mix, over_batches, prefix_hash, ship, slices, span_hash, text_bytes
 from .language_id import LETTER, folded
 from .linear import Rows, logistic, sigmoid
 
@@ -243,9 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, train, *, text="text", doc_id="doc_i
         return None
     picked = marks.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_class).select("doc_id", "toxic")
     rows = base.join(F.broadcast(picked), "doc_id").select("toxic", "text")
-    counts = rows.mapInArrow(_count_kernel, "kind int, key long, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(over_batches(_count_kernel), "kind int, key long, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     voters = Voters(*_marking(counts, min(per_class, totals[1]), min(per_class, totals[0])))
-    seen = rows.mapInArrow(_see_kernel(voters), "toxic int, votes binary, columns array<long>, counts array<double>").collect()
+    seen = rows.mapInArrow(over_batches(_see_kernel(voters)), "toxic int, votes binary, columns array<long>, counts array<double>").collect()
     if not seen:
         return None
     seen = sorted((bytes(r.votes), tuple(r.columns), tuple(r.counts), r.toxic) for r in seen)
@@ -276,7 +276,7 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", carry:
     ship(docs.sparkSession)
     base = docs.select(*carry, F.col(text).alias("__text"))
     schema = ", ".join([f"`{c}` {dict(base.dtypes)[c]}" for c in carry] + ["__score double"])
-    return base.mapInArrow(_score_kernel(model, list(carry)), schema)
+    return base.mapInArrow(over_batches(_score_kernel(model, list(carry))), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, text="text", doc_id="doc_id", per_class: int = 4000) -> DataFrame:
