@@ -13,7 +13,17 @@ WORD = "[A-Za-z0-9가-힣]+"
 CONTROL_CODE = r"\b(?:ECCN-)?[0-9][A-EY][0-9]{3}[A-Za-z]?(?:\.[A-Za-z0-9]+)*\b|\b[0-9]\.[A-E](?:\.[0-9]+)?(?:\.[a-z])?(?:\.[0-9]+)?(?:\.[a-z])?(?:\.[0-9]+)?\b"
 DROP_TEXT = r"(?i)^\s*(?:\[?reserved\]?|not used since|software$|technology$|materials(?:\s*-\s*none)?$|systems, equipment and components$)\s*$"
 FRAGMENT_START = r"(?i)^\s*(?:or|and|&)\b"
-CODE_GRAMMAR = {"india_scomet_2024": r"^[0-9][A-Z][0-9]{3}[a-z]?$", "ecfr_part774": r"^ECCN-[0-9][A-EY][0-9]{3}[A-Za-z]?(?:\.[A-Za-z0-9]+)*$"}
+CODE_GRAMMAR = {
+    "wassenaar_2025": r"^[0-9]\.[A-E](?:\.[0-9]+)?(?:\.[a-z])?(?:\.[0-9]+)?(?:\.[a-z])?(?:\.[0-9]+)?$",
+    "india_scomet_2024": r"^[0-9][A-Z][0-9]{3}[a-z]?$",
+    "ecfr_part774": r"^ECCN-[0-9][A-EY][0-9]{3}[A-Za-z]?(?:\.[A-Za-z0-9]+)*$",
+}
+STUB_TEXT = r"(?i)^\s*(?:not used since\b.*|\[?\(?\s*reserved\s*\)?\]?\.?|deleted\.?)\s*$"
+STUB_MARKER = r"(?i)\(\s*see\s+(?:the\s+)?list\s+of\s+items\s+cont(?:r)?ol"
+CATEGORY_CODE = r"^[0-9]\.[A-E]$"
+CORE_CODE = r"^ECCN-(\d)([A-EY])0(\d{2})$"
+SHORT_TEXT = 150
+ACTIONABLE = ("full_text", "minimal_text")
 KEYWORDS = ("semiconductor", "integrated circuit", "microprocessor", "wafer", "display", "battery", "secondary cell", "electric vehicle", "shipbuilding", "robot", "hydrogen", "aerospace", "biotechnology", "nuclear")
 MODES = ("full_text", "minimal_text", "minimal_no_code", "route_only")
 MARK = "␞"
@@ -92,10 +102,84 @@ def quality_flags(c) -> Column:
     ))
 
 
-def drop_reason(source: str, code: str, c: str) -> Column:
-    """Why an entry is dropped (first reason that holds); null: it is kept."""
+def drop_reason(source: str, code: str, c: str, version: int = 1) -> Column:
+    """Why an entry is dropped (first reason that holds); null: it is kept.  Version 2 keeps headings and fragments."""
     t = clean_text(c)
-    return F.when((text_of(code) == "") | (t == ""), "empty_code_or_text").when(~valid_code(source, code), "invalid_code_format").when(t.rlike(DROP_TEXT), "non_control_or_reserved_heading").when(t.rlike(FRAGMENT_START) & (F.length(t) < 80), "short_fragment")
+    out = F.when((F.trim(text_of(code)) == "") | (t == ""), "empty_code_or_text").when(~valid_code(source, code), "invalid_code_format")
+    if version == 1:
+        out = out.when(t.rlike(DROP_TEXT), "non_control_or_reserved_heading").when(t.rlike(FRAGMENT_START) & (F.length(t) < 80), "short_fragment")
+    return out
+
+
+def completeness(code, c) -> Column:
+    """stub, heading_only or full."""
+    t = F.trim(text_of(c))
+    return F.when((t == "") | t.rlike(STUB_TEXT), "stub").when(text_of(code).rlike(CATEGORY_CODE), "heading_only").otherwise("full")
+
+
+def is_stub_marker(c) -> Column:
+    return text_of(c).rlike(STUB_MARKER)
+
+
+def is_stub_content(c, items: Column | None = None, heading_only: Column | None = None) -> Column:
+    """Whether the technical content is missing: no items, and only a heading, the marker or a short text."""
+    t = F.trim(text_of(c))
+    out = t.rlike(STUB_MARKER) | (F.length(t) < SHORT_TEXT)
+    if heading_only is not None:
+        out = F.coalesce(heading_only, F.lit(False)) | out
+    return out if items is None else (F.trim(text_of(items)) == "") & out
+
+
+def leak_hits(query: str, codes: Column) -> Column:
+    """Labels of what a text gives away: ``label:<code>`` for each code it names in any spelling, and the first thing shaped like a code."""
+    q = F.lower(text_of(query))
+    bare = lambda c: F.replace(c, F.lit("ECCN-"), F.lit(""))
+    spellings = lambda c: F.array(c, bare(c), F.replace(bare(c), F.lit("."), F.lit(" ")), F.replace(c, F.lit("-"), F.lit(" ")))
+    named = F.filter(codes, lambda c: F.exists(spellings(c), lambda v: (v != "") & F.contains(q, F.lower(v))))
+    shaped = F.regexp_extract(text_of(query), "(?i)" + CONTROL_CODE, 0)
+    return F.concat(F.transform(named, lambda c: F.concat(F.lit("label:"), c)), F.when(shaped != "", F.array(F.concat(F.lit("control_code_re:"), shaped))).otherwise(F.array().cast("array<string>")))
+
+
+def pattern_hits(c, patterns: list[str]) -> Column:
+    """Those of the patterns that match, in their order."""
+    return F.array_compact(F.array(*[F.when(text_of(c).rlike(p), F.lit(p)) for p in patterns]))
+
+
+def query_text(query: str, translated: str, use_translation: bool) -> Column:
+    """The translated query, where one is asked for and present."""
+    return F.coalesce(F.nullif(F.trim(text_of(translated)), F.lit("")), F.col(query)) if use_translation else F.col(query)
+
+
+def alpha_name(alpha: Column) -> Column:
+    """BM25, dense or hybrid_<alpha>."""
+    return F.when(alpha == 1.0, "BM25").when(alpha == 0.0, "dense").otherwise(F.concat(F.lit("hybrid_"), alpha.cast("string")))
+
+
+def failure_type(labels_exist: Column, lang: Column, zero_score: Column) -> Column:
+    """Why a query missed (first that holds)."""
+    out = F.when(~labels_exist, "candidate_label_missing_in_corpus").when((lang == "ko") & zero_score, "korean_query_no_match")
+    return out.when(zero_score, "zero_score_no_lexical_overlap").otherwise("candidate_label_not_in_top10")
+
+
+def is_actionable(mode: Column) -> Column:
+    """Whether what a mode returns names the item."""
+    return mode.isin(*ACTIONABLE)
+
+
+def lexical_overlap(a: Column, b: Column) -> Column:
+    """Struct of the Jaccard similarity of two token arrays, the shared tokens, and whether there are none."""
+    shared = F.array_sort(F.array_intersect(a, b))
+    return F.struct(F.round(jaccard(a, b), 4).alias("jaccard"), shared.alias("shared"), (F.size(shared) == 0).alias("void"))
+
+
+def rounded(scores: Column, places: int = 4) -> Column:
+    """Every score of an array rounded (halves away from zero, as SQL does)."""
+    return F.transform(scores, lambda x: F.round(x.cast("double"), places))
+
+
+def dig(json: str, *path: str) -> Column:
+    """The value at a path of a JSON text; null where any step is missing."""
+    return F.get_json_object(json, "$." + ".".join(path))
 
 
 def strip_control_codes(c) -> Column:

@@ -38,13 +38,18 @@ def sample_per_group(rows: DataFrame, group: str, id_col: str, most: int, seed:
 def split_by_position(rows: DataFrame, order: list[str], train: float = 0.1, val: float = 0.1) -> DataFrame:
     """Adds ``split``: the first floor(n * train) rows in the order, then floor(n * val), then the test rows.
 
-    Positions come from range-partitioned counts, not from one global window.
+    order: the name of a hash (hexadecimal text) and further names that settle
+    ties.  Rows are counted by the hash's first four digits; a row's position is
+    what the lower digits hold plus its place among its own, so no task sorts
+    more than one 65,536th of the rows.
     """
     n = rows.count()
     a, b = int(n * train), int(n * train) + int(n * val)
-    cut = rows.select(*order).orderBy(*order).limit(b) if b else rows.select(*order).limit(0)
-    placed = cut.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
-    return rows.join(placed, order, "left").withColumn("split", F.when(F.col("pos") <= a, "train").when(F.col("pos").isNotNull(), "val").otherwise("test")).drop("pos")
+    placed = rows.withColumn("cell", F.substring(order[0], 1, 4))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
+    cells = placed.groupBy("cell").agg(F.count("*").alias("c")).select("cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    placed = placed.join(cells, "cell").withColumn("pos", F.col("base") + F.row_number().over(Window.partitionBy("cell").orderBy(*order)))
+    return placed.withColumn("split", F.when(F.col("pos") <= a, "train").when(F.col("pos") <= b, "val").otherwise("test")).drop("cell", "base", "pos")
 
 
 def version_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
@@ -88,3 +93,25 @@ def substitute(queries: DataFrame, rules: DataFrame, level: int) -> DataFrame:
     own = F.filter("rules", lambda r: r["lang"].isNull() | (r["lang"] == F.col("lang")))
     done = F.aggregate(own, F.struct(F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("applied")), step)
     return queries.join(F.broadcast(packed)).select("query_id", done["text"].alias("text"), done["applied"].alias("applied"))
+
+
+def normalised(entries: DataFrame, meta: DataFrame, version: int = 2) -> DataFrame:
+    """Entries that are kept, with trimmed codes, clean texts and their source's metadata; meta: one row a source."""
+    from siftlake.functions.text import clean_text, drop_reason
+
+    kept = entries.filter(drop_reason("source", "code", "text", version).isNull())
+    return kept.withColumns({"code": F.trim("code"), "text": clean_text("text")}).join(meta, "source")
+
+
+def counts_with_examples(rows: DataFrame, keys: list[str], id_col: str, most: int) -> DataFrame:
+    """(keys, n, examples): how many rows, and the lowest ``most`` ids as text.
+
+    Examples are taken part by part before they meet, so a hot key costs
+    ``most`` ids for each of its parts.
+    """
+    part = F.pmod(F.xxhash64(id_col), F.lit(64))
+    w = Window.partitionBy(*keys, "part").orderBy(id_col)
+    some = rows.select(*keys, id_col, part.alias("part")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most)
+    listed = some.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(id_col)), 1, most).alias("ids"))
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return n.join(listed, keys).select(*keys, "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("examples"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,11 +39,32 @@ def check_claims(expected: DataFrame, actual: DataFrame, tolerance: float = 5e-4
 
 
 def first_use(rows: DataFrame, code: str, order: str) -> DataFrame:
-    """Rows whose code an earlier row (by ``order``) has already used."""
-    w = Window.partitionBy(code)
-    return rows.withColumn("first", F.min(order).over(w)).filter(F.col("first") < F.col(order)).drop("first")
+    """Rows whose code an earlier row (by ``order``) has already used; one small row a code is what is joined back."""
+    first = rows.groupBy(code).agg(F.min(order).alias("first"))
+    return rows.join(first, code).filter(F.col("first") < F.col(order)).drop("first")
 
 
-def evidence_tier(confounded, loss, equivalent):
-    """A: equivalent; B: underpowered; C: loss; D: confounded, in the order of priority D, C, A, B."""
-    return F.when(confounded, "D").when(loss, "C").when(equivalent, "A").otherwise("B")
+def gate_verdict(scored: DataFrame, most_jaccard: float, tau: float) -> DataFrame:
+    """Whether a query passes: less lexical overlap and less similarity with its answer than allowed."""
+    lexical, semantic = F.col("jaccard") < most_jaccard, F.col("cos") < tau
+    return scored.withColumns({"lexical_pass": lexical, "semantic_pass": semantic, "passed": lexical & semantic, "only_semantic": ~semantic & lexical})
+
+
+def gate_is_independent(model, evaluated: list[str]):
+    """A gate's model must not be among the evaluated ones."""
+    return ~model.isin(*evaluated)
+
+
+def bundle_violations(bundle: DataFrame, recomputed: DataFrame, depths: list[str]) -> DataFrame:
+    """(rule, model, n) of a bundle (model, retriever, query_id, hit) against vectors recomputed from the source.
+
+    anchor: hits that differ; length: vectors with another number of queries;
+    monotone: a hit at depths[0] that is lost at depths[1].
+    """
+    truth = recomputed.select("model", "retriever", "query_id", F.col("hit").alias("want"))
+    anchor = bundle.join(truth, ["model", "retriever", "query_id"]).filter("hit <> want").groupBy(F.lit("anchor").alias("rule"), "model").agg(F.count("*").alias("n"))
+    size = recomputed.select("query_id").distinct().agg(F.count("*").alias("size"))
+    length = bundle.groupBy("model", "retriever").agg(F.count("*").alias("c")).join(F.broadcast(size)).filter("c <> size").groupBy(F.lit("length").alias("rule"), "model").agg(F.count("*").alias("n"))
+    at = lambda r: F.max(F.when(F.col("retriever") == r, F.col("hit")))
+    monotone = bundle.groupBy("model", "query_id").agg(at(depths[0]).alias("a"), at(depths[1]).alias("b")).filter("a > b").groupBy(F.lit("monotone").alias("rule"), "model").agg(F.count("*").alias("n"))
+    return anchor.union(length).union(monotone)

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +93,8 @@ def dot(a: Column, b: Column) -> Column:
 def dense_scores(queries: DataFrame, vectors: DataFrame, at: int = 9) -> DataFrame:
     """(query_id, corpus_idx, score) of a stated query set against all vectors.
 
-    queries: (query_id, q), a set that fits a broadcast (checked by Spark's own
-    threshold; larger ones are sent in blocks); vectors: (corpus_idx, v).
+    queries: (query_id, q); vectors: (corpus_idx, v).  Every pair is a row, for
+    plans that need whole score ranges; ``dense_topk`` gives the best only.
     """
     return vectors.join(queries, F.lit(True)).select("query_id", "corpus_idx", F.round(dot(F.col("q"), F.col("v")), at).alias("score"))
 
@@ -103,9 +106,138 @@ def blend(lexical: DataFrame, dense: DataFrame, alphas: list[float]) -> DataFram
     return grid.select("alpha", "query_id", "corpus_idx", F.round(F.col("alpha") * F.coalesce("bm", F.lit(0.0)) + (1 - F.col("alpha")) * F.col("dn"), 9).alias("score"))
 
 
-def random_baseline(queries: DataFrame, corpus: DataFrame, k: int = 10, seed: str = "s") -> DataFrame:
-    """k pseudo-random documents per query: the lowest md5 of (seed, query, document)."""
-    h = F.md5(F.concat_ws(":", F.lit(seed), "query_id", "corpus_idx"))
-    ranked = queries.select("query_id").join(corpus.select("corpus_idx"), F.lit(True)).withColumn("h", h)
-    w = Window.partitionBy("query_id").orderBy("h", "corpus_idx")
-    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "corpus_idx", "rank")
+def _packed(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """One row for each block of vectors: ids and the matrix as bytes."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, block):
+                part = b.slice(at, block)
+                width = len(part.column(1)[0])
+                data = np.asarray(part.column(1).flatten(), np.float64)
+                if len(data) != width * part.num_rows:
+                    raise ValueError("vectors must have one length")
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([width], pa.int32())], ["ids", "data", "width"])
+
+    clean = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null and not exists(v, x -> x is null)")
+    return clean.mapInArrow(run, "ids binary, data binary, width int")
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, views: dict[str, int] | None = None, others_only: bool = False, at: int = 9, block: int = 4096) -> DataFrame:
+    """(view, query_id, corpus_idx, score, rank): the k best inner products of a stated query set against all vectors, in blocks.
+
+    queries: (query_id, q); vectors: (corpus_idx, v); views: names with how many
+    leading components count (all, if none is given).  Every block of vectors
+    meets every block of queries as two matrices and keeps k rows a query, so
+    what is shuffled is k rows for each query and block.
+    """
+    views = views or {"all": 0}
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                x, y = np.frombuffer(r["data"]).reshape(len(ids), -1), np.frombuffer(r["q_data"]).reshape(len(qids), -1)
+                for name, dims in views.items():
+                    scores = np.round(y[:, : dims or None] @ x[:, : dims or None].T, at)
+                    if others_only:
+                        scores[qids[:, None] == ids[None, :]] = -np.inf
+                    n = min(k, len(ids))
+                    least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
+                    row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                    order = np.lexsort((ids[col], -scores[row, col], row))
+                    row, col = row[order], col[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, col = row[best], col[best]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(row), pa.string()), pa.array(qids[row]), pa.array(ids[col]), pa.array(scores[row, col])], ["view", "query_id", "corpus_idx", "score"])
+
+    q = _packed(queries, "query_id", "q", 512).toDF("q_ids", "q_data", "width")
+    pairs = _packed(vectors, "corpus_idx", "v", block).join(q, "width")
+    found = pairs.select("ids", "data", "q_ids", "q_data").mapInArrow(run, "view string, query_id long, corpus_idx long, score double")
+    return found.withColumn("rank", F.row_number().over(by_rank("view", "query_id"))).filter(F.col("rank") <= k)
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, text: Column | str = "text", at: int = 9, most_queries: int = 2048) -> DataFrame:
+    """(query_id, corpus_idx, score, rank) of the k best documents of each query, with the zero fill of ``top_k``.
+
+    The index holds the queries' tokens only; documents are scored in blocks as
+    a sparse matrix of term weights against the queries' matrix and keep k rows
+    a query.  The query set goes to the workers with the code, so it is counted
+    first; above ``most_queries`` the join plan is taken, which shuffles it.
+    """
+    if queries.count() > most_queries:
+        index = bm25_index(docs.withColumn("text", text if isinstance(text, Column) else F.col(text)))
+        return top_k(bm25_scores(index, query_tokens(queries)), docs, k)
+    asked = query_tokens(queries).collect()
+    vocabulary = sorted({r.tok for r in asked})
+    qids = sorted({r.query_id for r in asked})
+    toks = docs.select("corpus_idx", tokens(text).alias("toks"))
+    n, avgdl = toks.agg(F.count("*"), F.avg(F.size("toks"))).first()
+    known = queries.sparkSession.createDataFrame([(t,) for t in vocabulary], "tok string")
+    df = {r.tok: r.df for r in toks.select(F.explode(F.array_distinct("toks")).alias("tok")).join(F.broadcast(known), "tok").groupBy("tok").agg(F.count("*").alias("df")).collect()}
+    place, row = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(qids)}
+    weight = np.zeros((len(vocabulary), len(qids)))
+    for r in asked:
+        if c := df.get(r.tok):
+            weight[place[r.tok], row[r.query_id]] = r.m * np.log((n - c + 0.5) / (c + 0.5) + 1)
+    ids, avgdl = np.array(qids, np.int64), avgdl or 1.0
+
+    def run(batches):
+        words = pa.array(vocabulary, pa.string())
+        for b in batches:
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                lists, docs_of = part.column(1), part.column(0).to_numpy()
+                length = np.diff(lists.offsets.to_numpy())
+                code = pa.compute.index_in(lists.flatten(), value_set=words)
+                doc, code = np.repeat(np.arange(part.num_rows), length), code.to_numpy(zero_copy_only=False)
+                some = ~np.isnan(code) if code.dtype.kind == "f" else np.ones(len(code), bool)
+                cell, f = np.unique(doc[some] * len(vocabulary) + code[some].astype(np.int64), return_counts=True)
+                doc, code = np.divmod(cell, len(vocabulary))
+                terms = np.zeros((part.num_rows, len(vocabulary)))
+                terms[doc, code] = f * (K1 + 1) / (f + K1 * (1 - B + B * length[doc] / avgdl))
+                scores = np.round(terms @ weight, at).T
+                m = min(k, part.num_rows)
+                least = np.partition(scores, part.num_rows - m, axis=1)[:, part.num_rows - m]
+                q, d = np.nonzero((scores >= least[:, None]) & (scores > 0))
+                order = np.lexsort((docs_of[d], -scores[q, d], q))
+                q, d = q[order], d[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, d = q[best], d[best]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs_of[d]), pa.array(scores[q, d])], ["query_id", "corpus_idx", "score"])
+
+    if not vocabulary:
+        return top_k(queries.sparkSession.createDataFrame([], "query_id long, corpus_idx long, score double"), docs, k)
+    return top_k(toks.mapInArrow(run, "query_id long, corpus_idx long, score double"), docs, k)
+
+
+def permissive(scores: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
+    """``top_k`` as it was: a query without matches gets the k lowest corpus indices at score 0."""
+    strict = top_k(scores, corpus, k)
+    low = corpus.select("corpus_idx").orderBy("corpus_idx").limit(k).agg(F.sort_array(F.collect_list("corpus_idx")).alias("low"))
+    rest = queries.select("query_id").distinct().join(strict, "query_id", "left_anti").join(F.broadcast(low)).select("query_id", F.posexplode("low").alias("pos", "corpus_idx"))
+    return strict.union(rest.select("query_id", "corpus_idx", F.lit(0.0).alias("score"), (F.col("pos") + 1).cast("int").alias("rank")))
+
+
+def hashed_vectors(rows: DataFrame, key: str, text: Column, dims: int = 64, prefix: str = "") -> DataFrame:
+    """(key, bucket, weight): unit-length vectors of hashed token counts, a stand-in where no encoder is at hand; prefix: put before every text."""
+    toks = rows.select(key, F.explode(tokens(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))))).alias("tok"))
+    bucket = F.pmod(F.conv(F.substring(F.md5("tok"), 1, 8), 16, 10).cast("long"), F.lit(dims))
+    counts = toks.groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("c"))
+    norm = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c")).cast("double")).alias("norm"))
+    return counts.join(norm, key).select(key, "bucket", (F.col("c") / F.col("norm")).alias("weight"))
+
+
+def sampled(queries: DataFrame, n: int, k: int, seed: str = "s", gold: DataFrame | None = None) -> DataFrame:
+    """(query_id, corpus_idx, rank): k documents of positions 0..n-1 for each query, drawn without replacement by hash.
+
+    gold: (query_id, corpus_idx) that must not be drawn.  Three draws are made
+    for each one wanted, so nothing of the corpus is touched.
+    """
+    draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "query_id", "j")), 1, 8), 16, 10).cast("long"), F.lit(n))
+    d = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(3 * k - 1))).alias("j")).withColumn("corpus_idx", draw)
+    d = d.groupBy("query_id", "corpus_idx").agg(F.min("j").alias("j"))
+    if gold is not None:
+        d = d.join(gold.select("query_id", "corpus_idx").distinct(), ["query_id", "corpus_idx"], "left_anti")
+    w = Window.partitionBy("query_id").orderBy("j")
+    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "corpus_idx", "rank")

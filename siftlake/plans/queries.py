@@ -14,7 +14,6 @@ from siftlake.operators import corpus as C
 from siftlake.operators import integrity as I
 from siftlake.operators import metrics as M
 from siftlake.operators import retrieval as R
-from siftlake.operators import spans as P
 from siftlake.operators import stats as S
 from siftlake.sources.tables import corpus, table
 
@@ -48,11 +47,12 @@ def first(x: str) -> str:
     return f"trim(substr(CASE WHEN length({p}[1]) < 80 AND len({p}) > 1 THEN {p}[1] || ' ' || {p}[2] ELSE {p}[1] END, 1, 260))"
 
 
-CODE = r"(?i)\b(?:ECCN-)?[0-9][A-EY][0-9]{3}[A-Za-z]?(?:\.[A-Za-z0-9]+)*\b|(?i)\b[0-9]\.[A-E](?:\.[0-9]+)?(?:\.[a-z])?(?:\.[0-9]+)?(?:\.[a-z])?(?:\.[0-9]+)?\b"
+CODE = "(?i)(?:" + T.CONTROL_CODE + ")"
 CLEAN = f"regexp_replace({col('text')}, '\\s+([,.;:])', '\\1', 'g')"
 CORPUS = """
-c AS (SELECT doc_id AS corpus_idx, 'ECCN-' || (doc_id % 10) || substr('ABCDE', CAST(doc_id % 5 + 1 AS INTEGER), 1) || lpad(CAST(doc_id % 400 AS VARCHAR), 3, '0') AS code, text,
-  CASE doc_id % 3 WHEN 0 THEN 'ecfr_part774' WHEN 1 THEN 'india_scomet_2024' ELSE 'wassenaar_2025' END AS source, source AS control_system, lang AS official_route, lang FROM documents)"""
+c AS (SELECT doc_id AS corpus_idx, CASE doc_id % 3 WHEN 0 THEN 'ECCN-' || (doc_id % 10) || substr('ABCDE', CAST(doc_id % 5 + 1 AS INTEGER), 1) || lpad(CAST(doc_id % 400 AS VARCHAR), 3, '0')
+  WHEN 1 THEN '8' || substr('ABCDE', CAST(doc_id % 5 + 1 AS INTEGER), 1) || (doc_id % 10) || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') ELSE (doc_id % 10) || '.' || substr('ABCDE', CAST(doc_id % 5 + 1 AS INTEGER), 1) || '.' || (doc_id % 100) END AS code, text,
+  CASE doc_id % 3 WHEN 0 THEN 'ecfr_part774' WHEN 1 THEN 'india_scomet_2024' ELSE 'wassenaar_2025' END AS source, source AS control_system, lang AS official_route FROM documents)"""
 BM25 = f"""
 d AS (SELECT doc_id, {tok('text')} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 tf AS (SELECT doc_id, tok, any_value(dl) AS dl, count(*) AS f FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS tok FROM d) GROUP BY 1, 2),
@@ -118,15 +118,6 @@ def p3_p8_index_and_returned_text(spark, d):
 KEYS = " OR ".join(f"contains(lower(text), '{k}')" for k in T.KEYWORDS)
 
 
-@query(f"""WITH {CORPUS}, x AS (SELECT *, {CLEAN} AS t FROM c)
-SELECT corpus_idx, md5(t) AS clean_md5, CASE source WHEN 'ecfr_part774' THEN regexp_matches(code, '^ECCN-[0-9][A-EY][0-9]{{3}}[A-Za-z]?(?:\\.[A-Za-z0-9]+)*$') WHEN 'india_scomet_2024' THEN regexp_matches(code, '^[0-9][A-Z][0-9]{{3}}[a-z]?$') ELSE false END AS code_ok,
-array_to_string(list_filter([CASE WHEN length(text) < 40 THEN 'short_text' END, CASE WHEN regexp_matches(text, '(?i)^\\s*(?:or|and|&)\\b') THEN 'possible_fragment' END, CASE WHEN regexp_matches(text, '{CODE}') THEN 'contains_cross_reference' END, CASE WHEN {KEYS} THEN 'possible_national_core_technology_review' END], lambda z: z IS NOT NULL), ',') AS flags,
-CASE WHEN t = '' THEN 'empty_code_or_text' WHEN NOT (CASE source WHEN 'ecfr_part774' THEN true ELSE false END) THEN 'invalid_code_format' WHEN regexp_matches(t, '(?i)^\\s*(?:or|and|&)\\b') AND length(t) < 80 THEN 'short_fragment' END AS drop_reason FROM x""")
-def p9_p12_clean_flags_drop(spark, d):
-    c = corpus(spark, d)
-    return c.select("corpus_idx", F.md5(T.clean_text("text")).alias("clean_md5"), T.valid_code("source", "code").alias("code_ok"), F.array_join(T.quality_flags("text"), ",").alias("flags"), T.drop_reason("source", "code", "text").alias("drop_reason"))
-
-
 STRIPPED = f"""trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{CODE}', ' ', 'g'), '(?i)\\b(?:ECCN|SCOMET|Wassenaar)\\b', ' ', 'g'), '\\s+', ' ', 'g'), ' ;,.-')"""
 
 
@@ -185,8 +176,7 @@ def r3_vocabulary_overlap(spark, d):
 
 @query(f"WITH {BM25} SELECT query_id, corpus_idx, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10")
 def r7_bm25_topk(spark, d):
-    docs, _, _, scores = _bm25(spark, d)
-    return R.top_k(scores, docs, 10).select("query_id", "corpus_idx", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    return R.bm25_topk(corpus(spark, d), _benchmark(spark, d), 10).select("query_id", "corpus_idx", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"""WITH {BM25}, n AS (SELECT query_id, max(score) AS hi, CASE WHEN count(*) < any_value(s.n) THEN least(0, min(score)) ELSE min(score) END AS lo FROM sc, s GROUP BY 1)
@@ -198,7 +188,10 @@ def r8_minmax(spark, d):
 
 @query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_idx) AS rank FROM dn) SELECT query_id, corpus_idx, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def r12_dense_topk(spark, d):
-    return _dense(spark, d).withColumn("rank", F.row_number().over(R.by_rank("query_id"))).filter("rank <= 10").select("query_id", "corpus_idx", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    v = table(spark, d, "embeddings")
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    best = R.dense_topk(q, v.select(F.col("vec_id").alias("corpus_idx"), F.col("embedding").alias("v")), 10)
+    return best.select("query_id", "corpus_idx", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 HYBRID = f"""{DENSE}, qd AS (SELECT doc_id AS query_id, {first('text')} AS text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)),
@@ -240,9 +233,10 @@ def r9_r13_hybrid_topk(spark, d):
     return _hybrid(spark, d).withColumn("rank", F.row_number().over(R.by_rank("alpha", "query_id"))).filter("rank <= 10").select("alpha", "query_id", "corpus_idx", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-@query("WITH r AS (SELECT item_id AS query_id, doc_id AS corpus_idx, row_number() OVER (PARTITION BY item_id ORDER BY md5('s:' || item_id || ':' || doc_id), doc_id) AS rank FROM benchmark, documents) SELECT query_id, corpus_idx, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+@query("WITH d AS (SELECT item_id AS query_id, CAST('0x' || substr(md5('s:' || item_id || ':' || j), 1, 8) AS BIGINT) % (SELECT count(*) FROM documents) AS corpus_idx, min(j) AS j FROM benchmark, range(30) r(j) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY j) AS rank FROM d) SELECT query_id, corpus_idx, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def r14_random_baseline(spark, d):
-    return R.random_baseline(_benchmark(spark, d), corpus(spark, d)).select("query_id", "corpus_idx", F.col("rank").cast("int").alias("rank"))
+    """Ten documents a query, drawn by position (ids run from 0 without gaps)."""
+    return R.sampled(_benchmark(spark, d), corpus(spark, d).count(), 10).select("query_id", "corpus_idx", F.col("rank").cast("int").alias("rank"))
 
 
 # ---------------------------------------------------------------- metrics
@@ -252,8 +246,8 @@ def r14_random_baseline(spark, d):
 SELECT count(*) AS n, round(avg(CASE WHEN hit_rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN hit_rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN hit_rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(CASE WHEN hit_rank <= 20 THEN 1.0 ELSE 0 END), 6) AS recall_20,
 round(avg(coalesce(1.0 / hit_rank, 0)), 6) AS mrr, round(avg(CASE WHEN hit_rank <= 10 THEN 1.0 / log2(hit_rank + 1.0) ELSE 0 END), 6) AS ndcg_10 FROM h""")
 def a1_rank_metrics(spark, d):
-    docs, _, _, scores = _bm25(spark, d)
-    return M.rank_metrics(M.first_hit(R.top_k(scores, docs, 100), _gold(spark, d), _benchmark(spark, d)))
+    q = _benchmark(spark, d)
+    return M.rank_metrics(M.first_hit(R.bm25_topk(corpus(spark, d), q, 100), _gold(spark, d), q))
 
 
 @query("SELECT source, lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY GROUPING SETS ((source, lang), (source), (lang), ())")
@@ -287,10 +281,10 @@ def a7_percentile_floor(spark, d):
     return _dense(spark, d).agg(M.percentile_floor(F.col("score"), 0.1).alias("p10"), M.percentile_floor(F.col("score"), 0.9).alias("p90"))
 
 
-@query("SELECT code, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM (SELECT doc_id, md5(text) AS code FROM documents) GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT code, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:50], ',') AS examples FROM (SELECT doc_id, md5(text) AS code FROM documents) GROUP BY 1 HAVING count(*) > 1")
 def a10_reused_codes(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("code"))
-    return docs.groupBy("code").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids")).filter("n > 1")
+    return C.counts_with_examples(docs, ["code"], "doc_id", 50).filter("n > 1")
 
 
 CELLS = f"""m AS (SELECT unnest(['full_text', 'minimal_text', 'minimal_no_code']) AS mode), e AS (SELECT corpus_idx, mode, length(CASE mode WHEN 'full_text' THEN code || ' ' || text WHEN 'minimal_text' THEN code || ' ' || {first('text')} ELSE {first('text')} END) AS chars FROM c, m),
@@ -303,8 +297,8 @@ def a17_exposure_cells(spark, d):
 
 
 def _cells(spark, d) -> DataFrame:
-    docs, _, _, scores = _bm25(spark, d)
-    best = R.top_k(scores, docs, 10)
+    docs = corpus(spark, d)
+    best = R.bm25_topk(docs, _benchmark(spark, d), 10)
     e = docs.join(best.select("corpus_idx").distinct(), "corpus_idx", "left_semi").withColumn("return_mode", F.explode(F.array(*map(F.lit, T.MODES[:3])))).select("corpus_idx", "return_mode", T.exposure_chars(F.col("return_mode")).alias("chars"))
     return best.join(e, "corpus_idx").groupBy("return_mode", F.col("rank").cast("int").alias("depth")).agg(F.round(F.avg("chars"), 4).alias("exposure"))
 
@@ -339,9 +333,13 @@ def s5_w8_assemble_lines(spark, d):
     return C.assemble_lines(table(spark, d, "documents"), "doc_id", "text", F.length("line") < 60).select("doc_id", "entry", "n_lines", F.md5("text").alias("text_md5"))
 
 
-@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS pos FROM documents) SELECT doc_id, source, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= 26")
-def o3_sample_per_group(spark, d):
-    return C.sample_per_group(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 26, "42").select("doc_id", "source", F.col("pos").cast("int").alias("pos"))
+@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS pos FROM documents)
+SELECT doc_id, source, CAST(pos AS INTEGER) AS pos, CASE WHEN pos % 2 = 1 THEN 'ko' ELSE 'en' END AS lang, CAST(CAST('0x' || substr(md5('t:' || doc_id), 1, 8) AS BIGINT) % 5 AS INTEGER) AS template FROM r WHERE pos <= 260""")
+def o3_generated_queries(spark, d):
+    """At most 260 rows a source in a seeded order, Korean and English in turn, each with one of five templates."""
+    out = C.sample_per_group(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 260, "42")
+    template = S.draw(F.lit(5), F.lit("t"), F.col("doc_id").cast("string")).cast("int")
+    return out.select("doc_id", "source", F.col("pos").cast("int").alias("pos"), F.when(F.col("pos") % 2 == 1, "ko").otherwise("en").alias("lang"), template.alias("template"))
 
 
 @query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN pos <= floor(n * 0.1) THEN 'train' WHEN pos <= 2 * floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r")
@@ -376,15 +374,6 @@ def u3_mcnemar(spark, d):
     return S.mcnemar(pairs, "alpha").select("alpha", "wins", "losses", "ties", F.round("p_two_sided", 6).alias("p_two_sided"))
 
 
-@query(f"""WITH {HYBRID}, p AS (SELECT a.alpha, CAST(a.hit - b.hit AS DOUBLE) AS d FROM hits a JOIN hits b ON b.query_id = a.query_id AND b.alpha = 0.0 WHERE a.alpha > 0),
-st AS (SELECT alpha, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM p GROUP BY 1)
-SELECT alpha, delta, n, round(m, 6) AS m, CASE WHEN n >= 2 AND sd > 0 AND abs(m) < delta THEN CAST(ceil(((1.6448536269514722 + 0.8416212335729143) * sd / (delta - abs(m))) ** 2) AS BIGINT) END AS n_required FROM st, (SELECT unnest([0.05, 0.1, 0.15]::DOUBLE[]) AS delta)""")
-def u5_u6_equivalence(spark, d):
-    h = _hits(spark, d)
-    pairs = h.filter("alpha > 0").join(h.filter("alpha = 0").select("query_id", F.col("hit").alias("b")), "query_id").select("alpha", (F.col("hit") - F.col("b")).cast("double").alias("d"))
-    return S.tost(pairs, [0.05, 0.1, 0.15], "alpha").select("alpha", "delta", "n", F.round("m", 6).alias("m"), "n_required")
-
-
 @query("""WITH p AS (SELECT source AS name, lang AS family, (abs(hash_n) % 997 + 1) / 20000.0 AS p FROM (SELECT source, lang, count(*) * 37 AS hash_n FROM documents GROUP BY 1, 2)),
 r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, name) AS i, count(*) OVER (PARTITION BY family) AS k FROM p),
 a AS (SELECT *, max(least(1.0, p * (k - i + 1))) OVER (PARTITION BY family ORDER BY i) AS adj FROM r)
@@ -402,36 +391,17 @@ def u11_boundary(spark, d):
 
 
 @query(f"""WITH {HYBRID}, h AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, CAST(hit AS DOUBLE) AS d, count(*) OVER () AS n FROM hits WHERE alpha = 0.5),
-p AS (SELECT it, CAST('0x' || substr(md5('20260626:' || it || ':' || j), 1, 8) AS BIGINT) % (SELECT max(n) FROM h) AS i FROM range(200) a(it), range((SELECT CAST(max(n) AS BIGINT) FROM h)) b(j)),
+p AS (SELECT it, CAST('0x' || substr(md5('20260626:' || it || ':' || j), 1, 8) AS BIGINT) % (SELECT max(n) FROM h) AS i FROM range(20000) a(it), range((SELECT CAST(max(n) AS BIGINT) FROM h)) b(j)),
 m AS (SELECT it, avg(d) AS m FROM p JOIN h USING (i) GROUP BY 1) SELECT count(*) AS iters, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def u1_o5_hash_bootstrap(spark, d):
     h = _hits(spark, d).filter("alpha = 0.5").select("query_id", F.col("hit").cast("double").alias("d"))
     h = h.withColumn("i", F.row_number().over(Window.orderBy("query_id")) - 1)  # one row per query of the stated set
-    return S.hash_bootstrap(h, 200)
-
-
-@query(None)
-def u2_u4_clopper_pearson(spark, d):
-    c = table(spark, d, "labels").groupBy("quality").agg(F.sum("toxic").cast("long").alias("k"), F.count("*").alias("n"))
-    ci = S.clopper_pearson(F.col("k"), F.col("n"))
-    return c.select("quality", "k", "n", F.round(ci["lo"], 4).alias("lo"), F.round(ci["hi"], 4).alias("hi"))
+    return S.hash_bootstrap(h, 20_000)
 
 
 # ---------------------------------------------------------------- ablation and ladders
 
 
-@query(f"""WITH {BM25}, qt AS (SELECT query_id, tok, idf, row_number() OVER (PARTITION BY query_id ORDER BY round(idf, 9) DESC, tok) AS k FROM q JOIN idf USING (tok)),
-keep AS (SELECT q.query_id, q.tok, q.m FROM q LEFT JOIN (SELECT query_id, tok FROM qt WHERE k <= 5) x USING (query_id, tok) WHERE x.tok IS NULL),
-s2 AS (SELECT query_id, doc_id AS corpus_idx, round(sum(m * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM keep JOIN idf USING (tok) JOIN tf USING (tok), s GROUP BY 1, 2),
-r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_idx) AS rank FROM s2) SELECT query_id, corpus_idx, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r2 WHERE rank <= 10""")
-def r21_r23_token_ablation(spark, d):
-    docs, index, q, _ = _bm25(spark, d)
-    w = Window.partitionBy("query_id").orderBy(F.desc("w"), "tok")
-    gone = q.join(index.idf, "tok").withColumn("w", F.round("idf", 9)).withColumn("k", F.row_number().over(w)).filter("k <= 5").select("query_id", "tok")
-    best = R.top_k(R.bm25_scores(index, q.join(gone, ["query_id", "tok"], "left_anti")), docs, 10)
-    return best.select("query_id", "corpus_idx", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
-
-
 @query("SELECT item_id AS query_id, trim(regexp_replace(replace(replace(text, 'tion', '<1>'), 'the', '<2>'), '\\s+', ' ', 'g')) AS text, CAST(contains(text, 'tion') AS INTEGER) + CAST(contains(replace(text, 'tion', '<1>'), 'the') AS INTEGER) AS applied FROM benchmark")
 def r25_substitution(spark, d):
     rules = spark.createDataFrame([(1, None, "tion", "<1>"), (1, "en", "the", "<2>"), (1, "ko", "a", "<3>"), (2, None, "e", "<4>")], "tier int, lang string, phrase string, hypernym string")
@@ -469,15 +439,6 @@ def s11_render_html(spark, d):
     return table(spark, d, "pages").withColumn("t", T.collapse(t)).select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
-@query("""WITH c AS (SELECT source, CAST(count(*) AS DOUBLE) AS actual, CASE WHEN source < 'src15' THEN 50.0 WHEN source < 'src3' THEN NULL ELSE 49.0 END AS expected FROM documents GROUP BY 1)
-SELECT source, actual, expected, CASE WHEN expected IS NULL THEN 'SKIP' WHEN abs(actual - expected) <= 0.5 THEN 'OK' ELSE 'MISMATCH' END AS status FROM c""")
-def g13_claims(spark, d):
-    c = table(spark, d, "documents").groupBy("source").agg(F.count("*").cast("double").alias("actual"))
-    expected = F.when(F.col("source") < "src15", 50.0).when(F.col("source") < "src3", F.lit(None)).otherwise(49.0)
-    status = F.when(F.col("expected").isNull(), "SKIP").when(F.abs(F.col("actual") - F.col("expected")) <= 0.5, "OK").otherwise("MISMATCH")
-    return c.withColumn("expected", expected).withColumn("status", status)
-
-
 # ---------------------------------------------------------------- audits and integrity
 
 
@@ -494,44 +455,36 @@ def g8_shard_checks(spark, d):
 
 
 @query(f"""WITH {HYBRID}, p AS (SELECT a.query_id, a.hit - b.hit AS d FROM hits a JOIN hits b USING (query_id) WHERE a.alpha = 1.0 AND b.alpha = 0.0),
-o AS (SELECT abs(avg(d)) AS m FROM p), f AS (SELECT it, abs(avg(CASE WHEN CAST('0x' || substr(md5('123:' || it || ':' || query_id), 1, 8) AS BIGINT) % 2 = 0 THEN d ELSE -d END)) AS m FROM p, range(300) r(it) GROUP BY 1)
+o AS (SELECT abs(avg(d)) AS m FROM p), f AS (SELECT it, abs(avg(CASE WHEN CAST('0x' || substr(md5('123:' || it || ':' || query_id), 1, 8) AS BIGINT) % 2 = 0 THEN d ELSE -d END)) AS m FROM p, range(2000) r(it) GROUP BY 1)
 SELECT round(any_value(o.m), 6) AS observed, count(*) AS draws, round((count(*) FILTER (WHERE f.m >= o.m - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM f, o""")
 def u8_permutation(spark, d):
     h = _hits(spark, d)
     pairs = h.filter("alpha = 1.0").join(h.filter("alpha = 0").select("query_id", F.col("hit").alias("b")), "query_id").select("query_id", (F.col("hit") - F.col("b")).alias("d"))
-    return S.sign_flip(pairs, 300)
+    return S.sign_flip(pairs, 2_000)
 
 
-@query(f"""WITH {BM25}, {GOLD}, one AS (SELECT query_id, min(corpus_idx) AS corpus_idx FROM gold GROUP BY 1), same AS (SELECT o.query_id, d.doc_id AS corpus_idx FROM one o JOIN documents a ON a.doc_id = o.corpus_idx JOIN documents d ON d.source = a.source),
-g AS (SELECT 'any' AS view, * FROM gold UNION ALL SELECT 'first', * FROM one UNION ALL SELECT 'source', * FROM same),
+@query(f"""WITH {BM25}, {GOLD}, one AS (SELECT query_id, min(corpus_idx) AS corpus_idx FROM gold GROUP BY 1),
+nx AS (SELECT query_id, corpus_idx + 1 AS corpus_idx FROM gold), tw AS (SELECT query_id, corpus_idx + 2 AS corpus_idx FROM gold),
+g AS (SELECT 'original' AS view, * FROM gold UNION ALL SELECT 'primary_only', * FROM one UNION ALL SELECT 'with_equivalent_strict', * FROM (SELECT * FROM gold UNION SELECT * FROM nx) UNION ALL SELECT 'with_equivalent', * FROM (SELECT * FROM gold UNION SELECT * FROM nx UNION SELECT * FROM tw) UNION ALL SELECT 'equivalent_only', * FROM (SELECT * FROM nx EXCEPT SELECT * FROM gold)),
 h AS (SELECT view, query_id, max(CASE WHEN rk.rank <= 10 THEN 1 ELSE 0 END) AS hit FROM g LEFT JOIN rk USING (query_id, corpus_idx) GROUP BY 1, 2)
 SELECT view, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 6) AS recall FROM h GROUP BY 1""")
 def u16_recall_by_label_view(spark, d):
-    docs, _, _, scores = _bm25(spark, d)
-    top = R.top_k(scores, docs, 10)
-    gold = _gold(spark, d)
-    one = gold.groupBy("query_id").agg(F.min("corpus_idx").alias("corpus_idx"))
-    src = table(spark, d, "documents").select("doc_id", "source")
-    same = one.join(src.withColumnRenamed("doc_id", "corpus_idx"), "corpus_idx").select("query_id", "source").join(src, "source").select("query_id", F.col("doc_id").alias("corpus_idx"))
-    views = gold.withColumn("view", F.lit("any")).unionByName(one.withColumn("view", F.lit("first"))).unionByName(same.withColumn("view", F.lit("source")))
-    hit = views.join(top.select("query_id", "corpus_idx", F.lit(1).alias("in_top")), ["query_id", "corpus_idx"], "left").groupBy("view", "query_id").agg(F.max(F.coalesce("in_top", F.lit(0))).alias("hit"))
+    """Recall of one ranking under five definitions of gold; the next two documents stand for strict and other equivalents."""
+    q, gold = _benchmark(spark, d), _gold(spark, d).distinct()
+    top = R.bm25_topk(corpus(spark, d), q, 10)
+    after = lambda k: gold.select("query_id", (F.col("corpus_idx") + k).alias("corpus_idx"))
+    views = {
+        "original": gold, "primary_only": gold.groupBy("query_id").agg(F.min("corpus_idx").alias("corpus_idx")), "with_equivalent_strict": gold.union(after(1)).distinct(),
+        "with_equivalent": gold.union(after(1)).union(after(2)).distinct(), "equivalent_only": after(1).join(gold, ["query_id", "corpus_idx"], "left_anti"),
+    }
+    rows = None
+    for name, v in views.items():
+        part = v.withColumn("view", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    hit = rows.join(top.select("query_id", "corpus_idx", F.lit(1).alias("in_top")), ["query_id", "corpus_idx"], "left").groupBy("view", "query_id").agg(F.max(F.coalesce("in_top", F.lit(0))).alias("hit"))
     return hit.groupBy("view").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("hits"), F.round(F.avg("hit"), 6).alias("recall"))
 
 
-@query(f"""WITH {HYBRID}, r AS (SELECT alpha, avg(hit) AS recall, row_number() OVER (ORDER BY alpha DESC) AS level FROM hits GROUP BY 1),
-t AS (SELECT *, lag(recall) OVER (ORDER BY level) AS before, max(recall) OVER () AS best FROM r)
-SELECT alpha, CAST(level AS INTEGER) AS level, round(recall, 6) AS recall, CASE WHEN level = 1 THEN 'D' WHEN before IS NOT NULL AND recall < before THEN 'C' WHEN recall >= best - 0.05 THEN 'A' ELSE 'B' END AS tier,
-CAST(min(CASE WHEN before IS NOT NULL AND recall < before THEN 0 ELSE 1 END) OVER (ORDER BY level) AS INTEGER) AS open FROM t""")
-def u14_w5_w6_evidence_tiers(spark, d):
-    r = _hits(spark, d).groupBy("alpha").agg(F.avg("hit").alias("recall"))
-    w = Window.orderBy(F.desc("alpha"))  # one row per level of a stated ladder
-    t = r.withColumns({"level": F.row_number().over(w), "before": F.lag("recall").over(w), "best": F.max("recall").over(Window.partitionBy())})
-    loss = F.coalesce(F.col("recall") < F.col("before"), F.lit(False))
-    tier = I.evidence_tier(F.col("level") == 1, loss, F.col("recall") >= F.col("best") - 0.05)
-    open_ = F.min(F.when(loss, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return t.select("alpha", F.col("level").cast("int").alias("level"), F.round("recall", 6).alias("recall"), tier.alias("tier"), open_.cast("int").alias("open"))
-
-
 @query("""WITH g AS (SELECT doc_id, md5(text) AS code FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY code) AS first FROM g) SELECT doc_id, code FROM f WHERE first < doc_id""")
 def w9_first_use(spark, d):
     return I.first_use(table(spark, d, "documents").select("doc_id", F.md5("text").alias("code")), "code", "doc_id")
@@ -551,18 +504,3 @@ def j14_conditional_overwrite(spark, d):
     c = corpus(spark, d)
     new = c.filter("source = 'ecfr_part774' and corpus_idx % 2 = 0").select("corpus_idx", T.first_sentence("text").alias("body"))
     return c.join(new, "corpus_idx", "left").select("corpus_idx", F.md5(F.coalesce("body", "text")).alias("body_md5"), F.col("body").isNotNull().alias("replaced"))
-
-
-@query("""WITH e AS (SELECT l.doc_id AS a, d.doc_id AS b, CASE WHEN l.quality = 1 THEN 'equivalent' ELSE 'broader' END AS relation FROM labels l JOIN documents x USING (doc_id) JOIN documents d ON d.source = x.source AND d.lang = x.lang AND d.doc_id <> x.doc_id)
-SELECT a, count(*) AS n, array_to_string(list_sort(list(DISTINCT b)), ',') AS labels FROM (SELECT a, b FROM e WHERE relation = 'equivalent' UNION SELECT a, a FROM e) GROUP BY 1""")
-def j9_t5_equivalence_expansion(spark, d):
-    docs, lab = table(spark, d, "documents").select("doc_id", "source", "lang"), table(spark, d, "labels")
-    x = lab.join(docs, "doc_id").select(F.col("doc_id").alias("a"), "source", "lang", F.when(F.col("quality") == 1, "equivalent").otherwise("broader").alias("relation"))
-    e = x.join(docs, ["source", "lang"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"), "relation")
-    all_ = e.filter("relation = 'equivalent'").select("a", "b").union(e.select("a", F.col("a").alias("b"))).distinct()
-    return all_.groupBy("a").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("b")).cast("array<string>"), ",").alias("labels"))
-
-
-@query(None)
-def d2_d3_spans(spark, d):
-    return P.measure(table(spark, d, "documents"), "doc_id", "text", {"licence": ["rights reserved", "license"], "contact": ["token", "phone"]})

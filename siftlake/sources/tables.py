@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import platform
+import sys
+
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +35,18 @@ def first_present(spark: SparkSession, full: str, smoke: str, schema) -> DataFra
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` in the role of the corpus: corpus_idx, code, text, source, control_system, official_route, lang."""
+    """``documents`` in the role of the corpus: corpus_idx, code, text, source, control_system, official_route, lang.
+
+    Sources alternate by id; each has codes of its own grammar.
+    """
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
+    digit = lambda n: F.pmod(i, F.lit(n)).cast("string")
     letter = F.substring(F.lit("ABCDE"), (F.pmod(i, F.lit(5)) + 1).cast("int"), F.lit(1))
-    code = F.concat(F.lit("ECCN-"), F.pmod(i, F.lit(10)).cast("string"), letter, F.lpad(F.pmod(i, F.lit(400)).cast("string"), 3, "0"))
-    return d.select(i.alias("corpus_idx"), code.alias("code"), "text", F.when(F.pmod(i, F.lit(3)) == 0, "ecfr_part774").when(F.pmod(i, F.lit(3)) == 1, "india_scomet_2024").otherwise("wassenaar_2025").alias("source"), F.col("source").alias("control_system"), F.col("lang").alias("official_route"), "lang")
+    source = F.when(F.pmod(i, F.lit(3)) == 0, "ecfr_part774").when(F.pmod(i, F.lit(3)) == 1, "india_scomet_2024").otherwise("wassenaar_2025")
+    code = F.when(F.pmod(i, F.lit(3)) == 0, F.concat(F.lit("ECCN-"), digit(10), letter, F.lpad(digit(400), 3, "0")))
+    code = code.when(F.pmod(i, F.lit(3)) == 1, F.concat(F.lit("8"), letter, digit(10), F.lpad(digit(100), 2, "0"))).otherwise(F.concat(digit(10), F.lit("."), letter, F.lit("."), digit(100)))
+    return d.select(i.alias("corpus_idx"), code.alias("code"), "text", source.alias("source"), F.col("source").alias("control_system"), F.col("lang").alias("official_route"), "lang")
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
@@ -57,3 +68,143 @@ def verify_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
     m = manifest.select("path", F.col("sha256").alias("expected"))
     status = F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") == F.col("expected"), "ok").otherwise("drifted")
     return m.join(found.select("path", "sha256"), "path", "left").select("path", status.alias("status"))
+
+
+def verified(spark: SparkSession, glob: str, manifest: DataFrame) -> DataFrame:
+    """(path, expected, sha256, bytes, status) of registered files and of those found but not registered."""
+    m = manifest.select("path", F.col("sha256").alias("expected"))
+    status = F.when(F.col("expected").isNull(), "unregistered").when(F.col("sha256").isNull(), "missing").when(F.col("sha256") == F.col("expected"), "ok").otherwise("drifted")
+    return m.join(file_hashes(spark, glob), "path", "full_outer").withColumn("status", status)
+
+
+def guarded_copy(spark: SparkSession, content: bytes, path: str, expected_sha256: str) -> bool:
+    """Writes fetched bytes only if their hash is the registered one; a drifted source leaves the file as it is."""
+    import hashlib
+
+    if hashlib.sha256(content).hexdigest() != expected_sha256:
+        return False
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = jvm.org.apache.hadoop.fs.Path(path + ".part")
+    out = files.create(part, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    files.delete(p, False)
+    return files.rename(part, p)
+
+
+def pages(spark: SparkSession, glob: str, extract, cache: str | None = None) -> DataFrame:
+    """(path, page, text) of files whose pages ``extract`` (bytes -> list of texts) gives; read from the cache if there is one, else written to it."""
+    if cache and exists(spark, cache):
+        return spark.read.parquet(cache)
+
+    def run(batches):
+        for b in batches:
+            rows = [(p, k + 1, t) for p, c in zip(b["path"], b["content"], strict=True) for k, t in enumerate(extract(c))]
+            yield type(b)(rows, columns=["path", "page", "text"])
+
+    out = spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, "path string, page int, text string")
+    if not cache:
+        return out
+    out.write.parquet(cache)
+    return spark.read.parquet(cache)
+
+
+def latest_date(versions: DataFrame, title: int) -> DataFrame:
+    """(title, latest): the newest date (as text) of a title in a list of versions (title, date); null dates count as none."""
+    return versions.filter(F.col("title") == title).groupBy("title").agg(F.max("date").alias("latest"))
+
+
+def shards(spark: SparkSession, glob: str, schema) -> DataFrame:
+    """All JSON shards of a folder with the file each row is from."""
+    return spark.read.schema(schema).option("multiLine", True).json(glob).withColumn("shard", F.input_file_name())
+
+
+def merged_shards(all_rows: DataFrame, anchor: str = "BM25", override: bool = False) -> DataFrame:
+    """Rows of (model, retriever, query_id, hit): merged, if all models agree on the query ids and on the anchor's hits.
+
+    A difference in ids is an error always, one in the anchor unless it is overridden.
+    """
+    models = all_rows.select("model").distinct().count()
+    ids = all_rows.select("model", "query_id").distinct().groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") < models)
+    if not ids.isEmpty():
+        raise ValueError("query ids differ between shards")
+    odd = all_rows.filter(F.col("retriever") == anchor).groupBy("query_id").agg(F.min("hit").alias("a"), F.max("hit").alias("b")).filter("a <> b")
+    if not override and not odd.isEmpty():
+        raise ValueError(f"{anchor} vectors differ between shards")
+    return all_rows.dropDuplicates(["model", "retriever", "query_id"])
+
+
+def environment(spark: SparkSession, **extra) -> DataFrame:
+    """One row of versions and whatever else describes a run, as text."""
+    found = {"python": sys.version.split()[0], "platform": platform.platform(), "pyspark": pyspark.__version__, "spark": spark.version, **{k: json.dumps(v) if not isinstance(v, str) else v for k, v in extra.items()}}
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"`{k}` string" for k in found))
+
+
+def describe(rows: DataFrame, key: str, id_col: str, text: str) -> DataFrame:
+    """(key, n, chars, digest): what a manifest records of a version; the digest does not depend on the order of rows."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), text)), 1, 8), 16, 10).cast("long")
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"), F.bit_xor(h).alias("digest"))
+
+
+class Versions:
+    """Versions of a table in one folder: numbered parts, and a manifest that names the active one.
+
+    A version is written whole before the manifest names it; the version before
+    stays where it is, so that a swap can be taken back.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _manifest(self) -> list:
+        path = f"{self.folder}/manifest"
+        return sorted(self.spark.read.parquet(path).collect(), key=lambda r: r.step) if exists(self.spark, path) else []
+
+    def active(self) -> str | None:
+        steps = self._manifest()
+        return steps[-1].version if steps else None
+
+    def _name(self, version: str, action: str) -> None:
+        step = len(self._manifest())
+        self.spark.createDataFrame([(step, version, action)], "step long, version string, action string").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+
+    def adopt(self, rows: DataFrame, version: str) -> None:
+        """Writes a version, and makes it the active one; a version that is there already is an error."""
+        rows.write.parquet(f"{self.folder}/{version}")
+        self._name(version, "adopt")
+
+    def revert(self) -> str:
+        """Makes the version before the active one active again."""
+        steps = self._manifest()
+        earlier = [r.version for r in steps if r.version != steps[-1].version] if steps else []
+        if not earlier:
+            raise ValueError("there is no version to go back to")
+        self._name(earlier[-1], "revert")
+        return earlier[-1]
+
+    def read(self, version: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{version or self.active()}")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A report as JSON lines, in as many files as the rows have partitions."""
+    rows.write.mode("overwrite").json(path)
+
+
+def markdown(rows: DataFrame, title: str, places: int = 3, most: int = 1000) -> str:
+    """A small result as a Markdown table; a report of more than ``most`` rows is an error, not cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError("too many rows for a report")
+    show = lambda x: "-" if x is None else f"{x:.{places}f}" if isinstance(x, float) else str(x).replace("|", "\\|")
+    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns)]
+    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in found]) + "\n"
+
+
+def error_bars(rates: DataFrame) -> DataFrame:
+    """What a bar chart of rates needs: (.., rate, below, above) from (.., rate, lo, hi)."""
+    return rates.withColumns({"below": F.greatest(F.col("rate") - F.col("lo"), F.lit(0.0)), "above": F.greatest(F.col("hi") - F.col("rate"), F.lit(0.0))})

@@ -90,7 +90,7 @@ def test_clopper_pearson_of_large_counts(spark):
 
 
 def test_clopper_pearson_query_has_the_counts_of_the_table(spark, tmp_path):
-    from siftlake.plans.queries import QUERIES
+    from siftlake.plans.registry import QUERIES
 
     rows = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(900)]
     spark.createDataFrame(rows, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
@@ -136,7 +136,7 @@ def test_text_functions(spark):
 
 def test_spans_are_claimed_once(spark):
     found = one(spark, P.annotate(F.col("t"), {"material": ["titanium alloy", "titanium"], "use": ["alloy wheel"]}), t="5 mm titanium alloy wheel, Titanium 3")
-    assert sorted((r.category, r.surface) for r in found) == [("material", "Titanium"), ("material", "titanium alloy"), ("number", "3"), ("number", "5 mm")]
+    assert sorted((r.category, r.surface) for r in found) == [("material", "Titanium"), ("material", "titanium alloy"), ("quantitative_spec", "3"), ("quantitative_spec", "5 mm")]
 
 
 def test_metrics(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import SF, differences, oracle
 
-from siftlake.plans.queries import ORACLE_SQL, QUERIES
+from siftlake.plans.registry import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
