@@ -12,17 +12,16 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import os
-import shutil
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.shipping import ship
+
 U64 = np.uint64
 #: Bytes of text that a kernel works on at once (whole documents).
 SLICE_BYTES = 1 << 19
@@ -50,6 +49,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("siftlake.scratch", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='siftlake-')}"
         spark.conf.set("siftlake.scratch", root)
@@ -65,27 +66,6 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, once per application, so that they can import its kernels."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="siftlake-ship-"), f"siftlake-{uuid.uuid4().hex[:8]}.zip")
-    atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for at, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(at, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
-
-
 class Scratch:
     """Tables of one operator call in the shared folder.
 

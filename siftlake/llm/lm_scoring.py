@@ -11,7 +11,7 @@ into shards by their value.
    context - which it stores as a file in the shared folder: the model; a block
    is told the counts of its n-grams and which of them it answers for.
 2. Looking up.  Every block of all documents sends each shard its distinct
-   n-grams of all orders; a worker maps the shard's file into memory (reads it,
+   n-grams (of words one order after the other); a worker maps the shard's file into memory (reads it,
    where the shared folder is not mounted) and searches the keys there.
 3. Scoring.  Every block meets its answers and scores its documents token by
    token, so that no task ever holds the model and nothing of it passes through
@@ -282,7 +282,7 @@ def _count_kernel(level, order, shards, unit):
     return run
 
 
-def _ask_kernel(order, shards, unit, trusted):
+def _ask_kernel(levels, order, shards, unit, trusted):
     def run(docs: pa.Table) -> pa.Table:
         docs, _ = _marked(docs, trusted)
         if not docs.num_rows:
@@ -290,7 +290,9 @@ def _ask_kernel(order, shards, unit, trusted):
         block = docs.column("block")[0].as_py()
         token, offsets = tokens(docs.column("text"), unit)
         rows = []
-        for level, grams in enumerate(ngrams(token, offsets, order), 1):
+        for level, grams in enumerate(ngrams(token, offsets, max(levels)), 1):
+            if level not in levels:
+                continue
             keys = Coded(grams, offsets, level, order).keys
             cut = _shards(keys, shards)
             rows += [(block, level, k, pack_sorted(keys[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
@@ -491,8 +493,13 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
         sums[level] = [{r.pos: r.n for r in parts}.get(k, 0) for k in range(8)]
         arrays = arrays.select(F.lit(level).alias("level"), "shard")
         model = arrays if model is None else model.union(arrays)
-    asks = base.groupBy("block").applyInArrow(over_group(_ask_kernel(order, shards, unit, looked)), ASK)
-    found = asks.groupBy("level", "shard").cogroup(model.groupBy("level", "shard")).applyInArrow(over_cogroup(_look_kernel(folder)), FOUND)
+    found: DataFrame | None = None
+    for levels in [list(range(1, order + 1))] if unit == "character" else [[level] for level in range(1, order + 1)]:  # few characters, many words
+        asks = base.groupBy("block").applyInArrow(over_group(_ask_kernel(levels, order, shards, unit, looked)), ASK)
+        part = scratch.keep(asks.groupBy("level", "shard").cogroup(model.filter(F.col("level").isin(levels)).groupBy("level", "shard")).applyInArrow(over_cogroup(_look_kernel(folder)), FOUND))
+        asks = None
+        release_shuffles(spark)
+        found = part if found is None else found.union(part)
     return base.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(over_cogroup(_score_kernel(order, sums, unit, looked)), SCORED)
 
 

@@ -26,7 +26,7 @@ from .common import Scratch, crc_fold
 from .lm_scoring import lm_scores
 
 #: Blocks hold this many bytes of text (a token is a character), shards as much as this many bytes name.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 48 << 20
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 48 << 20
 
 
 def quality(docs: DataFrame, trusted: DataFrame, *, order: int = 4, quantile: float = 0.95, folds: int = 5, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
