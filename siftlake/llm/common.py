@@ -17,10 +17,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftlake.shipping import ship
+from siftlake import shipping
 
 U64 = np.uint64
 #: Bytes of text that a kernel works on at once (whole documents).
@@ -66,6 +66,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Rows of an Arrow batch at most: ten thousand documents at once would be more than a slice by far.
+BATCH_ROWS = 2000
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers and keep the batches they get small."""
+    shipping.ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables of one operator call in the shared folder.
 
@@ -128,6 +140,15 @@ def crc_fold(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def least_per_group(rows: DataFrame, group: str, key: str, most: int, parts: int = 64) -> DataFrame:
+    """At most ``most`` rows of each group, those with the least hash of ``key``: first of each part of a group, then of these."""
+    order = [F.xxhash64(key), F.col(key)]
+    w = Window.partitionBy(group, "__part").orderBy(*order)
+    first = rows.withColumn("__part", F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(parts))).withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most)
+    second = first.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("__k") <= most)
+    return second.drop("__part", "__k")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_fold, over_batches, ship, slices, text_bytes
+from .common import LOWER, crc_fold, least_per_group, over_batches, ship, slices, text_bytes
 from .linear import Rows, sigmoid, slope, svm
 
 BINS = 1 << 14
@@ -176,8 +176,7 @@ def fit(docs: DataFrame, train, *, text="text", doc_id="doc_id", lang="lang", pe
     ship(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(train("doc_id")).filter("lang is not null and text is not null and doc_id is not null")
     per_language = min(per_language, max(1, most_rows // max(1, base.select("lang").distinct().count())))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = base.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("doc_id", "lang").distinct()
+    picked = least_per_group(base.select("doc_id", "lang"), "lang", "doc_id", per_language).distinct()
     rows = base.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text").mapInArrow(over_batches(_feature_kernel), "lang string, columns binary, counts binary").collect()
     if not rows:
         return None

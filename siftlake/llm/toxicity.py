@@ -29,10 +29,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_fold, mix, over_batches, prefix_hash, ship, slices, span_hash, text_bytes
+from .common import U64, crc_fold, least_per_group, mix, over_batches, prefix_hash, ship, slices, span_hash, text_bytes
 from .language_id import LETTER, folded
 from .linear import Rows, logistic, sigmoid
 
@@ -237,11 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, train, *, text="text", doc_id="doc_i
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(train("doc_id"))
     marks = marks.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     totals = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return None
-    picked = marks.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_class).select("doc_id", "toxic")
+    picked = least_per_group(marks, "toxic", "doc_id", per_class).select("doc_id", "toxic")
     rows = base.join(F.broadcast(picked), "doc_id").select("toxic", "text")
     counts = rows.mapInArrow(over_batches(_count_kernel), "kind int, key long, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     voters = Voters(*_marking(counts, min(per_class, totals[1]), min(per_class, totals[0])))
