@@ -5,13 +5,14 @@ is one task's work, so neither side is ever in one place.  A vector's
 dimensions are cut into m slices, whose partial products are the local score
 lists.
 
-1. Gather: every pair of blocks takes the k best of each slice's list, looks up
-   their whole scores and reports the k best of these per query.  The k-th best
-   of all reports is a safe cutoff: at least k vectors reach it.
-2. Collect: the cutoff goes back with the query blocks.  A vector whose score
-   reaches the cutoff has a slice that reaches cutoff / m (the uniform
-   threshold), so only entries above it in some list are taken.
-3. Resolve: their remaining slices are added up exactly; those at or above the
+1. Gather: every query meets one block in ``GATHER``.  The k best of each
+   slice's list there are looked up whole, and the k best of these reported.
+   The k-th best of all reports is a safe cutoff: at least k vectors reach it,
+   wherever the lists that were asked lie.
+2. Collect: the cutoff goes back with the queries, which now meet every block.  A
+   vector whose score reaches the cutoff has a slice that reaches cutoff / m (the
+   uniform threshold); only the entries over it in some list are taken.
+3. Resolve: the slices of the entries taken are added up; those at or above the
    cutoff, k per block and query at most, meet in the final ranking.
 
 Scores are integers: component x counts as floor(scale * x).
@@ -37,6 +38,8 @@ from .common import Scratch, over_cogroup, over_group
 #: Vectors and queries in a block; rows of a block that a product takes at once.
 BLOCK, QUERY_BLOCK, STRIP = 8192, 2048, 256
 SLICES = 4
+#: One block of so many is asked for the cutoff.
+GATHER = 8
 
 
 def usable(vector: str):
@@ -88,54 +91,51 @@ def _slices(width: int) -> list[slice]:
 
 def _gather_kernel(k):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        qs, tops = [], []
+        qs, tops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for qids, y, _, ids, x in _pairs(left, right):
-            order = np.argsort(ids, kind="stable")
-            sorted_ids = ids[order]
             for at in range(0, len(qids), STRIP):
-                part = y[at : at + STRIP]
+                part, own = y[at : at + STRIP], qids[at : at + STRIP]
                 lists = [part[:, s] @ x[:, s].T for s in _slices(x.shape[1])]
-                total = sum(lists)
-                own = qids[at : at + STRIP]
-                lo, hi = np.searchsorted(sorted_ids, own), np.searchsorted(sorted_ids, own, "right")
-                seen = []
+                same = own[:, None] == ids[None, :]
                 for scores in lists:
-                    n = min(k + 1, scores.shape[1])
-                    seen.append(np.argpartition(-scores, n - 1, 1)[:, :n])
+                    scores[same] = np.iinfo(np.int64).min // 8 if scores.dtype.kind == "i" else -np.inf
+                n = min(k, len(ids))
+                seen = np.concatenate([np.argpartition(-scores, n - 1, 1)[:, :n] for scores in lists], 1)
                 for r in range(len(part)):
-                    some = np.unique(np.concatenate([s[r] for s in seen]))
-                    if lo[r] < hi[r]:
-                        some = np.setdiff1d(some, order[lo[r] : hi[r]])
-                    best = np.sort(total[r, some])[::-1][:k]
-                    qs.append(int(own[r]))
-                    tops.append(best.astype(np.int64).tolist())
-        return pa.table([pa.array(qs, pa.int64()), pa.array(tops, pa.list_(pa.int64()))], ["query_id", "top"])
+                    some = np.unique(seen[r])
+                    some = some[~same[r, some]]
+                    best = np.sort(sum(scores[r, some] for scores in lists))[::-1][:k]
+                    qs.append(np.full(len(best), own[r]))
+                    tops.append(best.astype(np.int64))
+        return pa.table([pa.array(np.concatenate(qs)), pa.array(np.concatenate(tops))], ["query_id", "score"])
 
     return run
 
 
+def over_threshold(lists: list[np.ndarray], cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the entries that reach cutoff / m in some list and the cutoff in all."""
+    uniform = -((-cutoff) // len(lists))  # rounded up
+    taken = np.zeros(lists[0].shape, bool)
+    for scores in lists:
+        taken |= scores >= uniform[:, None].astype(np.float64)
+    row, column = np.nonzero(taken)
+    score = sum(scores[row, column] for scores in lists).astype(np.int64)
+    ok = score >= cutoff[row]
+    return row[ok], column[ok], score[ok]
+
+
 def _resolve_kernel(k):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
         for qids, y, cut, ids, x in _pairs(left, right):
             parts = _slices(x.shape[1])
             for at in range(0, len(qids), STRIP):
-                part, least = y[at : at + STRIP], cut[at : at + STRIP]
-                uniform = -((-least) // len(parts))  # ceil(cutoff / m)
-                total, taken = None, None
-                for s in parts:
-                    scores = part[:, s] @ x[:, s].T
-                    over = scores >= uniform[:, None].astype(np.float64)
-                    taken = over if taken is None else taken | over
-                    total = scores if total is None else total + scores
-                row, column = np.nonzero(taken & (total >= least[:, None].astype(np.float64)))
+                row, column, score = over_threshold([y[at : at + STRIP, s] @ x[:, s].T for s in parts], cut[at : at + STRIP])
                 ok = ids[column] != qids[at + row]
-                row, column = row[ok], column[ok]
-                score = total[row, column].astype(np.int64)
+                row, column, score = row[ok], column[ok], score[ok]
                 order = np.lexsort((ids[column], -score, row))
                 row, column, score = row[order], column[order], score[order]
-                first = np.searchsorted(row, row)
-                best = np.arange(len(row)) - first < k
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
                 out.append(np.stack([qids[at + row[best]], ids[column[best]], score[best]], 1))
         found = np.concatenate(out)
         return pa.table([pa.array(found[:, j]) for j in range(3)], ["query_id", "vec_id", "score"])
@@ -157,15 +157,17 @@ def exact_topk(vectors: DataFrame, is_query, *, k: int = 20, scale: float = 64.0
     corpus = scratch.keep(deal(base, blocks, 1).groupBy("block").applyInArrow(over_group(_pack_kernel(scale, False)), packed))
     corpus = corpus.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
-    def meet(queries, kernel, schema, with_cut):
+    def meet(queries, kernel, schema, with_cut, every):
+        own = corpus.filter(F.col("block") % every == 0)
         q = deal(queries, query_blocks, 2).groupBy("block").applyInArrow(over_group(_pack_kernel(scale, with_cut)), packed)
-        q = q.withColumnRenamed("block", "q").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return corpus.groupBy("q", "block").cogroup(q.groupBy("q", "block")).applyInArrow(over_cogroup(kernel), schema)
-
-    lists = meet(asked, _gather_kernel(k), "query_id long, top array<long>", False)
-    best = F.sort_array(F.flatten(F.collect_list("top")), asc=False)
-    cutoff = scratch.keep(lists.groupBy("query_id").agg(best.alias("best")).select(F.col("query_id").alias("vec_id"), F.when(F.size("best") >= k, F.element_at(F.slice("best", 1, k), -1)).alias("cut")))
-    found = meet(asked.join(cutoff, "vec_id", "left"), _resolve_kernel(k), "query_id long, vec_id long, score long", True)
+        q = q.withColumnRenamed("block", "q").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1), F.lit(every))))
+        return own.groupBy("q", "block").cogroup(q.groupBy("q", "block")).applyInArrow(over_cogroup(kernel), schema)
+
+    lists = meet(asked, _gather_kernel(k), "query_id long, score long", False, GATHER)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    cutoff = lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).filter(F.col("rank") == k)
+    cutoff = scratch.keep(cutoff.select(F.col("query_id").alias("vec_id"), F.col("score").alias("cut")))
+    found = meet(asked.join(cutoff, "vec_id", "left"), _resolve_kernel(k), "query_id long, vec_id long, score long", True, 1)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -249,6 +249,35 @@ def test_exact_topk(spark):
     assert exact_topk(df.limit(0), lambda c: c % 20 == 0).count() == 0
 
 
+def test_few_entries_are_resolved():
+    from siftlake.llm.exact_topk import over_threshold
+
+    rnd = np.random.default_rng(9)
+    lists = [rnd.integers(-900, 900, (20, 3000)).astype(np.float64) for _ in range(4)]
+    total = sum(lists)
+    cutoff = np.sort(total, 1)[:, -10].astype(np.int64)
+    row, column, score = over_threshold(lists, cutoff)
+    want = {(i, j) for i in range(20) for j in np.flatnonzero(total[i] >= cutoff[i]).tolist()}
+    assert set(zip(row.tolist(), column.tolist(), strict=True)) == want and (score == total[row, column]).all()
+    taken = np.any([x >= cutoff[:, None] / 4 for x in lists], 0)
+    assert taken.mean() < 0.6
+    low = over_threshold([x - 5000 for x in lists], np.full(20, -(1 << 62)))  # no cutoff: all are taken
+    assert len(low[0]) == total.size
+
+
+def test_exact_topk_over_many_blocks(spark, monkeypatch):
+    from siftlake.llm import exact_topk as module
+
+    monkeypatch.setattr(module, "BLOCK", 7)
+    monkeypatch.setattr(module, "QUERY_BLOCK", 2)
+    x = np.random.default_rng(2).integers(-3, 4, (150, 5)) / 4
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in module.exact_topk(df, lambda c: c % 20 == 0, k=6).collect()}
+    s = np.floor(64 * x).astype(int) @ np.floor(64 * x).astype(int).T
+    want = {(q, r + 1): (j, int(s[q, j])) for q in range(0, 150, 20) for r, j in enumerate(sorted((j for j in range(150) if j != q), key=lambda j: (-s[q, j], j))[:6])}
+    assert got == want
+
+
 def test_embedding_dedup(spark, monkeypatch):
     from siftlake.llm import embedding_dedup as E
 
