@@ -258,3 +258,18 @@ def test_evidence_and_inflection(spark):
     got = {(r.retriever, r.level): (r.tier, r.recommended) for r in U.evidence(levels, "retriever").collect()}
     assert got == {("r", 1): ("A", 2), ("r", 2): ("B", 2), ("r", 3): ("C", 2), ("r", 4): ("D", 2), ("s", 1): ("B", 1), ("s", 2): ("C", 1)}
     assert {r.retriever: (r.first_drop, r.deepest_safe) for r in U.inflection(levels, "retriever").collect()} == {"r": (None, 4), "s": (2, 1)}
+
+
+def test_jobs_write_what_queries_give(spark, tmp_path):
+    from siftlake import jobs
+
+    folder = "/root/testdata/sf0.001"
+    done = jobs.run(spark, folder, str(tmp_path), ["g1_gate_independence", "a9_label_space"], report=True)
+    assert done == ["g1_gate_independence", "a9_label_space"] and spark.read.parquet(f"{tmp_path}/a9_label_space").count() == 1
+    assert spark.read.text(f"{tmp_path}/a9_label_space.md").count() > 2
+    assert jobs.assembled(spark, str(tmp_path), done).groupBy("query").count().count() == 2
+    assert set(jobs.names(["all"])) >= set(jobs.GROUPS["gates"])
+    with pytest.raises(ValueError):
+        jobs.names(["nothing"])
+    said = jobs.run_models(spark, folder, f"{tmp_path}/models", ["d16", "d999"])
+    assert said["d16"] is None and "LookupError" in said["d999"] and spark.read.parquet(f"{tmp_path}/models").select("model").distinct().count() == 1
