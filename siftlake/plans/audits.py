@@ -253,10 +253,32 @@ def d1_d3_spans(spark, d):
     return D.measure(table(spark, d, "documents"), "doc_id", "text", LEXICON, ["licence", "contact", D.NUMBERS])
 
 
-@query(None)
+COMMON = {"english": ["the", "and"], "french": ["dans", "les"], "german": ["der", "und"]}
+
+
+def _has(*words: str) -> str:
+    return f"regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(words)})($|[^\\p{{L}}\\p{{N}}_])')"
+
+
+@query(f"""WITH x AS (SELECT turn, unnest(list_filter([{', '.join(f"CASE WHEN {_has(*w)} THEN '{c}' END" for c, w in COMMON.items())}, CASE WHEN regexp_matches(text, '[0-9]') THEN 'quantitative_spec' END], lambda z: z IS NOT NULL)) AS category FROM conversations WHERE turn < 5)
+SELECT turn, category, count(*) AS n FROM x GROUP BY 1, 2""")
 def a13_field_frequency(spark, d):
     c = table(spark, d, "conversations")
-    return D.field_frequency(c.filter("turn < 5"), "turn", D.annotate(F.col("text"), LEXICON))
+    return D.field_frequency(c.filter("turn < 5"), "turn", D.annotate(F.col("text"), COMMON))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, unnest({tok('text')}) AS surface FROM conversations WHERE turn < 2), x AS (SELECT conv_id, surface FROM w WHERE turn = 0 EXCEPT ALL SELECT conv_id, surface FROM w WHERE turn = 1) SELECT conv_id, surface, count(*) AS n FROM x GROUP BY 1, 2""")
+def t2_d5_removed_words(spark, d):
+    """What the second turn no longer has of the first, repeats counted."""
+    w = table(spark, d, "conversations").filter("turn < 2").select("conv_id", "turn", F.explode(T.tokens("text")).alias("surface"))
+    part = lambda k: w.filter(f"turn = {k}").select("conv_id", "surface")
+    return D.removed(part(0), part(1)).groupBy("conv_id", "surface").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[가-힣]') AS hangul, CAST(printf('%.5e', n_chars / 7.0) AS DOUBLE) AS six, CAST(printf('%.2e', n_chars * 1e-9 / 3) AS DOUBLE) AS three FROM documents")
+def p27_p30_hangul_and_figures(spark, d):
+    n = F.col("n_chars")
+    return table(spark, d, "documents").select("doc_id", T.has_hangul("text").alias("hangul"), T.significant(n / F.lit(7.0)).alias("six"), T.significant(n * F.lit(1e-9) / 3, 3).alias("three"))
 
 
 WORDS = ["control", "design", "test", "tion"]

@@ -12,7 +12,7 @@ from siftlake.operators import metrics as M
 from siftlake.operators import retrieval as R
 from siftlake.operators import stats as S
 from siftlake.operators import suite as U
-from siftlake.plans.queries import BM25, CORPUS, GOLD, _benchmark, _bm25, _gold, first, query, tok
+from siftlake.plans.queries import BM25, CORPUS, GOLD, HYBRID, _benchmark, _bm25, _gold, _hybrid, first, query, tok
 from siftlake.sources.tables import corpus, table
 
 MODELS = {"d16": 16, "d32": 32, "d64": 64}
@@ -509,6 +509,55 @@ def u19_version_impact(spark, d):
     return c.join(F.broadcast(U.version_verdict(c))).select("index_mode", "wins", "losses", "p_two_sided", "mean", "lo", "hi", F.col("label").alias("verdict"))
 
 
+@query(f"""WITH {HYBRID}, x AS (SELECT h.alpha, h.query_id, h.corpus_idx, h.rank, a.label = b.label AND a.vec_id <> b.vec_id AS gold FROM hr h JOIN v a ON a.vec_id = h.query_id JOIN v b ON b.vec_id = h.corpus_idx)
+SELECT alpha, CASE alpha WHEN 1.0 THEN 'BM25' WHEN 0.0 THEN 'dense' ELSE 'hybrid_' || alpha END AS name, query_id, CAST(min(rank) FILTER (WHERE gold) AS INTEGER) AS hit_rank, string_agg(corpus_idx, ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS top3 FROM x GROUP BY 1, 3""")
+def r19_r20_alpha_sweep(spark, d):
+    """Per blend and query the rank of the first hit and the first three."""
+    ranked = _hybrid(spark, d).withColumn("rank", F.row_number().over(R.by_rank("alpha", "query_id")))
+    v = table(spark, d, "embeddings")
+    a, b = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")), v.select(F.col("vec_id").alias("corpus_idx"), F.col("label").alias("lb"))
+    gold = (F.col("la") == F.col("lb")) & (F.col("query_id") != F.col("corpus_idx"))
+    x = ranked.join(a, "query_id").join(b, "corpus_idx")
+    best = F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "corpus_idx"))))
+    out = x.groupBy("alpha", "query_id").agg(F.min(F.when(gold, F.col("rank"))).alias("hit_rank"), F.array_join(F.transform(best, lambda r: r["corpus_idx"].cast("string")), ",").alias("top3"))
+    return out.select("alpha", T.alpha_name(F.col("alpha")).alias("name"), "query_id", F.col("hit_rank").cast("int").alias("hit_rank"), "top3")
+
+
+@query(f"""WITH {HYBRID}, t AS (SELECT alpha, query_id, list(corpus_idx ORDER BY rank) AS l, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) AS lead FROM hr WHERE rank <= 10 GROUP BY 1, 2)
+SELECT a.alpha, count(*) AS n, count(*) FILTER (WHERE a.l = b.l) AS same_as_dense, count(*) FILTER (WHERE a.lead < 1e-12) AS ties_at_first FROM t a JOIN t b ON b.query_id = a.query_id AND b.alpha = 0 GROUP BY 1""")
+def r13_blend_diagnostics(spark, d):
+    ranked = _hybrid(spark, d).withColumn("rank", F.row_number().over(R.by_rank("alpha", "query_id"))).filter("rank <= 10")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "corpus_idx"))), lambda x: x["corpus_idx"])
+    at = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
+    t = ranked.groupBy("alpha", "query_id").agg(order.alias("l"), (at(1) - at(2)).alias("lead"))
+    dense = t.filter("alpha = 0").select("query_id", F.col("l").alias("b"))
+    return t.join(dense, "query_id").groupBy("alpha").agg(F.count("*").alias("n"), F.count_if(F.col("l") == F.col("b")).alias("same_as_dense"), F.count_if(F.col("lead") < 1e-12).alias("ties_at_first"))
+
+
+@query(f"""WITH {SWEEP}, sg AS (SELECT DISTINCT dropped, query_id FROM s2), lo AS (SELECT o.query_id, max(CASE WHEN g.query_id IS NOT NULL THEN 1.0 ELSE 0 END) AS low FROM one o LEFT JOIN gold g ON g.query_id = o.query_id AND g.corpus_idx IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 10) GROUP BY 1)
+SELECT hh.dropped, md.mode, count(*) AS n, round(avg(CASE WHEN hit_rank <= 10 THEN 1.0 WHEN md.mode = 'permissive' AND sg.query_id IS NULL THEN low ELSE 0 END), 6) AS recall_10 FROM hh JOIN lo USING (query_id) LEFT JOIN sg ON sg.dropped = hh.dropped AND sg.query_id = hh.query_id, (SELECT unnest(['strict', 'permissive']) AS mode) md GROUP BY 1, 2""")
+def r7_r23_ablation_permissive(spark, d):
+    """The ablation sweep with and without the old rule that a query without matches gets the first documents."""
+    docs, index, q, _ = _bm25(spark, d)
+    gold = _gold(spark, d)
+    one = gold.groupBy("query_id").agg(F.min("corpus_idx").alias("corpus_idx"))
+    shared = q.join(one, "query_id").join(index.postings.select("corpus_idx", "tok"), ["corpus_idx", "tok"], "left_semi").join(index.idf, "tok")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("idf", 9)), "tok")
+    order = shared.select("query_id", "tok", F.row_number().over(w).alias("k"))
+    levels = F.explode(F.array(*map(F.lit, (0, 1, 2, 3, 5, 10))))
+    kept = q.join(one, "query_id", "left_semi").join(order, ["query_id", "tok"], "left").withColumn("dropped", levels).filter("k is null or k > dropped")
+    both = kept.select((F.col("query_id") * 100 + F.col("dropped")).alias("query_id"), "tok", "m")
+    asked = one.select("query_id", levels.alias("dropped")).select((F.col("query_id") * 100 + F.col("dropped")).alias("query_id"))
+    scores = R.bm25_scores(index, both)
+    golds = gold.distinct().select(F.col("query_id").alias("q0"), "corpus_idx")
+    out = None
+    for mode, ranked in (("strict", scores.withColumn("rank", F.row_number().over(R.by_rank("query_id"))).filter("rank <= 10").select("query_id", "corpus_idx", "score", "rank")), ("permissive", R.permissive(scores, asked, docs, 10))):
+        hit = ranked.withColumn("q0", F.expr("query_id div 100")).join(golds, ["q0", "corpus_idx"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1.0))
+        part = asked.join(hit, "query_id", "left").select((F.col("query_id") % 100).cast("int").alias("dropped"), F.lit(mode).alias("mode"), F.coalesce("hit", F.lit(0.0)).alias("hit"))
+        out = part if out is None else out.union(part)
+    return out.groupBy("dropped", "mode").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("recall_10"))
+
+
 # ---------------------------------------------------------------- gates
 
 DRAWS = "SELECT b.vec_id AS query_id, CAST('0x' || substr(md5('neg:' || b.vec_id || ':' || j), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings) AS corpus_idx, min(j) AS j FROM embeddings b, range(60) r(j) WHERE b.vec_id % 10 = 0 GROUP BY 1, 2"

@@ -273,3 +273,17 @@ def test_jobs_write_what_queries_give(spark, tmp_path):
         jobs.names(["nothing"])
     said = jobs.run_models(spark, folder, f"{tmp_path}/models", ["d16", "d999"])
     assert said["d16"] is None and "LookupError" in said["d999"] and spark.read.parquet(f"{tmp_path}/models").select("model").distinct().count() == 1
+
+
+def test_sources_that_are_there_and_sources_that_are_not(spark, tmp_path):
+    (tmp_path / "full.json").write_text('[{"id": 1, "text": "한글"}, {"id": 2}]', encoding="utf-8")
+    schema = "id long, text string"
+    assert [tuple(r) for r in S.json_table(spark, f"{tmp_path}/full.json", schema).orderBy("id").collect()] == [(1, "한글"), (2, None)]
+    none = S.json_table(spark, f"{tmp_path}/none.json", schema)
+    assert none.count() == 0 and none.columns == ["id", "text"]
+    for full, smoked in (("full", False), ("none", True)):
+        rows = S.first_present(spark, f"{tmp_path}/{full}.json", f"{tmp_path}/full.json", schema).collect()
+        assert len(rows) == 2 and all(r.is_smoke == smoked for r in rows)
+    (tmp_path / "shard_a.json").write_text('[{"id": 3}]')
+    got = S.shards(spark, f"{tmp_path}/shard_*.json", schema).collect()
+    assert [r.id for r in got] == [3] and got[0].shard.endswith("shard_a.json")
