@@ -256,14 +256,16 @@ def a3_a16_describe(spark, d):
     return docs.groupingSets([["source", "lang"], ["source"], ["lang"], []], "source", "lang").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
-@query(f"""WITH {DENSE}, g AS (SELECT dn.*, a.label = b.label AS gold FROM dn JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = corpus_idx WHERE query_id <> corpus_idx)
-SELECT query_id, round(max(score) FILTER (WHERE gold), 6) AS gold_sim, round((max(score) FILTER (WHERE gold) - avg(score) FILTER (WHERE NOT gold)) / stddev_samp(score) FILTER (WHERE NOT gold), 5) AS z FROM g GROUP BY 1""")
+@query(f"""WITH {DENSE}, g0 AS (SELECT dn.*, a.label = b.label AS gold FROM dn JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = corpus_idx WHERE query_id <> corpus_idx), g AS (SELECT *, max(CASE WHEN gold THEN score END) OVER (PARTITION BY query_id) AS best FROM g0)
+SELECT query_id, round(100.0 * count(*) FILTER (WHERE NOT gold AND score < best) / count(*) FILTER (WHERE NOT gold), 2) AS percentile, round(max(score) FILTER (WHERE gold), 6) AS gold_sim, round((max(score) FILTER (WHERE gold) - avg(score) FILTER (WHERE NOT gold)) / stddev_samp(score) FILTER (WHERE NOT gold), 5) AS z FROM g GROUP BY 1""")
 def w10_g4_gold_similarity(spark, d):
     v = table(spark, d, "embeddings")
     a, b = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")), v.select(F.col("vec_id").alias("corpus_idx"), F.col("label").alias("lb"))
     g = _dense(spark, d).filter("query_id <> corpus_idx").join(a, "query_id").join(b, "corpus_idx").withColumn("gold", F.col("la") == F.col("lb"))
     best, other = F.max(F.when(F.col("gold"), F.col("score"))), F.when(~F.col("gold"), F.col("score"))
-    return g.groupBy("query_id").agg(F.round(best, 6).alias("gold_sim"), F.round((best - F.avg(other)) / F.stddev_samp(other), 5).alias("z"))
+    g = g.join(g.groupBy("query_id").agg(best.alias("best")), "query_id")
+    below = F.count_if(~F.col("gold") & (F.col("score") < F.col("best"))) / F.count_if(~F.col("gold"))
+    return g.groupBy("query_id").agg(F.round(100.0 * below, 2).alias("percentile"), F.round(best, 6).alias("gold_sim"), F.round((best - F.avg(other)) / F.stddev_samp(other), 5).alias("z"))
 
 
 @query("""SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS sd, CAST(min(n_chars) AS DOUBLE) AS least, round(quantile_cont(n_chars, 0.5), 6) AS median, CAST(max(n_chars) AS DOUBLE) AS most, bool_and(n_chars = 0) AS all_zero FROM documents GROUP BY 1""")
