@@ -493,13 +493,18 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
         sums[level] = [{r.pos: r.n for r in parts}.get(k, 0) for k in range(8)]
         arrays = arrays.select(F.lit(level).alias("level"), "shard")
         model = arrays if model is None else model.union(arrays)
-    found: DataFrame | None = None
-    for levels in [list(range(1, order + 1))] if unit == "character" else [[level] for level in range(1, order + 1)]:  # few characters, many words
+    def look(levels: list[int]) -> DataFrame:
         asks = base.groupBy("block").applyInArrow(over_group(_ask_kernel(levels, order, shards, unit, looked)), ASK)
-        part = scratch.keep(asks.groupBy("level", "shard").cogroup(model.filter(F.col("level").isin(levels)).groupBy("level", "shard")).applyInArrow(over_cogroup(_look_kernel(folder)), FOUND))
-        asks = None
-        release_shuffles(spark)
-        found = part if found is None else found.union(part)
+        return asks.groupBy("level", "shard").cogroup(model.filter(F.col("level").isin(levels)).groupBy("level", "shard")).applyInArrow(over_cogroup(_look_kernel(folder)), FOUND)
+
+    if unit == "character":  # few distinct n-grams: all orders at once, and the blocks' shuffle serves twice
+        found = look(list(range(1, order + 1)))
+    else:
+        found = None
+        for level in range(1, order + 1):
+            part = scratch.keep(look([level]))
+            release_shuffles(spark)
+            found = part if found is None else found.union(part)
     return base.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(over_cogroup(_score_kernel(order, sums, unit, looked)), SCORED)
 
 
