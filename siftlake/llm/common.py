@@ -233,6 +233,22 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
         lo = hi
 
 
+def long_cuts(data: np.ndarray, start: int, end: int, most: int = SLICE_BYTES) -> list[int]:
+    """Places that cut a long text after white space into parts of at most ``most`` bytes, or one word."""
+    out = [start]
+    while end - out[-1] > most:
+        at = out[-1] + most // 2
+        space = np.flatnonzero(SPACE[data[at : out[-1] + most]])
+        at += int(space[-1]) + 1 if len(space) else most - most // 2
+        while not len(space) and at < end:  # a word longer than that
+            space = np.flatnonzero(SPACE[data[at : at + most]])
+            at += int(space[0]) + 1 if len(space) else most
+        if at >= end:
+            break
+        out.append(at)
+    return [*out, end]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
     if len(_POW) < n + 1:

@@ -44,7 +44,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Scratch, crc_fold, mix, over_batches, over_cogroup, over_group, pack_sorted, prefix_hash, release_shuffles, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
+from .common import LOWER, SLICE_BYTES, U64, Scratch, crc_fold, long_cuts, mix, over_batches, over_cogroup, over_group, pack_sorted, prefix_hash, release_shuffles, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 6 << 20
@@ -72,6 +72,13 @@ def tokens(column, unit: str = "word") -> tuple[np.ndarray, np.ndarray]:
         return out, np.concatenate(([0], np.cumsum(n + 1)))
     parts, counts = [], []
     for lo, hi in slices(offsets):
+        if hi - lo == 1 and offsets[hi] - offsets[lo] > SLICE_BYTES:  # a long text, part by part
+            cut = long_cuts(data, int(offsets[lo]), int(offsets[hi]))
+            some = [tokens(pa.array([data[i:j].tobytes()], pa.binary()))[0][:-1] for i, j in zip(cut, cut[1:], strict=False)] if len(cut) > 2 else None
+            if some:
+                parts += [*some, np.array([END])]
+                counts.append(np.array([sum(map(len, some)) + 1]))
+                continue
         part, at = LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
         start, end, row = words(part, at)
         n = np.bincount(row, minlength=hi - lo)

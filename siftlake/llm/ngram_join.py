@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Scratch, components, i64, mix, over_batches, over_group, pack_sorted, prefix_hash, release_shuffles, scattered, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
+from .common import LOWER, SLICE_BYTES, U64, Scratch, components, i64, long_cuts, mix, over_batches, over_group, pack_sorted, prefix_hash, release_shuffles, scattered, slices, span_hash, squeeze, text_bytes, unpack_sorted, words
 
 #: Members of a hub's group that one tile compares with as many others.
 TILE = 2048
@@ -59,6 +59,17 @@ ROWS = "doc_id long, n_shingles long, node long, grams binary, first binary"
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints, offsets): per row the sorted distinct word n-grams of its lower-cased text."""
+    if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES and len(cut := long_cuts(data, 0, len(data))) > 2:
+        return _long_set(data, cut, n)
+    return _sets(data, offsets, n)
+
+
+def _whole_set(data: np.ndarray, n: int) -> np.ndarray:
+    return _sets(data, np.array([0, len(data)]), n)[0]
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets() in one go."""
     data = LOWER[data]
     start, end, row = words(data, offsets)
     h = span_hash(prefix_hash(data), start, end)
@@ -91,6 +102,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return s[fresh], np.concatenate(([0], np.cumsum(size)))
 
 
+def _long_set(data: np.ndarray, cut: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets() of one long text, part by part: a part begins with the n - 1 words before it."""
+    found, tail = [], np.zeros(0, np.uint8)
+    for i, j in zip(cut, cut[1:], strict=False):
+        part = np.concatenate((tail, data[i:j]))
+        start, _, _ = words(part, np.array([0, len(part)]))
+        if len(start) >= n:  # fewer than n words so far wait for the next part
+            found.append(_whole_set(part, n))
+            tail = part[start[len(start) - n + 1] :] if n > 1 else part[:0]
+        else:
+            tail = part
+    s = np.unique(np.concatenate(found)) if found else _whole_set(tail, n)
+    return s, np.array([0, len(s)])
+
+
 def _segments(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum (modulo 2**64) of each row's values; 0 for empty rows."""
     out = np.zeros(len(offsets) - 1, U64)

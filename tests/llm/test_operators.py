@@ -471,6 +471,26 @@ def test_components(spark):
     assert {k: got.get(k, k) for k in low} == low
 
 
+@pytest.mark.parametrize("words_", [3, 500])
+def test_long_texts_part_by_part(monkeypatch, words_):
+    from siftlake.llm import common, lm_scoring, ngram_join
+
+    rnd = random.Random(words_)
+    text = " ".join(("x" * rnd.choice([1, 3, 900]) if words_ == 3 else f"W{rnd.randrange(90)}") + rnd.choice(["", "  ", "\n"]) for _ in range(words_)).encode()
+    data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = [ngram_join._sets(data, at, n)[0] for n in (1, 3, 5)]
+    tokens = lm_scoring.tokens(pa.array([text, b"a b", text], pa.binary()))
+    for module in (common, lm_scoring, ngram_join):
+        monkeypatch.setattr(module, "SLICE_BYTES", 200)
+    monkeypatch.setattr(ngram_join, "long_cuts", lambda d, a, b: common.long_cuts(d, a, b, 200))
+    monkeypatch.setattr(lm_scoring, "long_cuts", lambda d, a, b: common.long_cuts(d, a, b, 200))
+    monkeypatch.setattr(lm_scoring, "slices", lambda o: common.slices(o, 200))
+    for n, s in zip((1, 3, 5), whole, strict=True):
+        assert (ngram_join.shingle_sets(data, at, n)[0] == s).all()
+    again = lm_scoring.tokens(pa.array([text, b"a b", text], pa.binary()))
+    assert (again[0] == tokens[0]).all() and (again[1] == tokens[1]).all()
+
+
 def test_sorted_numbers_survive_packing():
     from siftlake.llm.common import pack_sorted, unpack_sorted
 
