@@ -19,13 +19,13 @@ from siftlake.sources.tables import environment, markdown
 GROUPS = {
     "suite": ["r15_r16_hit_vectors", "a4_u12_rates_with_intervals", "u9_u12_contrasts", "u7_u12_holm_within_model", "u5_u6_equivalence", "u10_absolute_only"],
     "frontier": ["u13_frontier_vs_first_level", "w5_u13_inflection", "u14_w6_evidence_tiers", "u15_drift_audit", "d7_ladder_violations"],
-    "ablation": ["r21_r23_ablation_sweep", "r26_r27_substitution_levels"],
+    "ablation": ["r21_r23_ablation_sweep", "r7_r23_ablation_permissive", "r24_dropped_tokens_by_blend", "r26_r27_substitution_levels", "x1_decay_contrasts"],
     "crosslingual": ["r17_x3_tracks"],
     "external": ["r18_p34_external_evaluation", "r18_representative_failures", "x4_failure_counts"],
     "exposure": ["a17_p35_exposure_matrix", "a17_best_operating_point", "a18_exposure_diagonal", "j15_a17_actionable_frontier"],
     "audit": ["a9_label_space", "a10_reused_codes", "a11_stub_audit", "a12_term_coverage", "g11_label_defects"],
     "candidates": ["j7_j8_jaccard_candidates", "j7_cross_source_twins", "p28_structural_codes", "p29_successor_codes"],
-    "emit": ["g12_equivalence_doc", "j9_t5_equivalent_labels", "s17_merge_slices", "g14_curated_set"],
+    "emit": ["g12_equivalence_doc", "g12_queries_v2", "j9_t5_equivalent_labels", "s17_merge_slices", "g14_curated_set"],
     "recall": ["u16_recall_by_label_view", "j11_u17_a20_label_sensitivity"],
     "gates": ["g1_gate_independence", "g3_threshold_calibration", "g5_t4_gate_verdict", "g6_audit_assembly", "g7_slice_failures", "g8_shard_checks", "g9_g10_bundle_validation", "g13_claims"],
     "stats": ["u2_u4_clopper_pearson", "u3_mcnemar", "u7_w4_holm", "u8_permutation", "u11_boundary", "u18_robustness_by_model", "u19_version_impact"],

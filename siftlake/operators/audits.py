@@ -126,6 +126,22 @@ def equivalence_doc(edges: DataFrame) -> DataFrame:
     return edges.groupBy("code").agg(F.array_sort(F.collect_list(item)).alias("equivalents"))
 
 
+def queries_v2(gold: DataFrame, drops: DataFrame, equivalents: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per query its primary label, the labels that stay, those removed and why, what counts as equivalent, and how complete the gold texts are.
+
+    gold: (query_id, code); drops: (query_id, code, issue); equivalents: (code, labels as text).
+    """
+    whole = entries.groupBy("code").agg(F.bool_or(T.completeness("code", "text") == "full").alias("full"))
+    x = gold.join(drops, ["query_id", "code"], "left").join(equivalents, "code", "left").join(whole, "code", "left")
+    stays = F.col("issue").isNull()
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return x.groupBy("query_id").agg(
+        F.min(F.when(stays, F.col("code"))).alias("primary_label"), listed(F.when(stays, F.col("code"))).alias("validated_labels"),
+        listed(F.when(~stays, F.concat_ws(":", "code", "issue"))).alias("removed_labels"),
+        listed(F.when(stays, F.col("labels"))).alias("equivalent_labels"), F.bool_and(F.coalesce("full", F.lit(False))).alias("full_text"),
+    )
+
+
 def merge_slices(rows: DataFrame) -> DataFrame:
     """Rows (origin, seq, query_id, labels) that stay when slices are merged in the order (origin, seq).
 

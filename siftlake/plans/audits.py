@@ -196,6 +196,16 @@ def g12_equivalence_doc(spark, d):
     return x.select("code", F.size("equivalents").cast("long").alias("n"), F.array_join(F.transform("equivalents", lambda e: F.concat_ws(":", e["code"], e["relation"], e["confidence"])), ",").alias("doc"))
 
 
+@query(f"""WITH {CORPUS}, {GOLD_CODES}, dr AS (SELECT query_id, max(code) AS code, 'imprecise' AS issue FROM gc GROUP BY 1 HAVING count(*) > 1), eq AS (SELECT code, min(code) || '+' AS labels FROM gc GROUP BY 1),
+wh AS (SELECT code, bool_or(NOT (trim(text) = '' OR regexp_matches(trim(text), '{T.STUB_TEXT}')) AND NOT regexp_matches(code, '{T.CATEGORY_CODE}')) AS f FROM c GROUP BY 1), x AS (SELECT gc.query_id, gc.code, issue, labels, f FROM gc LEFT JOIN dr USING (query_id, code) LEFT JOIN eq USING (code) LEFT JOIN wh USING (code))
+SELECT query_id, min(code) FILTER (WHERE issue IS NULL) AS primary_label, coalesce(string_agg(DISTINCT code, ',' ORDER BY code) FILTER (WHERE issue IS NULL), '') AS validated_labels, coalesce(string_agg(DISTINCT code || ':' || issue, ',' ORDER BY code || ':' || issue) FILTER (WHERE issue IS NOT NULL), '') AS removed_labels, coalesce(string_agg(DISTINCT labels, ',' ORDER BY labels) FILTER (WHERE issue IS NULL), '') AS equivalent_labels, bool_and(coalesce(f, false)) AS full_text FROM x GROUP BY 1""")
+def g12_queries_v2(spark, d):
+    gold = _gold_codes(spark, d)
+    drops = gold.groupBy("query_id").agg(F.max("code").alias("code"), F.count("*").alias("n")).filter("n > 1").select("query_id", "code", F.lit("imprecise").alias("issue"))
+    equivalents = gold.select("code").distinct().withColumn("labels", F.concat("code", F.lit("+")))
+    return A.queries_v2(gold, drops, equivalents, corpus(spark, d))
+
+
 @query("""WITH RECURSIVE r AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'a' ELSE 'b' END AS origin, item_id AS seq, ['k' || (item_id * 7 % 31), 'k' || (item_id * 11 % 37)] AS labels, row_number() OVER (ORDER BY CASE WHEN item_id % 3 = 0 THEN 'a' ELSE 'b' END, item_id) AS pos FROM benchmark),
 g AS (SELECT 0::BIGINT AS pos, []::VARCHAR[] AS seen, false AS kept UNION ALL SELECT r.pos, CASE WHEN len(list_intersect(r.labels, g.seen)) = 0 THEN list_concat(g.seen, r.labels) ELSE g.seen END, len(list_intersect(r.labels, g.seen)) = 0 FROM g JOIN r ON r.pos = g.pos + 1)
 SELECT r.origin, r.seq, r.item_id AS query_id FROM g JOIN r USING (pos) WHERE g.kept""")

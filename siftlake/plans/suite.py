@@ -558,6 +558,61 @@ def r7_r23_ablation_permissive(spark, d):
     return out.groupBy("dropped", "mode").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("recall_10"))
 
 
+HEAD_, TAIL_ = HYBRID.split("sc AS (SELECT query_id, doc_id AS corpus_idx", 1)
+RETRIEVERS = HEAD_ + """nd AS (SELECT unnest([0, 2, 5]) AS dropped), qk AS (SELECT q.*, row_number() OVER (PARTITION BY query_id ORDER BY round(idf, 9) DESC, tok) AS k FROM q JOIN idf USING (tok)),
+sc AS (SELECT dropped, query_id, doc_id AS corpus_idx, round(sum(m * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM nd, (SELECT query_id, tok, m, k FROM qk) qk JOIN idf USING (tok) JOIN tf USING (tok), s WHERE k > dropped GROUP BY 1, 2, 3),
+bn AS (SELECT dropped, query_id, max(score) AS hi, CASE WHEN count(*) < any_value(s.n) THEN least(0, min(score)) ELSE min(score) END AS lo FROM sc, s GROUP BY 1, 2),
+bu AS (SELECT dropped, query_id, corpus_idx, CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (score - lo) / (hi - lo) END AS unit FROM sc JOIN bn USING (dropped, query_id)),
+dr AS (SELECT query_id, max(score) AS hi, min(score) AS lo FROM dn GROUP BY 1), du AS (SELECT dropped, query_id, corpus_idx, CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (score - lo) / (hi - lo) END AS unit FROM nd, dn JOIN dr USING (query_id)),
+g AS (SELECT dropped, alpha, du.query_id, du.corpus_idx, round(alpha * coalesce(bu.unit, 0) + (1 - alpha) * du.unit, 9) AS score FROM du LEFT JOIN bu USING (dropped, query_id, corpus_idx), (SELECT unnest([1.0, 0.5, 0.0]::DOUBLE[]) AS alpha)),
+hr AS (SELECT *, row_number() OVER (PARTITION BY dropped, alpha, query_id ORDER BY score DESC, corpus_idx) AS rank FROM g),
+hits AS (SELECT h.dropped, h.alpha, h.query_id, max(CASE WHEN a.label = b.label AND a.vec_id <> b.vec_id THEN 1 ELSE 0 END) AS hit FROM hr h JOIN v a ON a.vec_id = h.query_id JOIN v b ON b.vec_id = h.corpus_idx WHERE h.rank <= 10 GROUP BY 1, 2, 3)"""
+
+
+def _ablated_hits(spark, d) -> DataFrame:
+    """(dropped, alpha, query_id, hit)."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    docs = corpus(spark, d).join(v.select(F.col("vec_id").alias("corpus_idx")), "corpus_idx", "left_semi")
+    index = R.bm25_index(docs)
+    q = docs.filter("corpus_idx % 100 = 0").select(F.col("corpus_idx").alias("query_id"), T.first_sentence("text").alias("text"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("idf", 9)), "tok")
+    known = R.query_tokens(q).join(index.idf, "tok").withColumn("k", F.row_number().over(w))
+    levels = F.explode(F.array(*map(F.lit, (0, 2, 5))))
+    asked = known.withColumn("dropped", levels).filter("k > dropped").select((F.col("query_id") * 10 + F.col("dropped")).alias("query_id"), "tok", "m")
+    lexical = R.minmax(R.bm25_scores(index, asked), F.lit(docs.count()))
+    vq = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    dense = R.minmax(R.dense_scores(vq, v.select(F.col("vec_id").alias("corpus_idx"), F.col("embedding").alias("v"))), F.lit(0))
+    dense = dense.withColumn("dropped", levels).withColumn("query_id", F.col("query_id") * 10 + F.col("dropped"))
+    best = R.blend(lexical, dense, [1.0, 0.5, 0.0]).withColumn("rank", F.row_number().over(R.by_rank("alpha", "query_id"))).filter("rank <= 10")
+    best = best.select("alpha", F.expr("query_id div 10").alias("q"), (F.col("query_id") % 10).cast("int").alias("dropped"), "corpus_idx")
+    a, b = v.select(F.col("vec_id").alias("q"), F.col("label").alias("la")), v.select(F.col("vec_id").alias("corpus_idx"), F.col("label").alias("lb"))
+    hit = F.max(((F.col("la") == F.col("lb")) & (F.col("q") != F.col("corpus_idx"))).cast("int"))
+    return best.join(a, "q").join(b, "corpus_idx").groupBy("dropped", "alpha", F.col("q").alias("query_id")).agg(hit.alias("hit"))
+
+
+@query(f"WITH {RETRIEVERS} SELECT dropped, alpha, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 6) AS recall FROM hits GROUP BY 1, 2")
+def r24_dropped_tokens_by_blend(spark, d):
+    """Recall of each blend when the 0, 2 and 5 rarest known tokens of a query are dropped."""
+    h = _ablated_hits(spark, d)
+    return h.groupBy("dropped", "alpha").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("hits"), F.round(F.avg("hit"), 6).alias("recall"))
+
+
+@query(f"""WITH {RETRIEVERS}, pr AS (SELECT a.alpha, a.dropped, a.query_id, a.hit AS a, b.hit AS b FROM hits a JOIN hits b ON b.alpha = a.alpha AND b.query_id = a.query_id AND b.dropped = 0 WHERE a.dropped > 0), {mcnemar_sql('pr', 'alpha', 'dropped')},
+r AS (SELECT *, row_number() OVER (PARTITION BY alpha ORDER BY p_two_sided, dropped) AS i, count(*) OVER (PARTITION BY alpha) AS k FROM mc), a AS (SELECT *, max(least(1.0, p_two_sided * (k - i + 1))) OVER (PARTITION BY alpha ORDER BY i) AS adj FROM r),
+mo AS (SELECT alpha, bool_and(p IS NULL OR recall <= p) AS falls FROM (SELECT alpha, dropped, avg(hit) AS recall, lag(avg(hit)) OVER (PARTITION BY alpha ORDER BY dropped) AS p FROM hits GROUP BY 1, 2) GROUP BY 1)
+SELECT alpha, dropped, n, wins, losses, p_two_sided, round(adj, 6) AS p_adjusted, falls FROM a JOIN mo USING (alpha)""")
+def x1_decay_contrasts(spark, d):
+    """Each blend's decay: hits at every ablation level against none, adjusted within the blend, and whether recall only falls."""
+    hits = _ablated_hits(spark, d)
+    base = hits.filter("dropped = 0").select("alpha", "query_id", F.col("hit").alias("b"))
+    pairs = hits.filter("dropped > 0").join(base, ["alpha", "query_id"]).withColumnRenamed("hit", "a")
+    m = S.mcnemar(pairs, "alpha", "dropped").withColumns({"p_two_sided": F.round("p_two_sided", 6), "n": F.col("wins") + F.col("losses") + F.col("ties")})
+    out = S.holm(m, "alpha", "p_two_sided", "dropped")
+    recall = hits.groupBy("alpha", "dropped").agg(F.avg("hit").alias("recall")).withColumn("p", F.lag("recall").over(Window.partitionBy("alpha").orderBy("dropped")))
+    falls = recall.groupBy("alpha").agg(F.bool_and(F.col("p").isNull() | (F.col("recall") <= F.col("p"))).alias("falls"))
+    return out.join(falls, "alpha").select("alpha", "dropped", "n", "wins", "losses", "p_two_sided", F.round("p_adjusted", 6).alias("p_adjusted"), "falls")
+
+
 # ---------------------------------------------------------------- gates
 
 DRAWS = "SELECT b.vec_id AS query_id, CAST('0x' || substr(md5('neg:' || b.vec_id || ':' || j), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings) AS corpus_idx, min(j) AS j FROM embeddings b, range(60) r(j) WHERE b.vec_id % 10 = 0 GROUP BY 1, 2"
