@@ -35,7 +35,7 @@ def bm25_index(corpus: DataFrame, text: str = "text", corpus_idx: str = "corpus_
     sized = docs.select("corpus_idx", "toks", F.size("toks").alias("dl"))
     stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
     postings = sized.select("corpus_idx", "dl", F.explode("toks").alias("tok")).groupBy("corpus_idx", "tok", "dl").agg(F.count("*").alias("f"))
-    df = postings.groupBy("tok").agg(F.count("*").alias("df"))
+    df = sized.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))  # summed before it is shuffled
     idf = df.join(F.broadcast(stats)).select("tok", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     return Bm25Index(postings, idf, stats)
 
