@@ -418,7 +418,7 @@ def s23_describe_version(spark, d):
     return S.describe(table(spark, d, "documents"), "lang", "doc_id", "text")
 
 
-@query("SELECT code, expected, actual, status FROM (SELECT source AS code, CASE WHEN source < 'src15' THEN 50.0 WHEN source < 'src3' THEN NULL ELSE 49.0 END AS expected, CAST(n AS DOUBLE) AS actual, CASE WHEN source < 'src15' THEN CASE WHEN abs(n - 50) <= 0.5 THEN 'OK' ELSE 'MISMATCH' END WHEN source < 'src3' THEN 'SKIP' ELSE CASE WHEN abs(n - 49) <= 0.5 THEN 'OK' ELSE 'MISMATCH' END END AS status FROM (SELECT source, count(*) AS n FROM documents WHERE source <> 'src7' GROUP BY 1)) UNION ALL SELECT 'src7', CASE WHEN 'src7' < 'src15' THEN 50.0 WHEN 'src7' < 'src3' THEN NULL ELSE 49.0 END, NULL, 'MISSING' UNION ALL SELECT 'extra', NULL, 1.0, 'NEW'")
+@query("SELECT code, expected, actual, status FROM (SELECT source AS code, CASE WHEN source < 'src15' THEN 50.0::DOUBLE WHEN source < 'src3' THEN NULL ELSE 49.0::DOUBLE END AS expected, CAST(n AS DOUBLE) AS actual, CASE WHEN source < 'src15' THEN CASE WHEN abs(n - 50) <= 0.5 THEN 'OK' ELSE 'MISMATCH' END WHEN source < 'src3' THEN 'SKIP' ELSE CASE WHEN abs(n - 49) <= 0.5 THEN 'OK' ELSE 'MISMATCH' END END AS status FROM (SELECT source, count(*) AS n FROM documents WHERE source <> 'src7' GROUP BY 1)) UNION ALL SELECT 'src7', CASE WHEN 'src7' < 'src15' THEN 50.0::DOUBLE WHEN 'src7' < 'src3' THEN NULL ELSE 49.0::DOUBLE END, NULL, 'MISSING' UNION ALL SELECT 'extra', NULL, 1.0::DOUBLE, 'NEW'")
 def g13_claims(spark, d):
     counts = table(spark, d, "documents").groupBy(F.col("source").alias("claim")).agg(F.count("*").cast("double").alias("value"))
     s = F.col("claim")
