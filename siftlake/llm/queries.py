@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import sql
 from .common import read_table
 from .embedding_dedup import embedding_dedup
 from .exact_topk import exact_topk
@@ -21,6 +24,10 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Order of the query's language model of words.
+LM_ORDER = 2
+
+
 def op1_exact_topk(spark, sf_dir):
     return exact_topk(read_table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0, k=20)
 
@@ -42,7 +49,8 @@ def op5_toxicity(spark, sf_dir):
 
 
 def op6_lm_scoring(spark, sf_dir):
-    return score_documents(read_table(spark, sf_dir, "documents"), order=2)
+    out = score_documents(read_table(spark, sf_dir, "documents"), order=LM_ORDER)
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op7_ngram_join(spark, sf_dir):
@@ -71,6 +79,9 @@ reach AS (
 )"""
 
 ORACLE_SQL = {
+    "op2_quality": sql.quality(4, 0.95, 5),
+    "op3_suffix_dedup": sql.suffix_dedup(200),
+    "op6_lm_scoring": sql.lm_scoring(LM_ORDER),
     "op1_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
