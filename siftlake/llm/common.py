@@ -66,8 +66,8 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
-#: Rows of an Arrow batch at most: ten thousand documents at once would be more than a slice by far.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most: ten thousand documents at once would be more than a slice by far.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -76,6 +76,7 @@ def ship(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Scratch:

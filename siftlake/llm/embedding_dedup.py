@@ -3,10 +3,11 @@
 Vectors are rotated into principal directions, leading ones first.  Those with
 equal labels are dealt into tiles of bounded size by their first coordinate
 (cells of width sqrt(2 - 2 t): linked unit vectors lie in the same or the next
-cell) and a hash.  A task compares two tiles: it accumulates the products of
-the leading dimensions, bounds the rest by the product of the suffix norms, and
-drops a pair as soon as its cosine cannot reach the threshold.  What is left is
-verified in double precision on the original vectors.
+cell) and a hash.  A tile travels as one packed row and meets every tile that
+may hold a link of its own.  For two tiles the products of the leading
+dimensions are accumulated first, the rest is bounded by the product of the
+suffix norms, and a pair is dropped as soon as its cosine cannot reach the
+threshold.  What is left is verified in double precision on the original vectors.
 
 The rotation comes from a bounded sample (``SAMPLE`` vectors in the order of a
 hash of their ids); it decides how soon pairs drop out, never which pairs link.
@@ -26,14 +27,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, over_batches, over_group
 from .exact_topk import usable
 
-SAMPLE, TILE, STRIP = 4096, 1024, 256
+SAMPLE, TILE, STRIP = 4096, 2048, 256
 #: Dimensions after which the bound is checked.
 STEPS = (8, 16, 32)
 
@@ -68,40 +69,56 @@ def linked_pairs(x, y, a, b, least):
     return i[keep], j[keep]
 
 
-def _tile_kernel(rotations, least):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.rename(columns=lambda c: c.rstrip("_"))
-        if left.empty or right.empty:
-            return pd.DataFrame({"node": [], "n": [], "low": []}, dtype="int64")
-        width = len(left["vector"].iloc[0])
-        x, y = np.stack(left["vector"].to_numpy()).astype(float), np.stack(right["vector"].to_numpy()).astype(float)
-        turn = rotations.get(width)
-        a, b = (v / np.sqrt((v * v).sum(1))[:, None] for v in (x, y))
-        a, b = (a @ turn, b @ turn) if turn is not None else (a, b)
-        xi, yi, xs, ys = left["node"].to_numpy(), right["node"].to_numpy(), left["size"].to_numpy(), right["size"].to_numpy()
-        same = bool(left["same"].iloc[0])
-        nodes = np.unique(np.concatenate([xi, yi]))
-        px, py = np.searchsorted(nodes, xi), np.searchsorted(nodes, yi)
-        low, n = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
-        for at in range(0, len(x), STRIP):
-            i, j = linked_pairs(x[at : at + STRIP], y, a[at : at + STRIP], b, least)
-            i = i + at
-            if same:
-                ok = xi[i] < yi[j]
-                i, j = i[ok], j[ok]
-            p, q = px[i], py[j]
-            np.add.at(n, p, ys[j])
-            np.add.at(n, q, xs[i])
-            while len(p):
-                m = np.minimum(low[p], low[q])
-                before = low.copy()
-                for ends in (p, q, low[p], low[q]):
-                    np.minimum.at(low, ends, m)
-                low = low[low]
-                if (low == before).all():
-                    break
-        some = n > 0
-        return pd.DataFrame({"node": nodes[some], "n": n[some], "low": nodes[low[some]]})
+TILED = "m int, after int, before int, nodes binary, sizes binary, data binary"
+
+
+def _pack_kernel(table: pa.Table) -> pa.Table:
+    """The vectors of a tile as one row."""
+    first = table.slice(0, 1)
+    data = np.asarray(table.column("vector").combine_chunks().flatten(), np.float64)
+    packed = [table.column("node").to_numpy().astype(np.int64), table.column("size").to_numpy().astype(np.int64), data]
+    keys = ["label", "width", "c", "h", "m", "after", "before"]
+    return pa.table([*(first.column(k) for k in keys), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], [*keys, "nodes", "sizes", "data"])
+
+
+def _tile_links(left: dict, right: dict, rotations: dict, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, how many vectors it links to, the least node of its local component) of two tiles, or of one with itself."""
+    xi, yi = (np.frombuffer(t["nodes"], np.int64) for t in (left, right))
+    xs, ys = (np.frombuffer(t["sizes"], np.int64) for t in (left, right))
+    x, y = np.frombuffer(left["data"]).reshape(len(xi), -1), np.frombuffer(right["data"]).reshape(len(yi), -1)
+    turn = rotations.get(x.shape[1])
+    a, b = (v / np.sqrt((v * v).sum(1))[:, None] for v in (x, y))
+    a, b = (a @ turn, b @ turn) if turn is not None else (a, b)
+    nodes = np.unique(np.concatenate([xi, yi]))
+    px, py = np.searchsorted(nodes, xi), np.searchsorted(nodes, yi)
+    low, n = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+    for at in range(0, len(x), STRIP):
+        i, j = linked_pairs(x[at : at + STRIP], y, a[at : at + STRIP], b, least)
+        i = i + at
+        if left["same"]:
+            ok = xi[i] < yi[j]
+            i, j = i[ok], j[ok]
+        p, q = px[i], py[j]
+        np.add.at(n, p, ys[j])
+        np.add.at(n, q, xs[i])
+        while len(p):
+            m = np.minimum(low[p], low[q])
+            before = low.copy()
+            for ends in (p, q, low[p], low[q]):
+                np.minimum.at(low, ends, m)
+            low = low[low]
+            if (low == before).all():
+                break
+    some = n > 0
+    return nodes[some], n[some], nodes[low[some]]
+
+
+def _pair_kernel(rotations, least):
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                right = {"nodes": r["nodes_"], "sizes": r["sizes_"], "data": r["data_"]}
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _tile_links(r, right, rotations, least)], ["node", "n", "low"])
 
     return run
 
@@ -147,15 +164,15 @@ def embedding_dedup(vectors: DataFrame, *, least: float = 0.93, vec_id: str = "v
     tiles = placed.groupBy("label", "width", "c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("m"))
     tiles = tiles.select("label", "width", "c", "m").join(tiles.select("label", "width", (F.col("c") - 1).alias("c"), F.col("m").alias("after")), ["label", "width", "c"], "left").join(tiles.select("label", "width", (F.col("c") + 1).alias("c"), F.col("m").alias("before")), ["label", "width", "c"], "left")
     full = placed.join(tiles, ["label", "width", "c"]).withColumn("h", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    until = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    key = ["label", "width", "c", "h", "d", "g"]  # left tile (c, h), right tile (d, g)
-    own = full.select("label", "width", "c", "h", F.explode(F.sequence(F.col("h"), F.col("m") - 1)).alias("g"), "node", "size", "vector")
-    left = own.select("label", "width", "c", "h", F.col("c").alias("d"), "g", (F.col("h") == F.col("g")).alias("same"), "node", "size", "vector")
-    left = left.union(full.select("label", "width", "c", "h", (F.col("c") + 1).alias("d"), F.explode(until(F.coalesce("after", F.lit(0)))).alias("g"), F.lit(False).alias("same"), "node", "size", "vector"))
-    right = full.select("label", "width", "c", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("h"), F.col("c").alias("d"), F.col("h").alias("g"), "node", "size", "vector")
-    right = right.union(full.select("label", "width", (F.col("c") - 1).alias("c"), F.explode(until(F.coalesce("before", F.lit(0)))).alias("h"), F.col("c").alias("d"), F.col("h").alias("g"), "node", "size", "vector"))
-    right = right.toDF(*[f"{c}_" for c in right.columns])
-    met = scratch.keep(left.groupBy(*key).cogroup(right.groupBy(*[f"{c}_" for c in key])).applyInPandas(_tile_kernel(rotations, least), "node long, n long, low long"))
+    full = full.select("label", "width", "c", "h", "m", F.coalesce("after", F.lit(0)).alias("after"), F.coalesce("before", F.lit(0)).alias("before"), "node", "size", "vector")
+    packed = scratch.keep(full.groupBy("label", "width", "c", "h").applyInArrow(over_group(_pack_kernel), f"label {kinds['label']}, width int, c int, h int, {TILED}"))
+    held = ["nodes", "sizes", "data"]  # a left tile (c, h) meets those after it: (c, g) from h on, and all of cell c + 1
+    own = packed.select("label", "width", F.col("c").alias("d"), F.explode(F.sequence(F.col("h"), F.col("m") - 1)).alias("g"), "h", *held)
+    own = own.select("label", "width", "d", "g", (F.col("h") == F.col("g")).alias("same"), *held)
+    next_ = packed.filter("after > 0").select("label", "width", (F.col("c") + 1).alias("d"), F.explode(F.sequence(F.lit(0), F.col("after") - 1)).alias("g"), F.lit(False).alias("same"), *held)
+    right = packed.select("label", "width", F.col("c").alias("d"), F.col("h").alias("g"), *[F.col(c).alias(f"{c}_") for c in held])
+    pairs = own.union(next_).join(right.hint("merge"), ["label", "width", "d", "g"]).select("same", *held, *[f"{c}_" for c in held])
+    met = scratch.keep(pairs.mapInArrow(over_batches(_pair_kernel(rotations, least)), "node long, n long, low long"))
     comp = components(scratch, met.select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = met.groupBy("node").agg(F.sum("n").alias("n"))
     of = classes.select("k1", "k2", "node", "size").join(links, "node", "left").join(comp, "node", "left")

@@ -299,6 +299,9 @@ def test_embedding_dedup(spark, monkeypatch):
     low = classes([r[0] for r in rows], pairs)
     count = {ok[x][0]: n[x] for x in range(len(ok))}
     assert got == sorted((i, count.get(i, 0), low[i], low[i] == i) for i, _, _ in rows)
+    clash = spark.createDataFrame([(1, [1.0, 0.0], 1, "x", [3]), (2, [1.0, 0.1], 1, "y", None), (None, [1.0, 0.0], 1, None, None)], "vec_id long, embedding array<float>, label int, node string, sizes array<int>")
+    assert sorted(map(tuple, E.embedding_dedup(clash).collect()), key=str) == sorted([(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)], key=str)
+    assert E.embedding_dedup(clash.filter("vec_id > 5")).count() == 0
 
 
 def plain_kneser_ney(seqs, learn, order):
