@@ -121,17 +121,27 @@ def drop_tokens(text: Column, dropped: Column) -> Column:
 
 
 def substitute(queries: DataFrame, rules: DataFrame, level: int) -> DataFrame:
-    """(query_id, text, applied): rules of tiers up to the level, in the order (tier, -length, phrase), each replacing all its phrases.
+    """(query_id, text, applied, log, skipped): rules of tiers up to the level, in the order (tier, -length, phrase), each replacing all its phrases.
 
-    rules: (tier, lang, phrase, hypernym); a null lang holds for all languages.
-    The rule table is one row per rule; it is folded over each query.
+    rules: (tier, lang, phrase, hypernym) and query_ids, if there is such a
+    column; a null lang or null ids hold for all.  log: the phrases replaced, in
+    order; skipped: those of rules that held but found nothing.  The rule table
+    is one row a rule; it is folded over each query.
     """
-    ordered = rules.filter(F.col("tier") <= level).select("lang", F.struct("tier", (-F.length("phrase")).alias("n"), "phrase", "hypernym").alias("r"))
-    packed = ordered.agg(F.array_sort(F.collect_list(F.struct("r.tier", "r.n", "r.phrase", "r.hypernym", "lang"))).alias("rules"))
-    step = lambda s, r: F.struct(F.replace(s["text"], r["phrase"], r["hypernym"]).alias("text"), (s["applied"] + F.contains(s["text"], r["phrase"]).cast("int")).alias("applied"))
-    own = F.filter("rules", lambda r: r["lang"].isNull() | (r["lang"] == F.col("lang")))
-    done = F.aggregate(own, F.struct(F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("applied")), step)
-    return queries.join(F.broadcast(packed)).select("query_id", done["text"].alias("text"), done["applied"].alias("applied"))
+    ids = F.col("query_ids").cast("array<long>") if "query_ids" in rules.columns else F.lit(None).cast("array<long>")
+    ordered = rules.filter(F.col("tier") <= level).select(F.struct("tier", (-F.length("phrase")).alias("n"), "phrase", "hypernym", "lang", ids.alias("ids")).alias("r"))
+    packed = ordered.agg(F.array_sort(F.collect_list("r")).alias("rules"))
+    none = F.array().cast("array<string>")
+
+    def step(s, r):
+        hit = F.contains(s["text"], r["phrase"])
+        more = lambda c, yes: F.concat(s[c], F.when(yes, F.array(r["phrase"])).otherwise(none)).alias(c)
+        return F.struct(F.replace(s["text"], r["phrase"], r["hypernym"]).alias("text"), more("log", hit), more("skipped", ~hit))
+
+    own = F.filter("rules", lambda r: (r["lang"].isNull() | (r["lang"] == F.col("lang"))) & (r["ids"].isNull() | F.array_contains(r["ids"], F.col("query_id").cast("long"))))
+    done = F.aggregate(own, F.struct(F.coalesce("text", F.lit("")).alias("text"), none.alias("log"), none.alias("skipped")), step)
+    out = queries.join(F.broadcast(packed)).select("query_id", done.alias("d"))
+    return out.select("query_id", "d.text", F.size("d.log").alias("applied"), "d.log", "d.skipped")
 
 
 def normalised(entries: DataFrame, meta: DataFrame, version: int = 2) -> DataFrame:

@@ -151,12 +151,13 @@ def a8_p25_document_frequency(spark, d):
     return t.groupBy("tok").agg(F.count("*").alias("df"))
 
 
-@query(f"""WITH q AS (SELECT item_id, list_sort(list_distinct(list_transform(list_filter({tok('text')}, lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN ('that', 'this', 'with', 'from')), lambda w: {NORM}))) AS terms FROM benchmark),
+@query(f"""WITH q AS (SELECT item_id, list_sort(list_distinct(list_transform(list_filter({tok('text')}, lambda w: length(w) >= CASE WHEN item_id % 2 = 0 THEN 4 ELSE 2 END AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN ('that', 'this', 'with', 'from') AND (item_id % 2 = 0 OR regexp_matches(w, '^[a-z0-9]+$'))), lambda w: {NORM}))) AS terms FROM benchmark),
 df AS (SELECT tok, count(*) AS df FROM (SELECT DISTINCT doc_id, {NORM} AS tok FROM (SELECT doc_id, unnest({tok('text')}) AS w FROM documents)) GROUP BY 1),
 x AS (SELECT item_id, unnest(terms) AS tok FROM q)
 SELECT item_id, count(*) AS n_terms, count(df.df) AS n_known, count(*) FILTER (WHERE df.df BETWEEN 1 AND 20) AS n_discriminative FROM x LEFT JOIN df USING (tok) GROUP BY 1""")
 def p26_a12_item_terms(spark, d):
-    q = _benchmark(spark, d).withColumn("lang", F.lit("en")).select(F.col("query_id").alias("item_id"), F.explode(T.item_terms("text", "lang", ["that", "this", "with", "from"])).alias("tok"))
+    """Every second query counts as Korean, where only Latin words are terms."""
+    q = _benchmark(spark, d).withColumn("lang", F.when(F.col("query_id") % 2 == 0, "en").otherwise("ko")).select(F.col("query_id").alias("item_id"), F.explode(T.item_terms("text", "lang", ["that", "this", "with", "from"])).alias("tok"))
     return q.join(a8_p25_document_frequency(spark, d), "tok", "left").groupBy("item_id").agg(F.count("*").alias("n_terms"), F.count("df").alias("n_known"), F.count_if(F.col("df").between(1, 20)).alias("n_discriminative"))
 
 
@@ -404,11 +405,15 @@ def u1_o5_hash_bootstrap(spark, d):
 # ---------------------------------------------------------------- ablation and ladders
 
 
-@query("SELECT item_id AS query_id, trim(regexp_replace(replace(replace(text, 'tion', '<1>'), 'the', '<2>'), '\\s+', ' ', 'g')) AS text, CAST(contains(text, 'tion') AS INTEGER) + CAST(contains(replace(text, 'tion', '<1>'), 'the') AS INTEGER) AS applied FROM benchmark")
+@query("""WITH a AS (SELECT item_id, text, replace(text, 'tion', '<1>') AS t1 FROM benchmark), b AS (SELECT *, CASE WHEN item_id < 20 THEN replace(t1, 'ing', '<5>') ELSE t1 END AS t2 FROM a),
+r AS (SELECT item_id, t2, replace(t2, 'the', '<2>') AS t3, [CASE WHEN contains(text, 'tion') THEN 'tion' END, CASE WHEN item_id < 20 AND contains(t1, 'ing') THEN 'ing' END, CASE WHEN contains(t2, 'the') THEN 'the' END] AS l,
+  [CASE WHEN NOT contains(text, 'tion') THEN 'tion' END, CASE WHEN item_id < 20 AND NOT contains(t1, 'ing') THEN 'ing' END, CASE WHEN NOT contains(t2, 'the') THEN 'the' END] AS k FROM b)
+SELECT item_id AS query_id, trim(regexp_replace(t3, '\\s+', ' ', 'g')) AS text, CAST(len(list_filter(l, lambda z: z IS NOT NULL)) AS INTEGER) AS applied, array_to_string(list_filter(l, lambda z: z IS NOT NULL), ',') AS log, array_to_string(list_filter(k, lambda z: z IS NOT NULL), ',') AS skipped FROM r""")
 def r25_substitution(spark, d):
-    rules = spark.createDataFrame([(1, None, "tion", "<1>"), (1, "en", "the", "<2>"), (1, "ko", "a", "<3>"), (2, None, "e", "<4>")], "tier int, lang string, phrase string, hypernym string")
+    rules = [(1, None, "tion", "<1>", None), (1, "en", "the", "<2>", None), (1, "ko", "a", "<3>", None), (1, None, "ing", "<5>", list(range(20))), (2, None, "e", "<4>", None)]
+    rules = spark.createDataFrame(rules, "tier int, lang string, phrase string, hypernym string, query_ids array<long>")
     out = C.substitute(_benchmark(spark, d).withColumn("lang", F.lit("en")), rules, 1)
-    return out.select("query_id", T.collapse("text").alias("text"), "applied")
+    return out.select("query_id", T.collapse("text").alias("text"), "applied", F.array_join("log", ",").alias("log"), F.array_join("skipped", ",").alias("skipped"))
 
 
 LADDER = "l AS (SELECT conv_id, turn, role, length(text) AS n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) = text AS same FROM conversations)"
