@@ -179,3 +179,12 @@ def test_lines_and_substitution(spark):
     qs = spark.createDataFrame([(0, "en", "the black cat, a cat and a dog")], "query_id long, lang string, text string")
     r = C.substitute(qs, rules, 1).first()
     assert (r.text, r.applied) == ("the pet, a animal and a dog", 2)
+
+
+def test_windowed_counts(spark):
+    from siftlake.streaming.shards import windowed_counts
+
+    rows = [("2024-01-01 00:10:00", "a", 1.5), ("2024-01-01 00:59:59", "a", 2.0), ("2024-01-01 01:00:00", "a", 4.0), ("2024-01-01 00:30:00", "b", None)]
+    events = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    got = sorted((str(r.start), r.event_type, r.n, r.total) for r in windowed_counts(events).collect())
+    assert got == [("2024-01-01 00:00:00", "a", 2, 3.5), ("2024-01-01 00:00:00", "b", 1, None), ("2024-01-01 01:00:00", "a", 1, 4.0)]
