@@ -95,45 +95,34 @@ def padded(level: int) -> np.uint64:
     return mix(np.array([START + U64(level)], U64))[0]
 
 
-def ngrams(token: np.ndarray, offsets: np.ndarray, order: int):
-    """For each level from 1 to order the fingerprint of the n-gram that ends at each token, one level after the other."""
-    out = token
-    yield out
-    for level in range(2, order + 1):
-        out = _longer(history(out, offsets[:-1], level - 1), token, level)
-        yield out
-
-
-def history(grams: np.ndarray, first: np.ndarray, level: int) -> np.ndarray:
-    """The n-gram of ``level`` that ends before each token."""
-    h = np.empty_like(grams)
-    h[1:] = grams[:-1]
-    h[first] = padded(level)
-    return h
-
-
 def _longer(h: np.ndarray, token: np.ndarray, level: int) -> np.ndarray:
+    """Fingerprints of n-grams of a level from those of their histories and last tokens."""
     with np.errstate(over="ignore"):
         return mix(h * U64(0xD1342543DE82EF95) + token + U64(level))
 
 
 class Coded:
-    """A block's n-grams of a level: its sorted distinct keys, and the place of each token's n-gram and history among them.
+    """A block's n-grams of a level: its sorted distinct keys, and the place of each token's n-gram among them (``at``).
 
-    Below the highest level the start history is one of the keys.
+    Below the highest level the start history is one of the keys, and ``before``
+    is the place of the n-gram that ends before each token.
     """
 
-    def __init__(self, grams: np.ndarray, offsets: np.ndarray, level: int, order: int):
-        code, found = pd.factorize(grams if level == order else np.append(grams, padded(level)))
+    def __init__(self, code: np.ndarray, found: np.ndarray, offsets: np.ndarray, level: int, order: int):
+        """code: which of the fingerprints ``found`` each token's n-gram is."""
+        if level < order:
+            start = padded(level)
+            where = np.flatnonzero(found == start)
+            extra = int(where[0]) if len(where) else len(found)
+            found = found if len(where) else np.append(found, start)
         by = np.argsort(found)
         place = np.empty(len(by), np.int32)
         place[by] = np.arange(len(by), dtype=np.int32)
-        self.keys, at = found[by], place[code]
-        self.at = at[: len(grams)]
+        self.keys, self.at = found[by], place[code]
         if level < order:
             self.before = np.empty_like(self.at)
             self.before[1:] = self.at[:-1]
-            self.before[offsets[:-1]] = at[-1]
+            self.before[offsets[:-1]] = place[extra]
 
     def first(self) -> np.ndarray:
         """Where each key stands first in the text (for the start history: past its end)."""
@@ -142,6 +131,18 @@ class Coded:
         return out
 
 
+def levels(token: np.ndarray, offsets: np.ndarray, order: int, upto: int):
+    """Coded of each level from 1 to upto; fingerprints are made of distinct n-grams only."""
+    last, words_ = pd.factorize(token)
+    own = Coded(last, words_, offsets, 1, order)
+    yield own
+    for level in range(2, upto + 1):
+        code, pairs = pd.factorize(own.before.astype(np.int64) * len(words_) + last)
+        history, word = np.divmod(pairs, len(words_))
+        own = Coded(code, _longer(own.keys[history], words_[word], level), offsets, level, order)
+        yield own
+
+
 # ---------------------------------------------------------------- coding
 
 
@@ -182,10 +183,9 @@ def _request(level, order, shards):
     """Block -> rows for the shards of a level, from the block's training documents."""
 
     def rows(block, token, offsets, answer):
-        grams = longer = None
-        for k, g in enumerate(ngrams(token, offsets, min(level + 1, order)), 1):
-            grams, longer = (g, longer) if k == level else (grams, g if k > level else None)
-        own = Coded(grams, offsets, level, order)
+        own = longer = None
+        for k, x in enumerate(levels(token, offsets, order, min(level + 1, order)), 1):
+            own, longer = (x, longer) if k == level else (own, x if k > level else None)
         keys = own.keys
         got = {f: np.zeros(len(keys), np.int64) for f in FIELDS}
         if level == 1:
@@ -193,7 +193,7 @@ def _request(level, order, shards):
         if level == order:
             got["n"] = np.bincount(own.at, minlength=len(keys))
         else:
-            where = Coded(longer, offsets, level + 1, order).first()
+            where = longer.first()
             some = answer["own"] & (where < len(token))
             count, where = answer["n"][some], where[some]
             got["n"] = np.bincount(own.at[where], minlength=len(keys))
@@ -289,7 +289,7 @@ def _count_kernel(level, order, shards, unit):
     return run
 
 
-def _ask_kernel(levels, order, shards, unit, trusted):
+def _ask_kernel(wanted, order, shards, unit, trusted):
     def run(docs: pa.Table) -> pa.Table:
         docs, _ = _marked(docs, trusted)
         if not docs.num_rows:
@@ -297,10 +297,10 @@ def _ask_kernel(levels, order, shards, unit, trusted):
         block = docs.column("block")[0].as_py()
         token, offsets = tokens(docs.column("text"), unit)
         rows = []
-        for level, grams in enumerate(ngrams(token, offsets, max(levels)), 1):
-            if level not in levels:
+        for level, own in enumerate(levels(token, offsets, order, max(wanted)), 1):
+            if level not in wanted:
                 continue
-            keys = Coded(grams, offsets, level, order).keys
+            keys = own.keys
             cut = _shards(keys, shards)
             rows += [(block, level, k, pack_sorted(keys[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
         return _table(rows, ASK)
@@ -428,8 +428,8 @@ def _score_kernel(order, sums, unit, trusted):
         p = np.full(len(token), 1.0 / (kinds + 1))
         raw = np.zeros(len(token), np.int64)
         context = None
-        for level, grams in enumerate(ngrams(token, offsets, order), 1):
-            own, a, cut = Coded(grams, offsets, level, order), _joined(got.filter(pa.array(at_level == level)), FIELDS), np.array(d[level])
+        for level, own in enumerate(levels(token, offsets, order, order), 1):
+            a, cut = _joined(got.filter(pa.array(at_level == level)), FIELDS), np.array(d[level])
             at = own.at
             n = a["n"][at]
             if level == 1:
@@ -500,9 +500,9 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
         sums[level] = [{r.pos: r.n for r in parts}.get(k, 0) for k in range(8)]
         arrays = arrays.select(F.lit(level).alias("level"), "shard")
         model = arrays if model is None else model.union(arrays)
-    def look(levels: list[int]) -> DataFrame:
-        asks = base.groupBy("block").applyInArrow(over_group(_ask_kernel(levels, order, shards, unit, looked)), ASK)
-        return asks.groupBy("level", "shard").cogroup(model.filter(F.col("level").isin(levels)).groupBy("level", "shard")).applyInArrow(over_cogroup(_look_kernel(folder)), FOUND)
+    def look(wanted: list[int]) -> DataFrame:
+        asks = base.groupBy("block").applyInArrow(over_group(_ask_kernel(wanted, order, shards, unit, looked)), ASK)
+        return asks.groupBy("level", "shard").cogroup(model.filter(F.col("level").isin(wanted)).groupBy("level", "shard")).applyInArrow(over_cogroup(_look_kernel(folder)), FOUND)
 
     if unit == "character":  # few distinct n-grams: all orders at once, and the blocks' shuffle serves twice
         found = look(list(range(1, order + 1)))
