@@ -50,6 +50,8 @@ from .common import LOWER, SLICE_BYTES, U64, Scratch, crc_fold, long_cuts, mix,
 BLOCK_BYTES = 6 << 20
 #: Bytes of text that are packed at once on their way to the blocks.
 PACK_BYTES = 8 << 20
+#: Tokens whose probabilities are worked out at once.
+STRIP = 1 << 18
 #: Tokens with a meaning of their own.
 END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 
@@ -427,23 +429,26 @@ def _score_kernel(order, sums, unit, trusted):
         at_level = got.column("level").to_numpy()
         p = np.full(len(token), 1.0 / (kinds + 1))
         raw = np.zeros(len(token), np.int64)
-        context = None
+        context = before = None
         for level, own in enumerate(levels(token, offsets, order, order), 1):
             a, cut = _joined(got.filter(pa.array(at_level == level)), FIELDS), np.array(d[level])
-            at = own.at
-            n = a["n"][at]
-            if level == 1:
-                raw = a["raw"][at]
-                den = np.full(len(token), float(one[5]))
-                rest = np.full(len(token), cut[1] * one[0] + cut[2] * one[1] + cut[3] * one[4])
-            else:
-                den = context["xs"].astype(float)
-                rest = cut[1] * context["x1"] + cut[2] * context["x2"] + cut[3] * context["x3"]
-            some = den > 0
-            safe = np.where(some, den, 1.0)
-            p = np.where(some, (np.maximum(n - cut[np.minimum(n, 3)], 0) + rest * p) / safe, p)
+            for lo in range(0, len(token), STRIP):
+                part = slice(lo, lo + STRIP)
+                at = own.at[part]
+                n = a["n"][at]
+                if level == 1:
+                    raw[part] = a["raw"][at]
+                    den = np.full(len(at), float(one[5]))
+                    rest = np.full(len(at), cut[1] * one[0] + cut[2] * one[1] + cut[3] * one[4])
+                else:
+                    h = before[part]
+                    den = context["xs"][h].astype(float)
+                    rest = cut[1] * context["x1"][h] + cut[2] * context["x2"][h] + cut[3] * context["x3"][h]
+                some = den > 0
+                mixed = (np.maximum(n - cut[np.minimum(n, 3)], 0) + rest * p[part]) / np.where(some, den, 1.0)
+                p[part] = np.where(some, mixed, p[part])
             if level < order:
-                context = {f: a[f][own.before] for f in ("x1", "x2", "x3", "xs")}
+                context, before = a, own.before
         base = np.log10((raw + 0.1) / (total + 0.1 * (kinds + 1)))
         first = offsets[:-1]
         sum_of = lambda x: np.add.reduceat(x, first)  # noqa: E731  every row has its end token
@@ -504,14 +509,11 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
         asks = base.groupBy("block").applyInArrow(over_group(_ask_kernel(wanted, order, shards, unit, looked)), ASK)
         return asks.groupBy("level", "shard").cogroup(model.filter(F.col("level").isin(wanted)).groupBy("level", "shard")).applyInArrow(over_cogroup(_look_kernel(folder)), FOUND)
 
-    if unit == "character":  # few distinct n-grams: all orders at once, and the blocks' shuffle serves twice
-        found = look(list(range(1, order + 1)))
-    else:
-        found = None
-        for level in range(1, order + 1):
-            part = scratch.keep(look([level]))
-            release_shuffles(spark)
-            found = part if found is None else found.union(part)
+    found = None
+    for wanted in [list(range(1, order + 1))] if unit == "character" else [[level] for level in range(1, order + 1)]:  # few characters, many words
+        part = scratch.keep(look(wanted))
+        release_shuffles(spark)
+        found = part if found is None else found.union(part)
     return base.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(over_cogroup(_score_kernel(order, sums, unit, looked)), SCORED)
 
 
