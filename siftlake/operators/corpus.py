@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.text import tokens
+from siftlake.operators.retrieval import MOST_TOKENS, QUERY_BLOCK, best_of_block, occurrences
+from siftlake.shipping import ship
 
 
 def keep_longest(rows: DataFrame, *keys: str, text: str = "text", order: str = "corpus_idx") -> DataFrame:
@@ -62,53 +63,49 @@ def version_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFr
     return o.join(n, key, "full_outer").select(key, status.alias("status"))
 
 
-def jaccard_candidates(left: DataFrame, right: DataFrame, k: int, most_left: int = 2048, at: int = 9) -> DataFrame:
+def jaccard_candidates(left: DataFrame, right: DataFrame, k: int, most_tokens: int = MOST_TOKENS, at: int = 9) -> DataFrame:
     """(left_id, right_id, jaccard, rank): the k most similar right rows of each left one, by token sets.
 
     left, right: (left_id, text), (right_id, text); pairs without a common token
-    are none.  Right rows meet the left ones in blocks, as two matrices of 0 and
-    1, and keep k rows for each left one.  The left set goes to the workers with
-    the code, so it is counted first; above ``most_left`` overlaps come from an
-    equi-join on tokens.
+    are none; ties go to the larger right_id.  Right rows meet blocks of left ones
+    as two matrices of 0 and 1, and keep k rows for each.  The left sets go to the
+    workers with the code, so their tokens are counted first; above
+    ``most_tokens`` overlaps come from an equi-join on tokens.
     """
     w = Window.partitionBy("left_id").orderBy(F.desc("jaccard"), F.desc("right_id"))
-    if left.count() > most_left:
-        a = left.select("left_id", F.explode(F.array_distinct(tokens("text"))).alias("tok"))
+    a = left.select("left_id", F.explode(F.array_distinct(tokens("text"))).alias("tok"))
+    asked = a.limit(most_tokens + 1).collect()
+    if len(asked) > most_tokens:
         b = right.select("right_id", F.explode(F.array_distinct(tokens("text"))).alias("tok"))
         na, nb = a.groupBy("left_id").agg(F.count("*").alias("na")), b.groupBy("right_id").agg(F.count("*").alias("nb"))
         both = a.join(b, "tok").groupBy("left_id", "right_id").agg(F.count("*").alias("i")).join(na, "left_id").join(nb, "right_id")
         scored = both.select("left_id", "right_id", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), at).alias("jaccard"))
         return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    sets = left.select("left_id", F.array_distinct(tokens("text")).alias("s")).collect()
-    vocabulary = sorted({t for r in sets for t in r.s})
-    place = {t: i for i, t in enumerate(vocabulary)}
-    ids, size = np.array([r.left_id for r in sets], np.int64), np.array([len(r.s) for r in sets], np.float64)
-    asked = np.zeros((len(vocabulary), len(sets)))
-    for j, r in enumerate(sets):
-        asked[[place[t] for t in r.s], j] = 1
+    ids, blocks = sorted({r.left_id for r in asked}), []
+    for start in range(0, len(ids), QUERY_BLOCK):
+        row = {x: j for j, x in enumerate(ids[start : start + QUERY_BLOCK])}
+        own = [r for r in asked if r.left_id in row]
+        place = {t: i for i, t in enumerate(sorted({r.tok for r in own}))}
+        sets = np.zeros((len(place), len(row)))
+        sets[[place[r.tok] for r in own], [row[r.left_id] for r in own]] = 1
+        blocks.append((np.array(list(row), np.int64), list(place), sets))
 
     def run(batches):
-        words = pa.array(vocabulary, pa.string())
+        known = [(x, pa.array(words, pa.string()), sets) for x, words, sets in blocks]
         for b in batches:
             for start in range(0, b.num_rows, 512):
                 part = b.slice(start, 512)
-                own, lists = part.column(0).to_numpy(), part.column(1)
-                length = np.diff(lists.offsets.to_numpy())
-                code = pa.compute.fill_null(pa.compute.index_in(lists.flatten(), value_set=words), -1).to_numpy()
-                row = np.repeat(np.arange(part.num_rows), length)[code >= 0]
-                seen = np.zeros((part.num_rows, len(vocabulary)))
-                seen[row, code[code >= 0]] = 1
-                shared = (seen @ asked).T
-                jaccard = np.round(shared / np.maximum(size[:, None] + length[None, :] - shared, 1), at)
-                n = min(k, part.num_rows)
-                least = np.partition(jaccard, part.num_rows - n, axis=1)[:, part.num_rows - n]
-                q, d = np.nonzero((jaccard >= least[:, None]) & (shared > 0))
-                order = np.lexsort((-own[d], -jaccard[q, d], q))
-                q, d = q[order], d[order]
-                best = np.arange(len(q)) - np.searchsorted(q, q) < k
-                q, d = q[best], d[best]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[d]), pa.array(jaccard[q, d])], ["left_id", "right_id", "jaccard"])
-
+                own, length = part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy())
+                for x, words, sets in known:
+                    doc, code, _ = occurrences(part.column(1), words)
+                    seen = np.zeros((part.num_rows, len(words)))
+                    seen[doc, code] = 1
+                    shared = (seen @ sets).T
+                    jaccard = np.round(shared / np.maximum(sets.sum(0)[:, None] + length[None, :] - shared, 1), at)
+                    q, d = best_of_block(jaccard, own, k, falling=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[q]), pa.array(own[d]), pa.array(jaccard[q, d])], ["left_id", "right_id", "jaccard"])
+
+    ship(left.sparkSession)
     found = right.select(F.col("right_id").cast("long"), F.array_distinct(tokens("text")).alias("s")).mapInArrow(run, "left_id long, right_id long, jaccard double")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.text import tokens
+from siftlake.shipping import ship
 
 K1, B = 1.2, 0.75
 
@@ -157,57 +158,76 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, views: dict[str,
     return found.withColumn("rank", F.row_number().over(by_rank("view", "query_id"))).filter(F.col("rank") <= k)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, text: Column | str = "text", at: int = 9, most_queries: int = 2048) -> DataFrame:
+#: Queries whose matrix is one block; tokens of queries, repeats in one query apart, that may go to the workers with the code.
+QUERY_BLOCK, MOST_TOKENS = 64, 200_000
+
+
+def best_of_block(scores: np.ndarray, ids: np.ndarray, k: int, falling: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best positive scores of each row; ties go to the smaller id, or the larger one."""
+    n = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+    row, column = np.nonzero((scores >= least[:, None]) & (scores > 0))
+    order = np.lexsort((-ids[column] if falling else ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[best], column[best]
+
+
+def occurrences(lists: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the vocabulary, count) of the known tokens of each row."""
+    length = np.diff(lists.offsets.to_numpy())
+    code = pa.compute.fill_null(pa.compute.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy()
+    row = np.repeat(np.arange(len(lists)), length)[code >= 0]
+    cell, count = np.unique(row * len(vocabulary) + code[code >= 0], return_counts=True)
+    return *np.divmod(cell, len(vocabulary)), count
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, text: Column | str = "text", at: int = 9, most_tokens: int = MOST_TOKENS) -> DataFrame:
     """(query_id, corpus_idx, score, rank) of the k best documents of each query, with the zero fill of ``top_k``.
 
     The index holds the queries' tokens only; documents are scored in blocks as
-    a sparse matrix of term weights against the queries' matrix and keep k rows
-    a query.  The query set goes to the workers with the code, so it is counted
-    first; above ``most_queries`` the join plan is taken, which shuffles it.
+    a matrix of term weights against the matrix of a block of queries, and keep k
+    rows a query.  The queries' tokens go to the workers with the code, so they
+    are counted first; above ``most_tokens`` the join plan is taken, which
+    shuffles them.
     """
-    if queries.count() > most_queries:
+    asked = query_tokens(queries).limit(most_tokens + 1).collect()
+    if len(asked) > most_tokens:
         index = bm25_index(docs.withColumn("text", text if isinstance(text, Column) else F.col(text)))
         return top_k(bm25_scores(index, query_tokens(queries)), docs, k)
-    asked = query_tokens(queries).collect()
-    vocabulary = sorted({r.tok for r in asked})
-    qids = sorted({r.query_id for r in asked})
+    spark = queries.sparkSession
+    if not asked:
+        return top_k(spark.createDataFrame([], "query_id long, corpus_idx long, score double"), docs, k)
     toks = docs.select("corpus_idx", tokens(text).alias("toks"))
     n, avgdl = toks.agg(F.count("*"), F.avg(F.size("toks"))).first()
-    known = queries.sparkSession.createDataFrame([(t,) for t in vocabulary], "tok string")
+    known = spark.createDataFrame([(t,) for t in sorted({r.tok for r in asked})], "tok string")
     df = {r.tok: r.df for r in toks.select(F.explode(F.array_distinct("toks")).alias("tok")).join(F.broadcast(known), "tok").groupBy("tok").agg(F.count("*").alias("df")).collect()}
-    place, row = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(qids)}
-    weight = np.zeros((len(vocabulary), len(qids)))
-    for r in asked:
-        if c := df.get(r.tok):
-            weight[place[r.tok], row[r.query_id]] = r.m * np.log((n - c + 0.5) / (c + 0.5) + 1)
-    ids, avgdl = np.array(qids, np.int64), avgdl or 1.0
+    avgdl, qids, blocks = avgdl or 1.0, sorted({r.query_id for r in asked}), []
+    for start in range(0, len(qids), QUERY_BLOCK):
+        row = {q: i for i, q in enumerate(qids[start : start + QUERY_BLOCK])}
+        own = [r for r in asked if r.query_id in row and r.tok in df]
+        place = {t: i for i, t in enumerate(sorted({r.tok for r in own}))}
+        weight = np.zeros((len(place), len(row)))
+        for r in own:
+            weight[place[r.tok], row[r.query_id]] = r.m * np.log((n - df[r.tok] + 0.5) / (df[r.tok] + 0.5) + 1)
+        if place:
+            blocks.append((np.array(list(row), np.int64), list(place), weight))
 
     def run(batches):
-        words = pa.array(vocabulary, pa.string())
+        known = [(ids, pa.array(words, pa.string()), weight) for ids, words, weight in blocks]
         for b in batches:
             for start in range(0, b.num_rows, 512):
                 part = b.slice(start, 512)
-                lists, docs_of = part.column(1), part.column(0).to_numpy()
-                length = np.diff(lists.offsets.to_numpy())
-                code = pa.compute.index_in(lists.flatten(), value_set=words)
-                doc, code = np.repeat(np.arange(part.num_rows), length), code.to_numpy(zero_copy_only=False)
-                some = ~np.isnan(code) if code.dtype.kind == "f" else np.ones(len(code), bool)
-                cell, f = np.unique(doc[some] * len(vocabulary) + code[some].astype(np.int64), return_counts=True)
-                doc, code = np.divmod(cell, len(vocabulary))
-                terms = np.zeros((part.num_rows, len(vocabulary)))
-                terms[doc, code] = f * (K1 + 1) / (f + K1 * (1 - B + B * length[doc] / avgdl))
-                scores = np.round(terms @ weight, at).T
-                m = min(k, part.num_rows)
-                least = np.partition(scores, part.num_rows - m, axis=1)[:, part.num_rows - m]
-                q, d = np.nonzero((scores >= least[:, None]) & (scores > 0))
-                order = np.lexsort((docs_of[d], -scores[q, d], q))
-                q, d = q[order], d[order]
-                best = np.arange(len(q)) - np.searchsorted(q, q) < k
-                q, d = q[best], d[best]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs_of[d]), pa.array(scores[q, d])], ["query_id", "corpus_idx", "score"])
-
-    if not vocabulary:
-        return top_k(queries.sparkSession.createDataFrame([], "query_id long, corpus_idx long, score double"), docs, k)
+                own, length = part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy())
+                for ids, words, weight in known:
+                    doc, code, f = occurrences(part.column(1), words)
+                    terms = np.zeros((part.num_rows, len(words)))
+                    terms[doc, code] = f * (K1 + 1) / (f + K1 * (1 - B + B * length[doc] / avgdl))
+                    scores = np.round(terms @ weight, at).T
+                    q, d = best_of_block(scores, own, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[d]), pa.array(scores[q, d])], ["query_id", "corpus_idx", "score"])
+
+    ship(spark)
     return top_k(toks.mapInArrow(run, "query_id long, corpus_idx long, score double"), docs, k)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators import audits as A
+from siftlake.operators import corpus as C
 from siftlake.operators import parsing as P
 from siftlake.operators import retrieval as R
 from siftlake.operators import spans as D
@@ -228,15 +229,20 @@ def test_shards_merge_only_if_they_agree(spark):
         S.merged_shards(spark.createDataFrame([*rows, ("a", "BM25", 3, 1)], schema))
 
 
-def test_block_kernels_agree_with_the_join_plans(spark):
+def test_block_kernels_agree_with_the_join_plans(spark, monkeypatch):
     rnd = random.Random(5)
     docs = spark.createDataFrame([(k, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(0, 9)))) for k in range(60)], "corpus_idx long, text string")
     q = spark.createDataFrame([(1, "a a b"), (2, "zz"), (3, "h"), (4, "")], "query_id long, text string")
     index = R.bm25_index(docs)
     scores = R.bm25_scores(index, R.query_tokens(q))
     want = sorted((r.query_id, r["rank"], r.corpus_idx, round(r.score, 8)) for r in R.top_k(scores, docs, 25).collect())
-    for most in (0, 100):
-        assert sorted((r.query_id, r["rank"], r.corpus_idx, round(r.score, 8)) for r in R.bm25_topk(docs, q, 25, most_queries=most).collect()) == want
+    for most, block in ((0, 64), (100, 64), (100, 2)):
+        monkeypatch.setattr(R, "QUERY_BLOCK", block)
+        assert sorted((r.query_id, r["rank"], r.corpus_idx, round(r.score, 8)) for r in R.bm25_topk(docs, q, 25, most_tokens=most).collect()) == want
+    left = docs.filter("corpus_idx < 9").select(F.col("corpus_idx").alias("left_id"), "text")
+    right = docs.select(F.col("corpus_idx").alias("right_id"), "text")
+    rows = lambda most: sorted((r.left_id, r["rank"], r.right_id, r.jaccard) for r in C.jaccard_candidates(left, right, 7, most_tokens=most).collect())
+    assert rows(0) == rows(1000) and len(rows(1000)) > 30
     loose = R.permissive(scores, q, docs, 3).filter("query_id in (2, 4)").orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.corpus_idx) for r in loose] == [(2, 0), (2, 1), (2, 2), (4, 0), (4, 1), (4, 2)]
     x = np.round(np.random.default_rng(1).normal(size=(70, 6)), 1)
