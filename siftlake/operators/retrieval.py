@@ -199,9 +199,23 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, text: Column | str =
     if not asked:
         return top_k(spark.createDataFrame([], "query_id long, corpus_idx long, score double"), docs, k)
     toks = docs.select("corpus_idx", tokens(text).alias("toks"))
-    n, avgdl = toks.agg(F.count("*"), F.avg(F.size("toks"))).first()
-    known = spark.createDataFrame([(t,) for t in sorted({r.tok for r in asked})], "tok string")
-    df = {r.tok: r.df for r in toks.select(F.explode(F.array_distinct("toks")).alias("tok")).join(F.broadcast(known), "tok").groupBy("tok").agg(F.count("*").alias("df")).collect()}
+    vocabulary = sorted({r.tok for r in asked})
+
+    def count(batches):
+        """Documents and their lengths (no token), and the documents that hold each known token, of a batch."""
+        words = pa.array(vocabulary, pa.string())
+        for b in batches:
+            _, code, _ = occurrences(b.column(0), words)
+            held = np.bincount(code, minlength=len(words))
+            some = np.flatnonzero(held)
+            length = int(np.diff(b.column(0).offsets.to_numpy()).sum())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.take(pa.array(some)), pa.nulls(1, pa.string())]), pa.array(np.append(held[some], b.num_rows)), pa.array(np.append(np.zeros(len(some), np.int64), length))], ["tok", "n", "length"])
+
+    ship(spark)
+    counted = toks.select("toks").mapInArrow(count, "tok string, n long, length long").groupBy("tok").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect()
+    df = {r.tok: r.n for r in counted if r.tok is not None}
+    n, length = next(((r.n, r.length) for r in counted if r.tok is None), (0, 0))
+    avgdl = length / n if n else 0.0
     avgdl, qids, blocks = avgdl or 1.0, sorted({r.query_id for r in asked}), []
     for start in range(0, len(qids), QUERY_BLOCK):
         row = {q: i for i, q in enumerate(qids[start : start + QUERY_BLOCK])}
@@ -227,7 +241,6 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, text: Column | str =
                     q, d = best_of_block(scores, own, k)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[d]), pa.array(scores[q, d])], ["query_id", "corpus_idx", "score"])
 
-    ship(spark)
     return top_k(toks.mapInArrow(run, "query_id long, corpus_idx long, score double"), docs, k)
 
 
