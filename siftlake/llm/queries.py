@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import read_table
+from .conversation_repair import damage, repaired_digests
 from .embedding_dedup import embedding_dedup
 from .exact_topk import exact_topk
+from .fill_middle import fill_in_middle, restored
+from .html_extraction import extract
 from .language_id import identify
 from .lm_scoring import score_documents
 from .ngram_join import ngram_join
@@ -69,7 +72,20 @@ def op10_language_id(spark, sf_dir):
     return identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_quality, op3_suffix_dedup, op4_sentence_pieces, op5_toxicity, op6_lm_scoring, op7_ngram_join, op8_embedding_dedup, op9_packing, op10_language_id)}
+def op11_html_extraction(spark, sf_dir):
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def op12_fill_middle(spark, sf_dir):
+    out = fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return repaired_digests(damage(read_table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_quality, op3_suffix_dedup, op4_sentence_pieces, op5_toxicity, op6_lm_scoring, op7_ngram_join, op8_embedding_dedup, op9_packing, op10_language_id, op11_html_extraction, op12_fill_middle, op13_conversation_repair)}
 
 _COMPONENTS = """
 reach AS (
@@ -82,6 +98,8 @@ ORACLE_SQL = {
     "op2_quality": sql.quality(4, 0.95, 5),
     "op3_suffix_dedup": sql.suffix_dedup(200),
     "op6_lm_scoring": sql.lm_scoring(LM_ORDER),
+    "op12_fill_middle": sql.FILL_MIDDLE,
+    "op13_conversation_repair": sql.conversation_repair(),
     "op1_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
