@@ -53,7 +53,9 @@ FURNITURE_WORDS = frozenset("ad ads adv adsense nav menu menus navbar toolbar ta
 FURNITURE_HEADS = ("advert", "sponsor", "promo", "cookie", "newsletter", "subscri", "comment", "breadcrumb", "sidebar", "footer", "navig", "doubleclick", "dfp")
 MAIN_WORDS = frozenset("article articlebody post entry story content main body text maincontent postbody entrycontent storybody".split())
 #: With one of these a name tells how the page is laid out, not what the element holds.
-LAYOUT_WORDS = frozenset("with has no without layout page wrapper wrap container grid row site app root".split())
+LAYOUT_WORDS = frozenset("with has no without layout".split())
+#: Around both the article and furniture, if a name speaks for both.
+AROUND_WORDS = frozenset("wrap wrapper container grid row page".split())
 #: Elements of these names are not the article even where they are marked as one.
 NEVER = ("comment", "reply", "replies", "respond", "related", "recommended", "teaser", "teasers", "trending", "popular", "sponsor", "advert", "promo", "ad", "ads")
 
@@ -107,8 +109,8 @@ def _said(attributes: str) -> tuple[int, bool, bool]:
         if LAYOUT_WORDS.intersection(said):
             continue
         furniture = [w for w in said if w in FURNITURE_WORDS or w.startswith(FURNITURE_HEADS)]
-        if furniture == ["header"] and MAIN_WORDS.intersection(said):  # the header of the article
-            continue
+        if MAIN_WORDS.intersection(said) and (furniture == ["header"] or (furniture and AROUND_WORDS.intersection(said))):
+            continue  # the header of the article, or around both
         if furniture:
             place = OTHER
             for_good = for_good or any(w.startswith(("comment", "sponsor", "advert", "promo")) or w in NEVER for w in furniture)
