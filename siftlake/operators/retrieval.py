@@ -8,8 +8,6 @@ them in closed form.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
@@ -17,28 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.text import tokens
-from siftlake.shipping import ship
-
-K1, B = 1.2, 0.75
-
-
-@dataclass
-class Bm25Index:
-    """postings (corpus_idx, tok, f, dl), idf (tok, df, idf) and one row of statistics (n, avgdl)."""
-
-    postings: DataFrame
-    idf: DataFrame
-    stats: DataFrame
+from siftlake.operators import lexical_index
+from siftlake.operators.blocks import DenseSearch, vector_blocks
+from siftlake.operators.lexical_index import K1, B, Bm25Index, best_of_block  # noqa: F401
+from siftlake.shipping import ship  # noqa: F401
+from siftlake.sources.store import kept, plan_state
 
 
-def bm25_index(corpus: DataFrame, text: str = "text", corpus_idx: str = "corpus_idx") -> Bm25Index:
-    docs = corpus.select(F.col(corpus_idx).alias("corpus_idx"), tokens(text).alias("toks"))
-    sized = docs.select("corpus_idx", "toks", F.size("toks").alias("dl"))
-    stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-    postings = sized.select("corpus_idx", "dl", F.explode("toks").alias("tok")).groupBy("corpus_idx", "tok", "dl").agg(F.count("*").alias("f"))
-    df = sized.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))  # summed before it is shuffled
-    idf = df.join(F.broadcast(stats)).select("tok", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    return Bm25Index(postings, idf, stats)
+def bm25_index(corpus: DataFrame, text: Column | str = "text", corpus_idx: str = "corpus_idx") -> Bm25Index:
+    """The stored index of a corpus: built at the first call for this plan and state of its files, then read."""
+    own = corpus.select(F.col(corpus_idx).alias("corpus_idx"), (F.col(text) if isinstance(text, str) else text).alias("text"))
+    return lexical_index.build(own, "bm25", plan_state(own))
 
 
 def query_tokens(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -91,88 +78,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, at: int = 9) -> DataFrame:
-    """(query_id, corpus_idx, score) of a stated query set against all vectors.
-
-    queries: (query_id, q); vectors: (corpus_idx, v).  Every pair is a row, for
-    plans that need whole score ranges; ``dense_topk`` gives the best only.
-    """
-    return vectors.join(queries, F.lit(True)).select("query_id", "corpus_idx", F.round(dot(F.col("q"), F.col("v")), at).alias("score"))
-
-
-def blend(lexical: DataFrame, dense: DataFrame, alphas: list[float]) -> DataFrame:
-    """(alpha, query_id, corpus_idx, score): alpha * lexical unit + (1 - alpha) * dense unit for every dense pair."""
-    both = dense.select("query_id", "corpus_idx", F.col("unit").alias("dn")).join(lexical.select("query_id", "corpus_idx", F.col("unit").alias("bm")), ["query_id", "corpus_idx"], "left")
-    grid = both.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
-    return grid.select("alpha", "query_id", "corpus_idx", F.round(F.col("alpha") * F.coalesce("bm", F.lit(0.0)) + (1 - F.col("alpha")) * F.col("dn"), 9).alias("score"))
-
-
-def _packed(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """One row for each block of vectors: ids and the matrix as bytes."""
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, block):
-                part = b.slice(at, block)
-                width = len(part.column(1)[0])
-                data = np.asarray(part.column(1).flatten(), np.float64)
-                if len(data) != width * part.num_rows:
-                    raise ValueError("vectors must have one length")
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([width], pa.int32())], ["ids", "data", "width"])
-
-    clean = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null and not exists(v, x -> x is null)")
-    return clean.mapInArrow(run, "ids binary, data binary, width int")
-
-
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, views: dict[str, int] | None = None, others_only: bool = False, at: int = 9, block: int = 4096) -> DataFrame:
-    """(view, query_id, corpus_idx, score, rank): the k best inner products of a stated query set against all vectors, in blocks.
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, views: dict[str, int] | None = None, others_only: bool = False, at: int = 9) -> DataFrame:
+    """(view, query_id, corpus_idx, score, rank): the k best inner products of a stated query set against all vectors.
 
     queries: (query_id, q); vectors: (corpus_idx, v); views: names with how many
-    leading components count (all, if none is given).  Every block of vectors
-    meets every block of queries as two matrices and keeps k rows a query, so
-    what is shuffled is k rows for each query and block.
+    leading components count (all, if none is given).  Blocks of vectors are
+    kept for this plan and state of its files; blocks whose ball rules them out
+    for a query are not read for it.
     """
     views = views or {"all": 0}
-
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                x, y = np.frombuffer(r["data"]).reshape(len(ids), -1), np.frombuffer(r["q_data"]).reshape(len(qids), -1)
-                for name, dims in views.items():
-                    scores = np.round(y[:, : dims or None] @ x[:, : dims or None].T, at)
-                    if others_only:
-                        scores[qids[:, None] == ids[None, :]] = -np.inf
-                    n = min(k, len(ids))
-                    least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
-                    row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-                    order = np.lexsort((ids[col], -scores[row, col], row))
-                    row, col = row[order], col[order]
-                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
-                    row, col = row[best], col[best]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(row), pa.string()), pa.array(qids[row]), pa.array(ids[col]), pa.array(scores[row, col])], ["view", "query_id", "corpus_idx", "score"])
-
-    q = _packed(queries, "query_id", "q", 512).toDF("q_ids", "q_data", "width")
-    pairs = _packed(vectors, "corpus_idx", "v", block).join(q, "width")
-    found = pairs.select("ids", "data", "q_ids", "q_data").mapInArrow(run, "view string, query_id long, corpus_idx long, score double")
-    return found.withColumn("rank", F.row_number().over(by_rank("view", "query_id"))).filter(F.col("rank") <= k)
+    found = vector_blocks(vectors, "dense", plan_state(vectors), tuple(sorted(set(views.values()))))
+    return DenseSearch(found, queries, k, views, others_only, at).topk()
 
 
 #: Queries whose matrix is one block; tokens of queries, repeats in one query apart, that may go to the workers with the code.
 QUERY_BLOCK, MOST_TOKENS = 64, 200_000
 
 
-def best_of_block(scores: np.ndarray, ids: np.ndarray, k: int, falling: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best positive scores of each row; ties go to the smaller id, or the larger one."""
-    n = min(k, scores.shape[1])
-    least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-    row, column = np.nonzero((scores >= least[:, None]) & (scores > 0))
-    order = np.lexsort((-ids[column] if falling else ids[column], -scores[row, column], row))
-    row, column = row[order], column[order]
-    best = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[best], column[best]
-
-
 def occurrences(lists: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place in the vocabulary, count) of the known tokens of each row."""
     length = np.diff(lists.offsets.to_numpy())
@@ -182,66 +104,13 @@ def occurrences(lists: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.n
     return *np.divmod(cell, len(vocabulary)), count
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, text: Column | str = "text", at: int = 9, most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """(query_id, corpus_idx, score, rank) of the k best documents of each query, with the zero fill of ``top_k``.
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, text: Column | str = "text") -> DataFrame:
+    """(query_id, corpus_idx, score, rank) of the k best documents of each query, by the stored index, with the zero fill of ``top_k``.
 
-    The index holds the queries' tokens only; documents are scored in blocks as
-    a matrix of term weights against the matrix of a block of queries, and keep k
-    rows a query.  The queries' tokens go to the workers with the code, so they
-    are counted first; above ``most_tokens`` the join plan is taken, which
-    shuffles them.
+    A ranking is k rows a query; it is kept for this corpus and these queries.
     """
-    asked = query_tokens(queries).limit(most_tokens + 1).collect()
-    if len(asked) > most_tokens:
-        index = bm25_index(docs.withColumn("text", text if isinstance(text, Column) else F.col(text)))
-        return top_k(bm25_scores(index, query_tokens(queries)), docs, k)
-    spark = queries.sparkSession
-    if not asked:
-        return top_k(spark.createDataFrame([], "query_id long, corpus_idx long, score double"), docs, k)
-    toks = docs.select("corpus_idx", tokens(text).alias("toks"))
-    vocabulary = sorted({r.tok for r in asked})
-
-    def count(batches):
-        """Documents and their lengths (no token), and the documents that hold each known token, of a batch."""
-        words = pa.array(vocabulary, pa.string())
-        for b in batches:
-            _, code, _ = occurrences(b.column(0), words)
-            held = np.bincount(code, minlength=len(words))
-            some = np.flatnonzero(held)
-            length = int(np.diff(b.column(0).offsets.to_numpy()).sum())
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.take(pa.array(some)), pa.nulls(1, pa.string())]), pa.array(np.append(held[some], b.num_rows)), pa.array(np.append(np.zeros(len(some), np.int64), length))], ["tok", "n", "length"])
-
-    ship(spark)
-    counted = toks.select("toks").mapInArrow(count, "tok string, n long, length long").groupBy("tok").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect()
-    df = {r.tok: r.n for r in counted if r.tok is not None}
-    n, length = next(((r.n, r.length) for r in counted if r.tok is None), (0, 0))
-    avgdl = length / n if n else 0.0
-    avgdl, qids, blocks = avgdl or 1.0, sorted({r.query_id for r in asked}), []
-    for start in range(0, len(qids), QUERY_BLOCK):
-        row = {q: i for i, q in enumerate(qids[start : start + QUERY_BLOCK])}
-        own = [r for r in asked if r.query_id in row and r.tok in df]
-        place = {t: i for i, t in enumerate(sorted({r.tok for r in own}))}
-        weight = np.zeros((len(place), len(row)))
-        for r in own:
-            weight[place[r.tok], row[r.query_id]] = r.m * np.log((n - df[r.tok] + 0.5) / (df[r.tok] + 0.5) + 1)
-        if place:
-            blocks.append((np.array(list(row), np.int64), list(place), weight))
-
-    def run(batches):
-        known = [(ids, pa.array(words, pa.string()), weight) for ids, words, weight in blocks]
-        for b in batches:
-            for start in range(0, b.num_rows, 512):
-                part = b.slice(start, 512)
-                own, length = part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy())
-                for ids, words, weight in known:
-                    doc, code, f = occurrences(part.column(1), words)
-                    terms = np.zeros((part.num_rows, len(words)))
-                    terms[doc, code] = f * (K1 + 1) / (f + K1 * (1 - B + B * length[doc] / avgdl))
-                    scores = np.round(terms @ weight, at).T
-                    q, d = best_of_block(scores, own, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[d]), pa.array(scores[q, d])], ["query_id", "corpus_idx", "score"])
-
-    return top_k(toks.mapInArrow(run, "query_id long, corpus_idx long, score double"), docs, k)
+    index = bm25_index(docs, text)
+    return kept(queries.sparkSession, f"bm25-top{k}", f"{index.state}:{plan_state(queries)}", lambda: lexical_index.search(index, query_tokens(queries), k))
 
 
 def permissive(scores: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:

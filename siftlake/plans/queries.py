@@ -15,6 +15,9 @@ from siftlake.operators import integrity as I
 from siftlake.operators import metrics as M
 from siftlake.operators import retrieval as R
 from siftlake.operators import stats as S
+from siftlake.operators.blocks import Grid
+from siftlake.operators.passages import held_passages
+from siftlake.sources.store import kept, state_of
 from siftlake.sources.tables import corpus, table
 
 QUERIES: dict = {}
@@ -77,14 +80,16 @@ def _bm25(spark, d):
 
 
 def _gold(spark, d) -> DataFrame:
-    """Documents that hold a benchmark passage word for word (a theta join with the stated query set)."""
-    b, docs = _benchmark(spark, d).withColumnRenamed("text", "passage"), table(spark, d, "documents")
-    return docs.join(b, F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("corpus_idx"))
+    """Documents that hold a benchmark passage word for word; looked for once."""
+    state = state_of(spark, f"{d}/benchmark.parquet", f"{d}/documents.parquet")
+    return kept(spark, "gold", state, lambda: held_passages(corpus(spark, d), _benchmark(spark, d).withColumnRenamed("text", "passage")))
 
 
-def _dense(spark, d) -> DataFrame:
-    v = table(spark, d, "embeddings")
-    return R.dense_scores(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("corpus_idx"), F.col("embedding").alias("v")))
+def _grid(spark, d, index=None, asked=None) -> Grid:
+    """Vectors whose id divides by 100 as queries against all."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("corpus_idx"), F.col("embedding").alias("v"), "label")
+    q = v.filter("corpus_idx % 100 = 0").select(F.col("corpus_idx").alias("query_id"), F.col("v").alias("q"), "label")
+    return Grid(v, q, index, asked)
 
 
 # ---------------------------------------------------------------- projections and text
@@ -210,28 +215,33 @@ hr AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score
 hits AS (SELECT h.alpha, h.query_id, max(CASE WHEN h.rank <= 10 AND a.label = b.label AND a.vec_id <> b.vec_id THEN 1 ELSE 0 END) AS hit FROM hr h JOIN v a ON a.vec_id = h.query_id JOIN v b ON b.vec_id = h.corpus_idx WHERE h.rank <= 10 GROUP BY 1, 2)"""
 
 
-def _hybrid(spark, d) -> DataFrame:
-    """(alpha, query_id, corpus_idx, score) on documents that have a vector; queries: those whose id divides by 100."""
+ALPHAS = [1.0, 0.7, 0.5, 0.3, 0.0]
+
+
+def _both(spark, d) -> Grid:
+    """Documents that have a vector, with their index; queries: those whose id divides by 100."""
     v = table(spark, d, "embeddings")
     docs = corpus(spark, d).join(v.select(F.col("vec_id").alias("corpus_idx")), "corpus_idx", "left_semi")
-    index = R.bm25_index(docs)
     q = docs.filter("corpus_idx % 100 = 0").select(F.col("corpus_idx").alias("query_id"), T.first_sentence("text").alias("text"))
-    lexical = R.minmax(R.bm25_scores(index, R.query_tokens(q)), F.lit(docs.count()))
-    dense = _dense(spark, d)
-    return R.blend(lexical, R.minmax(dense, F.lit(0)), [1.0, 0.7, 0.5, 0.3, 0.0])
+    return _grid(spark, d, R.bm25_index(docs), R.query_tokens(q))
+
+
+def _hybrid(spark, d) -> DataFrame:
+    """(alpha, query_id, corpus_idx, score, rank): ten of each blend and query; ranked once."""
+    state = state_of(spark, f"{d}/embeddings.parquet", f"{d}/documents.parquet")
+    return kept(spark, "hybrid", state, lambda: _both(spark, d).blended_topk(ALPHAS, 10))
 
 
 def _hits(spark, d) -> DataFrame:
     """(alpha, query_id, hit): whether another vector of the query's label is among its ten best."""
-    best = _hybrid(spark, d).withColumn("rank", F.row_number().over(R.by_rank("alpha", "query_id"))).filter("rank <= 10")
     v = table(spark, d, "embeddings")
     a, b = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")), v.select(F.col("vec_id").alias("corpus_idx"), F.col("label").alias("lb"))
-    return best.join(a, "query_id").join(b, "corpus_idx").groupBy("alpha", "query_id").agg(F.max(((F.col("la") == F.col("lb")) & (F.col("query_id") != F.col("corpus_idx"))).cast("int")).alias("hit"))
+    return _hybrid(spark, d).join(a, "query_id").join(b, "corpus_idx").groupBy("alpha", "query_id").agg(F.max(((F.col("la") == F.col("lb")) & (F.col("query_id") != F.col("corpus_idx"))).cast("int")).alias("hit"))
 
 
 @query(f"WITH {HYBRID} SELECT alpha, query_id, corpus_idx, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hr WHERE rank <= 10")
 def r9_r13_hybrid_topk(spark, d):
-    return _hybrid(spark, d).withColumn("rank", F.row_number().over(R.by_rank("alpha", "query_id"))).filter("rank <= 10").select("alpha", "query_id", "corpus_idx", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    return _hybrid(spark, d).select("alpha", "query_id", "corpus_idx", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("WITH d AS (SELECT item_id AS query_id, CAST('0x' || substr(md5('s:' || item_id || ':' || j), 1, 8) AS BIGINT) % (SELECT count(*) FROM documents) AS corpus_idx, min(j) AS j FROM benchmark, range(30) r(j) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY j) AS rank FROM d) SELECT query_id, corpus_idx, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
@@ -260,13 +270,10 @@ def a3_a16_describe(spark, d):
 @query(f"""WITH {DENSE}, g0 AS (SELECT dn.*, a.label = b.label AS gold FROM dn JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = corpus_idx WHERE query_id <> corpus_idx), g AS (SELECT *, max(CASE WHEN gold THEN score END) OVER (PARTITION BY query_id) AS best FROM g0)
 SELECT query_id, round(100.0 * count(*) FILTER (WHERE NOT gold AND score < best) / count(*) FILTER (WHERE NOT gold), 2) AS percentile, round(max(score) FILTER (WHERE gold), 6) AS gold_sim, round((max(score) FILTER (WHERE gold) - avg(score) FILTER (WHERE NOT gold)) / stddev_samp(score) FILTER (WHERE NOT gold), 5) AS z FROM g GROUP BY 1""")
 def w10_g4_gold_similarity(spark, d):
-    v = table(spark, d, "embeddings")
-    a, b = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")), v.select(F.col("vec_id").alias("corpus_idx"), F.col("label").alias("lb"))
-    g = _dense(spark, d).filter("query_id <> corpus_idx").join(a, "query_id").join(b, "corpus_idx").withColumn("gold", F.col("la") == F.col("lb"))
-    best, other = F.max(F.when(F.col("gold"), F.col("score"))), F.when(~F.col("gold"), F.col("score"))
-    g = g.join(g.groupBy("query_id").agg(best.alias("best")), "query_id")
-    below = F.count_if(~F.col("gold") & (F.col("score") < F.col("best"))) / F.count_if(~F.col("gold"))
-    return g.groupBy("query_id").agg(F.round(100.0 * below, 2).alias("percentile"), F.round(best, 6).alias("gold_sim"), F.round((best - F.avg(other)) / F.stddev_samp(other), 5).alias("z"))
+    g = _grid(spark, d).gold_place()
+    mean = F.col("total") / F.col("n")
+    sd = F.sqrt((F.col("squares") - F.col("n") * mean * mean) / (F.col("n") - 1))
+    return g.select("query_id", F.round(100.0 * F.col("below") / F.col("n"), 2).alias("percentile"), F.round("best", 6).alias("gold_sim"), F.round((F.col("best") - mean) / sd, 5).alias("z"))
 
 
 @query("""SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS sd, CAST(min(n_chars) AS DOUBLE) AS least, round(quantile_cont(n_chars, 0.5), 6) AS median, CAST(max(n_chars) AS DOUBLE) AS most, bool_and(n_chars = 0) AS all_zero FROM documents GROUP BY 1""")
@@ -281,7 +288,9 @@ def a6_histogram(spark, d):
 
 @query(f"WITH {DENSE} SELECT floor(round(quantile_cont(score, 0.1) * 100, 6)) / 100 AS p10, floor(round(quantile_cont(score, 0.9) * 100, 6)) / 100 AS p90 FROM dn")
 def a7_percentile_floor(spark, d):
-    return _dense(spark, d).agg(M.percentile_floor(F.col("score"), 0.1).alias("p10"), M.percentile_floor(F.col("score"), 0.9).alias("p90"))
+    floor = lambda x: F.lit(x).cast("double") if x is None else F.floor(F.round(F.lit(x) * 100, 6)) / 100
+    p10, p90 = _grid(spark, d).quantiles([0.1, 0.9])
+    return spark.range(1).select(floor(p10).alias("p10"), floor(p90).alias("p90"))
 
 
 @query("SELECT code, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:50], ',') AS examples FROM (SELECT doc_id, md5(text) AS code FROM documents) GROUP BY 1 HAVING count(*) > 1")

@@ -12,7 +12,8 @@ from siftlake.operators import metrics as M
 from siftlake.operators import retrieval as R
 from siftlake.operators import stats as S
 from siftlake.operators import suite as U
-from siftlake.plans.queries import BM25, CORPUS, GOLD, HYBRID, _benchmark, _bm25, _gold, _hybrid, first, query, tok
+from siftlake.operators.blocks import Grid
+from siftlake.plans.queries import ALPHAS, BM25, CORPUS, GOLD, HYBRID, _benchmark, _bm25, _both, _gold, _hybrid, first, query, tok
 from siftlake.sources.tables import corpus, table
 
 MODELS = {"d16": 16, "d32": 32, "d64": 64}
@@ -513,20 +514,16 @@ def u19_version_impact(spark, d):
 SELECT alpha, CASE alpha WHEN 1.0 THEN 'BM25' WHEN 0.0 THEN 'dense' ELSE 'hybrid_' || alpha END AS name, query_id, CAST(min(rank) FILTER (WHERE gold) AS INTEGER) AS hit_rank, string_agg(corpus_idx, ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS top3 FROM x GROUP BY 1, 3""")
 def r19_r20_alpha_sweep(spark, d):
     """Per blend and query the rank of the first hit and the first three."""
-    ranked = _hybrid(spark, d).withColumn("rank", F.row_number().over(R.by_rank("alpha", "query_id")))
-    v = table(spark, d, "embeddings")
-    a, b = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")), v.select(F.col("vec_id").alias("corpus_idx"), F.col("label").alias("lb"))
-    gold = (F.col("la") == F.col("lb")) & (F.col("query_id") != F.col("corpus_idx"))
-    x = ranked.join(a, "query_id").join(b, "corpus_idx")
     best = F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "corpus_idx"))))
-    out = x.groupBy("alpha", "query_id").agg(F.min(F.when(gold, F.col("rank"))).alias("hit_rank"), F.array_join(F.transform(best, lambda r: r["corpus_idx"].cast("string")), ",").alias("top3"))
+    top = _hybrid(spark, d).groupBy("alpha", "query_id").agg(F.array_join(F.transform(best, lambda r: r["corpus_idx"].cast("string")), ",").alias("top3"))
+    out = top.join(_both(spark, d).gold_ranks(ALPHAS), ["alpha", "query_id"], "left")
     return out.select("alpha", T.alpha_name(F.col("alpha")).alias("name"), "query_id", F.col("hit_rank").cast("int").alias("hit_rank"), "top3")
 
 
 @query(f"""WITH {HYBRID}, t AS (SELECT alpha, query_id, list(corpus_idx ORDER BY rank) AS l, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) AS lead FROM hr WHERE rank <= 10 GROUP BY 1, 2)
 SELECT a.alpha, count(*) AS n, count(*) FILTER (WHERE a.l = b.l) AS same_as_dense, count(*) FILTER (WHERE a.lead < 1e-12) AS ties_at_first FROM t a JOIN t b ON b.query_id = a.query_id AND b.alpha = 0 GROUP BY 1""")
 def r13_blend_diagnostics(spark, d):
-    ranked = _hybrid(spark, d).withColumn("rank", F.row_number().over(R.by_rank("alpha", "query_id"))).filter("rank <= 10")
+    ranked = _hybrid(spark, d)
     order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "corpus_idx"))), lambda x: x["corpus_idx"])
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
     t = ranked.groupBy("alpha", "query_id").agg(order.alias("l"), (at(1) - at(2)).alias("lead"))
@@ -559,12 +556,12 @@ def r7_r23_ablation_permissive(spark, d):
 
 
 HEAD_, TAIL_ = HYBRID.split("sc AS (SELECT query_id, doc_id AS corpus_idx", 1)
-RETRIEVERS = HEAD_ + """nd AS (SELECT unnest([0, 2, 5]) AS dropped), qk AS (SELECT q.*, row_number() OVER (PARTITION BY query_id ORDER BY round(idf, 9) DESC, tok) AS k FROM q JOIN idf USING (tok)),
+RETRIEVERS = HEAD_ + """nd AS (SELECT unnest([0, 1, 2, 3, 5, 10]) AS dropped), qk AS (SELECT q.*, row_number() OVER (PARTITION BY query_id ORDER BY round(idf, 9) DESC, tok) AS k FROM q JOIN idf USING (tok)),
 sc AS (SELECT dropped, query_id, doc_id AS corpus_idx, round(sum(m * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM nd, (SELECT query_id, tok, m, k FROM qk) qk JOIN idf USING (tok) JOIN tf USING (tok), s WHERE k > dropped GROUP BY 1, 2, 3),
 bn AS (SELECT dropped, query_id, max(score) AS hi, CASE WHEN count(*) < any_value(s.n) THEN least(0, min(score)) ELSE min(score) END AS lo FROM sc, s GROUP BY 1, 2),
 bu AS (SELECT dropped, query_id, corpus_idx, CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (score - lo) / (hi - lo) END AS unit FROM sc JOIN bn USING (dropped, query_id)),
 dr AS (SELECT query_id, max(score) AS hi, min(score) AS lo FROM dn GROUP BY 1), du AS (SELECT dropped, query_id, corpus_idx, CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (score - lo) / (hi - lo) END AS unit FROM nd, dn JOIN dr USING (query_id)),
-g AS (SELECT dropped, alpha, du.query_id, du.corpus_idx, round(alpha * coalesce(bu.unit, 0) + (1 - alpha) * du.unit, 9) AS score FROM du LEFT JOIN bu USING (dropped, query_id, corpus_idx), (SELECT unnest([1.0, 0.5, 0.0]::DOUBLE[]) AS alpha)),
+g AS (SELECT dropped, alpha, du.query_id, du.corpus_idx, round(alpha * coalesce(bu.unit, 0) + (1 - alpha) * du.unit, 9) AS score FROM du LEFT JOIN bu USING (dropped, query_id, corpus_idx), (SELECT unnest([1.0, 0.7, 0.5, 0.3, 0.0]::DOUBLE[]) AS alpha)),
 hr AS (SELECT *, row_number() OVER (PARTITION BY dropped, alpha, query_id ORDER BY score DESC, corpus_idx) AS rank FROM g),
 hits AS (SELECT h.dropped, h.alpha, h.query_id, max(CASE WHEN a.label = b.label AND a.vec_id <> b.vec_id THEN 1 ELSE 0 END) AS hit FROM hr h JOIN v a ON a.vec_id = h.query_id JOIN v b ON b.vec_id = h.corpus_idx WHERE h.rank <= 10 GROUP BY 1, 2, 3)"""
 
@@ -577,14 +574,11 @@ def _ablated_hits(spark, d) -> DataFrame:
     q = docs.filter("corpus_idx % 100 = 0").select(F.col("corpus_idx").alias("query_id"), T.first_sentence("text").alias("text"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("idf", 9)), "tok")
     known = R.query_tokens(q).join(index.idf, "tok").withColumn("k", F.row_number().over(w))
-    levels = F.explode(F.array(*map(F.lit, (0, 2, 5))))
-    asked = known.withColumn("dropped", levels).filter("k > dropped").select((F.col("query_id") * 10 + F.col("dropped")).alias("query_id"), "tok", "m")
-    lexical = R.minmax(R.bm25_scores(index, asked), F.lit(docs.count()))
-    vq = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dense = R.minmax(R.dense_scores(vq, v.select(F.col("vec_id").alias("corpus_idx"), F.col("embedding").alias("v"))), F.lit(0))
-    dense = dense.withColumn("dropped", levels).withColumn("query_id", F.col("query_id") * 10 + F.col("dropped"))
-    best = R.blend(lexical, dense, [1.0, 0.5, 0.0]).withColumn("rank", F.row_number().over(R.by_rank("alpha", "query_id"))).filter("rank <= 10")
-    best = best.select("alpha", F.expr("query_id div 10").alias("q"), (F.col("query_id") % 10).cast("int").alias("dropped"), "corpus_idx")
+    levels = F.explode(F.array(*map(F.lit, (0, 1, 2, 3, 5, 10))))
+    asked = known.withColumn("dropped", levels).filter("k > dropped").select((F.col("query_id") * 100 + F.col("dropped")).alias("query_id"), "tok", "m")
+    vq = v.filter("vec_id % 100 = 0").withColumn("dropped", levels).select((F.col("vec_id") * 100 + F.col("dropped")).alias("query_id"), F.col("embedding").alias("q"))
+    best = Grid(v.select(F.col("vec_id").alias("corpus_idx"), F.col("embedding").alias("v")), vq, index, asked).blended_topk(ALPHAS, 10)
+    best = best.select("alpha", F.expr("query_id div 100").alias("q"), (F.col("query_id") % 100).cast("int").alias("dropped"), "corpus_idx")
     a, b = v.select(F.col("vec_id").alias("q"), F.col("label").alias("la")), v.select(F.col("vec_id").alias("corpus_idx"), F.col("label").alias("lb"))
     hit = F.max(((F.col("la") == F.col("lb")) & (F.col("q") != F.col("corpus_idx"))).cast("int"))
     return best.join(a, "q").join(b, "corpus_idx").groupBy("dropped", "alpha", F.col("q").alias("query_id")).agg(hit.alias("hit"))
@@ -592,7 +586,7 @@ def _ablated_hits(spark, d) -> DataFrame:
 
 @query(f"WITH {RETRIEVERS} SELECT dropped, alpha, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 6) AS recall FROM hits GROUP BY 1, 2")
 def r24_dropped_tokens_by_blend(spark, d):
-    """Recall of each blend when the 0, 2 and 5 rarest known tokens of a query are dropped."""
+    """Recall of each blend when the 0, 1, 2, 3, 5 and 10 rarest known tokens of a query are dropped."""
     h = _ablated_hits(spark, d)
     return h.groupBy("dropped", "alpha").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("hits"), F.round(F.avg("hit"), 6).alias("recall"))
 
