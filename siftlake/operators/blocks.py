@@ -150,6 +150,8 @@ def _bound_kernel(views: dict[str, int], dims: tuple[int, ...], most: int | None
         out = [[] for _ in range(5)]
         if heads.num_rows and asked.num_rows:
             c, q = matrix(heads.column("v")), matrix(asked.column("v"))
+            if c.shape[1] != q.shape[1]:
+                raise ValueError("vectors must have one length")
             radius, cut = matrix(heads.column("more")), matrix(asked.column("more"))
             block, n, qid = (t.column(x).to_numpy() for t, x in ((heads, "block"), (heads, "n"), (asked, "query_id")))
             for k, (name, d) in enumerate(views.items()):
@@ -173,8 +175,6 @@ def _score_kernel(views: dict[str, int], k: int, others_only: bool, at: int):
             ids = np.frombuffer(packs.column("ids")[0].as_py(), np.int64)
             x = np.frombuffer(packs.column("data")[0].as_py()).reshape(len(ids), -1)
             qid, q = asked.column("query_id").to_numpy(), matrix(asked.column("v"))
-            if q.shape[1] != x.shape[1]:
-                raise ValueError("vectors must have one length")
             wanted = asked.column("views").to_pylist()
             for name, d in views.items():
                 own = np.array([name in w for w in wanted])
@@ -241,18 +241,23 @@ class DenseSearch:
 
 
 class Scores:
-    """Matrices of one cell of a ``Grid``: dense (rounded), lexical (rounded, or None), of qids against ids."""
+    """Matrices of one cell of a ``Grid``: dense by view and lexical, both rounded, of qids against ids."""
 
-    def __init__(self, rows: pa.Table, avgdl: float, at: int):
+    def __init__(self, rows: pa.Table, avgdl: float, at: int, views: dict[str, tuple[int, int | None]]):
         kind = rows.column("kind").to_numpy(zero_copy_only=False)
         of = lambda k: rows.filter(pa.array(kind == k))
         docs, asked, blocks, tokens = of(0), of(1), of(2), of(3)
         self.ids, self.qids = docs.column("id").to_numpy(), asked.column("id").to_numpy()
         self.label, self.qlabel = docs.column("label").to_numpy(zero_copy_only=False), asked.column("label").to_numpy(zero_copy_only=False)
         self.more = asked.column("more").to_pylist()
-        self.dense = np.round(matrix(asked.column("v")) @ matrix(docs.column("v")).T, at) if len(self.ids) and len(self.qids) else np.zeros((len(self.qids), len(self.ids)))
-        self.lexical = np.zeros_like(self.dense)
-        if blocks.num_rows and tokens.num_rows and self.dense.size:
+        self.some = bool(len(self.ids) and len(self.qids))
+        self.views: dict[str, np.ndarray] = {}
+        if self.some:
+            x, y = matrix(docs.column("v")), matrix(asked.column("v"))
+            self.views = {name: np.round(y[:, lo:hi] @ x[:, lo:hi].T, at) for name, (lo, hi) in views.items()}
+        self.dense = next(iter(self.views.values()), np.zeros((0, 0)))
+        self.lexical = np.zeros((len(self.qids), len(self.ids)))
+        if blocks.num_rows and tokens.num_rows and self.some:
             words = pa.compute.unique(blocks.column("tok").combine_chunks())
             place = lambda t: pa.compute.fill_null(pa.compute.index_in(t.column("tok").combine_chunks(), value_set=words), -1).to_numpy()
             lists = [blocks.column(c).combine_chunks() for c in ("docs", "fs", "dls")]
@@ -279,14 +284,18 @@ class Scores:
 class Grid:
     """All vectors (corpus_idx, v, label) against a stated query set (query_id, q, label), and their tokens (query_id, tok, m) if there is an index.
 
-    Blocks are ranges of ids; rows of one id are expected once.  ``own_id`` of
-    the queries says which document a query is, where ids stand for more.
+    Ranges of ids are dealt into as many cells as there are ranges, so cells
+    have numbers from 0 on and a query goes to each of them without a join.
+    Rows of one id are expected once.  views: parts of the vectors, (first
+    component, end), that are compared each for itself.
     """
 
-    def __init__(self, vectors: DataFrame, queries: DataFrame, index: Bm25Index | None = None, asked: DataFrame | None = None, at: int = 9):
+    def __init__(self, vectors: DataFrame, queries: DataFrame, index: Bm25Index | None = None, asked: DataFrame | None = None, at: int = 9, views: dict[str, tuple[int, int | None]] | None = None):
         ship(vectors.sparkSession)
+        self.views = views or {"all": (0, None)}
         label = lambda d: F.col("label").cast("double") if "label" in d.columns else F.lit(None).cast("double")
         self.docs = usable(vectors.withColumn("label", label(vectors)), "corpus_idx", "v", "label").withColumn("range", F.floor(F.col("id") / RANGE))
+        self.cells = max(1, self.docs.select("range").distinct().count())
         q = usable(queries.withColumn("label", label(queries)), "query_id", "q", "label")
         self.queries, self.parts = parts_of(q, "id")
         self.index, self.at = index, at
@@ -294,117 +303,112 @@ class Grid:
 
     def over(self, kernel, schema: str, more: DataFrame | None = None) -> DataFrame:
         """kernel(Scores) -> columns, for every cell; more: (id, more array<double>) that goes with a query."""
-        columns = (("range", "long"), ("part", "int"), ("kind", "int"), ("id", "long"), ("label", "double"), ("v", "array<double>"), ("tok", "string"), ("docs", "array<long>"), ("fs", "array<long>"), ("dls", "array<long>"), ("w", "double"), ("more", "array<double>"))
+        columns = (("cell", "int"), ("part", "int"), ("kind", "int"), ("id", "long"), ("label", "double"), ("v", "array<double>"), ("tok", "string"), ("docs", "array<long>"), ("fs", "array<long>"), ("dls", "array<long>"), ("w", "double"), ("more", "array<double>"))
         row = lambda d, kind: d.select(*[(F.lit(kind) if c == "kind" else F.col(c) if c in d.columns else F.lit(None)).cast(t).alias(c) for c, t in columns])
-        every = F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1)))
-        ranges = self.docs.select("range").distinct()
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = F.pmod(F.xxhash64("range"), F.lit(self.cells))
         q = self.queries if more is None else self.queries.join(more, "id")
-        rows = row(self.docs.withColumn("part", every), 0).union(row(q.join(ranges, F.lit(True)), 1))
-        avgdl, at = 1.0, self.at
+        rows = row(self.docs.withColumn("cell", own).withColumn("part", numbers(self.parts)), 0).union(row(q.withColumn("cell", numbers(self.cells)), 1))
+        avgdl, at, views = 1.0, self.at, self.views
         if self.index is not None:
             avgdl = self.index.avgdl
             words = self.weighed.select("tok").distinct()
-            blocks = self.index.blocks.join(words, "tok", "left_semi").join(ranges, "range", "left_semi").withColumn("part", every)
-            tokens = self.weighed.join(self.queries.select("id", "part"), "id").join(ranges, F.lit(True))
+            ranges = self.docs.select("range").distinct()
+            blocks = self.index.blocks.join(words, "tok", "left_semi").join(ranges, "range", "left_semi").withColumn("cell", own).withColumn("part", numbers(self.parts))
+            tokens = self.weighed.join(self.queries.select("id", "part"), "id").withColumn("cell", numbers(self.cells))
             rows = rows.union(row(blocks, 2)).union(row(tokens, 3))
         names = [x.split()[0] for x in schema.split(", ")]
-        kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+        kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
         types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
         def run(table):
-            out = kernel(Scores(table, avgdl, at))
-            return pa.table([pa.array(np.asarray(c), t) for c, t in zip(out, types, strict=True)], names)
+            out = kernel(Scores(table, avgdl, at, views))
+            return pa.table([pa.array(np.asarray(c) if len(c) else [], t) for c, t in zip(out, types, strict=True)], names)
 
-        return rows.groupBy("range", "part").applyInArrow(run, schema)
+        return rows.groupBy("cell", "part").applyInArrow(run, schema)
 
     # -- blends
 
     def extremes(self) -> DataFrame:
-        """(id, more): the bounds (low, high) of a query's dense and of its lexical scores over all documents."""
+        """(id, more): the bounds (low, high) of a query's lexical scores and of its dense ones, view by view, over all documents."""
+        names = [f"{end}{k}" for k in range(len(self.views)) for end in ("lo", "hi")]
 
         def kernel(s: Scores):
-            if not s.dense.size:
-                return [[]] * 7
-            some = s.lexical > 0
-            low = np.where(some, s.lexical, np.inf).min(1)
-            return s.qids, s.dense.min(1), s.dense.max(1), low, s.lexical.max(1), some.sum(1), np.full(len(s.qids), len(s.ids))
-
-        e = self.over(kernel, "id long, dlo double, dhi double, blo double, bhi double, have long, n long").groupBy("id")
-        e = e.agg(F.min("dlo").alias("dlo"), F.max("dhi").alias("dhi"), F.min("blo").alias("blo"), F.max("bhi").alias("bhi"), F.sum("have").alias("have"), F.sum("n").alias("n"))
+            if not s.some:
+                return [[]] * (5 + len(names))
+            known = s.lexical > 0
+            ends = [end for x in s.views.values() for end in (x.min(1), x.max(1))]
+            return s.qids, np.where(known, s.lexical, np.inf).min(1), s.lexical.max(1), known.sum(1), np.full(len(s.qids), len(s.ids)), *ends
+
+        e = self.over(kernel, "id long, blo double, bhi double, have long, n long, " + ", ".join(f"{c} double" for c in names)).groupBy("id")
+        e = e.agg(F.min("blo").alias("blo"), F.max("bhi").alias("bhi"), F.sum("have").alias("have"), F.sum("n").alias("n"), *[(F.min if c.startswith("lo") else F.max)(c).alias(c) for c in names])
         low = F.when(F.col("have") < F.col("n"), F.least(F.col("blo"), F.lit(0.0))).otherwise(F.col("blo"))
-        return e.select("id", F.array("dlo", "dhi", low, "bhi").alias("more"))
+        return e.select("id", F.array(low, "bhi", *names).alias("more"))
 
     def _blended(self, alphas: list[float]):
+        ends = 2 + 2 * len(self.views)
+
         def blends(s: Scores):
-            m = np.array([x[:4] for x in s.more]).reshape(len(s.qids), 4)
+            m = np.array([x[:ends] for x in s.more]).reshape(len(s.qids), ends)
 
             def unit(x, lo, hi):
                 width = hi - lo
                 flat = ~(width >= 1e-12)
                 return np.where(flat[:, None], 0.0, (x - lo[:, None]) / np.where(flat, 1.0, width)[:, None])
 
-            dense = unit(s.dense, m[:, 0], m[:, 1])
-            lexical = np.where(s.lexical > 0, unit(s.lexical, m[:, 2], m[:, 3]), 0.0)
-            for a in alphas:
-                yield a, np.round(a * lexical + (1 - a) * dense, 9)
+            lexical = np.where(s.lexical > 0, unit(s.lexical, m[:, 0], m[:, 1]), 0.0)
+            for k, (name, x) in enumerate(s.views.items()):
+                dense = unit(x, m[:, 2 + 2 * k], m[:, 3 + 2 * k])
+                for a in alphas:
+                    yield name, a, np.round(a * lexical + (1 - a) * dense, 9)
 
         return blends
 
-    def blended_topk(self, alphas: list[float], k: int) -> DataFrame:
-        """(alpha, query_id, corpus_idx, score, rank): the k best blends of alpha lexical and 1 - alpha dense, each within its query's range."""
-        return self._topk(alphas, k, self.extremes())
-
-    def _topk(self, alphas, k, more) -> DataFrame:
+    def _best(self, alphas, k: int, more: DataFrame, gold: bool) -> DataFrame:
+        """(view, alpha, query_id, corpus_idx, score): the k best blends of each cell, or of its gold."""
         blends = self._blended(alphas)
 
         def kernel(s: Scores):
-            out = [[] for _ in range(4)]
-            if s.dense.size:
-                for a, score in blends(s):
-                    row, column = best(score, s.ids, k)
-                    for o, x in zip(out, (np.full(len(row), a), s.qids[row], s.ids[column], score[row, column]), strict=True):
+            out = [[] for _ in range(5)]
+            if s.some:
+                for name, a, score in blends(s):
+                    row, column = best(np.where(s.gold(), score, -np.inf) if gold else score, s.ids, k)
+                    for o, x in zip(out, (np.full(len(row), name), np.full(len(row), a), s.qids[row], s.ids[column], score[row, column]), strict=True):
                         o.append(x)
             return [np.concatenate(o) if o else [] for o in out]
 
-        found = self.over(kernel, "alpha double, query_id long, corpus_idx long, score double", more)
-        w = Window.partitionBy("alpha", "query_id").orderBy(F.desc("score"), "corpus_idx")
-        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return self.over(kernel, "view string, alpha double, query_id long, corpus_idx long, score double", more)
+
+    def blended_topk(self, alphas: list[float], k: int) -> DataFrame:
+        """(view, alpha, query_id, corpus_idx, score, rank): the k best blends of alpha lexical and 1 - alpha dense, each within its query's range."""
+        w = Window.partitionBy("view", "alpha", "query_id").orderBy(F.desc("score"), "corpus_idx")
+        return self._best(alphas, k, self.extremes(), False).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
     def gold_ranks(self, alphas: list[float]) -> DataFrame:
-        """(alpha, query_id, hit_rank): the rank of the first document of the query's label; pairs without one have no row."""
+        """(view, alpha, query_id, hit_rank): the rank of the first document of the query's label; without one there is no row."""
         blends, more = self._blended(alphas), self.extremes()
-
-        def first(s: Scores):
-            out = [[] for _ in range(4)]
-            if s.dense.size:
-                gold = s.gold()
-                for a, score in blends(s):
-                    row, column = best(np.where(gold, score, -np.inf), s.ids, 1)
-                    for o, x in zip(out, (np.full(len(row), a), s.qids[row], s.ids[column], score[row, column]), strict=True):
-                        o.append(x)
-            return [np.concatenate(o) if o else [] for o in out]
-
-        top = self.over(first, "alpha double, id long, corpus_idx long, score double", more).groupBy("alpha", "id").agg(F.min(F.struct((-F.col("score")).alias("s"), "corpus_idx")).alias("g"))
-        marks = top.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("alpha", "g"))).alias("g"))
-        of = lambda a: F.element_at("g", F.lit(a))
+        ends = 2 + 2 * len(self.views)
+        cases = [(name, a) for name in self.views for a in alphas]
+        top = self._best(alphas, 1, more, True).groupBy("view", "alpha", F.col("query_id").alias("id")).agg(F.min(F.struct((-F.col("score")).alias("s"), "corpus_idx")).alias("g"))
+        of = lambda name, a, value: F.max(F.when((F.col("view") == name) & (F.col("alpha") == a), value))
         none = F.lit(float("nan"))
-        own = [x for a in alphas for x in (F.coalesce(-of(a)["s"], none), F.coalesce(of(a)["corpus_idx"].cast("double"), none))]
-        asked = more.join(marks, "id").select("id", F.concat("more", F.array(*own)).alias("more"))
+        marks = top.groupBy("id").agg(F.array(*[F.coalesce(x, none) for c in cases for x in (of(*c, -F.col("g.s")), of(*c, F.col("g.corpus_idx").cast("double")))]).alias("g"))
+        asked = more.join(marks, "id").select("id", F.concat("more", "g").alias("more"))
 
         def ahead(s: Scores):
-            out = [[] for _ in range(3)]
-            if s.dense.size:
-                m = np.array(s.more)[:, 4:]
-                for k, (a, score) in enumerate(blends(s)):
+            out = [[] for _ in range(4)]
+            if s.some:
+                m = np.array(s.more)[:, ends:]
+                for k, (name, a, score) in enumerate(blends(s)):
                     at, idx = m[:, 2 * k][:, None], m[:, 2 * k + 1][:, None]
                     n = ((score > at) | ((score == at) & (s.ids[None, :] < idx))).sum(1)
                     there = ~np.isnan(m[:, 2 * k])
-                    for o, x in zip(out, (np.full(there.sum(), a), s.qids[there], n[there]), strict=True):
+                    for o, x in zip(out, (np.full(there.sum(), name), np.full(there.sum(), a), s.qids[there], n[there]), strict=True):
                         o.append(x)
             return [np.concatenate(o) if o else [] for o in out]
 
-        counted = self.over(ahead, "alpha double, query_id long, n long", asked)
-        return counted.groupBy("alpha", "query_id").agg((F.sum("n") + 1).alias("hit_rank"))
+        counted = self.over(ahead, "view string, alpha double, query_id long, n long", asked)
+        return counted.groupBy("view", "alpha", "query_id").agg((F.sum("n") + 1).alias("hit_rank"))
 
     # -- places of dense scores
 
@@ -412,13 +416,13 @@ class Grid:
         """(query_id, best, below, n, total, squares): the best dense score of the query's label, and of the other documents how many lie below, their number, sum and sum of squares."""
 
         def first(s: Scores):
-            score = np.where(s.gold(), s.dense, -np.inf).max(1) if s.dense.size else np.zeros(0)
-            return s.qids[score > -np.inf] if s.dense.size else [], score[score > -np.inf]
+            score = np.where(s.gold(), s.dense, -np.inf).max(1) if s.some else np.zeros(0)
+            return s.qids[score > -np.inf] if s.some else [], score[score > -np.inf]
 
         top = self.over(first, "id long, score double").groupBy("id").agg(F.array(F.max("score")).alias("more"))
 
         def place(s: Scores):
-            if not s.dense.size:
+            if not s.some:
                 return [[]] * 6
             other = ~s.gold() & (s.qids[:, None] != s.ids[None, :]) & ~np.isnan(s.label.astype(float))[None, :]
             own = np.array([x[0] for x in s.more])
@@ -433,7 +437,7 @@ class Grid:
         unit, bits = 10.0 ** -self.at, 16
 
         def total(s: Scores):
-            return ([s.dense.size], [s.dense.min()], [s.dense.max()]) if s.dense.size else [[]] * 3
+            return ([s.dense.size], [s.dense.min()], [s.dense.max()]) if s.some else [[]] * 3
 
         span = self.over(total, "n long, lo double, hi double").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
         if not span.n:

@@ -55,25 +55,28 @@ class Bm25Index:
         return self.blocks.select("tok", F.explode(F.arrays_zip("docs", "fs", "dls")).alias("p")).select(F.col("p.docs").alias("corpus_idx"), "tok", F.col("p.fs").alias("f"), F.col("p.dls").alias("dl"))
 
 
-def _block_kernel(batches):
-    """Blocks of the documents of a batch; without a token, their number and length."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, RANGE):
-            b = whole.slice(at, RANGE)
-            idx, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-            length = np.diff(lists.offsets.to_numpy())
-            words = pa.compute.dictionary_encode(lists.flatten())
-            cell, f = np.unique(words.indices.to_numpy().astype(np.int64) * b.num_rows + np.repeat(np.arange(b.num_rows), length), return_counts=True)
-            word, row = np.divmod(cell, b.num_rows)
-            span = np.floor_divide(idx[row], RANGE)
-            order = np.lexsort((idx[row], span, word))
-            word, row, span, f = word[order], row[order], span[order], f[order]
-            first = np.flatnonzero(np.concatenate(([True], (np.diff(word) != 0) | (np.diff(span) != 0)))) if len(word) else np.zeros(0, np.int64)
-            ends = pa.array(np.concatenate((first, [len(word), len(word) + 1])), pa.int32())
-            column = lambda own, last: pa.ListArray.from_arrays(ends, pa.array(np.append(own, last).astype(np.int64)))  # noqa: B023, E731
-            tok = pa.concat_arrays([words.dictionary.take(pa.array(word[first])).cast(pa.string()), pa.nulls(1, pa.string())])
-            spans = pa.concat_arrays([pa.array(span[first].astype(np.int64)), pa.nulls(1, pa.int64())])
-            yield pa.RecordBatch.from_arrays([tok, spans, column(idx[row], 0), column(f, b.num_rows), column(length[row], length.sum())], ["tok", "range", "docs", "fs", "dls"])
+def _block_kernel(size: int):
+    def run(batches):
+        """Blocks of the documents of a batch; without a token, their number and length."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                b = whole.slice(at, size)
+                idx, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+                length = np.diff(lists.offsets.to_numpy())
+                words = pa.compute.dictionary_encode(lists.flatten())
+                cell, f = np.unique(words.indices.to_numpy().astype(np.int64) * b.num_rows + np.repeat(np.arange(b.num_rows), length), return_counts=True)
+                word, row = np.divmod(cell, b.num_rows)
+                span = np.floor_divide(idx[row], size)
+                order = np.lexsort((idx[row], span, word))
+                word, row, span, f = word[order], row[order], span[order], f[order]
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(word) != 0) | (np.diff(span) != 0)))) if len(word) else np.zeros(0, np.int64)
+                ends = pa.array(np.concatenate((first, [len(word), len(word) + 1])), pa.int32())
+                column = lambda own, last: pa.ListArray.from_arrays(ends, pa.array(np.append(own, last).astype(np.int64)))  # noqa: B023, E731
+                tok = pa.concat_arrays([words.dictionary.take(pa.array(word[first])).cast(pa.string()), pa.nulls(1, pa.string())])
+                spans = pa.concat_arrays([pa.array(span[first].astype(np.int64)), pa.nulls(1, pa.int64())])
+                yield pa.RecordBatch.from_arrays([tok, spans, column(idx[row], 0), column(f, b.num_rows), column(length[row], length.sum())], ["tok", "range", "docs", "fs", "dls"])
+
+    return run
 
 
 def weight(f, dl, avgdl: float):
@@ -92,7 +95,7 @@ def build(docs: DataFrame, name: str, state: str, text="text", corpus_idx: str =
     bucket = F.coalesce(F.pmod(F.xxhash64("tok"), F.lit(BUCKETS)), F.lit(-1)).cast("int")
 
     def blocks():
-        made = own.mapInArrow(_block_kernel, "tok string, range long, docs array<long>, fs array<long>, dls array<long>").withColumn("bucket", F.when(F.col("tok").isNull(), -1).otherwise(bucket))
+        made = own.mapInArrow(_block_kernel(RANGE), "tok string, range long, docs array<long>, fs array<long>, dls array<long>").withColumn("bucket", F.when(F.col("tok").isNull(), -1).otherwise(bucket))
         return made.hint("rebalance", "bucket").sortWithinPartitions("bucket", "tok", "range")
 
     everything = kept(spark, f"{name}-blocks", state, blocks, ("bucket",))

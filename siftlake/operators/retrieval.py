@@ -8,6 +8,8 @@ them in closed form.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
@@ -78,6 +80,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def blend(lexical: DataFrame, dense: DataFrame, alphas: list[float]) -> DataFrame:
+    """(alpha, query_id, corpus_idx, score): alpha * lexical unit + (1 - alpha) * dense unit for every dense pair."""
+    both = dense.select("query_id", "corpus_idx", F.col("unit").alias("dn")).join(lexical.select("query_id", "corpus_idx", F.col("unit").alias("bm")), ["query_id", "corpus_idx"], "left")
+    grid = both.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    return grid.select("alpha", "query_id", "corpus_idx", F.round(F.col("alpha") * F.coalesce("bm", F.lit(0.0)) + (1 - F.col("alpha")) * F.col("dn"), 9).alias("score"))
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, views: dict[str, int] | None = None, others_only: bool = False, at: int = 9) -> DataFrame:
     """(view, query_id, corpus_idx, score, rank): the k best inner products of a stated query set against all vectors.
 
@@ -130,6 +139,28 @@ def hashed_vectors(rows: DataFrame, key: str, text: Column, dims: int = 64, pref
     return counts.join(norm, key).select(key, "bucket", (F.col("c") / F.col("norm")).alias("weight"))
 
 
+def hashed_dense(rows: DataFrame, key: str, text: Column, dims: tuple[int, ...], name: str = "v") -> DataFrame:
+    """(key, v): unit vectors of hashed token counts, one after the other for each number of dims; rows without a token have none."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            words = pa.compute.dictionary_encode(lists.flatten())
+            code = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            some = np.bincount(row, minlength=b.num_rows) > 0
+            parts = []
+            for d in dims:
+                counts = np.bincount(row * d + code[words.indices.to_numpy()] % d, minlength=b.num_rows * d).reshape(b.num_rows, d)[some].astype(np.float64)
+                parts.append(counts / np.sqrt((counts * counts).sum(1))[:, None])
+            data = np.concatenate(parts, 1)
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(data) + 1) * data.shape[1], pa.int32()), pa.array(data.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), v], [key, name])
+
+    ship(rows.sparkSession)
+    return rows.select(F.col(key).cast("long").alias(key), tokens(text).alias("toks")).mapInArrow(run, f"{key} long, {name} array<double>")
+
+
 def sampled(queries: DataFrame, n: int, k: int, seed: str = "s", gold: DataFrame | None = None) -> DataFrame:
     """(query_id, corpus_idx, rank): k documents of positions 0..n-1 for each query, drawn without replacement by hash.
 

@@ -113,30 +113,6 @@ def draw(n: Column, *parts) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long"), n)
 
 
-def hash_bootstrap(rows: DataFrame, iters: int, conf: float = 0.95, d: str = "d", place: str = "i", seed: str = "20260626") -> DataFrame:
-    """Percentile interval of the mean of d under ``iters`` resamples drawn by hash.
-
-    rows: d with places 0..n-1 (a per-query table; its size is the number of queries).
-    """
-    n = rows.count()
-    spark = rows.sparkSession
-    grid = spark.range(iters).select(F.col("id").alias("it")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))))
-    picks = grid.withColumn("i", draw(F.lit(max(n, 1)), F.lit(seed), "it", "j"))
-    means = picks.join(rows.select(F.col(place).cast("long").alias("i"), F.col(d).cast("double").alias("d")), "i").groupBy("it").agg(F.avg("d").alias("m"))
-    lo = (1 - conf) / 2
-    return means.agg(F.count("*").alias("iters"), F.round(F.percentile("m", F.lit(lo)), 6).alias("lo"), F.round(F.percentile("m", F.lit(1 - lo)), 6).alias("hi"))
-
-
-def sign_flip(pairs: DataFrame, draws: int, key: str = "query_id", d: str = "d", seed: str = "123") -> DataFrame:
-    """Two-sided sign-flip permutation test of the mean of d; signs come from a hash of (seed, draw, key)."""
-    flips = pairs.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    sign = F.when(draw(F.lit(2), F.lit(seed), "it", F.col(key)) == 0, 1).otherwise(-1)
-    means = flips.groupBy("it").agg(F.abs(F.avg(F.col(d) * sign)).alias("m"))
-    seen = pairs.agg(F.abs(F.avg(d)).alias("o"))
-    out = means.join(F.broadcast(seen)).groupBy("o").agg(F.count("*").alias("draws"), F.count_if(F.col("m") >= F.col("o") - 1e-12).alias("over"))
-    return out.select(F.round("o", 6).alias("observed"), "draws", F.round((F.col("over") + 1) / (F.col("draws") + 1), 6).alias("p"))
-
-
 def boundary_artifact(wins: Column, n: Column) -> Column:
     """Chance that a resample of n pairs misses all wins."""
     return F.pow((n - wins) / n, n)

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.operators import resampling as RS
 from siftlake.operators import stats as S
+from siftlake.operators.resampling import ITERS, SEED  # noqa: F401
 
-# The margins of equivalence, the primary one, and the resamples of an interval.
+# The margins of equivalence and the primary one.
 DELTAS, PRIMARY_DELTA = (0.03, 0.05, 0.10, 0.15, 0.20), 0.05
-ITERS, SEED = 20_000, "20260626"
 
 
 def hit_vectors(ranked: DataFrame, gold: DataFrame, queries: DataFrame, depth: int, *keys: str) -> DataFrame:
@@ -22,7 +23,7 @@ def hit_vectors(ranked: DataFrame, gold: DataFrame, queries: DataFrame, depth: i
     found = found.select(*keys, "query_id").distinct().withColumn("hit", F.lit(1))
     grid = queries.select("query_id").distinct()
     if keys:
-        grid = ranked.select(*keys).distinct().join(F.broadcast(grid))
+        grid = ranked.select(*keys).distinct().join(grid)
     return grid.join(found, [*keys, "query_id"], "left").select(*keys, "query_id", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
@@ -43,26 +44,24 @@ def paired(hits: DataFrame, by: str, pairs: list[tuple[str, str, str]], *keys: s
 
 
 def bootstrap(pairs: DataFrame, *keys: str, iters: int = ITERS, conf: float = 0.95, seed: str = SEED) -> DataFrame:
-    """(keys, n, mean, lo, hi): percentile interval of the mean of d; every group of n pairs sees the same resamples.
+    """(keys, n, mean, lo, hi): percentile interval of the mean of differences -1, 0 and 1.  n = 0 gives no row."""
+    d = F.col("d")
+    c = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses")).filter("n > 0")
+    out = RS.percentile_interval(c, *keys, iters=iters, conf=conf, seed=seed)
+    return out.select(*keys, "n", F.round((F.col("wins") - F.col("losses")) / F.col("n"), 6).alias("mean"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
-    The places 0..n-1 of a group follow its query ids.  n = 0 gives no row.
+
+def contrasts(pairs: DataFrame, *keys: str, iters: int = ITERS, values: bool = False) -> DataFrame:
+    """Wins, losses, ties, exact p, mean difference, its interval and whether that excludes zero.
+
+    values: the differences d are any numbers, not those of a and b.
     """
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    placed = pairs.select(*keys, F.col("d").cast("double").alias("d"), (F.row_number().over(w.orderBy("query_id")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
-    sizes = placed.select("n").distinct()
-    draws = sizes.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iters - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    draws = draws.select("n", "it", S.draw(F.col("n"), F.lit(seed), "it", "j").alias("i")).groupBy("n", "it", "i").agg(F.count("*").alias("times"))
-    means = draws.join(placed, ["n", "i"]).groupBy(*keys, "n", "it").agg((F.sum(F.col("times") * F.col("d")) / F.max("n")).alias("m"))
-    lo = (1 - conf) / 2
-    ends = means.groupBy(*keys, "n").agg(F.round(F.percentile("m", F.lit(lo)), 6).alias("lo"), F.round(F.percentile("m", F.lit(1 - lo)), 6).alias("hi"))
-    centre = pairs.groupBy(*keys).agg(F.round(F.avg("d"), 6).alias("mean"))
-    return ends.join(centre, list(keys)) if keys else ends.join(F.broadcast(centre))
-
-
-def contrasts(pairs: DataFrame, *keys: str, iters: int = ITERS) -> DataFrame:
-    """Wins, losses, ties, exact p, mean difference, its interval and whether that excludes zero."""
-    m, b = S.mcnemar(pairs, *keys), bootstrap(pairs, *keys, iters=iters)
-    out = m.join(b, list(keys))
+    m = S.mcnemar(pairs, *keys).withColumn("n", F.col("wins") + F.col("losses") + F.col("ties"))
+    if values:
+        out = m.join(RS.value_interval(pairs, *keys, iters=iters), list(keys)).join(pairs.groupBy(*keys).agg(F.avg("d").alias("mean")), list(keys))
+    else:
+        out = RS.percentile_interval(m, *keys, iters=iters).withColumn("mean", (F.col("wins") - F.col("losses")) / F.col("n"))
+    out = out.withColumns({c: F.round(c, 6) for c in ("mean", "lo", "hi")})
     zero = (F.col("lo") > 0) | (F.col("hi") < 0)
     return out.select(*keys, "n", "wins", "losses", "ties", "discordant", F.round("p_two_sided", 6).alias("p_two_sided"), F.round("p_one_sided", 6).alias("p_one_sided"), "mean", "lo", "hi", zero.alias("excludes_zero"))
 

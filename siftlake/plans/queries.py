@@ -13,8 +13,10 @@ from siftlake.functions import text as T
 from siftlake.operators import corpus as C
 from siftlake.operators import integrity as I
 from siftlake.operators import metrics as M
+from siftlake.operators import resampling as RS
 from siftlake.operators import retrieval as R
 from siftlake.operators import stats as S
+from siftlake.operators import suite as U
 from siftlake.operators.blocks import Grid
 from siftlake.operators.passages import held_passages
 from siftlake.sources.store import kept, state_of
@@ -229,7 +231,7 @@ def _both(spark, d) -> Grid:
 def _hybrid(spark, d) -> DataFrame:
     """(alpha, query_id, corpus_idx, score, rank): ten of each blend and query; ranked once."""
     state = state_of(spark, f"{d}/embeddings.parquet", f"{d}/documents.parquet")
-    return kept(spark, "hybrid", state, lambda: _both(spark, d).blended_topk(ALPHAS, 10))
+    return kept(spark, "hybrid", state, lambda: _both(spark, d).blended_topk(ALPHAS, 10).drop("view"))
 
 
 def _hits(spark, d) -> DataFrame:
@@ -402,13 +404,25 @@ def u11_boundary(spark, d):
     return k.select("w", "n", F.round(p, 9).alias("p"), (p > 0.025).alias("artifact"))
 
 
-@query(f"""WITH {HYBRID}, h AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, CAST(hit AS DOUBLE) AS d, count(*) OVER () AS n FROM hits WHERE alpha = 0.5),
-p AS (SELECT it, CAST('0x' || substr(md5('20260626:' || it || ':' || j), 1, 8) AS BIGINT) % (SELECT max(n) FROM h) AS i FROM range(20000) a(it), range((SELECT CAST(max(n) AS BIGINT) FROM h)) b(j)),
-m AS (SELECT it, avg(d) AS m FROM p JOIN h USING (i) GROUP BY 1) SELECT count(*) AS iters, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
+def uniform_sql(seed: str, iters: int) -> str:
+    return f"(SELECT it, (CAST('0x' || substr(md5('{seed}:' || it), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM range({iters}) r(it))"
+
+
+def interval_draws_sql(counts: str, iters: int, seed: str = "20260626") -> str:
+    """bd: (n, w, l, lo, hi) of the rows (n, w, l) of ``counts``: percentile interval of resampled (wins - losses) / n."""
+    part = lambda k, c: f"CASE WHEN {k} = 0 THEN 0 ELSE {k} * ln(CAST({c} AS DOUBLE) / n) END"
+    return f"""bk AS (SELECT DISTINCT CAST(n AS BIGINT) AS n, CAST(w AS BIGINT) AS w, CAST(l AS BIGINT) AS l FROM {counts}),
+bi_ AS (SELECT *, unnest(range(0, CASE WHEN w > 0 THEN n ELSE 0 END + 1)) AS i FROM bk), bj AS (SELECT *, unnest(range(0, CASE WHEN l > 0 THEN n - i ELSE 0 END + 1)) AS j FROM bi_),
+bp AS (SELECT n, w, l, i - j AS dd, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(j + 1) - lgamma(n - i - j + 1) + {part('i', 'w')} + {part('j', 'l')} + {part('(n - i - j)', '(n - w - l)')})) AS p FROM bj WHERE n - w - l > 0 OR i + j = n GROUP BY ALL),
+bc AS (SELECT *, sum(p) OVER (PARTITION BY n, w, l ORDER BY dd) AS upto FROM bp), bx AS (SELECT n, w, l, max(dd) AS top FROM bp GROUP BY ALL),
+bu_ AS (SELECT bk.*, it, u FROM bk, {uniform_sql(seed, iters)}),
+bd AS (SELECT n, w, l, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM (SELECT x.n, x.w, x.l, CAST(coalesce(c.dd, bx.top) AS DOUBLE) / x.n AS m FROM bu_ x ASOF LEFT JOIN bc c ON c.n = x.n AND c.w = x.w AND c.l = x.l AND x.u <= c.upto JOIN bx ON bx.n = x.n AND bx.w = x.w AND bx.l = x.l) GROUP BY ALL)"""
+
+
+@query(f"""WITH {HYBRID}, bq AS (SELECT count(*) AS n, sum(hit) AS w, 0 AS l FROM hits WHERE alpha = 0.5), {interval_draws_sql('bq', 20000)} SELECT 20000 AS iters, lo, hi FROM bd""")
 def u1_o5_hash_bootstrap(spark, d):
-    h = _hits(spark, d).filter("alpha = 0.5").select("query_id", F.col("hit").cast("double").alias("d"))
-    h = h.withColumn("i", F.row_number().over(Window.orderBy("query_id")) - 1)  # one row per query of the stated set
-    return S.hash_bootstrap(h, 20_000)
+    h = _hits(spark, d).filter("alpha = 0.5").select("query_id", F.col("hit").alias("d"))
+    return U.bootstrap(h, iters=20_000).select(F.lit(20_000).alias("iters"), "lo", "hi")
 
 
 # ---------------------------------------------------------------- ablation and ladders
@@ -470,13 +484,16 @@ def g8_shard_checks(spark, d):
     return I.shard_violations(shards, q)
 
 
-@query(f"""WITH {HYBRID}, p AS (SELECT a.query_id, a.hit - b.hit AS d FROM hits a JOIN hits b USING (query_id) WHERE a.alpha = 1.0 AND b.alpha = 0.0),
-o AS (SELECT abs(avg(d)) AS m FROM p), f AS (SELECT it, abs(avg(CASE WHEN CAST('0x' || substr(md5('123:' || it || ':' || query_id), 1, 8) AS BIGINT) % 2 = 0 THEN d ELSE -d END)) AS m FROM p, range(2000) r(it) GROUP BY 1)
-SELECT round(any_value(o.m), 6) AS observed, count(*) AS draws, round((count(*) FILTER (WHERE f.m >= o.m - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM f, o""")
+@query(f"""WITH {HYBRID}, p AS (SELECT a.hit - b.hit AS d FROM hits a JOIN hits b USING (query_id) WHERE a.alpha = 1.0 AND b.alpha = 0.0),
+o AS (SELECT count(*) AS n, abs(avg(d)) AS o, CAST(count(*) FILTER (WHERE d <> 0) AS BIGINT) AS m FROM p),
+k AS (SELECT n, o, m, h, sum(exp(lgamma(m + 1) - lgamma(h + 1) - lgamma(m - h + 1) - m * ln(2.0))) OVER (ORDER BY h) AS upto FROM (SELECT *, unnest(range(0, m + 1)) AS h FROM o)),
+x AS (SELECT u.it, k.n, k.o, abs(2 * k.h - k.m) / k.n AS v FROM {uniform_sql('123', 2000)} u ASOF JOIN k ON u.u <= k.upto)
+SELECT round(any_value(o), 6) AS observed, count(*) AS draws, round((count(*) FILTER (WHERE v >= o - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM x""")
 def u8_permutation(spark, d):
     h = _hits(spark, d)
-    pairs = h.filter("alpha = 1.0").join(h.filter("alpha = 0").select("query_id", F.col("hit").alias("b")), "query_id").select("query_id", (F.col("hit") - F.col("b")).alias("d"))
-    return S.sign_flip(pairs, 2_000)
+    pairs = h.filter("alpha = 1.0").join(h.filter("alpha = 0").select("query_id", F.col("hit").alias("b")), "query_id")
+    counts = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("hit") > F.col("b")).alias("wins"), F.count_if(F.col("hit") < F.col("b")).alias("losses"))
+    return RS.sign_flips(counts, 2_000).select(F.round("observed", 6).alias("observed"), "draws", F.round("p", 6).alias("p"))
 
 
 @query(f"""WITH {BM25}, {GOLD}, one AS (SELECT query_id, min(corpus_idx) AS corpus_idx FROM gold GROUP BY 1),

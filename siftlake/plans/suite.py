@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,30 +10,45 @@ from siftlake.functions import text as T
 from siftlake.operators import corpus as C
 from siftlake.operators import integrity as I
 from siftlake.operators import metrics as M
+from siftlake.operators import resampling as RS
 from siftlake.operators import retrieval as R
 from siftlake.operators import stats as S
 from siftlake.operators import suite as U
 from siftlake.operators.blocks import Grid
-from siftlake.plans.queries import ALPHAS, BM25, CORPUS, GOLD, HYBRID, _benchmark, _bm25, _both, _gold, _hybrid, first, query, tok
+from siftlake.plans.queries import ALPHAS, BM25, CORPUS, GOLD, HYBRID, _benchmark, _bm25, _both, _gold, _hybrid, first, interval_draws_sql, query, tok
+from siftlake.sources.store import kept, state_of
 from siftlake.sources.tables import corpus, table
 
 MODELS = {"d16": 16, "d32": 32, "d64": 64}
-DEPTHS = {"top1": 1, "top3": 3, "top10": 10}
-COMPARISONS = [("top10_vs_top1", "top10", "top1"), ("top3_vs_top1", "top3", "top1"), ("top10_vs_top3", "top10", "top3")]
-
-# ---------------------------------------------------------------- hit vectors of three models
-# The models are the leading 16, 32 and all 64 components of the vectors; a hit is another vector of the query's label;
-# the retrievers are depths; every second label counts as Korean.
-
-HITS = """
-v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-md AS (SELECT unnest(['d16', 'd32', 'd64']) AS model, unnest([16, 32, 64]) AS dims),
-sc AS (SELECT model, q.vec_id AS query_id, c.vec_id AS corpus_idx, q.label AS ql, c.label AS cl, round(list_sum(list_transform(list_zip(q.e[1:dims], c.e[1:dims]), lambda p: p[1] * p[2])), 9) AS score FROM v q, v c, md WHERE q.vec_id % 10 = 0 AND q.vec_id <> c.vec_id),
-hr AS (SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, corpus_idx) AS rank FROM sc),
-rt AS (SELECT unnest(['top1', 'top3', 'top10']) AS retriever, unnest([1, 3, 10]) AS depth),
-hits AS (SELECT model, retriever, query_id, CASE WHEN any_value(ql) % 2 = 0 THEN 'en' ELSE 'ko' END AS lang, max(CASE WHEN rank <= depth AND ql = cl THEN 1 ELSE 0 END) AS hit FROM hr, rt WHERE rank <= 10 GROUP BY 1, 2, 3)"""
+COMPARISONS = [("hybrid_vs_bm25", "hybrid", "bm25"), ("dense_vs_bm25", "dense", "bm25"), ("hybrid_vs_dense", "hybrid", "dense")]
+
+# ---------------------------------------------------------------- one corpus, three retrievers, three models
+# The corpus is ``documents``; queries are the benchmark passages that some document holds word for word, which is their gold; every
+# second one counts as Korean.  Retrievers: BM25, dense, and their blend by halves; models: hashed vectors of 16, 32 and 64 numbers.
+
+HITS = f"""
+h_gold AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id AS corpus_idx FROM benchmark b JOIN documents d ON contains(d.text, b.text)), h_qs AS (SELECT DISTINCT query_id FROM h_gold),
+h_d AS (SELECT doc_id, {tok('text')} AS t FROM documents), h_s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM h_d),
+h_tf AS (SELECT doc_id, tok, any_value(dl) AS dl, count(*) AS f FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS tok FROM h_d) GROUP BY 1, 2),
+h_idf AS (SELECT tok, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM h_tf, h_s GROUP BY 1),
+h_q AS (SELECT item_id AS query_id, tok, count(*) AS m FROM (SELECT item_id, unnest({tok('text')}) AS tok FROM benchmark WHERE item_id IN (SELECT query_id FROM h_qs)) GROUP BY 1, 2),
+h_bm AS (SELECT query_id, doc_id AS corpus_idx, round(sum(m * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM h_q JOIN h_idf USING (tok) JOIN h_tf USING (tok), h_s GROUP BY 1, 2),
+h_md AS (SELECT unnest(['d16', 'd32', 'd64']) AS model, unnest([16, 32, 64]) AS dims),
+h_dv AS (SELECT model, doc_id AS corpus_idx, CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) % dims AS b, CAST(sum(f) AS DOUBLE) AS c FROM h_tf, h_md GROUP BY 1, 2, 3), h_dn AS (SELECT model, corpus_idx, sqrt(sum(c * c)) AS norm FROM h_dv GROUP BY 1, 2),
+h_qv AS (SELECT model, query_id, CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) % dims AS b, CAST(sum(m) AS DOUBLE) AS c FROM h_q, h_md GROUP BY 1, 2, 3), h_qn AS (SELECT model, query_id, sqrt(sum(c * c)) AS norm FROM h_qv GROUP BY 1, 2),
+h_dot AS (SELECT a.model, a.query_id, b.corpus_idx, sum(a.c * b.c) AS dot FROM h_qv a JOIN h_dv b ON b.model = a.model AND b.b = a.b GROUP BY 1, 2, 3),
+h_dc AS (SELECT n.model, n.query_id, m.corpus_idx, round(coalesce(dot, 0) / (n.norm * m.norm), 9) AS score FROM h_qn n JOIN h_dn m ON m.model = n.model LEFT JOIN h_dot o ON o.model = n.model AND o.query_id = n.query_id AND o.corpus_idx = m.corpus_idx),
+h_dr AS (SELECT model, query_id, max(score) AS hi, min(score) AS lo, count(*) AS n FROM h_dc GROUP BY 1, 2),
+h_bn AS (SELECT r.model, r.query_id, max(s.score) AS hi, CASE WHEN count(s.score) < any_value(r.n) THEN least(0, min(s.score)) ELSE min(s.score) END AS lo FROM h_dr r LEFT JOIN h_bm s ON s.query_id = r.query_id GROUP BY 1, 2),
+h_un AS (SELECT c.model, c.query_id, c.corpus_idx, CASE WHEN r.hi - r.lo < 1e-12 THEN 0 ELSE (c.score - r.lo) / (r.hi - r.lo) END AS du, coalesce(CASE WHEN b.hi - b.lo < 1e-12 THEN 0 ELSE (s.score - b.lo) / (b.hi - b.lo) END, 0) AS bu FROM h_dc c JOIN h_dr r ON r.model = c.model AND r.query_id = c.query_id JOIN h_bn b ON b.model = c.model AND b.query_id = c.query_id LEFT JOIN h_bm s ON s.query_id = c.query_id AND s.corpus_idx = c.corpus_idx),
+h_all AS (SELECT model, 'bm25' AS retriever, query_id, corpus_idx, score FROM h_bm, h_md UNION ALL SELECT model, 'dense', query_id, corpus_idx, round(du, 9) FROM h_un UNION ALL SELECT model, 'hybrid', query_id, corpus_idx, round(0.5 * bu + (1 - 0.5) * du, 9) FROM h_un),
+h_rk AS (SELECT *, row_number() OVER (PARTITION BY model, retriever, query_id ORDER BY score DESC, corpus_idx) AS rank FROM h_all),
+h_hit AS (SELECT model, retriever, query_id, min(rank) AS hit_rank FROM h_rk JOIN h_gold USING (query_id, corpus_idx) WHERE rank <= 10 GROUP BY 1, 2, 3),
+h_rt AS (SELECT unnest(['bm25', 'dense', 'hybrid']) AS retriever), h_grid AS (SELECT model, retriever, query_id FROM h_md, h_rt, h_qs),
+h_rank AS (SELECT g.model, g.retriever, g.query_id, CASE WHEN g.query_id % 2 = 0 THEN 'en' ELSE 'ko' END AS lang, h.hit_rank FROM h_grid g LEFT JOIN h_hit h ON h.model = g.model AND h.retriever = g.retriever AND h.query_id = g.query_id),
+hits AS (SELECT model, retriever, query_id, lang, CASE WHEN hit_rank <= 10 THEN 1 ELSE 0 END AS hit FROM h_rank)"""
 TAGS = "tg AS (SELECT unnest(['overall', 'en', 'ko']) AS tag)"
-CMP = "cp AS (SELECT unnest(['top10_vs_top1', 'top3_vs_top1', 'top10_vs_top3']) AS comparison, unnest(['top10', 'top3', 'top10']) AS x, unnest(['top1', 'top1', 'top3']) AS y)"
+CMP = "cp AS (SELECT unnest(['hybrid_vs_bm25', 'dense_vs_bm25', 'hybrid_vs_dense']) AS comparison, unnest(['hybrid', 'dense', 'hybrid']) AS x, unnest(['bm25', 'bm25', 'dense']) AS y)"
 PAIRS = f"""{TAGS}, {CMP},
 pr AS (SELECT a.model, tag, comparison, a.query_id, a.hit AS a, b.hit AS b, CAST(a.hit - b.hit AS DOUBLE) AS d FROM hits a JOIN cp ON cp.x = a.retriever JOIN hits b ON b.model = a.model AND b.query_id = a.query_id AND b.retriever = cp.y JOIN tg ON tag = 'overall' OR tag = a.lang)"""
 
@@ -45,15 +61,26 @@ mc AS (SELECT *, wins + losses AS discordant, CASE WHEN wins + losses = 0 THEN 1
 
 
 def bootstrap_sql(pairs: str, *keys: str, iters: int = U.ITERS) -> str:
+    """bt: (keys, lo, hi) and ce: (keys, mean) of differences -1, 0 and 1."""
     k = ", ".join(keys)
-    return f"""pl AS (SELECT {k}, d, row_number() OVER (PARTITION BY {k} ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY {k}) AS n FROM {pairs}),
-dw AS (SELECT n, it, CAST('0x' || substr(md5('{U.SEED}:' || it || ':' || j), 1, 8) AS BIGINT) % n AS i FROM (SELECT n, it, unnest(range(n)) AS j FROM (SELECT DISTINCT n FROM pl), range({iters}) r(it))),
-dc AS (SELECT n, it, i, count(*) AS times FROM dw GROUP BY ALL),
-mn AS (SELECT {k}, n, it, sum(times * d) / max(n) AS m FROM dc JOIN pl USING (n, i) GROUP BY {k}, n, it),
-bt AS (SELECT {k}, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM mn GROUP BY {k}),
+    return f"""bq AS (SELECT {k}, count(*) AS n, count(*) FILTER (WHERE d > 0) AS w, count(*) FILTER (WHERE d < 0) AS l FROM {pairs} GROUP BY ALL),
+{interval_draws_sql('bq', iters)},
+bt AS (SELECT {k}, bd.lo, bd.hi FROM bq JOIN bd USING (n, w, l)),
 ce AS (SELECT {k}, round(avg(d), 6) AS mean FROM {pairs} GROUP BY {k})"""
 
 
+def value_bootstrap_sql(pairs: str, key: str, iters: int = U.ITERS) -> str:
+    """bt and ce of differences of any size, by the integer hash of (resample, draw)."""
+    mul = lambda x, m: f"CAST(CAST({x} AS HUGEINT) * {m} % 4294967296 AS BIGINT)"
+    return f"""pl AS (SELECT {key}, d, row_number() OVER (PARTITION BY {key} ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS n FROM {pairs}),
+w0 AS (SELECT n, it, (it * {RS.STRIDE} + j + {RS.SEED}) % 4294967296 AS h FROM (SELECT n, it, unnest(range(n)) AS j FROM (SELECT DISTINCT n FROM pl), range({iters}) r(it))),
+w1 AS (SELECT n, it, {mul('xor(h, h >> 16)', RS.M1)} AS h FROM w0), w2 AS (SELECT n, it, {mul('xor(h, h >> 13)', RS.M2)} AS h FROM w1),
+dc AS (SELECT n, it, xor(h, h >> 16) % n AS i, count(*) AS times FROM w2 GROUP BY ALL),
+mn AS (SELECT {key}, n, it, sum(times * d) / max(n) AS m FROM dc JOIN pl USING (n, i) GROUP BY {key}, n, it),
+bt AS (SELECT {key}, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM mn GROUP BY {key}),
+ce AS (SELECT {key}, round(avg(d), 6) AS mean FROM {pairs} GROUP BY {key})"""
+
+
 def tail_at(k: str, p: str) -> str:
     return f"list_sum(list_transform(range({k}, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"
 
@@ -68,17 +95,29 @@ def interval_sql(counts: str, *keys: str) -> str:
 ci AS (SELECT {key}, k, n, round(CAST(k AS DOUBLE) / n, 4) AS rate, CASE WHEN k = 0 THEN 0.0 ELSE round((a + b) / 2, 4) END AS lo, CASE WHEN k = n THEN 1.0 ELSE round((c + d) / 2, 4) END AS hi FROM bi WHERE step = 45)"""
 
 
+def _suite_ranks(spark, d) -> DataFrame:
+    """(model, retriever, query_id, lang, hit_rank within ten): every model is run once, everything downstream reads its hits."""
+
+    def build():
+        gold, dims = _gold(spark, d).distinct(), tuple(MODELS.values())
+        docs, q = corpus(spark, d), _benchmark(spark, d).join(gold.select("query_id").distinct(), "query_id", "left_semi")
+        ends = np.cumsum(dims).tolist()
+        views = {name: (end - n, end) for (name, n), end in zip(MODELS.items(), ends, strict=True)}
+        grid = Grid(R.hashed_dense(docs, "corpus_idx", F.col("text"), dims), R.hashed_dense(q, "query_id", F.col("text"), dims, "q"), R.bm25_index(docs), R.query_tokens(q), views=views)
+        names = F.explode(F.array(*map(F.lit, MODELS)))
+        ranked = grid.blended_topk([0.5, 0.0], 10).select(F.col("view").alias("model"), F.when(F.col("alpha") == 0, "dense").otherwise("hybrid").alias("retriever"), "query_id", "corpus_idx", "rank")
+        ranked = ranked.union(R.bm25_topk(docs, q, 10).filter("score > 0").select(names.alias("model"), F.lit("bm25").alias("retriever"), "query_id", "corpus_idx", "rank"))
+        found = ranked.join(gold, ["query_id", "corpus_idx"], "left_semi").groupBy("model", "retriever", "query_id").agg(F.min("rank").alias("hit_rank"))
+        asked = q.select("query_id", names.alias("model")).withColumn("retriever", F.explode(F.array(F.lit("bm25"), F.lit("dense"), F.lit("hybrid"))))
+        lang = F.when(F.col("query_id") % 2 == 0, "en").otherwise("ko")
+        return asked.join(found, ["model", "retriever", "query_id"], "left").select("model", "retriever", "query_id", lang.alias("lang"), "hit_rank")
+
+    return kept(spark, "suite-ranks", state_of(spark, f"{d}/benchmark.parquet", f"{d}/documents.parquet"), build)
+
+
 def _model_hits(spark, d) -> DataFrame:
     """(model, retriever, query_id, lang, hit)."""
-    v = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    q = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    best = R.dense_topk(q, v.select(F.col("vec_id").alias("corpus_idx"), F.col("embedding").alias("v")), 10, MODELS, others_only=True)
-    a, b = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), v.select(F.col("vec_id").alias("corpus_idx"), F.col("label").alias("cl"))
-    depths = F.explode(F.array(*[F.struct(F.lit(n).alias("retriever"), F.lit(k).alias("depth")) for n, k in DEPTHS.items()]))
-    r = best.join(a, "query_id").join(b, "corpus_idx").withColumn("r", depths)
-    hit = F.max(((F.col("rank") <= F.col("r.depth")) & (F.col("ql") == F.col("cl"))).cast("int"))
-    lang = F.when(F.max("ql") % 2 == 0, "en").otherwise("ko")
-    return r.groupBy(F.col("view").alias("model"), F.col("r.retriever").alias("retriever"), "query_id").agg(lang.alias("lang"), hit.alias("hit"))
+    return _suite_ranks(spark, d).select("model", "retriever", "query_id", "lang", F.coalesce((F.col("hit_rank") <= 10).cast("int"), F.lit(0)).alias("hit"))
 
 
 def _tagged(hits: DataFrame) -> DataFrame:
@@ -145,7 +184,7 @@ def u10_absolute_only(spark, d):
 VARIANTS = "vr AS (SELECT * FROM (VALUES ('all', -1), ('thirds', 3), ('fifths', 5), ('sevenths', 7)) t(variant, m)), kp AS (SELECT variant, h.* FROM vr, hits h WHERE m < 0 OR (query_id // 10) % m <> 0)"
 
 
-@query(f"""WITH {HITS}, {VARIANTS}, pr AS (SELECT a.variant, a.model, a.query_id, a.hit AS a, b.hit AS b FROM kp a JOIN kp b USING (variant, model, query_id) WHERE a.retriever = 'top10' AND b.retriever = 'top1'), {mcnemar_sql('pr', 'variant', 'model')},
+@query(f"""WITH {HITS}, {VARIANTS}, pr AS (SELECT a.variant, a.model, a.query_id, a.hit AS a, b.hit AS b FROM kp a JOIN kp b USING (variant, model, query_id) WHERE a.retriever = 'hybrid' AND b.retriever = 'bm25'), {mcnemar_sql('pr', 'variant', 'model')},
 f AS (SELECT *, variant || '|' || model AS name FROM mc), r AS (SELECT *, row_number() OVER (ORDER BY p_two_sided, name) AS i, count(*) OVER () AS k FROM f), a AS (SELECT *, max(least(1.0, p_two_sided * (k - i + 1))) OVER (ORDER BY i) AS adj FROM r)
 SELECT variant, model, n, wins, losses, p_two_sided, CAST(k AS BIGINT) AS family_size, round(adj, 6) AS p_adjusted, p_two_sided < 0.05 AS before, min(CASE WHEN adj < 0.05 THEN 1 ELSE 0 END) OVER (ORDER BY i) = 1 AS after, bool_and(p_two_sided < 0.05) OVER () AS holds_everywhere, bool_or(p_two_sided < 0.05) OVER () AS holds_somewhere FROM a""")
 def j11_u17_a20_label_sensitivity(spark, d):
@@ -155,37 +194,38 @@ def j11_u17_a20_label_sensitivity(spark, d):
     dropped = drops[0].union(drops[1]).union(drops[2])
     names = F.explode(F.array(*map(F.lit, ("all", "thirds", "fifths", "sevenths"))))
     kept = hits.withColumn("variant", names).join(dropped, ["variant", "query_id"], "left_anti")
-    m = S.mcnemar(U.paired(kept, "retriever", [("x", "top10", "top1")], "variant", "model"), "variant", "model")
+    m = S.mcnemar(U.paired(kept, "retriever", [("x", "hybrid", "bm25")], "variant", "model"), "variant", "model")
     m = m.withColumns({"p_two_sided": F.round("p_two_sided", 6), "name": F.concat_ws("|", "variant", "model"), "family": F.lit("all"), "n": F.col("wins") + F.col("losses") + F.col("ties")})
     out = S.holm(m, "family", "p_two_sided", "name")
     everywhere = out.agg(F.bool_and(F.col("p_two_sided") < 0.05).alias("holds_everywhere"), F.bool_or(F.col("p_two_sided") < 0.05).alias("holds_somewhere"))
     return out.join(F.broadcast(everywhere)).select("variant", "model", "n", "wins", "losses", "p_two_sided", "family_size", F.round("p_adjusted", 6).alias("p_adjusted"), (F.col("p_two_sided") < 0.05).alias("before"), F.col("significant").alias("after"), "holds_everywhere", "holds_somewhere")
 
 
-@query(f"""WITH {HITS}, sd AS (SELECT model, 20260626 + row_number() OVER (ORDER BY model) - 1 AS seed FROM (SELECT DISTINCT model FROM hits)),
-pr AS (SELECT a.model, a.query_id, CAST(a.hit - b.hit AS DOUBLE) AS d FROM hits a JOIN hits b USING (model, query_id) WHERE a.retriever = 'top10' AND b.retriever = 'top1'),
-pl AS (SELECT model, d, row_number() OVER (PARTITION BY model ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM pr),
-dw AS (SELECT model, it, CAST('0x' || substr(md5(seed || ':' || it || ':' || j), 1, 8) AS BIGINT) % n AS i FROM (SELECT model, seed, n, it, unnest(range(n)) AS j FROM sd JOIN (SELECT DISTINCT model, n FROM pl) USING (model), range(2000) r(it))),
-mn AS (SELECT model, it, avg(d) AS m FROM dw JOIN pl USING (model, i) GROUP BY 1, 2)
-SELECT model, CAST(any_value(seed) AS BIGINT) AS seed, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, CAST(NULL AS VARCHAR) AS error FROM mn JOIN sd USING (model) GROUP BY 1
+def _robust_sql(k: int, model: str) -> str:
+    return f"SELECT '{model}' AS model, CAST({20260626 + k} AS BIGINT) AS seed, lo, hi, CAST(NULL AS VARCHAR) AS error FROM (WITH bq AS (SELECT count(*) AS n, count(*) FILTER (WHERE d > 0) AS w, count(*) FILTER (WHERE d < 0) AS l FROM pr WHERE model = '{model}'), {interval_draws_sql('bq', 20000, str(20260626 + k))} SELECT lo, hi FROM bd)"
+
+
+@query(f"""WITH {HITS}, pr AS (SELECT a.model, a.hit - b.hit AS d FROM hits a JOIN hits b USING (model, query_id) WHERE a.retriever = 'hybrid' AND b.retriever = 'bm25')
+{' UNION ALL '.join(_robust_sql(k, m) for k, m in enumerate(sorted(MODELS)))}
 UNION ALL SELECT 'd128', CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'no hit vectors'""")
 def u18_robustness_by_model(spark, d):
-    hits = _model_hits(spark, d)
+    """The contrast of blend and BM25 by model, each with a seed of its own; a model without hit vectors has a row that says so."""
+    pairs = U.paired(_model_hits(spark, d), "retriever", [("x", "hybrid", "bm25")], "model")
+    counts = pairs.groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"))
     out = None
     for k, model in enumerate((*sorted(MODELS), "d128")):
         if model in MODELS:
-            pairs = U.paired(hits.filter(F.col("model") == model), "retriever", [("x", "top10", "top1")])
-            part = U.bootstrap(pairs, iters=2000, seed=str(20260626 + k)).select(F.lit(model).alias("model"), F.lit(20260626 + k).cast("long").alias("seed"), "lo", "hi", F.lit(None).cast("string").alias("error"))
+            part = RS.percentile_interval(counts.filter(F.col("model") == model), "model", seed=str(20260626 + k)).select("model", F.lit(20260626 + k).cast("long").alias("seed"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.lit(None).cast("string").alias("error"))
         else:
             part = spark.createDataFrame([(model, None, None, None, "no hit vectors")], "model string, seed long, lo double, hi double, error string")
         out = part if out is None else out.union(part)
     return out
 
 
-@query(f"""WITH {HITS}, lv AS (SELECT model, CASE retriever WHEN 'top1' THEN 1 WHEN 'top3' THEN 2 ELSE 3 END AS level, avg(hit) AS rate FROM hits GROUP BY 1, 2), ok AS (SELECT model, max(level) AS level FROM lv WHERE rate <= 0.9 OR level = 1 GROUP BY 1)
+@query(f"""WITH {HITS}, lv AS (SELECT model, CASE retriever WHEN 'bm25' THEN 1 WHEN 'dense' THEN 2 ELSE 3 END AS level, avg(hit) AS rate FROM hits GROUP BY 1, 2), ok AS (SELECT model, max(level) AS level FROM lv WHERE rate <= 0.9 OR level = 1 GROUP BY 1)
 SELECT CAST(min(level) AS INTEGER) AS level, string_agg(model, ',' ORDER BY model) FILTER (WHERE level = (SELECT min(level) FROM ok)) AS models FROM ok""")
 def a21_conservative_level(spark, d):
-    level = F.when(F.col("retriever") == "top1", 1).when(F.col("retriever") == "top3", 2).otherwise(3)
+    level = F.when(F.col("retriever") == "bm25", 1).when(F.col("retriever") == "dense", 2).otherwise(3)
     lv = _model_hits(spark, d).groupBy("model", level.alias("level")).agg(F.avg("hit").alias("rate"))
     ok = lv.filter("rate <= 0.9 or level = 1").groupBy("model").agg(F.max("level").alias("level"))
     return U.conservative_level(ok, "level")
@@ -228,10 +268,10 @@ def w5_u13_inflection(spark, d):
     return U.inflection(_frontier(spark, d), "retriever")
 
 
-@query(f"""WITH {FRONTIER}, t AS (SELECT *, CASE WHEN retriever = 'top3' AND level = 2 THEN 'D' WHEN mean <= -0.05 OR (significant AND mean < 0) THEN 'C' WHEN equivalent THEN 'A' ELSE 'B' END AS tier FROM fl)
+@query(f"""WITH {FRONTIER}, t AS (SELECT *, CASE WHEN retriever = 'dense' AND level = 2 THEN 'D' WHEN mean <= -0.05 OR (significant AND mean < 0) THEN 'C' WHEN equivalent THEN 'A' ELSE 'B' END AS tier FROM fl)
 SELECT retriever, level, tier, CAST(coalesce(min(CASE WHEN tier IN ('C', 'D') THEN level END) OVER (PARTITION BY retriever) - 1, max(level) OVER (PARTITION BY retriever)) AS INTEGER) AS recommended FROM t""")
 def u14_w6_evidence_tiers(spark, d):
-    levels = _frontier(spark, d).withColumn("confounded", (F.col("retriever") == "top3") & (F.col("level") == 2))
+    levels = _frontier(spark, d).withColumn("confounded", (F.col("retriever") == "dense") & (F.col("level") == 2))
     return U.evidence(levels, "retriever").select("retriever", "level", "tier", F.col("recommended").cast("int").alias("recommended"))
 
 
@@ -257,7 +297,7 @@ def _turn_cosines(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {HASHED}, pr AS (SELECT 'turn ' || a.turn AS level, a.conv_id AS query_id, a.cos - b.cos AS d, CASE WHEN a.cos > b.cos THEN 1 ELSE 0 END AS a, CASE WHEN a.cos < b.cos THEN 1 ELSE 0 END AS b FROM cs a JOIN cs b ON b.conv_id = a.conv_id AND b.turn = 1 WHERE a.turn IN (2, 3)),
-{mcnemar_sql('pr', 'level')}, {bootstrap_sql('pr', 'level', iters=2000)}, mg AS (SELECT turn, avg(cos) AS m FROM cs WHERE turn > 0 GROUP BY 1)
+{mcnemar_sql('pr', 'level')}, {value_bootstrap_sql('pr', 'level')}, mg AS (SELECT turn, avg(cos) AS m FROM cs WHERE turn > 0 GROUP BY 1)
 SELECT level, n, mean, lo, hi, p_two_sided, lo > 0 OR hi < 0 AS drifted, CASE WHEN (lo > 0 OR hi < 0) AND mean > 0 AND m > (SELECT m FROM mg WHERE turn = 1) THEN 'confounded' WHEN (lo > 0 OR hi < 0) AND mean > 0 THEN 'register_shift' WHEN NOT (lo > 0 OR hi < 0) THEN 'benign' ELSE 'diverged' END AS verdict
 FROM mc JOIN bt USING (level) JOIN ce USING (level) JOIN mg ON level = 'turn ' || turn""")
 def u15_drift_audit(spark, d):
@@ -265,7 +305,7 @@ def u15_drift_audit(spark, d):
     base = cs.filter("turn = 1").select("conv_id", F.col("cos").alias("base"))
     shift = F.col("cos") - F.col("base")
     pairs = cs.filter("turn in (2, 3)").join(base, "conv_id").select(F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("level"), F.col("conv_id").alias("query_id"), shift.alias("d"), (shift > 0).cast("int").alias("a"), (shift < 0).cast("int").alias("b"))
-    c = U.contrasts(pairs, "level", iters=2000)
+    c = U.contrasts(pairs, "level", values=True)
     mean = cs.filter("turn > 0").groupBy("turn").agg(F.avg("cos").alias("m"))
     one = mean.filter("turn = 1").select(F.col("m").alias("m1"))
     out = c.join(mean.select(F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("level"), "m"), "level").join(F.broadcast(one))
@@ -499,14 +539,14 @@ def a19_top10_between_versions(spark, d):
 
 @query(f"""WITH {OLD_NEW}, {GOLD}, hv AS (SELECT 'old' AS version, query_id, corpus_idx FROM o_rk WHERE rank <= 10 UNION ALL SELECT 'new', query_id, corpus_idx FROM w_rk WHERE rank <= 10),
 hb AS (SELECT b.item_id AS query_id, max(CASE WHEN hv.version = 'old' THEN 1 ELSE 0 END) AS o, max(CASE WHEN hv.version = 'new' THEN 1 ELSE 0 END) AS w FROM benchmark b LEFT JOIN gold g ON g.query_id = b.item_id LEFT JOIN hv ON hv.query_id = b.item_id AND hv.corpus_idx = g.corpus_idx GROUP BY 1),
-pr AS (SELECT 'full_text' AS index_mode, query_id, w AS a, o AS b, CAST(w - o AS DOUBLE) AS d FROM hb), {mcnemar_sql('pr', 'index_mode')}, {bootstrap_sql('pr', 'index_mode', iters=2000)}
+pr AS (SELECT 'full_text' AS index_mode, query_id, w AS a, o AS b, CAST(w - o AS DOUBLE) AS d FROM hb), {mcnemar_sql('pr', 'index_mode')}, {bootstrap_sql('pr', 'index_mode')}
 SELECT index_mode, wins, losses, p_two_sided, mean, lo, hi, CASE WHEN lo > 0 THEN 'helps' ELSE 'no_significant_gain' END AS verdict FROM mc JOIN bt USING (index_mode) JOIN ce USING (index_mode)""")
 def u19_version_impact(spark, d):
     q, old, new = _old_new(spark, d)
     gold = _gold(spark, d)
     ranked = old.withColumn("version", F.lit("old")).unionByName(new.withColumn("version", F.lit("new")))
     pairs = U.paired(U.hit_vectors(ranked, gold, q, 10, "version").withColumn("index_mode", F.lit("full_text")), "version", [("impact", "new", "old")], "index_mode")
-    c = U.contrasts(pairs, "index_mode", iters=2000)
+    c = U.contrasts(pairs, "index_mode")
     return c.join(F.broadcast(U.version_verdict(c))).select("index_mode", "wins", "losses", "p_two_sided", "mean", "lo", "hi", F.col("label").alias("verdict"))
 
 
@@ -515,9 +555,9 @@ SELECT alpha, CASE alpha WHEN 1.0 THEN 'BM25' WHEN 0.0 THEN 'dense' ELSE 'hybrid
 def r19_r20_alpha_sweep(spark, d):
     """Per blend and query the rank of the first hit and the first three."""
     best = F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "corpus_idx"))))
-    top = _hybrid(spark, d).groupBy("alpha", "query_id").agg(F.array_join(F.transform(best, lambda r: r["corpus_idx"].cast("string")), ",").alias("top3"))
-    out = top.join(_both(spark, d).gold_ranks(ALPHAS), ["alpha", "query_id"], "left")
-    return out.select("alpha", T.alpha_name(F.col("alpha")).alias("name"), "query_id", F.col("hit_rank").cast("int").alias("hit_rank"), "top3")
+    top = _hybrid(spark, d).groupBy("alpha", "query_id").agg(F.array_join(F.transform(best, lambda r: r["corpus_idx"].cast("string")), ",").alias("dense"))
+    out = top.join(_both(spark, d).gold_ranks(ALPHAS).drop("view"), ["alpha", "query_id"], "left")
+    return out.select("alpha", T.alpha_name(F.col("alpha")).alias("name"), "query_id", F.col("hit_rank").cast("int").alias("hit_rank"), "dense")
 
 
 @query(f"""WITH {HYBRID}, t AS (SELECT alpha, query_id, list(corpus_idx ORDER BY rank) AS l, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) AS lead FROM hr WHERE rank <= 10 GROUP BY 1, 2)
@@ -682,14 +722,17 @@ def g1_gate_independence(spark, d):
     return models.select("model", I.gate_is_independent(F.col("model"), ["d64"]).alias("independent"))
 
 
-@query(f"""WITH {HITS}, sh AS (SELECT model, retriever, query_id, lang, CASE WHEN model = 'd32' AND retriever = 'top3' AND query_id % 70 = 0 THEN 1 - hit ELSE hit END AS hit FROM hits WHERE NOT (model = 'd16' AND query_id % 110 = 0)),
-ns AS (SELECT count(DISTINCT query_id) AS n FROM hits)
-SELECT 'anchor' AS rule, sh.model, count(*) AS n FROM sh JOIN hits h USING (model, retriever, query_id) WHERE sh.hit <> h.hit GROUP BY 2
+@query(f"""WITH {HITS}, dp AS (SELECT model, 'top' || depth AS retriever, query_id, CASE WHEN hit_rank <= depth THEN 1 ELSE 0 END AS hit FROM h_rank, (SELECT unnest([3, 10]) AS depth) WHERE retriever = 'hybrid'),
+sh AS (SELECT model, retriever, query_id, CASE WHEN model = 'd32' AND retriever = 'top3' AND query_id % 3 = 0 THEN 1 - hit ELSE hit END AS hit FROM dp WHERE NOT (model = 'd16' AND query_id % 5 = 0)),
+ns AS (SELECT count(DISTINCT query_id) AS n FROM dp)
+SELECT 'anchor' AS rule, sh.model, count(*) AS n FROM sh JOIN dp h USING (model, retriever, query_id) WHERE sh.hit <> h.hit GROUP BY 2
 UNION ALL SELECT 'length', model, count(*) FROM (SELECT model, retriever, count(*) AS c FROM sh GROUP BY 1, 2), ns WHERE c <> ns.n GROUP BY 2
 UNION ALL SELECT 'monotone', model, count(*) FROM (SELECT model, query_id, max(CASE WHEN retriever = 'top3' THEN hit END) AS a, max(CASE WHEN retriever = 'top10' THEN hit END) AS b FROM sh GROUP BY 1, 2) WHERE a > b GROUP BY 2""")
 def g9_g10_bundle_validation(spark, d):
-    """Rules that a bundle of hit vectors breaks: vectors recomputed from the source differ, lengths differ, a deeper list loses a hit."""
-    hits = _model_hits(spark, d)
-    odd = (F.col("model") == "d32") & (F.col("retriever") == "top3") & (F.col("query_id") % 70 == 0)
-    bundle = hits.filter("not (model = 'd16' and query_id % 110 = 0)").withColumn("hit", F.when(odd, 1 - F.col("hit")).otherwise(F.col("hit")))
-    return I.bundle_violations(bundle, hits, ["top1", "top3", "top10"][1:])
+    """Rules that a bundle of hit vectors (the blend at depths 3 and 10) breaks: vectors recomputed from the source differ, lengths differ, a deeper list loses a hit."""
+    depth = F.explode(F.array(F.lit(3), F.lit(10)))
+    deep = _suite_ranks(spark, d).filter("retriever = 'hybrid'").withColumn("depth", depth)
+    deep = deep.select("model", F.concat(F.lit("top"), F.col("depth").cast("string")).alias("retriever"), "query_id", F.coalesce((F.col("hit_rank") <= F.col("depth")).cast("int"), F.lit(0)).alias("hit"))
+    odd = (F.col("model") == "d32") & (F.col("retriever") == "top3") & (F.col("query_id") % 3 == 0)
+    bundle = deep.filter("not (model = 'd16' and query_id % 5 = 0)").withColumn("hit", F.when(odd, 1 - F.col("hit")).otherwise(F.col("hit")))
+    return I.bundle_violations(bundle, deep, ["top3", "top10"])

@@ -14,6 +14,7 @@ from siftlake.functions import text as T
 from siftlake.operators import audits as A
 from siftlake.operators import corpus as C
 from siftlake.operators import parsing as P
+from siftlake.operators import lexical_index as X
 from siftlake.operators import retrieval as R
 from siftlake.operators import spans as D
 from siftlake.operators import suite as U
@@ -236,9 +237,10 @@ def test_block_kernels_agree_with_the_join_plans(spark, monkeypatch):
     index = R.bm25_index(docs)
     scores = R.bm25_scores(index, R.query_tokens(q))
     want = sorted((r.query_id, r["rank"], r.corpus_idx, round(r.score, 8)) for r in R.top_k(scores, docs, 25).collect())
-    for most, block in ((0, 64), (100, 64), (100, 2)):
-        monkeypatch.setattr(R, "QUERY_BLOCK", block)
-        assert sorted((r.query_id, r["rank"], r.corpus_idx, round(r.score, 8)) for r in R.bm25_topk(docs, q, 25, most_tokens=most).collect()) == want
+    for queries, first in ((512, 2), (512, 1), (2, 1)):
+        monkeypatch.setattr(X, "QUERIES", queries)
+        monkeypatch.setattr(X, "FIRST", first)
+        assert sorted((r.query_id, r["rank"], r.corpus_idx, round(r.score, 8)) for r in R.bm25_topk(docs, q, 25).collect()) == want
     left = docs.filter("corpus_idx < 9").select(F.col("corpus_idx").alias("left_id"), "text")
     right = docs.select(F.col("corpus_idx").alias("right_id"), "text")
     rows = lambda most: sorted((r.left_id, r["rank"], r.right_id, r.jaccard) for r in C.jaccard_candidates(left, right, 7, most_tokens=most).collect())
@@ -248,7 +250,7 @@ def test_block_kernels_agree_with_the_join_plans(spark, monkeypatch):
     x = np.round(np.random.default_rng(1).normal(size=(70, 6)), 1)
     v = spark.createDataFrame([(k, [float(c) for c in r]) for k, r in enumerate(x)] + [(99, None)], "corpus_idx long, v array<double>").repartition(3)
     asked = spark.createDataFrame([(k, [float(c) for c in x[k]]) for k in (0, 7, 9)], "query_id long, q array<double>")
-    got = sorted((r.view, r.query_id, r["rank"], r.corpus_idx) for r in R.dense_topk(asked, v, 5, {"two": 2, "six": 6}, others_only=True, block=16).collect())
+    got = sorted((r.view, r.query_id, r["rank"], r.corpus_idx) for r in R.dense_topk(asked, v, 5, {"two": 2, "six": 6}, others_only=True).collect())
     want = []
     for name, n in (("two", 2), ("six", 6)):
         for k in (0, 7, 9):
