@@ -177,7 +177,8 @@ def fit(docs: DataFrame, train, *, text="text", doc_id="doc_id", lang="lang", pe
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(train("doc_id")).filter("lang is not null and text is not null and doc_id is not null")
     per_language = min(per_language, max(1, most_rows // max(1, base.select("lang").distinct().count())))
     picked = least_per_group(base.select("doc_id", "lang"), "lang", "doc_id", per_language).distinct()
-    rows = base.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text").mapInArrow(over_batches(_feature_kernel), "lang string, columns binary, counts binary").collect()
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")  # of rows that repeat an id, so that rows are as bounded as ids
+    rows = base.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(one).select("lang", "one.text").mapInArrow(over_batches(_feature_kernel), "lang string, columns binary, counts binary").collect()
     if not rows:
         return None
     rows = sorted((r.lang, bytes(r.columns), bytes(r.counts)) for r in rows)

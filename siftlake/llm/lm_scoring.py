@@ -333,7 +333,12 @@ def store(folder: str, name: str, keys: np.ndarray, totals: dict[str, np.ndarray
     part = f"{root}/{name}.{uuid.uuid4().hex[:8]}.part"
     with files.open_output_stream(part) as out, pa.ipc.new_file(out, table.schema) as writer:
         writer.write_table(table)
-    files.move(part, f"{root}/{name}")
+    try:
+        files.move(part, f"{root}/{name}")
+    except OSError:  # some file systems do not move onto a file: then another try of this task was first
+        if files.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
+            raise
+        files.delete_file(part)
 
 
 def stored(folder: str, name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -468,7 +473,9 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
     trusted: a DataFrame whose first column holds the ids to learn from; both
     together: rows in both.  Scores are log10 probabilities of whole texts;
     base_score is the unigram baseline with 0.1 added to each count.  tag: a
-    Column to carry along as a string.
+    Column to carry along as a string.  docs is read several times and its rows
+    are dealt out by their places, so it has to be a table, or a plan whose
+    partitions keep their order.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-scoring")
@@ -478,7 +485,9 @@ def lm_scores(docs: DataFrame, train=None, *, trusted: DataFrame | None = None,
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, shards = (max(1, math.ceil(size / n)) for n in (block_bytes, shard_bytes or block_bytes))
     looked = trusted is not None
-    key = ["doc_id", F.when(F.col("doc_id").isNull(), F.col("text")) if looked else "text"]  # rows of one id stay together where ids are looked up
+    # A common text is dealt out by its rows' places; where ids are looked up, rows of one id stay together.
+    place = F.monotonically_increasing_id()
+    key = ["doc_id", F.when(F.col("doc_id").isNull(), place) if looked else place]
     if looked:
         ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
         base = base.union(ids.select("doc_id", none, F.lit(True), F.lit(""), F.lit(False)))

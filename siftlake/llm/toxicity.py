@@ -241,16 +241,18 @@ def fit(docs: DataFrame, labels: DataFrame, train, *, text="text", doc_id="doc_i
     if len(totals) < 2:
         return None
     picked = least_per_group(marks, "toxic", "doc_id", per_class).select("doc_id", "toxic")
-    rows = base.join(F.broadcast(picked), "doc_id").select("toxic", "text")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")  # of rows that repeat an id, so that rows are as bounded as ids
+    rows = base.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(one).select("toxic", "one.text")
     counts = rows.mapInArrow(over_batches(_count_kernel), "kind int, key long, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     voters = Voters(*_marking(counts, min(per_class, totals[1]), min(per_class, totals[0])))
     seen = rows.mapInArrow(over_batches(_see_kernel(voters)), "toxic int, votes binary, columns array<long>, counts array<double>").collect()
-    if not seen:
+    fitted = {c: sum(r.toxic == c for r in seen) for c in (0, 1)}
+    if not min(fitted.values()):  # labelled ids need not be among the documents
         return None
     seen = sorted((bytes(r.votes), tuple(r.columns), tuple(r.counts), r.toxic) for r in seen)
     votes = np.stack([np.frombuffer(r[0], np.int8) for r in seen])
     toxic_row = np.array([r[3] for r in seen], bool)
-    weight = np.where(toxic_row, *(totals[c] / min(per_class, totals[c]) for c in (1, 0)))
+    weight = np.where(toxic_row, *(totals[c] / fitted[c] for c in (1, 0)))
     prior = float(np.clip(np.average(toxic_row, weights=weight), 1e-6, 1 - 1e-6))
     weight /= weight.mean()
     model = LabelModel(votes, prior, weight=weight)

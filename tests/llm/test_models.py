@@ -8,8 +8,9 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from siftlake.llm import language_id, linear, toxicity
+from siftlake.llm import language_id, linear, lm_scoring, toxicity
 from siftlake.llm.common import text_bytes
 
 
@@ -144,3 +145,32 @@ def test_languages_decided_document_by_document():
         assert abs(score - chance[f] * sure) < 1e-4
         assert name == model.names[a] or sorted(b[0] for b in best)[-2] > key - 1e-4
     assert sum(a == b for a, b in zip(names, [k for k in syllables for _ in range(10)], strict=False)) > 45
+
+
+def test_a_repeated_id_is_one_row_of_the_fit(spark, monkeypatch):
+    """One labelled id a thousand times, and labelled ids that no document has."""
+    rows = [(k, f"plain words {k} of nothing at all" + (" vileword nasty" if k % 5 == 0 else ""), "en" if k % 2 else "de") for k in range(60)]
+    docs = spark.createDataFrame(rows + [rows[5]] * 1000 + [(5, None, "de"), (6, "another text", "de")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(90)], "doc_id long, toxic int")
+    seen, plain = {}, toxicity.LabelModel.__init__
+
+    def watched(self, votes, prior, **more):
+        seen.update(n=len(votes), prior=prior)
+        plain(self, votes, prior, **more)
+
+    monkeypatch.setattr(toxicity.LabelModel, "__init__", watched)
+    assert toxicity.fit(docs, labels, lambda c: F.lit(True)) is not None
+    assert seen["n"] == 60 and abs(seen["prior"] - 18 / 90) < 1e-9
+    assert toxicity.fit(docs.filter("doc_id % 5 <> 0"), labels, lambda c: F.lit(True)) is None
+    assert language_id.fit(docs, lambda c: F.lit(True)) is not None
+
+
+def test_copies_of_one_text_go_to_all_blocks(spark, tmp_path):
+    """A text that fills the table, with and without ids: all blocks share it."""
+    path = str(tmp_path / "t")
+    spark.range(4000).selectExpr("if(id % 2 = 0, id, null) as doc_id", "repeat('some common text ', 20) as text").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    out = lm_scoring.lm_scores(docs, block_bytes=40_000, order=2)
+    assert out.count() == 4000 and out.select("score").distinct().count() == 1
+    dealt = docs.groupBy(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(34)).alias("block")).count()
+    assert dealt.agg(F.max("count")).first()[0] < 2 * 4000 / 34
