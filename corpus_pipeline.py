@@ -21,18 +21,29 @@ from siftlake.llm.suffix_dedup import remove_repeats
 LEAST_SURE = 0.5
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named by position, so that no name can clash or need quotes, and the new names of those that stages read."""
+    at = {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "lang", "n_chars")}
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), at
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more go."""
     with stage_scratch(spark):
-        model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), lambda c: crc_fold(c, 5) != 0)
-        return toxicity.predict(docs, model, carry=tuple(docs.columns)).filter("__score < 0.5").select(*docs.columns)
+        own, at = _numbered(docs)
+        labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias(at["doc_id"]), "toxic")
+        model = toxicity.fit(own, labels, lambda c: crc_fold(c, 5) != 0, text=at["text"], doc_id=at["doc_id"])
+        scored = toxicity.predict(own, model, text=at["text"], carry=tuple(own.columns))
+        return scored.filter("__score < 0.5").select(*own.columns).toDF(*docs.columns)
 
 
 def reject_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no sure language, go."""
     with stage_scratch(spark):
-        model = language_id.fit(docs, lambda c: crc_fold(c, 4) != 2)
-        return language_id.predict(docs, model, carry=tuple(docs.columns)).filter(F.col("__score") >= LEAST_SURE).filter("__lang <> 'und'").select(*docs.columns)
+        own, at = _numbered(docs)
+        model = language_id.fit(own, lambda c: crc_fold(c, 4) != 2, text=at["text"], doc_id=at["doc_id"], lang=at["lang"])
+        named = language_id.predict(own, model, text=at["text"], carry=tuple(own.columns))
+        return named.filter(F.col("__score") >= LEAST_SURE).filter("__lang <> 'und'").select(*own.columns).toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,23 +53,28 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     the least by all columns does.
     """
     with stage_scratch(spark):
-        kept = ngram_join(docs, n=5, percent=80).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
-        named = docs.join(kept, F.col("doc_id") == F.col("__id"))
-        several = named.filter("__rows > 1").groupBy("__id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-        return named.filter("__rows = 1").select(*docs.columns).union(several).union(docs.filter("doc_id is null"))
+        own, at = _numbered(docs)
+        texts = own.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))
+        kept = ngram_join(texts, n=5, percent=80).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
+        named = own.join(kept, F.col(at["doc_id"]) == F.col("__id"))
+        several = named.filter("__rows > 1").groupBy("__id").agg(F.min(F.struct(*own.columns)).alias("__row")).select("__row.*")
+        return named.filter("__rows = 1").select(*own.columns).union(several).union(own.filter(F.col(at["doc_id"]).isNull())).toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every 200-byte string that occurs more than once is cut out wherever it stands; n_chars follows (null text stays null)."""
     with stage_scratch(spark):
-        out = remove_repeats(docs, span=200)
-        return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+        own, at = _numbered(docs)
+        out = remove_repeats(own, span=200, text=at["text"])
+        return out.withColumn(at["n_chars"], F.length(at["text"]).cast(dict(own.dtypes)[at["n_chars"]])).select(*own.columns).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1,024 tokens."""
     with stage_scratch(spark):
-        return pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+        own, at = _numbered(docs)
+        texts = own.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))
+        return pack(texts, str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [
@@ -74,15 +90,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again, those of the stage before go."""
     docs = read_table(spark, sf_dir, "documents")
-    between = None
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        between = Scratch(spark, f"pipeline-{k}")
-        path = f"{between.path}/docs"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        between, before = Scratch(spark, f"pipeline-{k}"), between if k else None
+        rows = between.keep(stage(spark, docs, sf_dir))
+        if before:
+            before.drop(docs)
+        docs = rows
+    return STAGES[-1][1](spark, docs, sf_dir)
