@@ -61,3 +61,22 @@ def test_rows_of_one_id_and_empty_tables(spark, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_of_any_name(spark, tmp_path):
+    """Columns that stages use themselves, need quotes, or differ by case only; other columns pass through every stage."""
+    extra = ["__score", "__lang", "__text", "__id", "__rows", "__row", "a.b", "c0", "Text", "row", "block", "`odd`"]
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdefghilm") for _ in range(5)) for _ in range(300)]
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(40)), "en", "s", 1, *[f"{c}{k}" for c in extra]) for k in range(30)]
+    rows.append((40, rows[3][1], "en", "s", 1, *[f"{c}40" for c in extra]))
+    kinds = ["long", "string", "string", "string", "long", *["string"] * len(extra)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *extra]
+    docs = spark.createDataFrame(rows, ", ".join(f"x{k} {t}" for k, t in enumerate(kinds))).toDF(*names)
+    spark.createDataFrame([(k, 1, int(k % 2)) for k in range(0)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == names
+        got = {r[0]: tuple(r)[5:] for r in out.collect()}
+        assert got == {r[0]: r[5:] for r in rows if k < 2 or r[0] != 40 or stage is P.cut_repeats}
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 31
