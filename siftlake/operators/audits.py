@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
+from siftlake.sources.store import written
 
 
 def lookup(entries: DataFrame, order: str = "corpus_idx") -> DataFrame:
@@ -143,23 +144,28 @@ def queries_v2(gold: DataFrame, drops: DataFrame, equivalents: DataFrame, entrie
 
 
 def merge_slices(rows: DataFrame) -> DataFrame:
-    """Rows (origin, seq, query_id, labels) that stay when slices are merged in the order (origin, seq).
+    """Rows (origin, seq, query_id, labels) that stay when slices are merged in the order (origin, seq, query_id).
 
     A row goes if an earlier row that stays holds one of its labels; rows that
-    go block nothing.  The order matters, so one task walks the ids and labels;
-    a query set is a curated list, not a corpus.
+    go block nothing.  Rounds decide: a row that is the earliest undecided one
+    of each of its labels stays, and those that share a label with it go.  Rows
+    without a label stay.  Every round is written to the shared folder; there
+    are as many as the longest chain of rows that wait for each other.
     """
-    def walk(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["origin", "seq"])
-        seen: set = set()
-        keep = []
-        for labels in table["labels"]:
-            keep.append(not seen.intersection(labels))
-            if keep[-1]:
-                seen.update(labels)
-        return table.loc[keep, ["origin", "seq", "query_id"]]
-
-    return rows.select("origin", "seq", "query_id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels")).groupBy(F.lit("all").alias("one")).applyInPandas(walk, "origin string, seq long, query_id long")
+    spark = rows.sparkSession
+    at = F.struct("origin", "seq", "query_id", F.monotonically_increasing_id().alias("n"))
+    labels = F.coalesce("labels", F.array().cast("array<string>"))
+    named = written(rows.select(at.alias("at"), F.array_distinct(F.transform(labels, lambda x: F.coalesce(x, F.lit("\0")))).alias("labels")))
+    stays = named.filter("size(labels) = 0").select("at")
+    pairs = written(named.select("at", F.explode("labels").alias("label")))
+    while not pairs.isEmpty():
+        first = pairs.groupBy("label").agg(F.min("at").alias("first"))
+        decided = written(pairs.join(first, "label").groupBy("at").agg(F.bool_and(F.col("at") == F.col("first")).alias("stays")).filter("stays").select("at"))
+        stays = stays.union(decided)
+        taken = pairs.join(decided, "at", "left_semi").select("label").distinct()
+        over = pairs.join(taken, "label", "left_semi").select("at").distinct()  # the rows that stay among them
+        pairs = written(pairs.join(over, "at", "left_anti"))
+    return stays.select("at.origin", F.col("at.seq").cast("long").alias("seq"), F.col("at.query_id").cast("long").alias("query_id"))
 
 
 def curated_set(curated: DataFrame, queries: DataFrame, entries: DataFrame) -> DataFrame:

@@ -143,15 +143,15 @@ def p28_structural_codes(spark, d):
     return A.structural_codes(c.select("code"), c)
 
 
-@query(f"""WITH {CORPUS}, g AS (SELECT DISTINCT code || '.z' AS code, code || '.z' AS p, 4 AS depth FROM c WHERE source = 'wassenaar_2025' AND corpus_idx % 5 = 2), pr AS (SELECT DISTINCT code FROM c WHERE source = 'wassenaar_2025' AND corpus_idx % 5 <> 2),
+@query(f"""WITH {CORPUS}, g AS (SELECT DISTINCT code || '.z' AS code, code || '.z' AS p, 4 AS depth FROM c WHERE source = 'wassenaar_2025' AND corpus_idx % 7 = 2), pr AS (SELECT DISTINCT code FROM c WHERE source = 'wassenaar_2025' AND corpus_idx % 7 <> 2),
 cut AS (SELECT code, unnest(list_transform(range(1, len(string_split(code, '.')) + 1), lambda k: array_to_string(string_split(code, '.')[1:k], '.'))) AS p FROM g),
 h AS (SELECT cut.code, pr.code AS successor, max(len(string_split(p, '.'))) AS depth FROM cut JOIN pr ON pr.code = p OR starts_with(pr.code, p || '.') GROUP BY 1, 2),
 r AS (SELECT code, successor, row_number() OVER (PARTITION BY code ORDER BY successor) AS rank FROM h WHERE depth = (SELECT max(depth) FROM h z WHERE z.code = h.code))
 SELECT code, successor, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""")
 def p29_successor_codes(spark, d):
     w = corpus(spark, d).filter("source = 'wassenaar_2025'")
-    gone = w.filter("corpus_idx % 5 = 2").select(F.concat("code", F.lit(".z")).alias("code")).distinct()
-    return A.successors(gone, w.filter("corpus_idx % 5 <> 2").select("code").distinct()).withColumn("rank", F.col("rank").cast("int"))
+    gone = w.filter("corpus_idx % 7 = 2").select(F.concat("code", F.lit(".z")).alias("code")).distinct()
+    return A.successors(gone, w.filter("corpus_idx % 7 <> 2").select("code").distinct()).withColumn("rank", F.col("rank").cast("int"))
 
 
 @query(f"""WITH {CORPUS}, a AS (SELECT corpus_idx AS left_id, list_distinct({tok(first('text'))}) AS s FROM c WHERE source = 'ecfr_part774'), b AS (SELECT corpus_idx AS right_id, list_distinct({tok(first('text'))}) AS s FROM c WHERE source <> 'ecfr_part774'),

@@ -397,13 +397,6 @@ def u7_w4_holm(spark, d):
     return S.holm(p, "family", "p", "name").select("family", "name", F.round("p", 8).alias("p"), "family_size", F.round("p_adjusted", 8).alias("p_adjusted"), "significant")
 
 
-@query("""WITH k AS (SELECT CAST(w AS BIGINT) AS w, CAST(n AS BIGINT) AS n FROM range(1, 12) a(w), (SELECT unnest([13, 71, 151]) AS n)) SELECT w, n, round(((n - w) / n) ** n, 9) AS p, ((n - w) / n) ** n > 0.025 AS artifact FROM k""")
-def u11_boundary(spark, d):
-    k = spark.range(1, 12).select(F.col("id").alias("w"), F.explode(F.array(F.lit(13), F.lit(71), F.lit(151)).cast("array<long>")).alias("n"))
-    p = S.boundary_artifact(F.col("w"), F.col("n"))
-    return k.select("w", "n", F.round(p, 9).alias("p"), (p > 0.025).alias("artifact"))
-
-
 def uniform_sql(seed: str, iters: int) -> str:
     return f"(SELECT it, (CAST('0x' || substr(md5('{seed}:' || it), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM range({iters}) r(it))"
 

@@ -715,11 +715,21 @@ def g6_audit_assembly(spark, d):
     return h.union(top).union(total.select(F.lit("n"), F.lit(0).cast("long"), "n")).union(total.select(F.lit("mean"), F.lit(0).cast("long"), "m"))
 
 
-@query("SELECT 'd16' AS model, true AS independent UNION ALL SELECT 'd32', true UNION ALL SELECT 'd64', false")
+@query(f"WITH {HITS}, gm AS (SELECT model FROM hits UNION SELECT 'd128') SELECT model, model NOT IN (SELECT model FROM hits) AS independent FROM gm")
 def g1_gate_independence(spark, d):
-    """Whether each model may serve as the gate's: it must not be one of those evaluated."""
-    models = spark.createDataFrame([("d16",), ("d32",), ("d64",)], "model string")
-    return models.select("model", I.gate_is_independent(F.col("model"), ["d64"]).alias("independent"))
+    """Whether each model may serve as the gate's: it must not be one of those with hit vectors."""
+    evaluated = _model_hits(spark, d).select("model").distinct()
+    models = evaluated.union(spark.createDataFrame([("d128",)], "model string"))
+    return models.select("model", I.gate_is_independent(F.col("model"), [r.model for r in evaluated.collect()]).alias("independent"))
+
+
+@query(f"""WITH {HITS}, {PAIRS}, bo AS (SELECT model, tag, comparison, count(*) AS n, count(*) FILTER (WHERE d > 0) AS wins FROM pr GROUP BY ALL)
+SELECT model, tag, comparison, wins, n, round(CAST(n - wins AS DOUBLE) / n, 9) AS share, round((CAST(n - wins AS DOUBLE) / n) ** n, 9) AS p, (CAST(n - wins AS DOUBLE) / n) ** n > 0.025 AS artifact FROM bo""")
+def u11_boundary(spark, d):
+    """Contrasts with so few wins that the lower end of their interval is zero by chance of resampling alone."""
+    c = _pairs(spark, d).groupBy("model", "tag", "comparison").agg(F.count_if(F.col("d") > 0).alias("wins"), F.count("*").alias("n"))
+    p = S.boundary_artifact(F.col("wins"), F.col("n"))
+    return c.select("model", "tag", "comparison", "wins", "n", F.round((F.col("n") - F.col("wins")) / F.col("n"), 9).alias("share"), F.round(p, 9).alias("p"), (p > 0.025).alias("artifact"))
 
 
 @query(f"""WITH {HITS}, dp AS (SELECT model, 'top' || depth AS retriever, query_id, CASE WHEN hit_rank <= depth THEN 1 ELSE 0 END AS hit FROM h_rank, (SELECT unnest([3, 10]) AS depth) WHERE retriever = 'hybrid'),

@@ -69,6 +69,11 @@ def kept(spark: SparkSession, name: str, state: str, build: Callable[[], DataFra
     return _KEPT[key][2]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written and read back: what a loop needs between its rounds."""
+    return kept(df.sparkSession, "round", uuid.uuid4().hex, lambda: df)
+
+
 def forget(spark: SparkSession | None = None) -> None:
     """Remove the tables of a session, or all."""
     for key, (own, path, _) in list(_KEPT.items()):
