@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import platform
 import sys
+import uuid
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
@@ -150,44 +151,118 @@ def describe(rows: DataFrame, key: str, id_col: str, text: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"), F.bit_xor(h).alias("digest"))
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed the step that this one wanted."""
+
+
 class Versions:
-    """Versions of a table in one folder: numbered parts, and a manifest that names the active one.
+    """Versions of a table in one folder: data, and a log of numbered commits.
 
-    A version is written whole before the manifest names it; the version before
-    stays where it is, so that a swap can be taken back.
+    A commit is a file that is created only if it is absent, so of two writers
+    of one step the first wins and the other gets a ``Conflict``.  Data is
+    written whole, to a folder of its own, before it is committed: a writer that
+    dies in between leaves the versions as they were, and its name may be used
+    again.  Reverting is a commit too; any step can be read as it was.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _manifest(self) -> list:
-        path = f"{self.folder}/manifest"
-        return sorted(self.spark.read.parquet(path).collect(), key=lambda r: r.step) if exists(self.spark, path) else []
+        self.jvm = spark.sparkContext._jvm
+        self.log = self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/log")
+        self.files = self.log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def steps(self) -> list[int]:
+        """The numbers of all commits."""
+        if not self.files.exists(self.log):
+            return []
+        return sorted(int(f.getPath().getName()) for f in self.files.listStatus(self.log) if f.getPath().getName().isdigit())
+
+    def entry(self, step: int) -> dict:
+        """step, version, data, action and before: the step that was active before this version came."""
+        stream = self.files.open(self.jvm.org.apache.hadoop.fs.Path(self.log, f"{step:020d}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def latest(self) -> dict | None:
+        steps = self.steps()
+        return self.entry(steps[-1]) if steps else None
 
     def active(self) -> str | None:
-        steps = self._manifest()
-        return steps[-1].version if steps else None
-
-    def _name(self, version: str, action: str) -> None:
-        step = len(self._manifest())
-        self.spark.createDataFrame([(step, version, action)], "step long, version string, action string").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
-
-    def adopt(self, rows: DataFrame, version: str) -> None:
-        """Writes a version, and makes it the active one; a version that is there already is an error."""
-        rows.write.parquet(f"{self.folder}/{version}")
-        self._name(version, "adopt")
+        last = self.latest()
+        return last["version"] if last else None
+
+    def _commit(self, step: int, **entry) -> None:
+        """The whole file appears under its number or not at all."""
+        path = self.jvm.org.apache.hadoop.fs.Path
+        to, part = path(self.log, f"{step:020d}"), path(self.log, f".{uuid.uuid4().hex}")
+        self.files.mkdirs(self.log)
+        out = self.files.create(part, False)
+        try:
+            out.write(bytearray(json.dumps({"step": step, **entry}).encode()))
+        finally:
+            out.close()
+        try:
+            if self.log.toUri().getScheme() in (None, "file"):  # local files move onto others; a second link to a name is refused
+                local = lambda p: self.jvm.java.io.File(p.toUri().getPath()).toPath()
+                try:
+                    self.jvm.java.nio.file.Files.createLink(local(to), local(part))
+                    won = True
+                except Exception as e:
+                    if "FileAlreadyExists" not in str(e):
+                        raise
+                    won = False
+            else:
+                won = not self.files.exists(to) and self.files.rename(part, to)
+        finally:
+            if self.files.exists(part):
+                self.files.delete(part, False)
+        if not won:
+            raise Conflict(f"step {step} of {self.folder} is taken")
+
+    def write(self, rows: DataFrame) -> str:
+        """The data of a version that is not committed yet: its folder's name."""
+        name = f"data-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def adopt(self, rows: DataFrame, version: str, after: int | None = None) -> int:
+        """Writes a version and makes it the active one; returns its step.
+
+        after: the step that the rows were made from; by default the latest when
+        this begins.  A version that is there already is an error.
+        """
+        steps = self.steps()
+        last = after if after is not None else (steps[-1] if steps else -1)
+        if any(self.entry(k)["version"] == version for k in steps):
+            raise ValueError(f"there is a version {version}")
+        data = self.write(rows)
+        try:
+            self._commit(last + 1, version=version, data=data, action="adopt", before=last)
+        except Conflict:
+            self.files.delete(self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{data}"), True)
+            raise
+        return last + 1
 
     def revert(self) -> str:
         """Makes the version before the active one active again."""
-        steps = self._manifest()
-        earlier = [r.version for r in steps if r.version != steps[-1].version] if steps else []
-        if not earlier:
+        last = self.latest()
+        if not last or last["before"] < 0:
             raise ValueError("there is no version to go back to")
-        self._name(earlier[-1], "revert")
-        return earlier[-1]
-
-    def read(self, version: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{version or self.active()}")
+        to = self.entry(last["before"])
+        self._commit(last["step"] + 1, version=to["version"], data=to["data"], action="revert", before=to["before"])
+        return to["version"]
+
+    def read(self, version: str | None = None, step: int | None = None) -> DataFrame:
+        """The active version, a named one, or what was active at a step."""
+        if version is not None:
+            found = next((e for e in map(self.entry, reversed(self.steps())) if e["version"] == version), None)
+        else:
+            found = self.latest() if step is None else self.entry(step)
+        if not found:
+            raise ValueError(f"there is no version {version or ''} in {self.folder}")
+        return self.spark.read.parquet(f"{self.folder}/{found['data']}")
 
 
 def write_json(rows: DataFrame, path: str) -> None:
