@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.text import tokens
-from siftlake.operators.retrieval import MOST_TOKENS, QUERY_BLOCK, best_of_block, occurrences
+from siftlake.operators.retrieval import best_of_block, occurrences
 from siftlake.shipping import ship
 
+#: Rows of either side whose matrix is made at once.
+LEFT_ROWS, RIGHT_ROWS = 256, 1024
+
 
 def keep_longest(rows: DataFrame, *keys: str, text: str = "text", order: str = "corpus_idx") -> DataFrame:
     """One row per key: the longest text, the first of equal ones; duplicates: how many were dropped.
@@ -63,50 +66,42 @@ def version_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFr
     return o.join(n, key, "full_outer").select(key, status.alias("status"))
 
 
-def jaccard_candidates(left: DataFrame, right: DataFrame, k: int, most_tokens: int = MOST_TOKENS, at: int = 9) -> DataFrame:
+def jaccard_candidates(left: DataFrame, right: DataFrame, k: int, at: int = 9) -> DataFrame:
     """(left_id, right_id, jaccard, rank): the k most similar right rows of each left one, by token sets.
 
     left, right: (left_id, text), (right_id, text); pairs without a common token
-    are none; ties go to the larger right_id.  Right rows meet blocks of left ones
-    as two matrices of 0 and 1, and keep k rows for each.  The left sets go to the
-    workers with the code, so their tokens are counted first; above
-    ``most_tokens`` overlaps come from an equi-join on tokens.
+    are none; ties go to the larger right_id.  Blocks of right rows meet parts
+    of left ones under a common key, as two matrices of 0 and 1, and keep k rows
+    for each.
     """
-    w = Window.partitionBy("left_id").orderBy(F.desc("jaccard"), F.desc("right_id"))
-    a = left.select("left_id", F.explode(F.array_distinct(tokens("text"))).alias("tok"))
-    asked = a.limit(most_tokens + 1).collect()
-    if len(asked) > most_tokens:
-        b = right.select("right_id", F.explode(F.array_distinct(tokens("text"))).alias("tok"))
-        na, nb = a.groupBy("left_id").agg(F.count("*").alias("na")), b.groupBy("right_id").agg(F.count("*").alias("nb"))
-        both = a.join(b, "tok").groupBy("left_id", "right_id").agg(F.count("*").alias("i")).join(na, "left_id").join(nb, "right_id")
-        scored = both.select("left_id", "right_id", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), at).alias("jaccard"))
-        return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    ids, blocks = sorted({r.left_id for r in asked}), []
-    for start in range(0, len(ids), QUERY_BLOCK):
-        row = {x: j for j, x in enumerate(ids[start : start + QUERY_BLOCK])}
-        own = [r for r in asked if r.left_id in row]
-        place = {t: i for i, t in enumerate(sorted({r.tok for r in own}))}
-        sets = np.zeros((len(place), len(row)))
-        sets[[place[r.tok] for r in own], [row[r.left_id] for r in own]] = 1
-        blocks.append((np.array(list(row), np.int64), list(place), sets))
-
-    def run(batches):
-        known = [(x, pa.array(words, pa.string()), sets) for x, words, sets in blocks]
-        for b in batches:
-            for start in range(0, b.num_rows, 512):
-                part = b.slice(start, 512)
-                own, length = part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy())
-                for x, words, sets in known:
-                    doc, code, _ = occurrences(part.column(1), words)
-                    seen = np.zeros((part.num_rows, len(words)))
-                    seen[doc, code] = 1
-                    shared = (seen @ sets).T
-                    jaccard = np.round(shared / np.maximum(sets.sum(0)[:, None] + length[None, :] - shared, 1), at)
-                    q, d = best_of_block(jaccard, own, k, falling=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[q]), pa.array(own[d]), pa.array(jaccard[q, d])], ["left_id", "right_id", "jaccard"])
-
     ship(left.sparkSession)
-    found = right.select(F.col("right_id").cast("long"), F.array_distinct(tokens("text")).alias("s")).mapInArrow(run, "left_id long, right_id long, jaccard double")
+    parts, blocks = (max(1, -(-d.count() // n)) for d, n in ((left, LEFT_ROWS), (right, RIGHT_ROWS)))
+    sets = lambda d, key: d.select(F.col(key).cast("long").alias("id"), F.array_distinct(tokens("text")).alias("s"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = sets(left, "left_id").select(own(parts).alias("part"), every(blocks).alias("block"), F.lit(True).alias("asks"), "id", "s")
+    held = sets(right, "right_id").select(every(parts).alias("part"), own(blocks).alias("block"), F.lit(False).alias("asks"), "id", "s")
+
+    def run(table):
+        asks = table.column("asks")
+        a, b = table.filter(asks), table.filter(pa.compute.invert(asks))
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if a.num_rows and b.num_rows:
+            x, y = a.column("id").to_numpy(), b.column("id").to_numpy()
+            words = pa.compute.unique(a.column("s").combine_chunks().flatten())
+            seen = [np.zeros((t.num_rows, len(words))) for t in (a, b)]
+            for m, t in zip(seen, (a, b), strict=True):
+                row, code, _ = occurrences(t.column("s").combine_chunks(), words)
+                m[row, code] = 1
+            shared = seen[0] @ seen[1].T
+            size = [np.diff(t.column("s").combine_chunks().offsets.to_numpy()) for t in (a, b)]
+            jaccard = np.round(shared / np.maximum(size[0][:, None] + size[1][None, :] - shared, 1), at)
+            q, d = best_of_block(jaccard, y, k, falling=True)
+            out = [x[q], y[d], jaccard[q, d]]
+        return pa.table([pa.array(c) for c in out], ["left_id", "right_id", "jaccard"])
+
+    w = Window.partitionBy("left_id").orderBy(F.desc("jaccard"), F.desc("right_id"))
+    found = asked.union(held).groupBy("part", "block").applyInArrow(run, "left_id long, right_id long, jaccard double")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -100,10 +100,6 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, views: dict[str,
     return DenseSearch(found, queries, k, views, others_only, at).topk()
 
 
-#: Queries whose matrix is one block; tokens of queries, repeats in one query apart, that may go to the workers with the code.
-QUERY_BLOCK, MOST_TOKENS = 64, 200_000
-
-
 def occurrences(lists: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place in the vocabulary, count) of the known tokens of each row."""
     length = np.diff(lists.offsets.to_numpy())

@@ -243,8 +243,14 @@ def test_block_kernels_agree_with_the_join_plans(spark, monkeypatch):
         assert sorted((r.query_id, r["rank"], r.corpus_idx, round(r.score, 8)) for r in R.bm25_topk(docs, q, 25).collect()) == want
     left = docs.filter("corpus_idx < 9").select(F.col("corpus_idx").alias("left_id"), "text")
     right = docs.select(F.col("corpus_idx").alias("right_id"), "text")
-    rows = lambda most: sorted((r.left_id, r["rank"], r.right_id, r.jaccard) for r in C.jaccard_candidates(left, right, 7, most_tokens=most).collect())
-    assert rows(0) == rows(1000) and len(rows(1000)) > 30
+    rows = lambda: sorted((r.left_id, r["rank"], r.right_id, r.jaccard) for r in C.jaccard_candidates(left, right, 7).collect())
+    whole = rows()
+    own = {r.corpus_idx: set(r.text.split()) for r in docs.collect()}
+    plain = [(a, n + 1, b, round(j, 9)) for a in range(9) for n, (j, b) in enumerate(sorted(((len(own[a] & own[b]) / len(own[a] | own[b]), b) for b in own if own[a] & own[b]), reverse=True)[:7])]
+    assert whole == plain and len(plain) > 30
+    monkeypatch.setattr(C, "LEFT_ROWS", 2)
+    monkeypatch.setattr(C, "RIGHT_ROWS", 9)
+    assert rows() == whole
     loose = R.permissive(scores, q, docs, 3).filter("query_id in (2, 4)").orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.corpus_idx) for r in loose] == [(2, 0), (2, 1), (2, 2), (4, 0), (4, 1), (4, 2)]
     x = np.round(np.random.default_rng(1).normal(size=(70, 6)), 1)
