@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from siftlake.functions import text as T
 from siftlake.operators import corpus as C
 from siftlake.operators import integrity as I
+from siftlake.operators import latent as L
 from siftlake.operators import metrics as M
 from siftlake.operators import resampling as RS
 from siftlake.operators import retrieval as R
 from siftlake.operators import stats as S
+from siftlake.operators import subwords as W
 from siftlake.operators import suite as U
 from siftlake.operators.blocks import Grid
 from siftlake.plans.queries import ALPHAS, BM25, CORPUS, GOLD, HYBRID, _benchmark, _bm25, _both, _gold, _hybrid, first, interval_draws_sql, query, tok
@@ -519,6 +521,82 @@ def r28_truncation_profile(spark, d):
     return t.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.percentile("t", F.lit(0.5)), 3).alias("median_tokens"), F.round(F.avg(F.when(F.col("t") > 256, 1.0).otherwise(0.0)), 6).alias("over_cap"))
 
 
+#: Byte by byte in hexadecimal: the longest piece at every place of every distinct word, then the places at which pieces begin.
+SUBWORDS = f"""
+pc AS (SELECT DISTINCT lower(hex(from_base64(p))) AS h FROM read_csv('{W.VOCABULARY}', delim=' ', header=false, quote='', escape='', auto_detect=false, columns={{'p': 'VARCHAR', 'r': 'BIGINT'}})),
+pu AS (SELECT h, length(h) AS n FROM pc WHERE NOT regexp_matches(h, '^(?:..)+(?:20|0[9a-d])(?:..)*$')), mx AS (SELECT max(n) AS most FROM pu),
+dr AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, lang, text FROM documents),
+wo AS MATERIALIZED (SELECT rn, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM dr), wn AS (SELECT rn, w, count(*) AS c FROM wo GROUP BY 1, 2),
+dw AS MATERIALIZED (SELECT w, lower(hex(encode(' ' || w))) AS h FROM (SELECT DISTINCT w FROM wo)),
+pl AS (SELECT w, h, unnest(range(1, length(h), 2)) AS o FROM dw), ln AS (SELECT w, h, o, unnest(range(2, least(most, length(h) - o + 1) + 1, 2)) AS n FROM pl, mx),
+lg AS MATERIALIZED (SELECT w, o, max(ln.n) AS n FROM ln JOIN pu ON pu.h = substr(ln.h, ln.o, ln.n) GROUP BY 1, 2),
+st AS (SELECT w, CAST(1 AS BIGINT) AS o FROM dw UNION ALL SELECT st.w, st.o + lg.n FROM st JOIN lg ON lg.w = st.w AND lg.o = st.o),
+cu AS (SELECT w, count(*) - 1 AS k FROM st GROUP BY 1),
+sw AS (SELECT any_value(doc_id) AS doc_id, any_value(lang) AS lang, CAST(coalesce(sum(c), 0) AS BIGINT) AS n_words, CAST(coalesce(sum(c * k), 0) AS BIGINT) AS n_subwords FROM dr LEFT JOIN wn USING (rn) LEFT JOIN cu USING (w) GROUP BY rn)"""
+
+
+def _subwords(spark, d) -> DataFrame:
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return table(spark, d, "documents").select("doc_id", "lang", words.alias("n_words"), W.subword_count(spark, "text").alias("n_subwords"))
+
+
+@query(f"WITH RECURSIVE {SUBWORDS} SELECT doc_id, n_words, n_subwords FROM sw")
+def r28_subword_counts(spark, d):
+    return _subwords(spark, d).select("doc_id", "n_words", "n_subwords")
+
+
+@query(f"WITH RECURSIVE {SUBWORDS} SELECT lang, count(*) AS n, round(quantile_cont(n_subwords, 0.5), 3) AS median_subwords, round(sum(n_subwords) / greatest(sum(n_words), 1), 6) AS per_word, round(avg(CASE WHEN n_subwords > 256 THEN 1.0 ELSE 0 END), 6) AS over_cap FROM sw GROUP BY 1")
+def r28_subword_profile(spark, d):
+    # equal lengths are counted first: a language's quantile is taken from one row a length
+    t = _subwords(spark, d).groupBy("lang", "n_subwords").agg(F.count("*").alias("m"), F.sum("n_words").alias("w"))
+    m, n = F.col("m"), F.col("n_subwords")
+    return t.groupBy("lang").agg(
+        F.sum("m").alias("n"), F.round(F.percentile(n, F.lit(0.5), m), 3).alias("median_subwords"),
+        F.round(F.sum(m * n) / F.greatest(F.sum("w"), F.lit(1)), 6).alias("per_word"), F.round(F.sum(F.when(n > 256, m).otherwise(0)) / F.sum("m"), 6).alias("over_cap"),
+    )
+
+
+# ---------------------------------------------------------------- trained vectors
+
+
+def _trained(spark, d):
+    """The model of ``documents`` and their vectors, kept."""
+    docs = corpus(spark, d)
+    state = state_of(spark, f"{d}/documents.parquet")
+    if (spark.sparkContext.applicationId, state) not in _MODELS:
+        _MODELS[spark.sparkContext.applicationId, state] = L.train(docs, "text")
+    model = _MODELS[spark.sparkContext.applicationId, state]
+    return model, kept(spark, "trained", state, lambda: model.encode(docs, "corpus_idx", "text"))
+
+
+_MODELS: dict[tuple[str, str], L.LatentModel] = {}
+
+
+@query()
+def r10_trained_vectors(spark, d):
+    _, vectors = _trained(spark, d)
+    return vectors.select(F.col("corpus_idx").alias("doc_id"), F.transform("v", lambda x: F.round(x, 4)).alias("v"))
+
+
+@query()
+def r10_r12_trained_topk(spark, d):
+    model, vectors = _trained(spark, d)
+    top = R.dense_topk(model.encode(_benchmark(spark, d), "query_id", "text", "q"), vectors, 10)
+    return top.select("query_id", "corpus_idx", F.round("score", 5).alias("score"), "rank")
+
+
+@query()
+def r10_trained_recall(spark, d):
+    """Recall at 10 of the trained vectors by language of the query, beside hashed vectors and BM25."""
+    gold = _gold(spark, d).distinct()
+    q = gold.select("query_id").distinct()
+    hits = r10_r12_trained_topk(spark, d).join(gold, ["query_id", "corpus_idx"], "left_semi").select("query_id", F.lit(1).alias("hit")).distinct()
+    own = q.join(hits, "query_id", "left").select(F.lit("trained").alias("retriever"), "query_id", F.coalesce("hit", F.lit(0)).alias("hit"))
+    others = _suite_ranks(spark, d).filter("model = 'd64' and retriever in ('dense', 'bm25')")
+    others = others.select(F.when(F.col("retriever") == "dense", "hashed").otherwise(F.col("retriever")).alias("retriever"), "query_id", F.coalesce((F.col("hit_rank") <= 10).cast("int"), F.lit(0)).alias("hit"))
+    return own.union(others).groupBy("retriever").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 4).alias("recall_at_10"))
+
+
 OLD_NEW = f"""{CORPUS}, cn AS (SELECT corpus_idx, CASE WHEN source = 'ecfr_part774' THEN {first('text')} ELSE text END AS text FROM c), {bm25_sql('o', 'c', 'text')}, {bm25_sql('w', 'cn', 'text')},
 ot AS (SELECT query_id, list(corpus_idx ORDER BY rank) AS l FROM o_rk WHERE rank <= 10 GROUP BY 1), wt AS (SELECT query_id, list(corpus_idx ORDER BY rank) AS l FROM w_rk WHERE rank <= 10 GROUP BY 1)"""
 
