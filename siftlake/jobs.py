@@ -14,7 +14,8 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.sources.tables import environment, markdown
+from siftlake.operators import claims as K
+from siftlake.sources.tables import Versions, environment, markdown
 
 GROUPS = {
     "suite": ["r15_r16_hit_vectors", "a4_u12_rates_with_intervals", "u9_u12_contrasts", "u7_u12_holm_within_model", "u5_u6_equivalence", "u10_absolute_only"],
@@ -27,8 +28,8 @@ GROUPS = {
     "candidates": ["j7_j8_jaccard_candidates", "j7_cross_source_twins", "p28_structural_codes", "p29_successor_codes"],
     "emit": ["g12_equivalence_doc", "g12_queries_v2", "j9_t5_equivalent_labels", "s17_merge_slices", "g14_curated_set"],
     "recall": ["u16_recall_by_label_view", "j11_u17_a20_label_sensitivity"],
-    "gates": ["g1_gate_independence", "g3_threshold_calibration", "g5_t4_gate_verdict", "g6_audit_assembly", "g7_slice_failures", "g8_shard_checks", "g9_g10_bundle_validation", "g13_claims"],
-    "stats": ["u2_u4_clopper_pearson", "u3_mcnemar", "u7_w4_holm", "u8_permutation", "u11_boundary", "u18_robustness_by_model", "u19_version_impact"],
+    "gates": ["g1_gate_independence", "g3_threshold_calibration", "g5_t4_gate_verdict", "g6_audit_assembly", "g7_slice_failures", "g8_shard_checks", "g9_g10_bundle_validation", "g13_claims", "g13_claims_over_results"],
+    "stats": ["u2_u4_clopper_pearson", "u3_mcnemar", "u7_w4_holm", "u8_permutation", "u11_boundary", "u18_robustness_by_model", "u19_version_impact", "u20_summary"],
 }
 
 
@@ -47,7 +48,7 @@ def names(wanted: list[str]) -> list[str]:
 
 
 def run(spark: SparkSession, folder: str, out: str, wanted: list[str], report: bool = False) -> list[str]:
-    """Writes each query's rows to out/name as Parquet, and as Markdown text beside it if asked for and small; returns the names."""
+    """Writes each query's rows to out/name as Parquet, and if asked for a Markdown text beside it, which of more than 1,000 rows only says where they are; returns the names."""
     from siftlake.plans.registry import QUERIES
 
     done = names(wanted)
@@ -55,8 +56,10 @@ def run(spark: SparkSession, folder: str, out: str, wanted: list[str], report: b
         rows: DataFrame = QUERIES[name](spark, folder)
         rows.write.mode("overwrite").parquet(f"{out}/{name}")
         kept = spark.read.parquet(f"{out}/{name}")
-        if report and kept.limit(1001).count() <= 1000:
-            spark.createDataFrame([(markdown(kept, name),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/{name}.md")
+        if report:
+            small = kept.limit(1001).count() <= 1000
+            text = markdown(kept, name) if small else f"# {name}\n\nOver 1,000 rows: they are in {out}/{name}."
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/{name}.md")
     environment(spark, queries=done, folder=folder).coalesce(1).write.mode("overwrite").json(f"{out}/environment")
     return done
 
@@ -73,6 +76,25 @@ def assembled(spark: SparkSession, out: str, wanted: list[str]) -> DataFrame:
     return all_rows
 
 
+def verify(spark: SparkSession, out: str, registry: str, update: bool = False) -> dict[str, int]:
+    """Checks the claims of a registry (a folder of versions) against the summary written before; returns how many have each status.
+
+    The checked claims go to out/claims.  With update, what was found becomes the
+    registry's next version; the version before can be read and reverted to.
+    """
+    versions = Versions(spark, registry)
+    last = versions.latest()
+    if last is None:
+        raise ValueError(f"{registry} holds no claims")
+    K.check(versions.read(step=last["step"]), spark.read.parquet(f"{out}/u20_summary")).write.mode("overwrite").parquet(f"{out}/claims")
+    checked = spark.read.parquet(f"{out}/claims")
+    if update:
+        renewed = K.updated(checked)
+        versions.adopt(renewed.drop("status"), f"claims-{last['step'] + 1}", after=last["step"])
+        checked = renewed
+    return {r.status: r["count"] for r in checked.groupBy("status").count().collect()}
+
+
 def run_models(spark: SparkSession, folder: str, out: str, models: list[str]) -> dict[str, str | None]:
     """The hit vectors of each model to out/model=..., one job each; a model that fails is reported with its error and stops no other."""
     from siftlake.plans.registry import QUERIES
@@ -96,8 +118,16 @@ def main(arguments: list[str] | None = None) -> None:
     p.add_argument("out")
     p.add_argument("wanted", nargs="+", metavar="name", help="queries or groups: " + ", ".join([*GROUPS, "all"]))
     p.add_argument("--report", action="store_true", help="Markdown beside the rows")
+    p.add_argument("--claims", help="folder of a registry of claims, checked against the summary (u20_summary, which must be run or be there)")
+    p.add_argument("--update", action="store_true", help="what is found becomes what the registry claims")
     a = p.parse_args(arguments)
-    print("\n".join(run(SparkSession.builder.appName("siftlake").getOrCreate(), a.folder, a.out, a.wanted, a.report)))
+    spark = SparkSession.builder.appName("siftlake").getOrCreate()
+    print("\n".join(run(spark, a.folder, a.out, a.wanted, a.report)))
+    if a.claims:
+        said = verify(spark, a.out, a.claims, a.update)
+        print(" ".join(f"{k}={v}" for k, v in sorted(said.items())))
+        if said.get("MISMATCH") or said.get("ERROR"):
+            raise SystemExit(1)
 
 
 if __name__ == "__main__":

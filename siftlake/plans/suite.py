@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
+from siftlake.operators import claims as K
 from siftlake.operators import corpus as C
 from siftlake.operators import integrity as I
 from siftlake.operators import latent as L
@@ -17,7 +18,7 @@ from siftlake.operators import stats as S
 from siftlake.operators import subwords as W
 from siftlake.operators import suite as U
 from siftlake.operators.blocks import Grid
-from siftlake.plans.queries import ALPHAS, BM25, CORPUS, GOLD, HYBRID, _benchmark, _bm25, _both, _gold, _hybrid, first, interval_draws_sql, query, tok
+from siftlake.plans.queries import ALPHAS, BM25, CORPUS, GOLD, HYBRID, ORACLE_SQL, QUERIES, _benchmark, _bm25, _both, _gold, _hybrid, first, interval_draws_sql, query, tok
 from siftlake.sources.store import kept, state_of
 from siftlake.sources.tables import corpus, table
 
@@ -824,3 +825,87 @@ def g9_g10_bundle_validation(spark, d):
     odd = (F.col("model") == "d32") & (F.col("retriever") == "top3") & (F.col("query_id") % 3 == 0)
     bundle = deep.filter("not (model = 'd16' and query_id % 5 = 0)").withColumn("hit", F.when(odd, 1 - F.col("hit")).otherwise(F.col("hit")))
     return I.bundle_violations(bundle, deep, ["top3", "top10"])
+
+
+# ---------------------------------------------------------------- all statistics as facts, and claims about them
+
+#: Section of the summary: (query, key columns, fields).
+SECTIONS = {
+    "rates": ("a4_u12_rates_with_intervals", ["model", "retriever", "tag"], ["k", "n", "rate", "lo", "hi"]),
+    "contrasts": ("u9_u12_contrasts", ["model", "tag", "comparison"], ["n", "wins", "losses", "p_two_sided", "mean", "lo", "hi", "excludes_zero"]),
+    "holm": ("u7_u12_holm_within_model", ["model", "name"], ["p", "family_size", "p_adjusted", "significant"]),
+    "equivalence": ("u5_u6_equivalence", ["model", "comparison", "delta"], ["n", "p_max", "equivalent", "n_required"]),
+    "unpaired": ("u10_absolute_only", ["model"], ["rate", "p_two_sided", "reason"]),
+}
+SIZES = [("documents", "documents"), ("benchmark", "benchmark"), ("labels", "labels"), ("conversations", "conversations")]
+
+
+def facts_sql(section: str, rows: str, keys: list[str], fields: list[str], texts: tuple = ("reason",)) -> str:
+    key = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '-')" for k in keys)
+    number = ", ".join("NULL::DOUBLE" if f in texts else f"CAST({f} AS DOUBLE)" for f in fields)
+    word = ", ".join(f"{f}" if f in texts else "NULL::VARCHAR" for f in fields)
+    return f"SELECT '{section}' AS section, {key} AS key, unnest([{', '.join(repr(f) for f in fields)}]) AS field, unnest([{number}]) AS value, unnest([{word}]) AS said FROM ({rows})"
+
+
+def _summary_sql() -> str:
+    parts = [facts_sql(s, ORACLE_SQL[q].replace(f"{HITS}, ", ""), keys, fields) for s, (q, keys, fields) in SECTIONS.items()]
+    parts += [f"SELECT 'sizes', '{t}', 'n', CAST(count(*) AS DOUBLE), NULL FROM {t}" for _, t in SIZES]
+    parts.append("SELECT 'sizes', 'queries_' || lang, 'n', CAST(count(DISTINCT query_id) AS DOUBLE), NULL FROM hits GROUP BY lang")
+    return f"WITH RECURSIVE {HITS.replace('hits AS (', 'hits AS MATERIALIZED (')}, facts AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+
+
+SUMMARY = _summary_sql()
+
+
+def _summary(spark, d) -> DataFrame:
+    def build():
+        parts = [K.facts(QUERIES[q](spark, d), s, keys, fields) for s, (q, keys, fields) in SECTIONS.items()]
+        parts += [K.facts(table(spark, d, t).agg(F.lit(name).alias("name"), F.count("*").alias("n")), "sizes", ["name"]) for name, t in SIZES]
+        asked = _model_hits(spark, d).groupBy(F.concat(F.lit("queries_"), F.col("lang")).alias("name")).agg(F.count_distinct("query_id").alias("n"))
+        return K.assemble([*parts, K.facts(asked, "sizes", ["name"])])
+
+    return kept(spark, "summary", state_of(spark, *(f"{d}/{t}.parquet" for t in ("benchmark", "documents", "labels", "conversations"))), build)
+
+
+@query(f"{SUMMARY} SELECT * FROM facts")
+def u20_summary(spark, d):
+    """Every statistic of the suite as one fact: sizes, rates, contrasts, families, equivalence, and rates that no vectors stand behind."""
+    return _summary(spark, d)
+
+
+@query(f"""{SUMMARY}, rt AS (SELECT model, retriever, sum(hit) AS k, avg(hit) AS r FROM hits GROUP BY 1, 2), {CMP},
+cl AS (SELECT 'hits|' || model || '|' || retriever AS claim, 'rates' AS section, model || '|' || retriever || '|overall' AS key, 'k' AS field, CAST(k AS DOUBLE) AS expected, NULL::VARCHAR AS stated, 0.0::DOUBLE AS tolerance FROM rt
+  UNION ALL SELECT 'gain|' || a.model || '|' || comparison, 'contrasts', a.model || '|overall|' || comparison, 'mean', a.r - b.r, NULL, NULL FROM cp JOIN rt a ON a.retriever = x JOIN rt b ON b.model = a.model AND b.retriever = y
+  UNION ALL SELECT 'family|' || model, 'holm', model || '|overall:hybrid_vs_bm25', 'family_size', NULL, NULL, NULL FROM (SELECT DISTINCT model FROM rt)
+  UNION ALL SELECT 'published|' || key, 'rates', key || '|dense|overall', 'rate', value, NULL, NULL FROM facts WHERE section = 'unpaired' AND field = 'rate'
+  UNION ALL SELECT 'reason|' || key, 'unpaired', key, 'reason', NULL, 'hit vectors missing: absolute rate only', NULL FROM facts WHERE section = 'unpaired' AND field = 'reason'
+  UNION ALL SELECT 'tested|' || key, 'unpaired', key, 'p_two_sided', 1.0, NULL, NULL FROM facts WHERE section = 'unpaired' AND field = 'p_two_sided'
+  UNION ALL SELECT 'held|' || model, 'external', model, 'rate', max(r), NULL, NULL FROM rt GROUP BY model)
+SELECT claim, cl.section, cl.key, cl.field, expected, actual, heard, CASE WHEN cl.section NOT IN (SELECT section FROM facts) THEN 'SKIP' WHEN n IS NULL OR n > 1 THEN 'ERROR' WHEN actual IS NULL AND heard IS NULL THEN 'SKIP' WHEN expected IS NULL AND stated IS NULL THEN 'NEW'
+  WHEN CASE WHEN stated IS NOT NULL THEN coalesce(heard = stated, false) ELSE coalesce(abs(actual - expected) <= coalesce(tolerance, 5e-4), false) END THEN 'OK' ELSE 'MISMATCH' END AS status
+FROM cl LEFT JOIN (SELECT section, key, field, count(*) AS n, max(value) AS actual, max(said) AS heard FROM facts GROUP BY ALL) f ON f.section = cl.section AND f.key = cl.key AND f.field = cl.field""")
+def g13_claims_over_results(spark, d):
+    """Claims over the results of five other queries: hits and gains recounted from the hit vectors, families not yet stated, rates published for
+    models that were not run (no such fact), what their rows say, a test they cannot have, and a section that is not part of the summary."""
+    found, hits = _summary(spark, d), _model_hits(spark, d)
+    rates = hits.groupBy("model", "retriever").agg(F.sum("hit").cast("double").alias("k"), F.avg("hit").alias("r"))
+    null, word = F.lit(None).cast("double"), F.lit(None).cast("string")
+
+    def claim(rows, name, section, key, field, expected=null, stated=word, tolerance=null):
+        return rows.select(name.alias("claim"), F.lit(section).alias("section"), key.alias("key"), F.lit(field).alias("field"), expected.alias("expected"), stated.alias("stated"), tolerance.alias("tolerance"))
+
+    bar = lambda *c: F.concat_ws("|", *(F.lit(x) if isinstance(x, str) else x for x in c))
+    m, r, key = F.col("model"), F.col("retriever"), F.col("key")
+    per = rates.groupBy("model").pivot("retriever", ["bm25", "dense", "hybrid"]).agg(F.first("r"))
+    gains = per.select("model", F.explode(F.array(*(F.struct(F.lit(n).alias("comparison"), (F.col(x) - F.col(y)).alias("gain")) for n, x, y in COMPARISONS))).alias("c")).select("model", "c.*")
+    unpaired = lambda field: found.filter((F.col("section") == "unpaired") & (F.col("field") == field))
+    claims = K.assemble([
+        claim(rates, bar("hits", m, r), "rates", bar(m, r, "overall"), "k", F.col("k"), tolerance=F.lit(0.0)),
+        claim(gains, bar("gain", m, F.col("comparison")), "contrasts", bar(m, "overall", F.col("comparison")), "mean", F.col("gain")),
+        claim(per, bar("family", m), "holm", bar(m, "overall:hybrid_vs_bm25"), "family_size"),
+        claim(unpaired("rate"), bar("published", key), "rates", bar(key, "dense", "overall"), "rate", F.col("value")),
+        claim(unpaired("reason"), bar("reason", key), "unpaired", key, "reason", stated=F.lit("hit vectors missing: absolute rate only")),
+        claim(unpaired("p_two_sided"), bar("tested", key), "unpaired", key, "p_two_sided", F.lit(1.0)),
+        claim(per, bar("held", m), "external", m, "rate", F.greatest("bm25", "dense", "hybrid")),
+    ])
+    return K.check(claims, found).select("claim", "section", "key", "field", "expected", "actual", "heard", "status")
