@@ -6,8 +6,10 @@ import collections
 import math
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftlake.llm import language_id, linear, lm_scoring, toxicity
@@ -67,6 +69,74 @@ def test_votes_of_words():
         assert got[toxicity.LISTS + 3] == (1 if dense >= 0.004 else -1 if dense < 0.0005 else 0)
 
 
+def plain_toxicity(texts, labels):
+    """The whole fit and all scores, word by word: texts {id: text}, labels {id: 0 or 1} to learn from."""
+    hashed = lambda t, k: int(toxicity.word_hashes(*text_bytes(pa.array([t])))[k].view(np.int64)[0])  # noqa: E731  orders ties only
+    split = {i: re.findall("[a-z]+", (t or "").lower()) for i, t in texts.items()}
+    heads_of = lambda w: [x[:6] for x in w if len(x) > 6]
+    total = [sum(v == c for v in labels.values()) for c in (0, 1)]
+
+    def marking(part, column, most):
+        seen = {c: collections.Counter(x for i, v in labels.items() if v == c for x in set(part(split[i]))) for c in (0, 1)}
+        found = []
+        for x, t in seen[1].items():
+            c, n = seen[0][x], sum(total)
+            g = 2 * sum(k * math.log(k / ((t + c) * (m / n))) for k, m in ((t, total[1]), (c, total[0])) if k)
+            if t >= 3 and ((t + 0.5) / (total[1] + 1)) / ((c + 0.5) / (total[0] + 1)) >= toxicity.RATIO and g >= toxicity.SURE:
+                found.append((-g, hashed(x if column == 0 else x + "x", column), x))
+        return [x for _, _, x in sorted(found)[:most]]
+
+    words, heads = marking(list, 0, toxicity.MOST_WORDS), marking(heads_of, 1, toxicity.MOST_HEADS)
+
+    def features(i):
+        text, w = texts[i] or "", split[i]
+        hit = collections.Counter(x for x in w if x in words)
+        head = collections.Counter(x for x in heads_of(w) if x in heads)
+        n, kinds, h = sum(hit.values()), len(hit), sum(head.values())
+        dense_ = n / max(1, len(w))
+        capitals = sum("A" <= c <= "Z" for c in text) / max(1, sum(map(len, w)))
+        symbols = sum(c in "#$%&*!|<>{}=" for c in text) / max(1, len(text))
+        repeated = sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(1, len(w))
+        x = [math.log1p(hit[k]) for k in words] + [math.log1p(head[k]) for k in heads] + [math.log1p(n), min(kinds, 4), math.log1p(h), min(100 * dense_, 5), capitals, symbols, repeated]
+        three = lambda k: 1 if k >= 2 else -1 if k == 0 else 0
+        votes = [int(any(hit[k] for k in words[j :: toxicity.LISTS])) for j in range(toxicity.LISTS)]
+        votes += [three(n), three(kinds), three(h), 1 if dense_ >= 0.004 else -1 if dense_ < 0.0005 else 0, int(capitals > 0.5 and n > 0), -int(repeated > 0.3 and n == 0), -int(symbols > 0.1 and n == 0)]
+        return x, votes
+
+    learned = [features(i) for i in labels]
+    q = np.array(plain_label_model([v for _, v in learned], [1.0] * len(learned), total[1] / sum(total))[0])
+    x = np.array([[*f, 1.0] for f, _ in learned])
+    w, ridge = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, 1e-3), 0)
+    for _ in range(50):  # Newton's steps to the one least loss
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) / len(q) + np.diag(ridge), x.T @ (p - q) / len(q) + ridge * w)
+    return words, heads, {i: 1 / (1 + math.exp(-float(np.array([*features(i)[0], 1.0]) @ w))) for i in texts}
+
+
+def test_toxicity_of_whole_tables(spark):
+    """Words, heads and every score of the query against a plain fit."""
+    rnd = random.Random(12)
+    bad, calm = ["vilewordx", "nastyterm", "grimslur", "grimslurred", "ugh"], [f"plain{c}" for c in "abcdefghijklmnopqrst"]
+    texts, labels = {}, {}
+    for k in range(260):
+        toxic = k % 4 == 0
+        w = [rnd.choice(calm) for _ in range(rnd.randrange(5, 40))] + [rnd.choice(bad) for _ in range(rnd.randrange(1, 4) if toxic else rnd.random() < 0.05)]
+        rnd.shuffle(w)
+        text = " ".join(w) + rnd.choice(["", "!!", " ## $$", ""])
+        texts[k] = text.upper() if rnd.random() < 0.15 else text
+        labels[k] = int(toxic)
+    texts |= {900: None, 901: "", 902: "ugh " * 500, 903: "same same same", 904: "!!##", 905: "NASTYTERM " * 30 + "calm"}
+    learn = {k: v for k, v in labels.items() if zlib.crc32(str(k).encode()) % 5}
+    words, heads, want = plain_toxicity(texts, learn)
+    assert set(words) >= {"vilewordx", "nastyterm"} and "grimsl" in heads
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lab = spark.createDataFrame([(k, v, "x") for k, v in labels.items()], "doc_id long, toxic int, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, lab).collect()}
+    assert set(got) == set(want)
+    assert max(abs(got[k].score - want[k]) for k in want) < 0.005
+    assert all(got[k].predicted == (want[k] >= 0.5) for k in want if abs(want[k] - 0.5) > 0.005)
+
+
 def dense(rows, width):
     out = np.zeros((len(rows), width))
     for k, (c, v) in enumerate(rows):

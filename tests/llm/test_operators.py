@@ -183,6 +183,71 @@ def test_packing(spark):
     assert pack(table(spark, []), path).count() == 0
 
 
+def plain_windows(docs, size, most):
+    """Bounded-space best fit on lists: the windows in the order they are closed, each a list of (doc_id, start, length)."""
+    closed, open_ = [], []
+    used = lambda w: sum(n for _, _, n in w)
+    for doc, total in docs:
+        start = 0
+        while total - start >= size:
+            closed.append([(doc, start, size)])
+            start += size
+        while start < total:
+            n = total - start
+            fitting = sorted((size - used(w), k) for k, w in enumerate(open_) if used(w) + n <= size)
+            if fitting:
+                window = open_[fitting[0][1]]
+            elif len(open_) < most:
+                open_.append(window := [])
+            else:
+                window = open_[min(range(len(open_)), key=lambda k: (-used(open_[k]), k))]
+                n = size - used(window)
+            window.append((doc, start, n))
+            start += n
+            if used(window) == size:
+                closed.append(window)
+                open_ = [w for w in open_ if w is not window]
+    left = [(doc, start + k) for w in open_ for doc, start, n in w for k in range(n)]  # token by token
+    while left:
+        n = size if len(left) >= size else 1 << (len(left).bit_length() - 1)
+        window = []
+        for doc, at in left[:n]:
+            if window and window[-1][0] == doc and window[-1][1] + window[-1][2] == at:
+                window[-1] = (doc, window[-1][1], window[-1][2] + 1)
+            else:
+                window.append((doc, at, 1))
+        closed.append(window)
+        left = left[n:]
+    return closed
+
+
+@pytest.mark.parametrize(("size", "most", "partitions"), [(1024, 32, 1), (64, 3, 1), (128, 1, 4), (32, 8, 3)])
+def test_packing_is_bounded_best_fit(spark, size, most, partitions):
+    """The whole result, placement by placement, is that of a plain best fit in each partition, and nothing is padded."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from siftlake.llm.packing import pack
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(size)
+    rows = [(k, rnd.choice([None, "", "a", "a b c", " ".join(rnd.choice(["alpha", "beta,", "12"]) for _ in range(rnd.randrange(1, 3 * size // 2)))]), "en") for k in range(150)]
+    docs = table(spark, rows).repartition(partitions).persist()
+    placed = docs.select("doc_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")).collect()
+    got = pack(docs, path, size=size, open_windows=most).collect()
+    tokens = {r.doc_id: r.doc_tokens for r in got}
+    assert set(tokens) == {i for i, _, _ in rows}
+    windows = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        windows[r.sequence_id].append((r.doc_id, r.start, r.length))
+    for p in range(partitions):
+        want = plain_windows([(r.doc_id, tokens[r.doc_id]) for r in sorted(placed, key=lambda r: r.at) if r.p == p], size, most)
+        assert [windows[k] for k in sorted(windows) if k >> 36 == p] == want
+    filled = [sum(n for _, _, n in w) for w in windows.values()]
+    assert sum(filled) == sum(tokens.values()) and sum(size - n for n in filled if n & (n - 1)) == 0
+    docs.unpersist()
+
+
 def test_sentence_pieces(spark, tmp_path):
     import public_tokenizers
     import sentencepiece
