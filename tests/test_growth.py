@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from compare import SF
 
 from siftlake.functions import text as T
 from siftlake.operators import audits as A
+from siftlake.operators import lexical_index as X
+from siftlake.operators import retrieval as R
+from siftlake.plans.registry import QUERIES
 
 SMALL = SF.replace("sf0.01", "sf0.001")
 
@@ -33,6 +38,29 @@ def test_twins_of_many_copies_meet_in_bounded_parts(spark, monkeypatch):
     assert A.twins(frame([], "left_id"), frame(right, "right_id"), 0.4).collect() == []
 
 
+def test_ablation_sweeps_search_the_index(spark, monkeypatch):
+    def pairs(*_, **__):
+        raise AssertionError("a row for every pair of query and document")
+
+    monkeypatch.setattr(R, "bm25_scores", pairs)
+    for name, n in (("r21_r23_ablation_sweep", 6), ("r7_r23_ablation_permissive", 12)):
+        assert QUERIES[name](spark, SMALL).count() == n
+
+
+def test_postings_give_the_sums_of_a_plain_product(monkeypatch):
+    monkeypatch.setattr(X, "ENTRIES", 7, raising=False)
+    rnd = np.random.default_rng(2)
+    f = rnd.integers(0, 3, (5, 30)) * (rnd.random((5, 30)) < 0.5)
+    lists = [[(i, int(f[t, i]), 9) for i in range(30) if f[t, i]] for t in range(5)]
+    blocks = pa.table({"tok": pa.chunked_array([[f"t{t}" for t in range(5)]])} | {c: pa.chunked_array([[[x[k] for x in own] for own in lists]]) for k, c in enumerate(("docs", "fs", "dls"))})
+    p = X.Postings(blocks, 9.0, np.arange(30)[::-1])
+    w = rnd.random((4, 5))
+    q, tok = np.divmod(np.arange(20), 5)
+    asked = pa.chunked_array([[f"t{t}" for t in tok] + ["unknown"]])
+    got = p.scores(p.known(asked), np.append(q, 0), np.append(w.ravel(), 1.0), 4)
+    assert np.allclose(got[:, ::-1], w @ (f * 2.2 / (f + 1.2)))
+
+
 def test_term_coverage_reads_entries_once(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("concat('k', doc_id % 3) as code", "text", "doc_id")
     asked = spark.createDataFrame([(1, "en", docs.orderBy("doc_id").first().text[:200]), (2, "en", "nowhere"), (3, "en", None)], "query_id long, lang string, text string")
