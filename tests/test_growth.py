@@ -49,6 +49,7 @@ def test_ablation_sweeps_search_the_index(spark, monkeypatch):
 
 def test_postings_give_the_sums_of_a_plain_product(monkeypatch):
     monkeypatch.setattr(X, "ENTRIES", 7, raising=False)
+    monkeypatch.setattr(X, "OFTEN", 2, raising=False)
     rnd = np.random.default_rng(2)
     f = rnd.integers(0, 3, (5, 30)) * (rnd.random((5, 30)) < 0.5)
     lists = [[(i, int(f[t, i]), 9) for i in range(30) if f[t, i]] for t in range(5)]
