@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 from compare import SF
+from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators import audits as A
 from siftlake.operators import lexical_index as X
+from siftlake.operators import passages as P
 from siftlake.operators import retrieval as R
+from siftlake.operators.blocks import Grid
 from siftlake.plans.registry import QUERIES
 
 SMALL = SF.replace("sf0.01", "sf0.001")
@@ -72,3 +76,39 @@ def test_term_coverage_reads_entries_once(spark):
     assert got[1].n_terms == len(terms) and len(terms) - 1 <= got[1].n_present <= len(terms)
     assert (got[2].n_terms, got[2].n_present, got[3].n_terms, got[3].coverage) == (1, 0, 0, None)
     assert not any("documents" in x for x in out.inputFiles())
+
+
+def test_tokens_of_a_batch_are_those_of_the_column(spark):
+    from siftlake.functions.words import token_lists
+
+    rnd = random.Random(4)
+    letters = ["a", "Z", "9", " ", "-", "가", "힣", "\uabff", "\ud7a4", "ꀀ", "é", "İ", "\u212a", "中", "\U0001f600", "\x00", "\n"]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 2, 30]))) for _ in range(300)] + [None, "", "ab", "cd", "가", "각"]
+    plain = lambda t: ["".join(c.lower() if c < "\x80" else c for c in w) for w in re.findall("[A-Za-z0-9가-힣]+", t or "")]
+    for kind in (pa.string(), pa.large_string()):
+        rows = pa.array(texts, kind)
+        assert token_lists(rows).to_pylist() == [plain(t) for t in texts]
+        assert token_lists(rows.slice(280, 25)).to_pylist() == [plain(t) for t in texts[280:305]]
+        assert token_lists(rows.slice(0, 0)).to_pylist() == token_lists(pa.array([], kind)).to_pylist() == []
+    own = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(T.tokens("t").alias("k")).collect()
+    assert [r.k for r in own] == [plain(t) for t in texts]
+
+
+def test_chosen_fingerprints_are_the_least_of_their_windows():
+    data = np.random.default_rng(6).integers(97, 99, 5000).astype(np.uint64)
+    every = P.fingerprints(data[:31], 16).tolist()
+    want = sorted({x for k in range(len(data) - 30) for x in P.fingerprints(data[k : k + 31], 16).tolist()})
+    assert len(every) == 1 and sorted(P.fingerprints(data, 16).tolist()) == want
+    allowed = np.zeros(P.BITS, bool)
+    allowed[[x & (P.BITS - 1) for x in want[::3]]] = True
+    assert sorted(P.fingerprints(data, 16, allowed).tolist()) == [x for x in want if allowed[x & (P.BITS - 1)]]
+
+
+def test_vectors_and_marks_of_texts_are_made_once(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").alias("corpus_idx"), "text")
+    v = R.hashed_dense(docs, "corpus_idx", F.col("text"), (16,))
+    grid = Grid(v, v.select(F.col("corpus_idx").alias("query_id"), F.col("v").alias("q")).limit(3))
+    assert "MapInArrow" not in grid.docs._jdf.queryExecution().executedPlan().toString()
+    passages = docs.limit(5).select(F.col("corpus_idx").alias("query_id"), F.substring("text", 1, 60).alias("passage"))
+    plan = P.held_passages(docs, passages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the passages' own fingerprints
