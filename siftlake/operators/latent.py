@@ -24,22 +24,23 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.functions.text import tokens
+from siftlake.functions.text import text_of
+from siftlake.functions.words import token_lists
 from siftlake.shipping import ship
 from siftlake.sources.store import kept
 
 #: Buckets of tokens; directions beyond the wanted ones that a round carries along; rounds; buckets of a strip.
 WIDTH, MORE, ROUNDS, STRIP = 1 << 14, 8, 8, 64
-#: Parts of the rows in a round, each of which sends one matrix; entries of rows multiplied at a time.
-PARTS, ENTRIES = 1024, 1 << 14
+#: Parts of the rows in a round, each of which sends one matrix; entries of rows, and rows, multiplied at a time; texts cut at a time.
+PARTS, ENTRIES, ROWS, TEXTS = 1024, 1 << 16, 256, 1024
 
 
 def term_rows(texts: Column, rows: DataFrame, key: Column, width: int) -> DataFrame:
-    """(key, at array<int>, c array<int>): the buckets of each text and how often they occur; texts without a token have none."""
+    """(key, at, c): the buckets of each text and how often they occur, as 32-bit integers in bytes; texts without a token have none."""
 
     def run(batches):
-        for b in batches:
-            lists = b.column(1)
+        for b in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
+            lists = token_lists(b.column(1))
             words = pa.compute.dictionary_encode(lists.flatten())
             code = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % width for w in words.dictionary.to_pylist()], np.int64)
             row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -47,38 +48,49 @@ def term_rows(texts: Column, rows: DataFrame, key: Column, width: int) -> DataFr
             row, at = np.divmod(cell, width)
             size = np.bincount(row, minlength=b.num_rows)
             some = size > 0
-            offsets = pa.array(np.concatenate(([0], np.cumsum(size[some]))), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (at, count)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), *lists], ["key", "at", "c"])
+            offsets = pa.py_buffer(np.concatenate(([0], 4 * np.cumsum(size[some]))).astype(np.int32))
+            packed = [pa.Array.from_buffers(pa.binary(), int(some.sum()), [None, offsets, pa.py_buffer(x.astype(np.int32))]) for x in (at, count)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), *packed], ["key", "at", "c"])
 
     ship(rows.sparkSession)
-    return rows.select(key.cast("long").alias("key"), tokens(texts).alias("toks")).mapInArrow(run, "key long, at array<int>, c array<int>")
+    return rows.select(key.cast("long").alias("key"), text_of(texts).alias("text")).mapInArrow(run, "key long, at binary, c binary")
+
+
+def _unpacked(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0 on, numbers) of a column of packed integers."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    return offsets - offsets[0], np.frombuffer(column.buffers()[2], np.int32)[offsets[0] : offsets[-1]]
 
 
 def _weights(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offsets, buckets, weights) of the rows of a batch (key, at, c), each of unit length."""
-    lists = batch.column(1)
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    at, c = lists.flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+    if not batch.num_rows:
+        return np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0)
+    (offsets, at), (_, c) = _unpacked(batch.column(1)), _unpacked(batch.column(2))
     w = (1 + np.log(c)) * idf[at]
-    offsets = offsets - offsets[0]
     if len(w):
         w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, offsets[:-1])), np.diff(offsets))
     return offsets, at, w
 
 
 def _slices(offsets: np.ndarray):
-    """Ranges of rows of about ``ENTRIES`` entries, one row at least."""
+    """Ranges of at most ``ROWS`` rows of about ``ENTRIES`` entries, one row at least."""
     lo = 0
     while lo < len(offsets) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + ENTRIES, side="right")) - 1)
+        hi = min(lo + ROWS, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + ENTRIES, side="right")) - 1))
         yield lo, hi
         lo = hi
 
 
-def _project(offsets: np.ndarray, at: np.ndarray, w: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Rows times basis; every row has an entry."""
-    return np.add.reduceat(w[:, None] * basis[at], offsets[:-1])
+def _matrix(offsets: np.ndarray, at: np.ndarray, w: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Some rows as a matrix over the buckets that they have, and these; a row has a bucket once."""
+    there = np.zeros(width, bool)
+    there[at] = True
+    buckets = np.flatnonzero(there)
+    place = np.cumsum(there) - 1
+    rows = np.zeros((len(offsets) - 1, len(buckets)))
+    rows[np.repeat(np.arange(len(rows)), np.diff(offsets)), place[at]] = w
+    return rows, buckets
 
 
 @dataclass
@@ -89,8 +101,11 @@ class LatentModel:
     basis: np.ndarray
     values: np.ndarray
 
-    def encode(self, rows: DataFrame, key: str, text: Column | str, name: str = "v") -> DataFrame:
-        """(key, v array<double>): unit vectors; texts without a token, or whose tokens the basis does not know, have none."""
+    def encode(self, rows: DataFrame, key: str, text: Column | str, name: str = "v", terms: DataFrame | None = None) -> DataFrame:
+        """(key, v array<double>): unit vectors; texts without a token, or whose tokens the basis does not know, have none.
+
+        terms: what ``term_rows`` gives for the rows, if it is at hand.
+        """
         sent = rows.sparkSession.sparkContext.broadcast((self.idf, self.basis))
 
         def run(batches):
@@ -99,14 +114,15 @@ class LatentModel:
                 offsets, at, w = _weights(b, idf)
                 for lo, hi in _slices(offsets):
                     cut = slice(offsets[lo], offsets[hi])
-                    v = _project(offsets[lo : hi + 1] - offsets[lo], at[cut], w[cut], basis)
+                    x, buckets = _matrix(offsets[lo : hi + 1], at[cut], w[cut], len(idf))
+                    v = x @ basis[buckets]
                     norm = np.sqrt((v * v).sum(1))
                     some = norm > 1e-12
                     v = v[some] / norm[some][:, None]
                     data = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(some)), data], [key, name])
 
-        found = term_rows(F.col(text) if isinstance(text, str) else text, rows, F.col(key), len(self.idf))
+        found = term_rows(F.col(text) if isinstance(text, str) else text, rows, F.col(key), len(self.idf)) if terms is None else terms
         return found.mapInArrow(run, f"{key} long, {name} array<double>")
 
 
@@ -121,12 +137,9 @@ def _share_kernel(sent, width: int):
             for lo, hi in _slices(offsets):
                 if total is None:
                     total = np.zeros(basis.shape)
-                cut, own = slice(offsets[lo], offsets[hi]), offsets[lo : hi + 1] - offsets[lo]
-                y = np.repeat(_project(own, at[cut], w[cut], basis), np.diff(own), axis=0) * w[cut][:, None]
-                order = np.argsort(at[cut], kind="stable")
-                bucket = at[cut][order]
-                first = np.flatnonzero(np.diff(bucket, prepend=-1))
-                total[bucket[first]] += np.add.reduceat(y[order], first)
+                cut = slice(offsets[lo], offsets[hi])
+                x, buckets = _matrix(offsets[lo : hi + 1], at[cut], w[cut], width)
+                total[buckets] += x.T @ (x @ basis[buckets])
         if total is not None:
             for k in range(0, width, STRIP):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + STRIP].tobytes()], pa.binary())], ["strip", "data"])
@@ -134,18 +147,26 @@ def _share_kernel(sent, width: int):
     return run
 
 
+def _held(batches):
+    """(at, n): how many rows of a batch have a bucket."""
+    for b in batches:
+        at, n = np.unique(_unpacked(b.column(0))[1] if b.num_rows else np.zeros(0, np.int32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["at", "n"])
+
+
 def _sum_strips(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x.as_buffer()) for x in table.column(1))
     return pa.table({"strip": table.column(0)[:1], "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(rows: DataFrame, text: Column | str, rank: int = 64, width: int = WIDTH, rounds: int = ROUNDS, seed: int = 7) -> LatentModel:
-    """The model of a corpus; runs one pass that writes the rows' buckets, one that counts them and one for each round."""
+def train(rows: DataFrame, text: Column | str, rank: int = 64, width: int = WIDTH, rounds: int = ROUNDS, seed: int = 7, terms: DataFrame | None = None) -> LatentModel:
+    """The model of a corpus; runs one pass that writes the rows' buckets, if no ``terms`` are given, one that counts them and one for each round."""
     spark = rows.sparkSession
-    found = term_rows(F.col(text) if isinstance(text, str) else text, rows, F.lit(None), width)
-    terms = kept(spark, "terms", uuid.uuid4().hex, lambda: found)
+    if terms is None:
+        found = term_rows(F.col(text) if isinstance(text, str) else text, rows, F.lit(None), width)
+        terms = kept(spark, "terms", uuid.uuid4().hex, lambda: found)
     df = np.zeros(width)
-    for r in terms.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect():  # at most ``width`` rows
+    for r in terms.select("at").mapInArrow(_held, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most ``width`` rows
         df[r["at"]] = r["n"]
     n = terms.count()
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0.0)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators import audits as A
+from siftlake.operators import latent as L
 from siftlake.operators import lexical_index as X
 from siftlake.operators import passages as P
 from siftlake.operators import retrieval as R
@@ -112,3 +113,14 @@ def test_vectors_and_marks_of_texts_are_made_once(spark):
     passages = docs.limit(5).select(F.col("corpus_idx").alias("query_id"), F.substring("text", 1, 60).alias("passage"))
     plan = P.held_passages(docs, passages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1  # the passages' own fingerprints
+
+
+def test_trained_vectors_cut_texts_once(spark, monkeypatch):
+    calls, cut = [], L.term_rows
+    monkeypatch.setattr(L, "term_rows", lambda *a: calls.append(a) or cut(*a))
+    from siftlake.plans import suite
+    from siftlake.sources import store
+
+    monkeypatch.setattr(suite, "_MODELS", {})
+    monkeypatch.setattr(store, "_KEPT", {})
+    assert QUERIES["r10_trained_vectors"](spark, SMALL).count() > 0 and len(calls) == 1
