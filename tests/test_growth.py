@@ -124,3 +124,12 @@ def test_trained_vectors_cut_texts_once(spark, monkeypatch):
     monkeypatch.setattr(suite, "_MODELS", {})
     monkeypatch.setattr(store, "_KEPT", {})
     assert QUERIES["r10_trained_vectors"](spark, SMALL).count() > 0 and len(calls) == 1
+
+
+def test_blocks_are_not_shuffled_to_meet_few_tokens(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").alias("corpus_idx"), "text")
+    index = R.bm25_index(docs)
+    asked = X.Asked.of(index, R.query_tokens(docs.limit(3).select(F.col("corpus_idx").alias("query_id"), "text")))
+    plan = X.bounds(index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [tok" in plan and "SortMergeJoin [tok" not in plan
+    assert "MapInArrow" not in X.surviving(index, asked, 5).select("query_id", "bound")._jdf.queryExecution().optimizedPlan().toString()
