@@ -133,3 +133,45 @@ def test_blocks_are_not_shuffled_to_meet_few_tokens(spark):
     plan = X.bounds(index, asked)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [tok" in plan and "SortMergeJoin [tok" not in plan
     assert "MapInArrow" not in X.surviving(index, asked, 5).select("query_id", "bound")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_null_arrays_are_sent_to_kernels(spark):
+    """Arrow's writer goes through all null lists before a row again, which made passes of a grid quadratic in a batch."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").alias("corpus_idx"), "text")
+    q = docs.limit(3).select(F.col("corpus_idx").alias("query_id"), "text")
+    index, asked = R.bm25_index(docs), R.query_tokens(q)
+    grid = Grid(R.hashed_dense(docs, "corpus_idx", F.col("text"), (16,)), R.hashed_dense(q, "query_id", F.col("text"), (16,), "q"), index, asked)
+    found = X.Asked.of(index, asked)
+    for rows in (grid.rows(), grid.rows(grid.extremes()), X.sent(found, X.bounds(index, found))):
+        lists = [c for c, kind in rows.dtypes if kind.startswith("array")]
+        assert len(lists) > 1 and rows.filter(" or ".join(f"{c} is null" for c in lists)).count() == 0 < rows.count()
+
+
+def test_blocks_are_bytes_and_taken_out_once(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").alias("corpus_idx"), "text")
+    index, asked = R.bm25_index(docs), R.query_tokens(docs.limit(3).select(F.col("corpus_idx").alias("query_id"), "text"))
+    assert dict(index.blocks.dtypes)["data"] == "binary"
+    found = X.Asked.of(index, asked)
+    again = X.Asked.of(index, R.query_tokens(docs.limit(3).select(F.col("corpus_idx").alias("query_id"), "text")))
+    assert again.blocks.inputFiles() == found.blocks.inputFiles()
+    read = X.best_in(index, found, X.bounds(index, found), 5).inputFiles()
+    assert read and not set(read) & set(index.blocks.inputFiles())
+    want = docs.select("corpus_idx", F.explode(T.tokens("text")).alias("tok")).groupBy("corpus_idx", "tok").count()
+    assert index.postings.select("corpus_idx", "tok", "f").exceptAll(want).count() == want.exceptAll(index.postings.select("corpus_idx", "tok", "f")).count() == 0
+
+
+def test_texts_are_not_shuffled_to_meet_few_pairs(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").alias("corpus_idx"), "text")
+    passages = docs.limit(5).select(F.col("corpus_idx").alias("query_id"), F.substring("text", 1, 60).alias("passage"))
+    plan = P.held_passages(docs, passages)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and all("BroadcastHashJoin" in line for line in plan.splitlines() if "LeftSemi" in line)
+
+
+def test_hashed_vectors_of_batches_are_those_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "WORDS", 2)
+    rows = spark.createDataFrame([(0, "a b a"), (1, ""), (2, "가 b"), (3, None), (4, "c")], "k long, t string")
+    got = {r.k: list(r.v) for r in R.hashed_dense(rows, "k", F.col("t"), (8,)).collect()}
+    want = {}
+    for r in R.hashed_vectors(rows, "k", F.col("t"), 8).collect():
+        want.setdefault(r.k, [0.0] * 8)[r.bucket] = r.weight
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
