@@ -175,3 +175,19 @@ def test_hashed_vectors_of_batches_are_those_of_rows(spark, monkeypatch):
     for r in R.hashed_vectors(rows, "k", F.col("t"), 8).collect():
         want.setdefault(r.k, [0.0] * 8)[r.bucket] = r.weight
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
+
+
+def test_first_sentences_read_the_head_of_a_text(spark):
+    rnd = random.Random(9)
+    bits = ["a", "word", ".", ". ", "; ", ";\n", " ", "  \t ", "é", "\u00a0", "x" * 70, "y" * 100, " " * 900, T.MARK, "\U0001f600"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.choice([0, 1, 3, 10, 40, 300]))) for _ in range(400)] + [None, "", " " * 5000 + "a. b", "a. " + " " * 3000 + "b" * 400]
+
+    def plain(text):
+        t = re.sub(r"\s+", " ", text or "").strip(" ")
+        parts = re.sub(r"([.;])\s+", r"\1" + T.MARK, t).split(T.MARK)
+        return (parts[0] + " " + parts[1] if len(parts[0]) < 80 and len(parts) > 1 else parts[0])[:260].strip(" ")
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    for r in rows.select("i", T.first_sentence("t").alias("s")).collect():
+        assert r.s == plain(texts[r.i]), (texts[r.i], r.s)
+    assert "1368" in rows.select(T.first_sentence("t"))._jdf.queryExecution().analyzed().toString()
