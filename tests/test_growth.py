@@ -191,3 +191,28 @@ def test_first_sentences_read_the_head_of_a_text(spark):
     for r in rows.select("i", T.first_sentence("t").alias("s")).collect():
         assert r.s == plain(texts[r.i]), (texts[r.i], r.s)
     assert "1368" in rows.select(T.first_sentence("t"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_the_first_pass_of_a_grid_ranks_as_a_search_does(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").alias("corpus_idx"), "text")
+    q = docs.filter("corpus_idx % 40 = 0").select(F.col("corpus_idx").alias("query_id"), F.substring("text", 1, 200).alias("text"))
+    dims, views = (16, 32), {"a": (0, 16), "b": (16, 48)}
+    vectors = lambda counts: (R.hashed_dense(docs, "corpus_idx", F.col("text"), dims, counts=counts), R.hashed_dense(q, "query_id", F.col("text"), dims, "q", counts=counts))
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    index, asked = R.bm25_index(docs), R.query_tokens(q)
+    grid = Grid(*vectors(True), index, asked, views=views, counts=True)
+    assert dict(grid.docs.dtypes)["v"] == "array<int>"
+    passed = grid.first_pass(10)
+    want = X.search(index, asked, 10).filter("score > 0").select("query_id", "corpus_idx", "score", "rank")
+    assert rows(grid.lexical_topk(10, passed).select("query_id", "corpus_idx", "score", "rank")) == rows(want) != []
+    plain = Grid(*vectors(False), index, asked, views=views)
+    assert rows(grid.blended_topk([0.5, 0.0], 10, passed)) == rows(plain.blended_topk([0.5, 0.0], 10))
+
+
+def test_hits_are_found_without_a_search_of_their_own(spark, monkeypatch):
+    from siftlake.sources import store
+
+    monkeypatch.setattr(store, "_KEPT", {})
+    monkeypatch.setattr(X, "search", lambda *a, **k: 1 / 0)
+    monkeypatch.setattr(R, "bm25_topk", lambda *a, **k: 1 / 0)
+    assert {r.retriever for r in QUERIES["u5_u6_equivalence"](spark, SMALL).select(F.col("comparison").alias("retriever")).collect()} == {"hybrid_vs_bm25", "dense_vs_bm25", "hybrid_vs_dense"}
