@@ -216,3 +216,13 @@ def test_hits_are_found_without_a_search_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(X, "search", lambda *a, **k: 1 / 0)
     monkeypatch.setattr(R, "bm25_topk", lambda *a, **k: 1 / 0)
     assert {r.retriever for r in QUERIES["u5_u6_equivalence"](spark, SMALL).select(F.col("comparison").alias("retriever")).collect()} == {"hybrid_vs_bm25", "dense_vs_bm25", "hybrid_vs_dense"}
+
+
+def test_an_index_is_built_without_a_shuffle(spark, monkeypatch):
+    made, kept = [], X.kept
+    monkeypatch.setattr(X, "kept", lambda s, name, state, build, *by: kept(s, name, state, lambda: made.append((name, build())) or made[-1][1], *by))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select((F.col("doc_id") + 7).alias("corpus_idx"), "text")
+    index = R.bm25_index(docs)
+    assert index.n == docs.count()
+    (plan,) = [d._jdf.queryExecution().executedPlan().toString() for name, d in made if name.endswith("-blocks")]
+    assert "MapInArrow" in plan and "Exchange" not in plan
