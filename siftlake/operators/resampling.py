@@ -26,6 +26,8 @@ ITERS, SEED = 20_000, "20260626"
 FAR = 12
 #: Tasks that share the resamples of a group of values; multipliers of the hash.
 SLICES, STRIDE, M1, M2 = 16, 1_000_003, 2_246_822_507, 3_266_489_909
+#: Numbers of the hash, and how many draws are made at a time.
+RING, CHUNK = 1 << 32, 1 << 14
 
 
 @lru_cache(maxsize=8)
@@ -117,23 +119,69 @@ def places(it: np.ndarray, n: int, seed: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(16))) % np.uint64(n)).astype(np.int64)
 
 
+def stretches(n: int, iters: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of a draw depends on it * STRIDE + draw alone, so a resample is a stretch of n numbers on a ring of 2**32.
+
+    (bounds, first, last, used): pieces of the ring begin at the bounds; a
+    resample has the pieces from first to before last, counted on where it goes
+    over the ring's end; used: whether any has the piece.  Resamples are sorted
+    by their start.  Where stretches overlap, a piece is summed for all of them.
+    """
+    start = np.sort((np.arange(iters, dtype=np.int64) * STRIDE + seed) % RING)
+    bounds = np.unique(np.concatenate(([0], start, (start + n) % RING)))
+    first, last = np.searchsorted(bounds, start), np.searchsorted(bounds, (start + n) % RING) + (start + n) // RING * len(bounds)
+    turns = int(last.max()) // len(bounds) + 1
+    open_ = np.bincount(first, minlength=turns * len(bounds)) - np.bincount(last, minlength=turns * len(bounds))
+    return bounds, first, last, np.cumsum(open_).reshape(turns, len(bounds)).any(0)
+
+
+def piece_sum(d: np.ndarray, lo: int, hi: int) -> float:
+    """The sum of the values that the numbers lo to hi - 1 of the ring draw, some thousands at a time."""
+    n, total = np.uint32(len(d)), 0.0
+    for at in range(lo, hi, CHUNK):
+        h = np.arange(min(CHUNK, hi - at), dtype=np.uint32) + np.uint32(at)
+        h ^= h >> np.uint32(16)
+        h *= np.uint32(M1)
+        h ^= h >> np.uint32(13)
+        h *= np.uint32(M2)
+        h ^= h >> np.uint32(16)
+        h -= h // n * n
+        total += d[h].sum()
+    return float(total)
+
+
 def value_interval(pairs: DataFrame, *keys: str, iters: int = ITERS, conf: float = 0.95, seed: str = SEED, place: str = "query_id") -> DataFrame:
     """(keys, lo, hi): percentile interval of the mean of d, values in the order of ``place``.
 
     The values of a group, a number for each query, go to each of the tasks that
-    share its resamples.
+    share the pieces of its resamples; draws are made at most once for each
+    number of the ring, however many values there are.
     """
     ship(pairs.sparkSession)
     kinds = dict(pairs.dtypes)
     rows = pairs.select(*keys, F.col(place).alias("__at"), F.col("d").cast("double").alias("__d"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("__slice"))
-
-    def run(table):
-        d = table.sort_by("__at").column("__d").to_numpy()
-        its = np.arange(table.column("__slice")[0].as_py(), iters, SLICES)
-        step = max(1, (1 << 21) // len(d))
-        means = np.concatenate([d[places(its[k : k + step], len(d), int(seed))].mean(1) for k in range(0, len(its), step)])
-        return pa.table([*[pa.array([table.column(c)[0].as_py()], table.schema.field(c).type) for c in keys], pa.array([means.tolist()])], [*keys, "m"])
-
-    out = rows.groupBy(*keys, "__slice").applyInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["m array<double>"]))
+    own = lambda table: [pa.array([table.column(c)[0].as_py()], table.schema.field(c).type) for c in keys]
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+
+    def sums(table):
+        d = np.ascontiguousarray(table.sort_by("__at").column("__d").to_numpy())
+        bounds, _, _, used = stretches(len(d), iters, int(seed))
+        k, ends = table.column("__slice")[0].as_py(), np.append(bounds[1:], RING)
+        mine = np.flatnonzero(used)[k::SLICES]
+        found = [piece_sum(d, int(bounds[p]), int(ends[p])) for p in mine]
+        return pa.table([*own(table), pa.array([len(d)]), pa.array([mine.tolist()], pa.list_(pa.int64())), pa.array([found], pa.list_(pa.float64()))], [*keys, "n", "piece", "total"])
+
+    def means(table):
+        n = table.column("n")[0].as_py()
+        bounds, first, last, _ = stretches(n, iters, int(seed))
+        total = np.zeros(len(bounds))
+        total[table.column("piece").combine_chunks().flatten().to_numpy()] = table.column("total").combine_chunks().flatten().to_numpy()
+        turns = np.append(np.tile(total, int(last.max()) // len(bounds) + 1), 0.0)
+        m = np.add.reduceat(turns, np.column_stack((first, last)).ravel())[::2] / n
+        return pa.table([*own(table), pa.array([m.tolist()])], [*keys, "m"])
+
+    rows = rows.repartition(SLICES, "__slice")  # by a stated number: few bytes, much work
+    parts = rows.groupBy("__slice", *keys).applyInArrow(sums, f"{named}, n long, piece array<long>, total array<double>")
+    out = parts.groupBy(*keys).applyInArrow(means, f"{named}, m array<double>")
     lo = (1 - conf) / 2
     return out.select(*keys, F.explode("m").alias("m")).groupBy(*keys).agg(F.percentile("m", F.lit(lo)).alias("lo"), F.percentile("m", F.lit(1 - lo)).alias("hi"))

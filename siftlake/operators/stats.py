@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 # One-sided 5 % and 80 % power.
 Z_ALPHA, Z_BETA = 1.6448536269514722, 0.8416212335729143
+#: Trials up to which a binomial tail is summed term by term.
+SUMMED = 256
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) for X ~ Binomial(n, p), summed in logs; n = 0 gives 1."""
+    """P(X >= k) for X ~ Binomial(n, p): the sum in logs up to n = ``SUMMED``, whose terms grow with the square of n, the incomplete beta function above; n = 0 gives 1."""
     def ln_choose(m, i):
         return F.aggregate(F.when(i > 0, F.sequence(F.lit(1), i)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, j: s + F.log((m - i + j).cast("double") / j))
 
     k, n = k.cast("int"), n.cast("int")
     term = lambda s, i: s + F.exp(ln_choose(n, i) + i * F.log(p) + (n - i) * F.log(1 - p))
-    total = F.aggregate(F.when(k <= n, F.sequence(k, n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), term)
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), total))
+    total = F.aggregate(F.when((k <= n) & (n <= SUMMED), F.sequence(k, n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), term)
+    inner = (k >= 1) & (k <= n)
+    beta = F.when(inner, upper_tail(F.when(inner, k).otherwise(1), F.when(inner, n).otherwise(1), p)).otherwise(F.when(k < 1, 1.0).otherwise(0.0))
+    return F.when(n == 0, 1.0).when(n <= SUMMED, F.least(F.lit(1.0), total)).otherwise(F.least(F.lit(1.0), beta))
 
 
 def mcnemar(pairs: DataFrame, *keys: str, a: str = "a", b: str = "b") -> DataFrame:
