@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import time
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from siftlake.operators import resampling as RS
 from siftlake.operators import stats as S
+from siftlake.plans.registry import ORACLE_SQL, QUERIES
 
 
 def test_resamples_share_the_ring(monkeypatch):
@@ -32,3 +34,15 @@ def test_exact_p_of_many_pairs(spark):
         lf = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, r.n + 1)))))
         i = np.arange(r.k, r.n + 1)
         assert abs(r.p - min(1.0, np.exp(lf[r.n] - lf[i] - lf[r.n - i] + r.n * np.log(0.5)).sum())) < 1e-7
+
+
+def test_negatives_make_no_row_for_a_pair_of_one_label(spark, tmp_path):
+    """Draws meet their own labels; the result is that of the SQL, null labels included."""
+    rows = [(k, None if k % 7 == 3 or k == 20 else k % 2) for k in range(400)]
+    spark.createDataFrame(rows, "vec_id long, label long").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    out = QUERIES["j16_negatives_without_gold"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(con.execute(ORACLE_SQL["j16_negatives_without_gold"]).fetchall())
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "LeftAnti" not in plan and plan.count("Join ") == 1
