@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.sources.store import written
+
+#: Buckets that the values of a group are counted in.
+PLACES = 1 << 16
+
 
 def first_hit(ranked: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, hit_rank): best rank of any gold document, null without one; every query has a row."""
@@ -49,3 +54,31 @@ def group_stats(rows: DataFrame, value: str, *keys: str) -> DataFrame:
 
 def percentile_floor(value: Column, share: float) -> Column:
     return F.floor(F.round(F.percentile(value, F.lit(share)) * 100, 6)) / 100
+
+
+def quantiles(rows: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+    """(key, q: the exact quantiles, linear between two values) of few groups of many values.
+
+    Equal values are counted first, then buckets of values; only the buckets that
+    hold a wanted place are sorted, so no task has all values of a group.
+    """
+    v, w = F.col(value), F.col("__m")
+    seen = written(rows.filter(v.isNotNull()).groupBy(key, value).agg(F.count("*").alias("__m")))
+    span = written(seen.groupBy(key).agg(F.sum(w).alias("__n"), F.min(v).cast("double").alias("__lo"), (F.max(v).cast("double") - F.min(v)).alias("__width")))
+    width, at = F.col("__width"), F.lit(0.0)
+    for k, share in enumerate(shares):
+        at = F.when(F.col("__k") == k, share * (F.col("__n") - 1)).otherwise(at)
+    wanted = span.select(key, "__n", F.explode(F.array(*map(F.lit, range(len(shares))))).alias("__k")).withColumn("__at", at)
+    low = F.floor("__at")
+    wanted = wanted.select(key, "__k", (F.col("__at") - low).alias("__part"), F.explode(F.array(low, F.least(low + 1, F.col("__n") - 1))).alias("__place"))
+    bucket = F.when((width > 0) & (width < float("inf")), F.floor((v - F.col("__lo")) / width * (PLACES - 1))).otherwise(F.lit(0)).cast("long")
+    placed = seen.join(F.broadcast(span), key).select(key, value, "__m", bucket.alias("__b"))
+    upto = lambda *by, order: F.sum(w).over(Window.partitionBy(*by).orderBy(order))
+    sizes = placed.groupBy(key, "__b").agg(F.sum(w).alias("__m")).withColumn("__before", upto(key, order="__b") - w)  # PLACES rows a group at most
+    there = lambda before: (before <= F.col("__place")) & (F.col("__place") < before + w)
+    chosen = sizes.join(F.broadcast(wanted), key).filter(there(F.col("__before"))).select(key, "__b", "__before").distinct()
+    inside = placed.join(F.broadcast(chosen), [key, "__b"]).withColumn("__first", F.col("__before") + upto(key, "__b", order=value) - w)
+    found = inside.join(F.broadcast(wanted), key).filter(there(F.col("__first"))).groupBy(key, "__k", "__part")
+    ends = found.agg(F.min(v).alias("__x"), F.max(v).alias("__y"))
+    q = F.when(F.col("__x") == F.col("__y"), F.col("__x")).otherwise(F.col("__x") + (F.col("__y") - F.col("__x")) * F.col("__part"))
+    return ends.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", q.alias("__q")))), lambda r: r["__q"]).alias("q"))

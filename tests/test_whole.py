@@ -6,12 +6,16 @@ import time
 
 import duckdb
 import numpy as np
+from compare import SF
 from pyspark.sql import functions as F
 
+from siftlake.operators import metrics as M
 from siftlake.operators import resampling as RS
 from siftlake.operators import stats as S
 from siftlake.plans.registry import ORACLE_SQL, QUERIES
 
+SMALL = SF.replace("sf0.01", "sf0.001")
+
 
 def test_resamples_share_the_ring(monkeypatch):
     """Where resamples overlap, their draws are made once, and each has the mean of its own places."""
@@ -46,3 +50,16 @@ def test_negatives_make_no_row_for_a_pair_of_one_label(spark, tmp_path):
     assert sorted(tuple(r) for r in out.collect()) == sorted(con.execute(ORACLE_SQL["j16_negatives_without_gold"]).fetchall())
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "LeftAnti" not in plan and plan.count("Join ") == 1
+
+
+def test_quantiles_without_a_task_of_all_values(spark):
+    """Exact quantiles of values spread, equal and single, and none by an aggregate that holds a group's values."""
+    rnd = np.random.default_rng(6)
+    groups = {"a": np.round(rnd.normal(size=1500), 9), "b": np.repeat([0.25, 0.5], [900, 100]), "c": np.array([3.0]), "d": np.array([7.0] * 50)}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("a", None)], "kind string, cos double")
+    out = M.quantiles(rows, "kind", "cos", [0.1, 0.5, 0.9])
+    got = {r.kind: r.q for r in out.collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        assert np.allclose(got[k], np.quantile(v, [0.1, 0.5, 0.9]), atol=1e-12)
+    assert "percentile(" not in QUERIES["g3_threshold_calibration"](spark, SMALL)._jdf.queryExecution().analyzed().toString()
