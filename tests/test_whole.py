@@ -63,3 +63,12 @@ def test_quantiles_without_a_task_of_all_values(spark):
     for k, v in groups.items():
         assert np.allclose(got[k], np.quantile(v, [0.1, 0.5, 0.9]), atol=1e-12)
     assert "percentile(" not in QUERIES["g3_threshold_calibration"](spark, SMALL)._jdf.queryExecution().analyzed().toString()
+
+
+def test_trained_recall_by_language(spark):
+    """Every retriever has its rate over all queries and over those of each language."""
+    rows = {(r.retriever, r.tag): r for r in QUERIES["r10_trained_recall"](spark, SMALL).collect()}
+    assert {name for name, _ in rows} == {"trained", "hashed", "bm25"}
+    for name in ("trained", "hashed", "bm25"):
+        parts = [rows[name, tag] for tag in ("en", "ko") if (name, tag) in rows]
+        assert sum(r.n for r in parts) == rows[name, "overall"].n > 0 and sum(r.hits for r in parts) == rows[name, "overall"].hits
