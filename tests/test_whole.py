@@ -6,11 +6,13 @@ import time
 
 import duckdb
 import numpy as np
-from compare import SF
+from compare import SF, differences, oracle
 from pyspark.sql import functions as F
 
+from siftlake.operators import lexical_index as X
 from siftlake.operators import metrics as M
 from siftlake.operators import resampling as RS
+from siftlake.operators import retrieval as R
 from siftlake.operators import stats as S
 from siftlake.plans.registry import ORACLE_SQL, QUERIES
 
@@ -72,3 +74,16 @@ def test_trained_recall_by_language(spark):
     for name in ("trained", "hashed", "bm25"):
         parts = [rows[name, tag] for tag in ("en", "ko") if (name, tag) in rows]
         assert sum(r.n for r in parts) == rows[name, "overall"].n > 0 and sum(r.hits for r in parts) == rows[name, "overall"].hits
+
+
+def test_all_pairs_stay_in_matrices(spark, monkeypatch):
+    """The pairs of queries and documents are not joined, shuffled or sorted, and rows are those of the SQL."""
+
+    def pairs(*_, **__):
+        raise AssertionError("a joined row for every token of a pair")
+
+    monkeypatch.setattr(R, "bm25_scores", pairs)
+    monkeypatch.setattr(X, "CELLS", 1 << 12)
+    con = oracle(SMALL)
+    for name in ("r8_minmax",):
+        assert not differences(spark, con, name, QUERIES[name], ORACLE_SQL[name], SMALL)
