@@ -85,5 +85,15 @@ def test_all_pairs_stay_in_matrices(spark, monkeypatch):
     monkeypatch.setattr(R, "bm25_scores", pairs)
     monkeypatch.setattr(X, "CELLS", 1 << 12)
     con = oracle(SMALL)
-    for name in ("r8_minmax",):
+    for name in ("r8_minmax", "r4_two_scorers_agree"):
         assert not differences(spark, con, name, QUERIES[name], ORACLE_SQL[name], SMALL)
+
+
+def test_a_wrong_scorer_is_found(spark):
+    """A walk with another weight, or without a token, differs in the pairs that it touches."""
+    docs = spark.createDataFrame([(k, "a b" if k % 2 else "b c c") for k in range(40)], "corpus_idx long, text string")
+    index, q = R.bm25_index(docs), spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id long, tok string, m long")
+    idf = {r.tok: r.idf for r in index.idf.collect()}
+    for walk, factor, want in ((["a", "b", "b"], 1.0, (40, 0)), (["a", "b"], 1.0, (40, 40)), (["b", "b"], 1.0, (40, 20)), (["a", "b", "b"], 1.1, (40, 40))):
+        walks = spark.createDataFrame([(1, walk, [idf[t] * factor for t in walk])], "query_id long, walk array<string>, idfs array<double>")
+        assert tuple(X.agreement(index, q, walks).first()) == want
