@@ -97,3 +97,11 @@ def test_a_wrong_scorer_is_found(spark):
     for walk, factor, want in ((["a", "b", "b"], 1.0, (40, 0)), (["a", "b"], 1.0, (40, 40)), (["b", "b"], 1.0, (40, 20)), (["a", "b", "b"], 1.1, (40, 40))):
         walks = spark.createDataFrame([(1, walk, [idf[t] * factor for t in walk])], "query_id long, walk array<string>, idfs array<double>")
         assert tuple(X.agreement(index, q, walks).first()) == want
+
+
+def test_ablated_queries_are_blended_once(spark):
+    """The contrasts read hits at several places; the passes over all pairs are not repeated for each."""
+    out = QUERIES["x1_decay_contrasts"](spark, SMALL)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "MapInArrow" not in plan
+    assert out.count() == 25
